@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactweave.llm import chat, mixing, quality, tokenfile, urlfilter, warc
+from contactweave.llm import chat, mixing, neardup, quality, tokenfile, urlfilter, warc
 from contactweave.llm.base import shared_folder
 
 #: (rule, verdict) of the URL query.
@@ -35,6 +35,10 @@ def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_table(table(spark, sf_dir, "documents"), tokenfile.default_vocabulary())
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     records = rows.select(F.to_json(F.struct("conv_id", "turn", "role", "text"), {"ignoreNullFields": "false"}).alias("record"))
@@ -59,7 +63,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_table(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_url_filters, op4_token_ids, op6_chat_formatting, op9_warc)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_url_filters, op4_token_ids, op5_minhash_near_dedup, op6_chat_formatting, op9_warc)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
