@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,12 @@ def words_col(col: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(col, F.lit(WORD_PATTERN), F.lit(0)), F.array().cast("array<string>"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, even where ``body`` uses it
+    inside lambdas (there it would be computed once per element)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small: long texts meet Python in at most
     ``BATCH_ROWS`` rows or 16 MB at a time, whichever comes first."""

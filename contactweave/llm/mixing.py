@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from contactweave.llm.base import WORD_PATTERN, n_words_col, small, written
+from contactweave.llm.base import WORD_PATTERN, let, n_words_col, small, written
 
 
 @dataclass(frozen=True)
@@ -204,7 +204,7 @@ def mixed_documents(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", t
     held = held.join(pieces, F.col("source").eqNullSafe(F.col("s")) & (F.col("first") == F.col("f")), "left")
     text = F.col(f"row.`{text_col}`")
     tokens = F.regexp_extract_all(text, F.lit(WORD_PATTERN + r"[\x20\x09-\x0D]*"), F.lit(0))
-    joined = F.array_join(F.flatten(F.transform("pieces", lambda p: F.slice(tokens, p["start"] + 1, p["n"]))), "")
+    joined = let(tokens, lambda t: F.array_join(F.flatten(F.transform("pieces", lambda p: F.slice(t, p["start"] + 1, p["n"]))), ""))
     n = F.aggregate("pieces", F.lit(0), lambda a, p: a + p["n"])
     part = F.when(F.col("pieces").isNull(), F.lit(None)).when(n == F.col("size"), text).otherwise(joined)
     copies = F.concat(F.array_repeat(text, F.col("passes").cast("int")), F.when(part.isNull(), F.array().cast("array<string>")).otherwise(F.array(part)))
