@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactweave.llm import chat, decontam, mixing, neardup, quality, tokenfile, urlfilter, warc
+from contactweave.llm import chat, decontam, langid, mixing, neardup, pagetext, quality, tokenfile, urlfilter, warc
 from contactweave.llm.base import shared_folder
 
 #: (rule, verdict) of the URL query.
@@ -59,6 +59,10 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.label(table(spark, sf_dir, "documents"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -67,7 +71,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_table(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_url_filters, op4_token_ids, op5_minhash_near_dedup, op6_chat_formatting, op8_benchmark_decontamination, op9_warc)}
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagetext.main_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_url_filters, op4_token_ids, op5_minhash_near_dedup, op6_chat_formatting, op7_language_id, op8_benchmark_decontamination, op9_warc, op10_html_extraction)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
