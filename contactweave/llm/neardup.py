@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from contactweave.llm.base import WORD_RE, bounded_batches, lower_ascii, written
 from contactweave.llm.components import components
@@ -66,7 +67,7 @@ _WALK = np.argsort(mix(np.arange(REGISTERS * REGISTERS, dtype=np.uint64).reshape
 
 class _Words(dict):
     def __missing__(self, word: str) -> int:
-        h = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        h = self[word] = xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return h
 
 
@@ -102,9 +103,9 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     mantissa = np.where(bits > MANTISSA, place >> np.maximum(bits - 1 - MANTISSA, 0), place) & ((1 << MANTISSA) - 1)
     register = ((zeros << MANTISSA) | mantissa).astype(np.uint16)
     if not full.all():
-        nearest = full[_WALK].argmax(axis=1)
-        source = np.where(full, np.arange(REGISTERS), _WALK[np.arange(REGISTERS), nearest])
-        register = register[source]
+        empty = np.flatnonzero(~full)
+        nearest = full[_WALK[empty]].argmax(axis=1)
+        register[empty] = register[_WALK[empty, nearest]]
     return register.view(np.int16)
 
 
