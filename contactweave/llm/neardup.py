@@ -15,7 +15,8 @@ bucket and still lie in different components: those pairs are all looked at, so
 no link found by any band is lost.
 
 A pair at exactly 0.75 shares no band with probability (1 - 0.75 ** 4) ** 48, about
-1e-8, and less above; the estimate's slack is over seven standard deviations.
+1e-8, and less above; the estimate's slack of 0.15 is nearly five
+standard deviations.
 
 Defined results: null, empty and wordless texts have an empty set and are linked
 with nothing; texts of fewer than five words have one shingle, the whole sequence;
@@ -44,9 +45,9 @@ REGISTERS = BANDS * ROWS
 MANTISSA = 10
 ZERO_CAP = 50
 #: Estimated similarity below which a candidate is not verified.
-ESTIMATE_FLOOR = 0.5
+ESTIMATE_FLOOR = 0.6
 #: Rounds of centres before the remaining pairs of components are compared.
-CENTRE_ROUNDS = 2
+CENTRE_ROUNDS = 3
 #: Most distinct words whose hashes a worker remembers.
 CACHED_WORDS = 500_000
 
@@ -155,10 +156,20 @@ def estimate(a: Column, b: Column) -> Column:
     return (equal_registers(a, b) / F.lit(float(REGISTERS)) - F.lit(chance)) / F.lit(1 - chance)
 
 
+def band_key(registers: Column, i: Column) -> Column:
+    """Hash of band i's compressed registers."""
+    return F.xxhash64(i, F.call_function("substring", registers, i * (ROWS * 2) + 1, F.lit(ROWS * 2)))
+
+
+def first_shared(a: Column, b: Column) -> Column:
+    """Key of the first band on which two sketches agree."""
+    both = F.filter(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: band_key(a, i) == band_key(b, i))
+    return band_key(a, F.try_element_at(both, F.lit(1)))
+
+
 def bands(classes: DataFrame) -> DataFrame:
     """(band, key, node) rows; key hashes the band's compressed registers."""
-    width = ROWS * 2
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.call_function("substring", F.col("registers"), i * width + 1, F.lit(width))))
+    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: band_key(F.col("registers"), i))
     return classes.where("registers is not null").select("node", F.explode(keys).alias("key"))
 
 
@@ -198,7 +209,10 @@ def links(classes: DataFrame, sets_of) -> DataFrame | None:
     found: DataFrame | None = None
     placed = members.select("key", "node", F.col("node").alias("root"))
     for r in range(CENTRE_ROUNDS):
-        order = F.struct(F.xxhash64(F.lit(r), "node").alias("h"), F.col("node").alias("node"), F.col("root").alias("root"))
+        # First one centre for all buckets of a group, then one for each bucket, so
+        # that a member of a large group meets many centres.
+        salt = F.xxhash64(F.lit(r), "node") if r == 0 else F.xxhash64(F.lit(r), "key", "node")
+        order = F.struct(salt.alias("h"), F.col("node").alias("node"), F.col("root").alias("root"))
         centre = placed.groupBy(F.col("key").alias("k")).agg(F.min(order).alias("c"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("k", F.col("c.node").alias("centre"), F.col("c.root").alias("centre_root"))
         star = placed.join(centre, F.col("key") == F.col("k")).where(F.col("root") != F.col("centre_root"))
         star = star.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
@@ -215,7 +229,9 @@ def links(classes: DataFrame, sets_of) -> DataFrame | None:
     size = 100 * F.least("l_n_shingles", "r_n_shingles") >= PERCENT * F.greatest("l_n_shingles", "r_n_shingles")
     apart = (F.col("l_root") != F.col("r_root")) & ((F.col("r_root") == F.col("r_top")) | (F.col("l_node") < F.col("r_node")))
     likely = estimate(F.col("l_registers"), F.col("r_registers")) >= ESTIMATE_FLOOR
-    rest = side("l").where("l_root <> l_top").join(side("r"), (F.col("l_key") == F.col("r_key")) & apart & size & likely)
+    # A pair that shares several bands counts in the first one.
+    first = first_shared(F.col("l_registers"), F.col("r_registers")) == F.col("l_key")
+    rest = side("l").where("l_root <> l_top").join(side("r"), (F.col("l_key") == F.col("r_key")) & apart & size & likely & first)
     rest = rest.select(F.least("l_node", "r_node").alias("a"), F.greatest("l_node", "r_node").alias("b")).distinct()
     return found.unionByName(written(confirmed(rest, sets), "links"))
 
