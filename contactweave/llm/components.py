@@ -25,7 +25,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         every = both(now)
         least = every.groupBy(F.col("a").alias("k")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = every.where("b > a").join(least, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = every.where("b > a").join(least, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         # Every row of large has a > b: its a hangs b, and itself, under its least.
         least = large.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m"))
         met = large.join(least, F.col("a") == F.col("k"))
