@@ -27,8 +27,8 @@ def needs_flip(chroms: list[str]) -> Column:
     """Whether a row is out of order: sides go by place in (``!``, *chroms) and then
     position; a listed side goes before an unlisted one; of two unlisted sides the
     bytewise smaller name goes first, and equal names count as out of order."""
-    place = F.create_map(*(F.lit(x) for i, c in enumerate([UNMAPPED_CHROM, *chroms]) for x in (c, i)))
-    e1, e2 = F.try_element_at(place, F.col("chrom1")), F.try_element_at(place, F.col("chrom2"))
+    listed = F.array(*map(F.lit, [UNMAPPED_CHROM, *chroms]))
+    e1, e2 = (F.nullif(F.array_position(listed, F.col(c)), F.lit(0).cast("long")) for c in ("chrom1", "chrom2"))
     return (
         F.when(e1.isNotNull() & e2.isNotNull(), (e1 > e2) | ((e1 == e2) & (F.col("pos1") > F.col("pos2"))))
         .when(e1.isNotNull(), F.lit(False))

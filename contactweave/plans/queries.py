@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from contactweave.functions.graph import written
 from contactweave.operators import basic, binning, dedup, stats
 
 CHROMS = [f"chr{i}" for i in range(1, 13)]
@@ -116,7 +117,8 @@ def stats_convergence(spark, sf_dir):
 
 def dedup_query(name: str, flavour: str = "n", **options):
     def query(spark, sf_dir):
-        return dedup.mark_duplicates(pairs(spark, sf_dir, flavour), **options).select("readID", "outcome", "parent")
+        # The view's one-partition numbering is worked out once, not per use.
+        return dedup.mark_duplicates(written(pairs(spark, sf_dir, flavour), "pairs"), **options).select("readID", "outcome", "parent")
 
     query.__name__ = name
     return query
@@ -146,7 +148,7 @@ def bin_table(spark, sf_dir):
 
 def process_fused(spark, sf_dir):
     """Flip, mark duplicates, and bin the pairs that stay."""
-    flipped = basic.flip_pairs(pairs(spark, sf_dir, "n"), CHROMS)
+    flipped = written(basic.flip_pairs(pairs(spark, sf_dir, "n"), CHROMS), "pairs")
     kept = dedup.mark_duplicates(flipped, max_mismatch=0).where("outcome = 'kept'")
     return binning.bin_contacts(binning.accepted(kept), SIZES, [100]).drop("resolution")
 
