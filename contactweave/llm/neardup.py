@@ -53,6 +53,8 @@ CENTRE_ROUNDS = 2
 #: large sets, and more for sets of up to a few hundred shingles.
 BINS = 1024
 FINE_FLOOR = 0.68
+#: Classes in a block of a bucket; a task holds two blocks at a time.
+BLOCK = 512
 #: Most distinct words whose hashes a worker remembers.
 CACHED_WORDS = 500_000
 
@@ -175,16 +177,70 @@ def band_key(registers: Column, i: Column) -> Column:
     return F.xxhash64(i, F.call_function("substring", registers, i * (ROWS * 2) + 1, F.lit(ROWS * 2)))
 
 
-def first_shared(a: Column, b: Column) -> Column:
-    """Key of the first band on which two sketches agree."""
-    both = F.filter(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: band_key(a, i) == band_key(b, i))
-    return band_key(a, F.try_element_at(both, F.lit(1)))
-
-
 def bands(classes: DataFrame) -> DataFrame:
     """(band, key, node) rows; key hashes the band's compressed registers."""
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: band_key(F.col("registers"), i))
-    return classes.where("registers is not null").select("node", F.explode(keys).alias("key"))
+    return classes.where("registers is not null").select("node", F.posexplode(keys).alias("band", "key"))
+
+
+def close_pairs(block: pa.Table) -> pa.Table:
+    """(a, b) of two blocks of a bucket (or of one block with itself) whose
+    components, sizes and both sketches let them pass, if this bucket is the first
+    that the two share."""
+    node, root, top, size, side = (block.column(c).to_numpy() for c in ("node", "root", "top", "n_shingles", "block"))
+    registers = np.frombuffer(b"".join(block.column("registers").to_pylist()), np.int16).reshape(-1, REGISTERS)
+    band, one, two = (block.column(c)[0].as_py() for c in ("band", "i", "j"))
+    right = np.flatnonzero(side == two)
+    chance = 2.0**-MANTISSA / 3
+    least = (ESTIMATE_FLOOR * (1 - chance) + chance) * REGISTERS
+    left_of, right_of = [], []
+    for x in np.flatnonzero(side == one):
+        y = right[root[right] != root[x]]
+        if one == two:
+            y = y[node[y] > node[x]]
+        y = y[100 * np.minimum(size[y], size[x]) >= PERCENT * np.maximum(size[y], size[x])]
+        equal = registers[y] == registers[x]
+        likely = np.count_nonzero(equal, axis=1) >= least
+        y, equal = y[likely], equal[likely].reshape(-1, BANDS, ROWS).all(axis=2)
+        y = y[equal[:, band] & (equal.argmax(axis=1) == band)]
+        left_of.append(np.full(len(y), x))
+        right_of.append(y)
+    x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left_of, right_of))
+    if len(x):
+        fine = np.full((len(node), BINS), -1, np.int32)
+        for n, values in enumerate(block.column("fine")):
+            values = values.values.to_numpy()
+            fine[n, values >> 16] = values
+        good = np.zeros(len(x), bool)
+        for at in range(0, len(x), 4096):
+            a, b = fine[x[at : at + 4096]], fine[y[at : at + 4096]]
+            agree = np.count_nonzero((a == b) & (a >= 0), axis=1)
+            good[at : at + 4096] = agree >= FINE_FLOOR * np.count_nonzero((a >= 0) | (b >= 0), axis=1)
+        x, y = x[good], y[good]
+    return pa.table({"a": np.minimum(node[x], node[y]), "b": np.maximum(node[x], node[y])})
+
+
+def remaining(placed: DataFrame, seen: DataFrame, sets: DataFrame) -> DataFrame:
+    """Candidate pairs of buckets that hold several components: each class outside
+    the bucket's largest component meets all classes of others.
+
+    Both parts of a bucket are dealt to blocks of about ``BLOCK`` classes, and a
+    task holds two blocks; classes of the largest component go only to blocks
+    outside it.
+    """
+    sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy(F.col("key").alias("k")).agg(F.max(F.struct("n", "root")).alias("t"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    largest = largest.select("k", F.col("t.root").alias("top"), blocks(F.col("t.n")).alias("inside"), blocks(F.col("all") - F.col("t.n")).alias("outside"))
+    rows = placed.join(largest, F.col("key") == F.col("k"))
+    within = F.col("root") == F.col("top")
+    deal = F.xxhash64(F.lit(7), "node")
+    rows = rows.withColumn("block", F.when(within, F.col("outside") + F.pmod(deal, F.col("inside"))).otherwise(F.pmod(deal, F.col("outside"))).cast("int"))
+    others = F.sequence(F.lit(0), F.when(within, F.col("outside")).otherwise(F.col("outside") + F.col("inside")) - 1)
+    wide = written(rows.join(seen, "node").join(sets.select("node", "fine"), "node"), "mixed")
+    met = wide.select("key", "band", "node", "root", "top", "n_shingles", "registers", "fine", "block", F.explode(others).alias("other"))
+    met = met.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    return met.groupBy("key", "i", "j").applyInArrow(close_pairs, "a bigint, b bigint")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -221,7 +277,7 @@ def links(classes: DataFrame, sets_of) -> DataFrame | None:
         return confirmed(met.select("a", "b"), sets)
 
     found: DataFrame | None = None
-    placed = members.select("key", "node", F.col("node").alias("root"))
+    placed = members.select("key", "band", "node", F.col("node").alias("root"))
     for r in range(CENTRE_ROUNDS):
         # First one centre for all buckets of a group, then one for each bucket, so
         # that a member of a large group meets many centres.
@@ -233,23 +289,8 @@ def links(classes: DataFrame, sets_of) -> DataFrame | None:
         new = written(tested(star), "links")
         found = new if found is None else found.unionByName(new)
         roots = components(found)
-        placed = written(members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "placed")
-    # What is left: buckets that still hold several components.  Each of their
-    # classes outside the bucket's largest component meets all classes of others.
-    sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy(F.col("key").alias("k")).agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("m")).where("m > 1").select("k", F.col("top.root").alias("top"))
-    finer = sets.select("node", "fine", F.transform("fine", lambda x: F.shiftright(x, 16)).alias("bins"))
-    mixed = written(placed.join(largest, F.col("key") == F.col("k")).drop("k").join(seen, "node").join(finer, "node"), "mixed")
-    side = lambda p: mixed.select(*(F.col(c).alias(f"{p}_{c}") for c in mixed.columns))
-    size = 100 * F.least("l_n_shingles", "r_n_shingles") >= PERCENT * F.greatest("l_n_shingles", "r_n_shingles")
-    apart = (F.col("l_root") != F.col("r_root")) & ((F.col("r_root") == F.col("r_top")) | (F.col("l_node") < F.col("r_node")))
-    likely = estimate(F.col("l_registers"), F.col("r_registers")) >= ESTIMATE_FLOOR
-    # A pair that shares several bands counts in the first one.
-    first = first_shared(F.col("l_registers"), F.col("r_registers")) == F.col("l_key")
-    shared_bins = F.size(F.array_intersect("l_bins", "r_bins"))
-    close = F.size(F.array_intersect("l_fine", "r_fine")) >= FINE_FLOOR * (F.size("l_bins") + F.size("r_bins") - shared_bins)
-    rest = side("l").where("l_root <> l_top").join(side("r"), (F.col("l_key") == F.col("r_key")) & apart & size & likely & first & close)
-    rest = rest.select(F.least("l_node", "r_node").alias("a"), F.greatest("l_node", "r_node").alias("b")).distinct()
+        placed = written(members.join(roots, "node", "left").select("key", "band", "node", F.coalesce("root", "node").alias("root")), "placed")
+    rest = written(remaining(placed, seen, sets), "rest")
     return found.unionByName(written(confirmed(rest, sets), "links"))
 
 
