@@ -98,10 +98,11 @@ def complexity(total_mapped: int, total_dups: int) -> float:
 
 
 def convergence(freq: dict[tuple[int, str], int], edges: list[int]) -> dict[str, object]:
-    """The distance beyond which all four strand directions agree."""
+    """The distance beyond which all four strand directions agree; a difference in
+    the first bin alone doesn't count."""
     last: dict[str, int] = {}
     for d in CONVERGENCE_ORDER:
-        last[d] = -1
+        last[d] = 0
         for i, b in enumerate(edges):
             counts = [freq.get((b, x), 0) for x in DIRECTIONS]
             mean = sum(counts) / 4
@@ -109,7 +110,7 @@ def convergence(freq: dict[tuple[int, str], int], edges: list[int]) -> dict[str,
                 last[d] = i
     worst = max(CONVERGENCE_ORDER, key=lambda d: last[d])
     at = last[worst]
-    if at < 0:
+    if at == 0:
         return {"convergence_dist": "0", "strands_w_max_convergence_dist": "??"}
     return {"convergence_dist": edges[at + 1] if at + 1 < len(edges) else (1 << 63) - 1, "strands_w_max_convergence_dist": worst}
 

@@ -22,6 +22,29 @@ def test_golden_pairs(spark, golden, options):
     assert [x for x in got.header.lines if x.startswith("#chromsize")] == [x for x in lines if x.startswith("#chromsize")]
 
 
+ADDED = ("mapq", "pos5", "pos3", "cigar", "read_len", "matched_bp", "algn_ref_span", "algn_read_span", "dist_to_5", "dist_to_3", "read_side", "algn_idx", "same_side_algn_count", "NM", "AS", "XS")
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no golden files here")
+@pytest.mark.parametrize(("golden", "options"), [("hic.parse.cols.pairs", ParseOptions(add_pair_index=True, add_columns=ADDED)), ("hic.parse.pairsam", ParseOptions(add_sam=True))])
+def test_golden_extra_columns(spark, golden, options):
+    got = parse_sam(spark, str(DATA / "fixtures/hic.sam"), read_chromsizes(str(DATA / "fixtures/hic.chrom.sizes")), options)
+    rows = ["\t".join(str(r[c]) for c in got.header.columns()) for r in got.df.orderBy("seq").collect()]
+    lines = (DATA / "golden" / golden).read_text().splitlines()
+    assert got.header.lines[-1] == next(x for x in lines if x.startswith("#columns")).rstrip()
+    assert rows == [x for x in lines if not x.startswith("#")]
+
+
+def test_extra_columns_of_odd_reads(spark, tmp_path):
+    (tmp_path / "x.sam").write_text("@SQ\tSN:chr1\tLN:1000\na\t65\tchr1\t5\t60\t10M\t*\t0\t0\tAC\tII\n")
+    o = ParseOptions(add_sam=True, drop_seq=True, drop_readid=True, add_columns=("seq", "read_side", "NM"))
+    row = parse_sam(spark, str(tmp_path / "x.sam"), {}, o).df.first()
+    assert (row.readID, row.pair_type, row.seq1, row.read_side1, row.NM2) == (".", "XX", "", "", "")
+    assert row.sam1 == "a\x1965\x19chr1\x195\x1960\x1910M\x19*\x190\x190\x19*\x19*\x19Yt:Z:XX" and row.sam2 == ""
+    with pytest.raises(PairsError):
+        ParseOptions(add_columns=("nope",))
+
+
 def test_runs_and_empty_input(spark, tmp_path):
     line = "{}\t{}\tchr1\t{}\t60\t10M\t*\t0\t0\t*\t*\n"
     text = "@SQ\tSN:chr1\tLN:1000\n" + line.format("a", 65, 50) + line.format("a", 129, 20) + line.format("b", 65, 5) + line.format("a", 129, 9)
