@@ -42,6 +42,8 @@ APART = frozenset("aside button dialog footer form head header menu nav select".
 #: Elements whose content is no markup, and never main text.
 RAW = frozenset("iframe noembed noframes noscript object script style svg template textarea title".split())
 VOID = frozenset("hr".split())
+#: Inline elements that are never left out: those without content, and emphasis and links.
+KEPT = frozenset("a area b base col embed em i img input link meta param source strong track wbr".split())
 #: Words in class or id names that mark what is no main text.
 MARKS = frozenset(
     "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer"
@@ -72,6 +74,18 @@ def marked(attributes: str) -> frozenset[str]:
     return frozenset(found)
 
 
+def inline(name: str) -> bool:
+    return name not in BLOCKS and name not in APART
+
+
+def inner(names: list[str]) -> int:
+    """Where the inline elements begin that are open in the innermost block."""
+    n = len(names)
+    while n and inline(names[n - 1]):
+        n -= 1
+    return n
+
+
 def lines_of(page: str | None) -> tuple[list[str], bool]:
     """(lines, settled): the lines of the article or main elements and True, or
     all lines that markup lets pass and False."""
@@ -80,7 +94,7 @@ def lines_of(page: str | None) -> tuple[list[str], bool]:
     inside: list[str] = []
     outside: list[str] = []
     text: list[str] = []
-    open_: list[str] = []  # open block elements
+    open_: list[str] = []  # open block elements, marked inline ones and those of the same name in them
     skip_at, skip_is_comment = -1, False  # depth at which a left-out element began
     article_at = -1
     has_article = False
@@ -116,10 +130,13 @@ def lines_of(page: str | None) -> tuple[list[str], bool]:
             if skip_at < 0:
                 text.append(" ")
             continue
-        if name not in BLOCKS and name not in APART:
-            if closing or not marked(attributes) or skip_at >= 0 or name in ("img", "input", "link", "meta", "wbr", "a", "b", "i", "em", "strong"):
+        if inline(name):
+            # An end tag reaches its element only where no block is open in between.
+            if closing and name not in open_[inner(open_) :]:
                 continue
-        if skip_at < 0:
+            if not closing and name not in open_ and (skip_at >= 0 or name in KEPT or not marked(attributes)):
+                continue
+        else:
             flush()
         if closing:
             if name in open_:
@@ -134,10 +151,10 @@ def lines_of(page: str | None) -> tuple[list[str], bool]:
             continue
         if name in VOID:
             continue
-        if name == "p" and open_ and open_[-1] == "p":
-            open_.pop()
-            if len(open_) == skip_at:
+        if name == "p" and (n := inner(open_)) and open_[n - 1] == "p":
+            if n - 1 <= skip_at:
                 skip_at = -1
+            del open_[n - 1 :]
         marks = marked(attributes)
         whole = name in ("article", "main", "body", "html")
         if name in ("article", "main") and not marks & COMMENTS and skip_at >= 0 and not skip_is_comment:
@@ -150,8 +167,7 @@ def lines_of(page: str | None) -> tuple[list[str], bool]:
                 if article_at < 0:
                     article_at = len(open_)
         open_.append(name)
-    if skip_at < 0:
-        flush()
+    flush()
     return (inside, True) if has_article else (outside, False)
 
 

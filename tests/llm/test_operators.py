@@ -187,3 +187,14 @@ def test_page_text(spark):
     got = {r["page_id"]: r["text"] for r in pagetext.main_text(pages).collect()}
     assert got == {1: "own a", 2: "own b", 3: "Site top\nown c\nSite end", 4: "", 5: "A & B\none two\nthree four"}
     assert pagetext.main_text(none_of(pages)).count() == 0
+
+
+def test_text_after_marked_inline_elements():
+    lines = lambda body: pagetext.lines_of(f"<article>{body}</article>")[0]
+    assert lines("<p>Hello <span class=ad>Buy</span> world.</p><p>More") == ["Hello world.", "More"]
+    assert lines("<span class=share>x</span><p>One</p>two") == ["One", "two"]
+    assert lines("a <span hidden>b <span>c</span> d</span> e <x-note class=ad>f</x-note>g") == ["a e g"]
+    assert lines("<p>a <span class=ad><div>b</span>c</div></span> d</p>e") == ["a", "d", "e"]
+    assert lines("<p>a <span class=ad>b<p>c <span class=ad>d</p>e <embed class=ad>f") == ["a", "c", "e f"]
+    assert lines("<div class=ad>a <span class=ad>b</span> c</div>d</span> e") == ["d e"]
+    assert pagetext.lines_of("a <span class=ad>b <article>c <span>d</span> e</article>") == (["c d e"], True)
