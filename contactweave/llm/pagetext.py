@@ -44,12 +44,17 @@ RAW = frozenset("iframe noembed noframes noscript object script style svg templa
 VOID = frozenset("hr".split())
 #: Inline elements that are never left out: those without content, and emphasis and links.
 KEPT = frozenset("a area b base col embed em i img input link meta param source strong track wbr".split())
-#: Words in class or id names that mark what is no main text.
+#: Names that mark, as a class or id of their own, what is no main text.
 MARKS = frozenset(
     "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer"
     " masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related respond"
     " share sharing sidebar skip social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+#: What may stand beside a mark in a longer name (share-buttons, ad-slot-2, left-sidebar); any
+#: other word (has-sidebar, share-price) makes it a name of something else.
+ADVERTS = frozenset("ad ads advert advertisement adverts advertising promo sponsor sponsored".split())
+PARTS = frozenset("area bar block bottom box button buttons form icons inner left link links list outer popup right section slot top unit".split())
+HOLDERS = PARTS | frozenset("container holder wrap wrapper".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 COMMENTS = frozenset("comment comments disqus respond".split())
 
@@ -57,15 +62,23 @@ _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _ROLE = re.compile(r"""(?:^|\s)role\s*=\s*["']?\s*([a-z]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=/]|$)""", re.I)
-_WORD = re.compile(r"[a-z]+")
+_SPLIT = re.compile(r"[-_:.]+(?:\d+(?:x\d+)?(?=[-_:.]|$))?")
+
+
+def marks_of(name: str) -> set[str]:
+    """The marks of one class or id: its words, if they are all marks and parts."""
+    if name in MARKS:
+        return {name}
+    words = {w for w in _SPLIT.split(name) if w}
+    found = words & MARKS
+    return found if found and words <= MARKS | (HOLDERS if found & ADVERTS else PARTS) else set()
 
 
 def marked(attributes: str) -> frozenset[str]:
     """The marks in an element's attributes; empty if it may hold main text."""
     if not attributes or attributes.isspace():
         return frozenset()
-    names = {w for m in _NAMES.finditer(attributes) for w in _WORD.findall(m[1].lower())}
-    found = names & MARKS
+    found = {x for m in _NAMES.finditer(attributes) for w in m[1].strip("\"'").lower().split() for x in marks_of(w)}
     role = _ROLE.search(attributes)
     if role and role[1].lower() in ROLES:
         found |= {role[1].lower()}

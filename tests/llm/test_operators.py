@@ -198,3 +198,16 @@ def test_text_after_marked_inline_elements():
     assert lines("<p>a <span class=ad>b<p>c <span class=ad>d</p>e <embed class=ad>f") == ["a", "c", "e f"]
     assert lines("<div class=ad>a <span class=ad>b</span> c</div>d</span> e") == ["d e"]
     assert pagetext.lines_of("a <span class=ad>b <article>c <span>d</span> e</article>") == (["c d e"], True)
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "social-science", "share-price", "related-work", "has-comments", "no-ads", "ad-hoc", "sidebar-wrapper"])
+def test_wrappers_whose_names_hold_a_mark_stay(name):
+    for attribute in (f'class="{name}"', f'id="{name.split()[-1]}"'):
+        assert pagetext.lines_of(f"<div {attribute}><p>One</p></div>") == (["One"], False)
+        assert pagetext.lines_of(f"<article><div {attribute}>One</div><p {attribute}>two</article>") == (["One", "two"], True)
+        assert pagetext.lines_of(f"<div {attribute}><article>One</article></div>") == (["One"], True)
+
+
+@pytest.mark.parametrize("name", ["ad", "x ad", "sidebar", "ad-slot", "top-ad", "ad_728x90", "ad-container-2", "share-buttons", "cookie-banner", "comments-section", "Social__Links"])
+def test_names_made_of_marks_go(name):
+    assert pagetext.lines_of(f'<article><p class="{name}">no<p>yes</article>') == (["yes"], True)
