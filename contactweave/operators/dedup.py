@@ -8,6 +8,9 @@ reduced to their first one before the join, so copies never meet in pairs.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,9 @@ KEYS = ("chrom1", "chrom2", "strand1", "strand2")
 #: Cells that a cell's points are compared with: itself and half its neighbours.
 HALF = ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))
 
+#: Edges in a range of points that one task decides in order.
+BLOCK_EDGES = 1 << 20
+
 
 def mapped() -> Column:
     return (F.col("chrom1") != UNMAPPED_CHROM) & (F.col("chrom2") != UNMAPPED_CHROM)
@@ -46,23 +52,62 @@ def near_points(points: DataFrame, keys: list[str], m: int, metric: str) -> Data
     return spread.alias("l").join(cells.alias("r"), on).select(F.col("l.first").alias("a"), F.col("r.first").alias("b"))
 
 
-def greedy_parents(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def settle_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, kept) for each ``late`` of a range of edges (early, late, kept) in order
+    of late; kept says what is known of early, and is null where the range before
+    must say it.  A range holds all edges of its nodes."""
+    known: dict[int, bool | None] = {}
+    node, hit, free, kind = None, False, True, None
+
+    def close() -> None:
+        if node is not None:
+            known[node] = False if hit else True if free else None
+
+    for b in batches:
+        nodes, results, kind = [], [], b.schema.field("late").type
+        for early, late, kept in zip(*(b.column(c).to_pylist() for c in ("early", "late", "kept"))):
+            if late != node:
+                close()
+                if node is not None:
+                    nodes.append(node)
+                    results.append(known[node])
+                node, hit, free = late, False, True
+            if kept is None:
+                kept = known.get(early)
+            hit, free = hit or kept is True, free and kept is False
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array(results, pa.bool_())], ["node", "kept"])
+    if node is not None:
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([node], kind), pa.array([known[node]], pa.bool_())], ["node", "kept"])
+
+
+def greedy_parents(edges: DataFrame, block_edges: int = BLOCK_EDGES) -> DataFrame:
     """(node, parent) of the points that are within reach of an earlier kept one;
-    parent is the first of those.  Every round keeps all points whose earlier
-    neighbours are decided against, and drops their later neighbours."""
+    parent is the first of those.
+
+    The later points are dealt to ranges of about ``block_edges`` edges, each of which
+    one task goes through in order.  A point waits for the next round only if an
+    earlier range has yet to decide it.  The first range with undecided points always
+    settles, so rounds are bounded by about the number of ranges, however long the
+    chains.
+    """
     edges = written(edges.select(F.least("a", "b").alias("early"), F.greatest("a", "b").alias("late")), "edges")
-    state = written(edges.select(F.explode(F.array("early", "late")).alias("node")).distinct().withColumn("kept", F.lit(None).cast("boolean")), "state")
-    for _ in range(max_rounds):
-        of = state.select(F.col("node").alias("n"), F.col("kept").alias("k"))
-        earlier = edges.join(of, F.col("early") == F.col("n")).groupBy("late").agg(F.bool_or(F.coalesce("k", F.lit(False))).alias("hit"), F.bool_and(F.coalesce(~F.col("k"), F.lit(False))).alias("free"))
-        now = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("late").isNull() | F.col("free"), F.lit(True)).when(F.col("hit"), F.lit(False))
-        state = written(state.join(earlier, F.col("node") == F.col("late"), "left").select("node", now.alias("kept")), "state")
-        if state.where("kept is null").isEmpty():
-            break
-    else:
-        raise RuntimeError(f"greedy clusters did not settle in {max_rounds} rounds")
-    kept = state.where("kept").select("node")
-    parents = edges.join(kept, F.col("early") == F.col("node")).groupBy("late").agg(F.min("early").alias("parent"))
+    kind = edges.schema["late"].dataType.simpleString()
+    late = edges.select(F.col("late").alias("l")).distinct()
+    # What is never the later one is kept.
+    first = F.when(F.col("l").isNull(), F.lit(True)).alias("kept")
+    left = written(edges.join(late, F.col("early") == F.col("l"), "left").select("early", "late", first), "left")
+    kept = left.where("kept").select(F.col("early").alias("node")).distinct()
+    while n := left.count():
+        parts = -(-n // block_edges)
+        ordered = left.repartitionByRange(parts, "late") if parts > 1 else left.coalesce(1)
+        round_ = written(ordered.sortWithinPartitions("late", "early").mapInArrow(settle_in_order, f"node {kind}, kept boolean"), "round")
+        kept = kept.unionByName(round_.where("kept").select("node"))
+        waiting = round_.where("kept is null").select(F.col("node").alias("w"))
+        of = round_.where("kept is not null").select(F.col("node").alias("n"), F.col("kept").alias("k"))
+        left = left.join(waiting, F.col("late") == F.col("w"), "left_semi").join(of, F.col("early") == F.col("n"), "left")
+        left = written(left.select("early", "late", F.coalesce("kept", "k").alias("kept")), "left")
+    parents = edges.join(kept, F.col("early") == F.col("node"), "left_semi").groupBy("late").agg(F.min("early").alias("parent"))
     return parents.select(F.col("late").alias("node"), "parent")
 
 

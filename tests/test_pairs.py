@@ -130,3 +130,28 @@ def test_summaries():
     assert math.isnan(stats.complexity(10, 0)) and stats.complexity(0, 0) == 0 and stats.complexity(10, 10) == 0
     w = stats.lambert_w(-0.3)
     assert abs(w * math.exp(w) + 0.3) < 1e-12
+
+
+@pytest.mark.parametrize("block_edges", [None, 700])
+def test_greedy_settles_long_runs(spark, block_edges):
+    """2,000 adjacent points in sorted order, and as many in a shuffled one."""
+    shuffled = list(range(2000))
+    random.Random(7).shuffle(shuffled)
+    near = lambda at: [(at[i], at[j]) for i in range(2000) for j in range(i + 1, min(i + 4, 2000))]
+    for at in (range(2000), shuffled):
+        where, kept, want = {n: i for i, n in enumerate(at)}, set(), {}
+        for n in range(2000):
+            hits = [at[j] for j in range(max(0, where[n] - 3), min(2000, where[n] + 4)) if at[j] in kept]
+            if hits:
+                want[n] = min(hits)
+            else:
+                kept.add(n)
+        edges = spark.createDataFrame(near(at), "a long, b long")
+        got = dedup.greedy_parents(edges, block_edges) if block_edges else dedup.greedy_parents(edges)
+        assert {r["node"]: r["parent"] for r in got.collect()} == want
+
+
+def test_greedy_marks_a_sorted_run(spark):
+    df = spark.createDataFrame([(i, "chr1", i + 1, "chr1", i + 1, "+", "-") for i in range(2000)], "seq long, chrom1 string, pos1 long, chrom2 string, pos2 long, strand1 string, strand2 string")
+    got = {r["seq"]: r["parent"] for r in dedup.mark_duplicates(df, 3, "max", "greedy").collect()}
+    assert got == {i: None if i % 4 == 0 else i - i % 4 for i in range(2000)}
