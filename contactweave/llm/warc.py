@@ -111,10 +111,10 @@ def repeated_payloads(heads: DataFrame, min_bytes: int) -> DataFrame:
 
 
 def resolve(heads: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Revisits only: (page_id, refers_to)."""
+    """Revisits only: (r, d, n, refers_to), one row per page id and payload."""
     same = repeated_payloads(heads, min_bytes)
     met = heads.join(same, (F.col("payload_digest") == F.col("d")) & (F.col("payload_bytes") == F.col("n")))
-    return met.where(F.col("page_id") != F.col("original")).select(F.col("page_id").alias("r"), F.col("original").alias("refers_to")).distinct()
+    return met.where(F.col("page_id") != F.col("original")).select(F.col("page_id").alias("r"), "d", "n", F.col("original").alias("refers_to")).distinct()
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", file_bytes: int = 64 << 20) -> DataFrame:
@@ -123,7 +123,9 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: st
     heads = written(headers(pages, id_col, html_col), "headers")
     revisits = written(resolve(heads, min_bytes), "revisits")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    rows = rows.join(revisits, F.col("page_id") == F.col("r"), "left").select(F.spark_partition_id().alias("part"), "page_id", "url", "html", "refers_to")
+    # Payloads of an id are told apart by the writer, which has their digests.
+    of_id = revisits.groupBy("r").agg(F.collect_list(F.struct("d", "n", "refers_to")).alias("payloads"))
+    rows = rows.join(of_id, F.col("page_id") == F.col("r"), "left").select(F.spark_partition_id().alias("part"), "page_id", "url", "html", "payloads")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = pafs.FileSystem.from_uri(folder)
@@ -145,7 +147,9 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: st
             for row in b.to_pylist():
                 part = row["part"] if part is None else part
                 payload = (row["html"] or "").encode()
-                one = record(row["page_id"], row["url"], payload, digest(payload), row["refers_to"], row["refers_to"] is not None)
+                d = digest(payload)
+                refers_to = next((x["refers_to"] for x in row["payloads"] or () if (x["d"], x["n"]) == (d, len(payload))), None)
+                one = record(row["page_id"], row["url"], payload, d, refers_to, refers_to is not None)
                 held.append(gzip.compress(one, 6, mtime=0))
                 size += len(held[-1])
                 if size >= file_bytes:

@@ -211,3 +211,11 @@ def test_wrappers_whose_names_hold_a_mark_stay(name):
 @pytest.mark.parametrize("name", ["ad", "x ad", "sidebar", "ad-slot", "top-ad", "ad_728x90", "ad-container-2", "share-buttons", "cookie-banner", "comments-section", "Social__Links"])
 def test_names_made_of_marks_go(name):
     assert pagetext.lines_of(f'<article><p class="{name}">no<p>yes</article>') == (["yes"], True)
+
+
+def test_archives_of_ids_with_several_payloads(spark):
+    """Other payloads of a revisit's id stay, and no row is written twice."""
+    pages = spark.createDataFrame([(1, "A"), (5, "A"), (5, "B"), (2, "C"), (5, "C"), (None, "A")], "page_id long, html string").withColumn("url", F.lit("u"))
+    got = sorted(map(tuple, warc.archive_table(pages).collect()), key=str)
+    a, b, c = (warc.digest(x) for x in (b"A", b"B", b"C"))
+    assert got == sorted([(1, 1, a, "response", None), (5, 1, a, "revisit", 1), (5, 1, b, "response", None), (2, 1, c, "response", None), (5, 1, c, "revisit", 2), (None, 1, a, "response", None)], key=str)
