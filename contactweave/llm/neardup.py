@@ -15,8 +15,9 @@ bucket and still lie in different components: those pairs are all looked at, so
 no link found by any band is lost.
 
 A pair at exactly 0.75 shares no band with probability (1 - 0.75 ** 4) ** 48, about
-1e-8, and less above; the estimate's slack of 0.15 is nearly five
-standard deviations.
+1e-8, and less above; the estimate's slack of 0.15 is nearly five standard
+deviations.  That holds for large sets; pairs whose smaller set has fewer than
+``SMALL_SET`` shingles skip the estimates and are tested on the full sets.
 
 Defined results: null, empty and wordless texts have an empty set and are linked
 with nothing; texts of fewer than five words have one shingle, the whole sequence;
@@ -48,9 +49,11 @@ ZERO_CAP = 50
 ESTIMATE_FLOOR = 0.6
 #: Rounds of centres before the remaining pairs of components are compared.
 CENTRE_ROUNDS = 2
+#: Pairs with a set of fewer shingles are verified whatever the estimates say.
+SMALL_SET = 32
 #: Bins of the finer sketch of candidates, and the estimate below which a pair of
 #: components' members is not verified: five standard deviations under 0.75 for
-#: large sets, and more for sets of up to a few hundred shingles.
+#: large sets.
 BINS = 1024
 FINE_FLOOR = 0.68
 #: Classes in a block of a bucket; a task holds two blocks at a time.
@@ -98,6 +101,10 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(out)
 
 
+def set_digest(hashes: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if len(hashes) else None
+
+
 def sketch(hashes: np.ndarray) -> np.ndarray:
     """The registers, as int16, of a non-empty sorted set."""
     at = np.searchsorted(hashes, _EDGES)
@@ -137,25 +144,33 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for t in b.column(1).to_pylist():
                 h = shingles(t)
                 counts.append(len(h))
-                digests.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
+                digests.append(set_digest(h))
                 registers.append(sketch(h).tobytes() if len(h) >= 3 else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(counts, pa.int64()), pa.array(registers, pa.binary())], ["doc_id", "set_digest", "n_shingles", "registers"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, SKETCHED)
 
 
-def full_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def full_sets(docs: DataFrame, classes_col: str, text_col: str) -> DataFrame:
     """(node, shingles, fine): the sets as arrays of 64-bit hashes, and their
-    finer sketches."""
+    finer sketches, of the texts whose set is one of the row's ``classes``, an
+    array of (set_digest, node)."""
     bounded_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t) for t in b.column(1).to_pylist()]
+            nodes, sets = [], []
+            for of, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                h = shingles(t)
+                own = set_digest(h)
+                for c in of:
+                    if c["set_digest"] == own:
+                        nodes.append(c["node"])
+                        sets.append(h)
             arrays = [pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array([fine_sketch(x) for x in sets], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *arrays], ["node", "shingles", "fine"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), *arrays], ["node", "shingles", "fine"])
 
-    return docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).mapInArrow(work, "node bigint, shingles array<bigint>, fine array<int>")
+    return docs.select(classes_col, text_col).mapInArrow(work, "node bigint, shingles array<bigint>, fine array<int>")
 
 
 def equal_registers(a: Column, b: Column) -> Column:
@@ -200,7 +215,7 @@ def close_pairs(block: pa.Table) -> pa.Table:
             y = y[node[y] > node[x]]
         y = y[100 * np.minimum(size[y], size[x]) >= PERCENT * np.maximum(size[y], size[x])]
         equal = registers[y] == registers[x]
-        likely = np.count_nonzero(equal, axis=1) >= least
+        likely = (np.count_nonzero(equal, axis=1) >= least) | (np.minimum(size[y], size[x]) < SMALL_SET)
         y, equal = y[likely], equal[likely].reshape(-1, BANDS, ROWS).all(axis=2)
         y = y[equal[:, band] & (equal.argmax(axis=1) == band)]
         left_of.append(np.full(len(y), x))
@@ -216,6 +231,7 @@ def close_pairs(block: pa.Table) -> pa.Table:
             a, b = fine[x[at : at + 4096]], fine[y[at : at + 4096]]
             agree = np.count_nonzero((a == b) & (a >= 0), axis=1)
             good[at : at + 4096] = agree >= FINE_FLOOR * np.count_nonzero((a >= 0) | (b >= 0), axis=1)
+        good |= np.minimum(size[x], size[y]) < SMALL_SET
         x, y = x[good], y[good]
     return pa.table({"a": np.minimum(node[x], node[y]), "b": np.maximum(node[x], node[y])})
 
@@ -272,7 +288,7 @@ def links(classes: DataFrame, sets_of) -> DataFrame | None:
         """Pairs that size and estimate let pass, confirmed on full sets."""
         a, b = sides("l"), sides("r")
         size = (100 * F.least("l_n_shingles", "r_n_shingles") >= PERCENT * F.greatest("l_n_shingles", "r_n_shingles"))
-        likely = estimate(F.col("l_registers"), F.col("r_registers")) >= ESTIMATE_FLOOR
+        likely = (F.least("l_n_shingles", "r_n_shingles") < SMALL_SET) | (estimate(F.col("l_registers"), F.col("r_registers")) >= ESTIMATE_FLOOR)
         met = pairs.join(a, F.col("a") == F.col("l_node")).join(b, (F.col("b") == F.col("r_node")) & size & likely)
         return confirmed(met.select("a", "b"), sets)
 
@@ -299,12 +315,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = written(sketched(given, "doc_id", "text"), "sketches")
     known = rows.where("set_digest is not null and doc_id is not null")
-    classes = written(known.groupBy("set_digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")), "classes")
-    found = links(classes, lambda nodes: full_sets(given.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), "doc_id", "text").dropDuplicates(["node"]))
-    of_class = classes.select(F.col("set_digest").alias("d"), F.col("node"))
+    classes = known.groupBy("set_digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
+    # Classes are numbered, as an id may stand for several texts.
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        held = classes.join(nodes, "node", "left_semi").groupBy(F.col("doc_id").alias("c")).agg(F.collect_list(F.struct("set_digest", "node")).alias("of"))
+        return full_sets(given.join(held, F.col("doc_id") == F.col("c")), "of", "text").dropDuplicates(["node"])
+
+    found = links(classes, sets_of)
+    of_class = classes.select(F.col("set_digest").alias("d"), F.col("doc_id").alias("node"))
     if found is not None:
         roots = components(found).select(F.col("node").alias("x"), "root")
-        of_class = of_class.join(roots, F.col("node") == F.col("x"), "left").select("d", F.coalesce("root", "node").alias("node"))
+        placed = written(classes.join(roots, F.col("node") == F.col("x")).select("set_digest", "doc_id", "root"), "placed")
+        first = placed.groupBy(F.col("root").alias("r")).agg(F.min("doc_id").alias("first"))
+        firsts = placed.join(first, F.col("root") == F.col("r")).select(F.col("set_digest").alias("e"), "first")
+        of_class = of_class.join(firsts, F.col("d") == F.col("e"), "left").select("d", F.coalesce("first", "node").alias("node"))
     out = rows.join(of_class, F.col("set_digest") == F.col("d"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

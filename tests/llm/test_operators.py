@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,3 +220,30 @@ def test_archives_of_ids_with_several_payloads(spark):
     got = sorted(map(tuple, warc.archive_table(pages).collect()), key=str)
     a, b, c = (warc.digest(x) for x in (b"A", b"B", b"C"))
     assert got == sorted([(1, 1, a, "response", None), (5, 1, a, "revisit", 1), (5, 1, b, "response", None), (2, 1, c, "response", None), (5, 1, c, "revisit", 2), (None, 1, a, "response", None)], key=str)
+
+
+def test_near_duplicates_of_small_sets(spark):
+    """Texts of 7 and 8 words, at exactly 0.75, that the estimates put below their floors."""
+    coarse, fine = [226, 604, 1166, 1737, 2840, 3266], [25, 193, 684, 748]
+    texts = {2 * i + k: " ".join(f"{x}{i}" for x in "abcdefgh"[: 7 + k]) for i in coarse + fine for k in (0, 1)}
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()}
+    assert got == {n: n - n % 2 for n in texts}
+    for i in fine:
+        sets = [neardup.shingles(texts[2 * i + k]) for k in (0, 1)]
+        split = [neardup.sketch(s).reshape(neardup.BANDS, neardup.ROWS) for s in sets]
+        band = int((split[0] == split[1]).all(axis=1).argmax())
+        column = lambda *v: pa.array(v, pa.int32())
+        table = pa.table({
+            "node": pa.array([0, 1]), "root": pa.array([0, 1]), "top": pa.array([-1, -1]), "n_shingles": pa.array([len(s) for s in sets]), "block": column(0, 0),
+            "registers": [s.tobytes() for s in split], "fine": pa.array([neardup.fine_sketch(s) for s in sets], pa.list_(pa.int32())),
+            "band": column(band, band), "i": column(0, 0), "j": column(0, 0),
+        })
+        assert neardup.close_pairs(table).to_pylist() == [{"a": 0, "b": 1}]
+
+
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    text = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    rows = [(1, text("a", 60)), (1, text("b", 60)), (2, text("a", 58)), (3, text("b", 58)), (4, text("c", 60)), (9, text("c", 58)), (9, text("d", 60))]
+    for order in (rows, rows[::-1]):
+        got = {(r["doc_id"], t): r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(order, "doc_id long, text string")).collect() for t in [r["n_shingles"]]}
+        assert got == {(1, 56): 1, (2, 54): 1, (3, 54): 1, (4, 56): 4, (9, 54): 4, (9, 56): 9}
