@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from contactweave.functions.graph import written
 from contactweave.operators import basic, binning, dedup, stats
+from contactweave.operators.process import numbered
 
 CHROMS = [f"chr{i}" for i in range(1, 13)]
 SIZES = dict.fromkeys(CHROMS, 1_000_000)
@@ -153,11 +154,25 @@ def process_fused(spark, sf_dir):
     return binning.bin_contacts(binning.accepted(kept), SIZES, [100]).drop("resolution")
 
 
+def process_max3(spark, sf_dir):
+    """The whole run with the operators' defaults: flip, sort, mark near duplicates,
+    count all rows and bin the pairs that stay.  (part, name, bin1_id, bin2_id, n):
+    a counter, or a contact of two bins."""
+    rows = dedup.mark_duplicates(numbered(basic.flip_pairs(pairs(spark, sf_dir, "n"), CHROMS)))
+    rows = written(rows.withColumn("dup", F.col("outcome") == "dup"), "processed")
+    counts = stats.counters(stats.with_classes(rows))
+    named = F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("long").alias("n")) for c in counts.columns))).alias("c")
+    none = F.lit(None).cast("long")
+    counters = counts.select(named).select(F.lit("counter").alias("part"), "c.name", none.alias("bin1_id"), none.alias("bin2_id"), "c.n")
+    contacts = binning.bin_contacts(binning.accepted(rows.where("outcome = 'kept'")), SIZES, [100])
+    return counters.unionByName(contacts.select(F.lit("contact").alias("part"), F.lit(None).cast("string").alias("name"), "bin1_id", "bin2_id", F.col("count").alias("n")))
+
+
 def generated(spark, sf_dir):
-    return basic.generate_pairs(spark, records=5000).drop("seq")
+    return basic.generate_pairs(spark).drop("seq")
 
 
-QUERIES = {f.__name__: f for f in (sort_rank, select_rest, select_chrom_subset, type_cast, stats_counters, stats_pair_types, stats_chrom_freq, stats_dist_freq, stats_summary, stats_convergence, bin_coo_10k, bin_multi_res, bin_filtered, bin_bg2, bin_table, process_fused, generated)}
+QUERIES = {f.__name__: f for f in (sort_rank, select_rest, select_chrom_subset, type_cast, stats_counters, stats_pair_types, stats_chrom_freq, stats_dist_freq, stats_summary, stats_convergence, bin_coo_10k, bin_multi_res, bin_filtered, bin_bg2, bin_table, process_fused, process_max3, generated)}
 QUERIES |= {"flip_pairs": flip} | {n: selection(n) for n in SELECTS}
 QUERIES |= {
     n: dedup_query(n, **o)
