@@ -46,9 +46,24 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def row_print(*columns: Column) -> list[Column]:
+    """Two 64-bit hashes, ``k1`` and ``k2``, that stand for a row's values; equal
+    rows have equal ones, and null values are values like others."""
+    return [F.xxhash64(F.lit(s), *columns).alias(f"k{s}") for s in (1, 2)]
+
+
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with underscores before it until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small: long texts meet Python in at most
-    ``BATCH_ROWS`` rows or 16 MB at a time, whichever comes first."""
+    ``BATCH_ROWS`` rows or 16 MB at a time, whichever comes first.  The two
+    settings stay on the session, as a lazy DataFrame reads them when it runs."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
@@ -56,13 +71,14 @@ def bounded_batches(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that all machines share.
 
-    It is ``spark.checkpoint.dir`` of the session; where that is unset, as in
-    tests, a folder below the warehouse is taken.
+    It is ``spark.checkpoint.dir`` of the session; where that is unset, a local
+    session takes a folder below the warehouse and any other is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        held = spark.sparkContext.getCheckpointDir()
-        root = held or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
