@@ -50,8 +50,10 @@ WIDTHS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.uint64)
 ESCAPE = 15
 #: Bits that each 16-bit id needs.
 _BITS = np.array([i.bit_length() for i in range(1 << 16)], np.uint8)
-#: Most distinct parts of words whose ids a worker remembers.
-CACHED_PARTS = 500_000
+#: Blocks that are coded or decoded at a time, which bounds the working memory.
+CHUNK = 256
+#: Most distinct parts of words whose ids a worker remembers within a task.
+CACHED_PARTS = 200_000
 
 
 def _fit(ids: np.ndarray) -> np.ndarray:
@@ -84,10 +86,49 @@ def _fit(ids: np.ndarray) -> np.ndarray:
 
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(words, first word of each block) of a vector of unsigned 64-bit ids."""
+    coder = Coder()
+    coder.add(ids)
+    return coder.finish()
+
+
+class Coder:
+    """Codes ids as they come, a chunk of blocks at a time: what is held is words,
+    and fewer ids than a chunk has."""
+
+    def __init__(self):
+        self.n_ids = self.n_words = self.n_waiting = 0
+        self.waiting: list[np.ndarray] = []
+        self.words: list[np.ndarray] = []
+        self.offsets: list[np.ndarray] = []
+
+    def add(self, ids: np.ndarray) -> None:
+        self.n_ids += len(ids)
+        self.n_waiting += len(ids)
+        self.waiting.append(ids)
+        if self.n_waiting >= CHUNK * BLOCK:
+            held = np.concatenate(self.waiting) if len(self.waiting) > 1 else ids
+            whole = len(held) // BLOCK * BLOCK
+            for at in range(0, whole, CHUNK * BLOCK):
+                self._code(held[at : min(whole, at + CHUNK * BLOCK)])
+            self.waiting, self.n_waiting = [held[whole:].copy()], len(held) - whole
+
+    def _code(self, ids: np.ndarray) -> None:
+        words, offsets = encode_blocks(ids)
+        self.words.append(words)
+        self.offsets.append(offsets + self.n_words)
+        self.n_words += len(words)
+
+    def finish(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.n_waiting:
+            self._code(np.concatenate(self.waiting))
+            self.waiting, self.n_waiting = [], 0
+        return np.concatenate([np.zeros(0, np.uint64), *self.words]), np.concatenate([np.zeros(0, np.int64), *self.offsets])
+
+
+def encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``encode`` of a chunk, all of whose blocks advance together."""
     ids = np.ascontiguousarray(ids, np.uint64)
     n_blocks = -(-len(ids) // BLOCK)
-    if not n_blocks:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     grid = np.zeros(n_blocks * BLOCK, np.uint64)
     grid[: len(ids)] = ids
     grid = grid.reshape(n_blocks, BLOCK)
@@ -129,7 +170,17 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def decode(words: np.ndarray, offsets: np.ndarray, n_ids: int) -> np.ndarray:
-    """The ids that ``encode`` coded; all blocks advance together."""
+    """The ids that ``encode`` coded."""
+    return np.concatenate([np.zeros(0, np.uint64), *decoded_chunks(words, offsets, n_ids)])
+
+
+def decoded_chunks(words: np.ndarray, offsets: np.ndarray, n_ids: int) -> Iterator[np.ndarray]:
+    for at in range(0, len(offsets), CHUNK):
+        yield decode_blocks(words, offsets[at : at + CHUNK], min(n_ids - at * BLOCK, CHUNK * BLOCK))
+
+
+def decode_blocks(words: np.ndarray, offsets: np.ndarray, n_ids: int) -> np.ndarray:
+    """``decode`` of a chunk, all of whose blocks advance together."""
     n_blocks = len(offsets)
     out = np.zeros((n_blocks, BLOCK + 60), np.uint64)
     length = np.full(n_blocks, BLOCK)
@@ -156,9 +207,9 @@ def decode(words: np.ndarray, offsets: np.ndarray, n_ids: int) -> np.ndarray:
     return out[:, :BLOCK].reshape(-1)[:n_ids]
 
 
-def pack(doc_ids: list[int | None], counts: list[int], ids: np.ndarray) -> bytes:
-    words, offsets = encode(ids)
-    head = np.array([len(doc_ids), len(ids), len(offsets), len(words)], "<i8")
+def pack(doc_ids: list[int | None], counts: list[int], ids: Coder) -> bytes:
+    words, offsets = ids.finish()
+    head = np.array([len(doc_ids), ids.n_ids, len(offsets), len(words)], "<i8")
     return b"".join(
         (
             MAGIC,
@@ -172,8 +223,8 @@ def pack(doc_ids: list[int | None], counts: list[int], ids: np.ndarray) -> bytes
     )
 
 
-def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """(doc ids, id counts, ids) of a file."""
+def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, Iterator[np.ndarray]]:
+    """(doc ids, id counts, ids in chunks) of a file."""
     if data[:8] != MAGIC:
         raise ValueError("not a token file")
     n_docs, n_ids, n_blocks, n_words = np.frombuffer(data, "<i8", 4, 8)
@@ -185,7 +236,7 @@ def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     at += 8 * n_docs
     offsets = np.frombuffer(data, "<i8", n_blocks, at)
     words = np.frombuffer(data, "<u8", n_words, at + 8 * n_blocks)
-    return [None if z else int(d) for d, z in zip(docs, null)], counts, decode(words, offsets, int(n_ids))
+    return [None if z else int(d) for d, z in zip(docs, null)], counts, decoded_chunks(words, offsets, int(n_ids))
 
 
 class _Parts(dict):
@@ -246,6 +297,17 @@ class Encoder:
         return out
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(vocabulary: str) -> Encoder:
+    """The process's encoder of a vocabulary file; tasks empty its memory of parts
+    when they end."""
+    if vocabulary not in _encoders:
+        _encoders[vocabulary] = Encoder(vocabulary)
+    return _encoders[vocabulary]
+
+
 def _put(folder: str, name: str, data: bytes) -> None:
     files, base = pafs.FileSystem.from_uri(folder)
     files.create_dir(base, recursive=True)
@@ -267,38 +329,36 @@ MANIFEST = "shard int, file int, name string, n_docs bigint, n_ids bigint"
 def write_files(docs: DataFrame, folder: str, vocabulary: str, end: int, id_col: str, text_col: str, file_ids: int = 1 << 22) -> DataFrame:
     """Write ``docs`` and return the manifest: one row per file, in order of
     (shard, file).  A shard is a range of document ids; it is cut into files of
-    about ``file_ids`` ids, which bounds a task's memory."""
+    about ``file_ids`` ids.  A task holds a file's words, about 2.5 bytes an id, and
+    ids of one chunk."""
     spark = docs.sparkSession
     bounded_batches(spark)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, n_files = Encoder(vocabulary), None, 0
-        doc_ids: list = []
-        held: list[bytes] = []
+        encoder, shard, n_files = encoder_of(vocabulary), None, 0
+        doc_ids, counts, coder = [], [], Coder()
 
         def flush() -> pa.RecordBatch:
-            nonlocal n_files, doc_ids, held
+            nonlocal n_files, doc_ids, counts, coder
             name = f"ids-{shard:06d}-{n_files:04d}.s8b"
-            ids = np.frombuffer(b"".join(held), "<u4")
-            _put(folder, name, pack(doc_ids, [len(x) // 4 for x in held], ids))
-            row = pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "file": pa.array([n_files], pa.int32()), "name": [name], "n_docs": [len(doc_ids)], "n_ids": [len(ids)]})
-            n_files, doc_ids, held = n_files + 1, [], []
+            _put(folder, name, pack(doc_ids, counts, coder))
+            row = pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "file": pa.array([n_files], pa.int32()), "name": [name], "n_docs": [len(doc_ids)], "n_ids": [coder.n_ids]})
+            n_files, doc_ids, counts, coder = n_files + 1, [], [], Coder()
             return row
 
-        size = 0
         for b in batches:
             if not b.num_rows:
                 continue
             shard = b.column("shard")[0].as_py() if shard is None else shard
             for d, x in zip(b.column("doc_id").to_pylist(), encoder.ids(b.column("text").to_pylist(), end)):
                 doc_ids.append(d)
-                held.append(x)
-                size += len(x) // 4
-                if size >= file_ids:
+                counts.append(len(x) // 4)
+                coder.add(np.frombuffer(x, "<u4"))
+                if coder.n_ids >= file_ids:
                     yield flush()
-                    size = 0
         if doc_ids:
             yield flush()
+        encoder.parts.clear()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("print"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -320,7 +380,7 @@ def read_files(manifest: DataFrame, folder: str) -> DataFrame:
         for b in batches:
             for name, start in zip(b.column("name").to_pylist(), b.column("start").to_pylist()):
                 doc_ids, counts, ids = unpack(_get(folder, name))
-                raw, ends = ids.astype("<u4").tobytes(), np.cumsum(counts)
+                raw, ends = b"".join(x.astype("<u4").tobytes() for x in ids), np.cumsum(counts)
                 begins = ends - counts
                 crc = [zlib.crc32(raw[4 * a : 4 * z]) for a, z in zip(begins.tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(begins + start, pa.int64()), pa.array(counts, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
@@ -339,5 +399,3 @@ def default_vocabulary() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
-
-
