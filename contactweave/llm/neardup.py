@@ -21,8 +21,11 @@ deviations.  That holds for large sets; pairs whose smaller set has fewer than
 
 Defined results: null, empty and wordless texts have an empty set and are linked
 with nothing; texts of fewer than five words have one shingle, the whole sequence;
-null ids are kept and never linked; rows that repeat an id each give a row, and
-their sets count under that id; an empty table gives an empty result.
+a row is one document, whatever its id: rows that repeat an id each give a row and
+are linked by their own sets; ``near_duplicates`` reports by id, so rows without one
+have a null component there and are not told apart, while ``without_near_duplicates``
+keeps one row of each group, rows without ids coming last; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from contactweave.llm.base import WORD_RE, bounded_batches, lower_ascii, written
+from contactweave.llm.base import WORD_RE, bounded_batches, lower_ascii, row_print, small, unused, written
 from contactweave.llm.components import components
 
 WORDS = 5
@@ -59,7 +62,7 @@ FINE_FLOOR = 0.68
 #: Classes in a block of a bucket; a task holds two blocks at a time.
 BLOCK = 512
 #: Most distinct words whose hashes a worker remembers.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
 
 _U = np.uint64
 _EDGES = np.array([(i << 64) // REGISTERS for i in range(REGISTERS)], np.uint64)
@@ -76,23 +79,23 @@ def mix(x: np.ndarray) -> np.ndarray:
 _WALK = np.argsort(mix(np.arange(REGISTERS * REGISTERS, dtype=np.uint64).reshape(REGISTERS, REGISTERS) + _U(1)), axis=1)
 
 
-class _Words(dict):
+class Words(dict):
+    """Hashes of words, remembered within a task."""
+
     def __missing__(self, word: str) -> int:
         h = self[word] = xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return h
 
 
-_words = _Words()
-
-
-def shingles(text: str | None) -> np.ndarray:
+def shingles(text: str | None, known: Words | None = None) -> np.ndarray:
     """Sorted distinct 64-bit shingle hashes."""
-    if len(_words) > CACHED_WORDS:
-        _words.clear()
+    known = Words() if known is None else known
+    if len(known) > CACHED_WORDS:
+        known.clear()
     words = WORD_RE.findall(lower_ascii(text)) if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     n = max(1, len(h) - WORDS + 1)
     width = min(WORDS, len(h))
     out = np.full(n, width, np.uint64)
@@ -131,46 +134,41 @@ def fine_sketch(hashes: np.ndarray) -> np.ndarray:
     return (bins[first] << 16 | (mix(hashes[first]) & _U(0xFFFF)).astype(np.int64)).astype(np.int32)
 
 
-SKETCHED = "doc_id bigint, set_digest binary, n_shingles bigint, registers binary"
+SKETCHED = "doc_id bigint, k1 bigint, k2 bigint, set_digest binary, n_shingles bigint, registers binary"
 
 
-def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, set_digest, n_shingles, registers) per row."""
-    bounded_batches(docs.sparkSession)
+def sketched(given: DataFrame) -> DataFrame:
+    """(doc_id, k1, k2, set_digest, n_shingles, registers) per row of (doc_id, k1,
+    k2, text)."""
+    bounded_batches(given.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
         for b in batches:
             digests, counts, registers = [], [], []
-            for t in b.column(1).to_pylist():
-                h = shingles(t)
+            for t in b.column(3).to_pylist():
+                h = shingles(t, known)
                 counts.append(len(h))
                 digests.append(set_digest(h))
                 registers.append(sketch(h).tobytes() if len(h) >= 3 else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(counts, pa.int64()), pa.array(registers, pa.binary())], ["doc_id", "set_digest", "n_shingles", "registers"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(digests, pa.binary()), pa.array(counts, pa.int64()), pa.array(registers, pa.binary())], ["doc_id", "k1", "k2", "set_digest", "n_shingles", "registers"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, SKETCHED)
+    return given.select("doc_id", "k1", "k2", "text").mapInArrow(work, SKETCHED)
 
 
-def full_sets(docs: DataFrame, classes_col: str, text_col: str) -> DataFrame:
-    """(node, shingles, fine): the sets as arrays of 64-bit hashes, and their
-    finer sketches, of the texts whose set is one of the row's ``classes``, an
-    array of (set_digest, node)."""
-    bounded_batches(docs.sparkSession)
+def full_sets(texts: DataFrame) -> DataFrame:
+    """(node, shingles, fine): the sets, as arrays of 64-bit hashes, and their finer
+    sketches, of (node, text)."""
+    bounded_batches(texts.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
         for b in batches:
-            nodes, sets = [], []
-            for of, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                h = shingles(t)
-                own = set_digest(h)
-                for c in of:
-                    if c["set_digest"] == own:
-                        nodes.append(c["node"])
-                        sets.append(h)
+            sets = [shingles(t, known) for t in b.column(1).to_pylist()]
             arrays = [pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array([fine_sketch(x) for x in sets], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), *arrays], ["node", "shingles", "fine"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *arrays], ["node", "shingles", "fine"])
 
-    return docs.select(classes_col, text_col).mapInArrow(work, "node bigint, shingles array<bigint>, fine array<int>")
+    return texts.select("node", "text").mapInArrow(work, "node bigint, shingles array<bigint>, fine array<int>")
 
 
 def equal_registers(a: Column, b: Column) -> Column:
@@ -310,34 +308,60 @@ def links(classes: DataFrame, sets_of) -> DataFrame | None:
     return found.unionByName(written(confirmed(rest, sets), "links"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id, kept."""
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = written(sketched(given, "doc_id", "text"), "sketches")
-    known = rows.where("set_digest is not null and doc_id is not null")
-    classes = known.groupBy("set_digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
+def placed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, k1, k2, n_shingles, root, first) per row of ``docs``: k1 and k2 stand
+    for the row's id and text, root for its component (null for an empty set), and
+    first is the component's smallest id."""
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).select("*", *row_print(F.col("doc_id"), F.col("text")))
+    rows = written(sketched(given), "sketches")
+    # Rows of equal sets are a class; one of its rows lends its text.
+    lender = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("lender")
+    classes = rows.where("set_digest is not null").groupBy("set_digest").agg(lender, F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
     # Classes are numbered, as an id may stand for several texts.
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        held = classes.join(nodes, "node", "left_semi").groupBy(F.col("doc_id").alias("c")).agg(F.collect_list(F.struct("set_digest", "node")).alias("of"))
-        return full_sets(given.join(held, F.col("doc_id") == F.col("c")), "of", "text").dropDuplicates(["node"])
+        held = classes.join(nodes, "node", "left_semi").select("node", F.col("lender.k1").alias("k1"), F.col("lender.k2").alias("k2"))
+        return full_sets(given.join(held, ["k1", "k2"])).dropDuplicates(["node"])
 
     found = links(classes, sets_of)
-    of_class = classes.select(F.col("set_digest").alias("d"), F.col("doc_id").alias("node"))
-    if found is not None:
-        roots = components(found).select(F.col("node").alias("x"), "root")
-        placed = written(classes.join(roots, F.col("node") == F.col("x")).select("set_digest", "doc_id", "root"), "placed")
-        first = placed.groupBy(F.col("root").alias("r")).agg(F.min("doc_id").alias("first"))
-        firsts = placed.join(first, F.col("root") == F.col("r")).select(F.col("set_digest").alias("e"), "first")
-        of_class = of_class.join(firsts, F.col("d") == F.col("e"), "left").select("d", F.coalesce("first", "node").alias("node"))
-    out = rows.join(of_class, F.col("set_digest") == F.col("d"), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    of_class = classes.select(F.col("set_digest").alias("d"), "node", F.col("lender.doc_id").alias("first"))
+    if found is None:
+        of_class = of_class.select("d", F.col("node").alias("root"), "first")
+    else:
+        roots = components(found).select(F.col("node").alias("x"), F.col("root").alias("r"))
+        of_class = written(of_class.join(roots, F.col("node") == F.col("x"), "left").select("d", F.coalesce("r", "node").alias("root"), "first"), "roots")
+        firsts = of_class.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+        of_class = of_class.join(firsts, F.col("root") == F.col("r"), "left").select("d", "root", F.coalesce("least", "first").alias("first"))
+    return rows.join(of_class, F.col("set_digest") == F.col("d"), "left").select("doc_id", "k1", "k2", "n_shingles", "root", "first")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+    component = F.when(F.col("root").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("first"))
+    return placed_rows(docs, id_col, text_col).select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, the one with the smallest id, with all columns."""
-    verdicts = near_duplicates(docs, id_col, text_col)
-    gone = written(verdicts.where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    """One row of each group, that with the smallest id (of equal ids, that with the
+    smallest hash of its text), with all its columns; rows with empty sets stay.  Of
+    rows with equal ids and texts one stays."""
+    columns = docs.columns
+    rows = written(placed_rows(docs, id_col, text_col).select("doc_id", "k1", "k2", "root"), "placed")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
+    alike = rows.where("root is not null").groupBy("root").agg(F.min(order).alias("w"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    alike = written(alike.select(F.col("root").alias("r"), F.col("w.k1").alias("w1"), F.col("w.k2").alias("w2")), "alike")
+    met = rows.join(small(alike), F.col("root") == F.col("r"))
+    winner = (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2"))
+    gone = written(met.where(~winner).select("k1", "k2").distinct(), "gone")
+    twice = written(met.where(winner).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k1", "k2"), "twice")
+    n1, n2, g1, g2 = (unused(columns, x) for x in ("_k1", "_k2", "_g1", "_g2"))
+    k1, k2 = row_print(F.col(id_col).cast("long"), F.col(text_col))
+    keyed = docs.select("*", k1.alias(n1), k2.alias(n2))
+    named = lambda t: t.select(F.col("k1").alias(g1), F.col("k2").alias(g2))
+    on = (F.col(n1) == F.col(g1)) & (F.col(n2) == F.col(g2))
+    left = keyed.join(named(gone), on, "left_anti")
+    if not twice.isEmpty():
+        again = small(named(twice))
+        left = left.join(again, on, "left_anti").unionByName(left.join(again, on, "left_semi").dropDuplicates([n1, n2]))
+    return left.select(*(F.col(f"`{c}`") for c in columns))
