@@ -67,12 +67,13 @@ def test_leaks_against_anchored_windows(found):
     """The radius loses none of the windows that are laid."""
     want = wanted(anchored)
     assert 30 < len(want) < 140 and sum(s < 0.85 for s in want.values()) > 8
-    assert set(found) == set(want) and all(abs(found[k] - want[k]) < 1e-9 for k in want)
+    assert set(want) <= set(found) and all(abs(found[k] - want[k]) < 1e-9 for k in want)
 
 
-@pytest.mark.xfail(strict=True, reason="open: a window that passes only at a start where no shingle meets itself isn't laid (1 of 46 here)")
 def test_leaks_against_all_item_sized_windows(found):
-    assert set(wanted(item_sized)) <= set(found)
+    """Windows at other starts are found too, and nothing else."""
+    want = wanted(item_sized)
+    assert set(found) == set(want) | set(wanted(anchored)) and len(set(want) - set(wanted(anchored))) == 1
 
 
 def test_run_against_loops(spark, tmp_path):
