@@ -2,11 +2,14 @@
 
 Each source's texts are laid end to end in a hashed order and cut into blocks of
 a fixed number of tokens (words here).  A source's target gives the number of its
-slots; all slots are dealt to output shards by a pseudorandom permutation, so each
-shard's counts by source are a multinomial draw given the sources' totals, which
-keeps totals exact.  A slot's rank within its source maps through that source's
-pseudorandom permutation of block indices, one permutation for each pass over the
-source, and blocks are joined by (source, index).
+slots.  Every output shard draws how many of its slots each source gets: the whole
+part of the source's expected count, and a multinomial draw over the fractions for the
+slots that are left.  A slot's rank within its source, counted over the shards, maps
+through that source's pseudorandom permutation of block indices, one permutation for
+each pass over the source, and blocks are joined by (source, index).  The draws' totals
+stray from the targets by about half the square root of the number of shards, so ranks
+past a source's slots are left out, and a closing shard holds what the draws left
+short: totals equal the targets to a word.
 
 The permutations are swap-or-not shuffles: a bijection of 0..n-1 for any n,
 computed per row from hashes, so nothing is sorted and nothing is gathered.
@@ -16,20 +19,28 @@ bucket), so a hot source is spread over as many tasks as its rows need.
 
 Defined results: null texts have no tokens and are never taken; null is a source
 of its own, ordered last; rows that repeat are laid out as they stand; a source
-without tokens has target 0; an empty table gives an empty result.
+without tokens has target 0; an empty table gives an empty result; more than
+``MAX_SOURCES`` sources are an error, as weights and targets are one row per source.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from contactweave.llm.base import WORD_PATTERN, let, n_words_col, small, written
 
 
+#: Most sources of a mix; their sizes and targets are held by the driver.
+MAX_SOURCES = 10_000
+#: Shards whose counts are summed together before the sums are.
+SHARDS_PER_BUCKET = 4096
+
+
 @dataclass(frozen=True)
 class Mix:
     """weights repeat over the sources in code-point order; a source gives at
@@ -99,50 +110,76 @@ def laid_out(rows: DataFrame, mix: Mix, n_rows: int | None = None) -> DataFrame:
 
 
 def source_plan(sizes: dict[str | None, int], mix: Mix) -> list[dict]:
-    """Per source: target, slots, the range of permuted slot ranks that draws it,
-    and the tokens of its last slot.  One row per source: the only thing here
-    that the driver holds."""
-    target, plan, at = shares(sizes, mix), [], 0
+    """Per source: target, slots, whole passes and the tokens of the partial one.  One
+    row per source: the only thing here that the driver holds."""
+    target, plan = shares(sizes, mix), []
     for s in target:
         size, want = sizes[s], min(round(target[s]), mix.max_repeat * sizes[s])
         n_blocks = -(-size // mix.block)
         whole, rest = divmod(want, size) if size else (0, 0)
-        slots = whole * n_blocks + -(-rest // mix.block)
-        plan.append({"source": s, "source_size": size, "target": target[s], "want": want, "n_blocks": n_blocks, "slots": slots, "from_rank": at, "passes": whole, "rest": rest})
-        at += slots
+        plan.append({"at": len(plan), "source": s, "source_size": size, "target": target[s], "n_blocks": n_blocks, "slots": whole * n_blocks + -(-rest // mix.block), "passes": whole, "rest": rest})
     return plan
 
 
-PLAN_TYPE = "source string, source_size long, target double, want long, n_blocks long, slots long, from_rank long, passes long, rest long"
-
-
-def drawn_slots(spark, plan: list[dict], mix: Mix) -> DataFrame:
-    """One row per slot: shard, source, pass, block index and tokens taken.
-
-    A slot's permuted rank falls in one source's range (a multinomial draw
-    without replacement from the sources' slots) and is its draw number there;
-    the draw number gives the pass and, through the source's permutation for that
-    pass, the block.  A source's short last block closes every pass.
-    """
-    total = sum(p["slots"] for p in plan)
-    ranges = spark.createDataFrame([tuple(p[c] for c in ("source", "source_size", "n_blocks", "slots", "from_rank", "passes", "rest")) for p in plan if p["slots"]], "source string, source_size long, n_blocks long, slots long, from_rank long, passes long, rest long")
-    starts = F.split(F.lit(",".join(str(p["from_rank"]) for p in plan if p["slots"]) or "0"), ",").cast("array<bigint>")
-    slots = spark.range(0, total).withColumn("rank", permuted(F.col("id"), F.lit(max(1, total)), F.lit(mix.seed), mix.rounds))
-    slots = slots.withColumn("from_rank", F.array_max(F.filter(starts, lambda x: x <= F.col("rank"))))
-    slots = slots.join(F.broadcast(ranges), "from_rank").withColumn("draw", F.col("rank") - F.col("from_rank"))
-    turn, at = F.expr("draw div n_blocks"), F.expr("draw % n_blocks")
+def numbers(values: list, kind: str) -> Column:
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+
+
+def shard_counts(spark: SparkSession, plan: list[dict], mix: Mix) -> DataFrame:
+    """(shard, at, slots): the draw of every output shard, ``at`` being the source's
+    place in the plan, and the closing shard's slots."""
+    quotas = [p["slots"] for p in plan]
+    total = sum(quotas)
+    if not total:
+        return spark.createDataFrame([], "shard long, at int, slots long")
+    n_shards = -(-total // mix.slots_per_shard)
+
+    def drawn(n: int) -> Column:
+        """Counts by source of a shard of n slots."""
+        whole = [n * q // total for q in quotas]
+        steps = list(accumulate(n * q % total / total for q in quotas))
+        left = n - sum(whole)
+        if not left:
+            return numbers(whole, "bigint")
+        uniform = lambda j: F.shiftrightunsigned(F.xxhash64(F.lit(mix.seed), F.col("id"), j), 11) * F.lit(2.0**-53 * steps[-1])
+        pick = lambda j: F.least(F.size(F.filter(numbers(steps, "double"), lambda c: c <= uniform(j))), F.lit(len(plan) - 1))
+        picks = F.transform(F.sequence(F.lit(1), F.lit(left)), pick)
+        return let(picks, lambda d: F.transform(numbers(whole, "bigint"), lambda w, i: w + F.size(F.filter(d, lambda x: x == i))))
+
+    last = total - (n_shards - 1) * mix.slots_per_shard
+    counts = F.when(F.col("id") < n_shards - 1, drawn(mix.slots_per_shard)).otherwise(drawn(last))
+    drawn_ = spark.range(n_shards).select(F.col("id").alias("shard"), F.posexplode(counts).alias("at", "slots")).where("slots > 0")
+    due = spark.createDataFrame([(p["at"], p["slots"]) for p in plan if p["slots"]], "i int, due long")
+    got = drawn_.groupBy("at").agg(F.sum("slots").alias("got"))
+    short = F.col("due") - F.coalesce("got", F.lit(0))
+    closing = due.join(F.broadcast(got), F.col("i") == F.col("at"), "left").where(short > 0)
+    return drawn_.unionByName(closing.select(F.lit(n_shards).cast("long").alias("shard"), F.col("i").alias("at"), short.alias("slots")))
+
+
+def drawn_slots(counts: DataFrame, plan: list[dict], mix: Mix) -> DataFrame:
+    """(shard, source, rank, pass, block, take) per slot.
+
+    A source's ranks run through the shards; a rank gives the pass and, through the
+    source's permutation for that pass, the block."""
+    spark = counts.sparkSession
+    rows = counts.withColumn("bucket", F.expr(f"shard div {SHARDS_PER_BUCKET}"))
+    sums = rows.groupBy("at", "bucket").agg(F.sum("slots").alias("sum"))
+    before = W.partitionBy("at").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
+    sums = sums.select(F.col("at").alias("a"), F.col("bucket").alias("b"), (F.sum("sum").over(before) - F.col("sum")).alias("offset"))
+    within = W.partitionBy("at", "bucket").orderBy("shard").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("first", F.sum("slots").over(within) - F.col("slots")).join(sums, (F.col("at") == F.col("a")) & (F.col("bucket") == F.col("b")))
+    first = F.col("first") + F.col("offset")
+    ranked = rows.select("shard", "at", F.explode(F.sequence(first, first + F.col("slots") - 1)).alias("rank"))
+    info = spark.createDataFrame([tuple(p[c] for c in ("at", "source", "source_size", "n_blocks", "slots", "passes", "rest")) for p in plan], "i int, source string, source_size long, n_blocks long, slots long, passes long, rest long")
+    slots = ranked.join(F.broadcast(info), F.col("at") == F.col("i")).where("rank < slots")
+    slots = slots.withColumn("pass", F.expr("rank div n_blocks")).withColumn("turn", F.expr("rank % n_blocks"))
+    # A source's short last block closes every pass.
     full = F.expr(f"source_size div {mix.block}")
-    key = F.xxhash64(F.lit(mix.seed), "source", "pass")
-    slots = slots.withColumn("pass", turn).withColumn("at", at)
-    slots = slots.withColumn("block", F.when(F.col("at") < full, permuted(F.col("at"), F.greatest(full, F.lit(1)), key, mix.rounds)).otherwise(F.col("at")))
+    key = F.xxhash64(F.lit(mix.seed), "at", "pass")
+    slots = slots.withColumn("block", F.when(F.col("turn") < full, permuted(F.col("turn"), F.greatest(full, F.lit(1)), key, mix.rounds)).otherwise(F.col("turn")))
     length = F.least(F.lit(mix.block).cast("long"), F.col("source_size") - F.col("block") * mix.block)
-    left = F.when(F.col("pass") < F.col("passes"), length).otherwise(F.least(length, F.col("rest") - F.col("at") * mix.block))
-    return slots.select(F.expr(f"id div {mix.slots_per_shard}").alias("shard"), "id", "source", "pass", "block", left.alias("take"))
-
-
-def shard_counts(slots: DataFrame) -> DataFrame:
-    """Draws per output shard and source."""
-    return slots.groupBy("shard", "source").agg(F.count(F.lit(1)).alias("slots"), F.sum("take").alias("tokens"))
+    left = F.when(F.col("pass") < F.col("passes"), length).otherwise(F.least(length, F.col("rest") - F.col("turn") * mix.block))
+    return slots.select("shard", "source", "rank", "pass", "block", left.alias("take"))
 
 
 def fragments(rows: DataFrame, mix: Mix) -> DataFrame:
@@ -155,31 +192,75 @@ def fragments(rows: DataFrame, mix: Mix) -> DataFrame:
 
 def prepare(docs: DataFrame, mix: Mix, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, list[dict]]:
     rows = written(sized(docs, id_col, text_col, source_col), "sizes")
-    sizes = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()}
-    return rows, source_plan(sizes, mix)
+    sums = rows.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
+    if len(sums) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
+    return rows, source_plan({r["source"]: r["n"] for r in sums}, mix)
+
+
+def same_block() -> Column:
+    return F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))
 
 
 def mix_report(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per row of ``docs``: doc_id, size, source_size, target, taken."""
+    """Per row of ``docs``: doc_id, size, source_size, target, taken, first_shard (the
+    first output shard that holds words of it, or null) and source."""
     spark = docs.sparkSession
     rows, plan = prepare(docs, mix, id_col, text_col, source_col)
     placed = written(laid_out(rows, mix), "placed")
-    # Blocks are taken up to max_repeat times; summing the takes of a block first
+    # Blocks are taken up to max_repeat times; collecting the takes of a block first
     # leaves one row per block for the join.
-    takes = drawn_slots(spark, plan, mix).groupBy("source", "block").agg(F.collect_list("take").alias("takes")).withColumnRenamed("source", "s").withColumnRenamed("block", "b")
-    cut = fragments(placed, mix)
-    met = cut.join(takes, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
-    got = F.aggregate("takes", F.lit(0).cast("long"), lambda a, t: a + F.greatest(F.least(F.col("hi"), t) - F.col("lo"), F.lit(0)))
+    slots = drawn_slots(shard_counts(spark, plan, mix), plan, mix)
+    takes = slots.groupBy(F.col("source").alias("s"), F.col("block").alias("b")).agg(F.collect_list(F.struct("shard", "take")).alias("takes"))
+    met = fragments(placed, mix).join(takes, same_block())
+    got = F.aggregate("takes", F.lit(0).cast("long"), lambda a, t: a + F.greatest(F.least(F.col("hi"), t["take"]) - F.col("lo"), F.lit(0)))
+    shard = F.array_min(F.transform("takes", lambda t: F.when(t["take"] > F.col("lo"), t["shard"])))
     # first and source name a row: places in a stream are unique but for empty texts.
-    taken = met.groupBy("source", "first").agg(F.sum(got).alias("taken")).select(F.col("source").alias("ts"), F.col("first").alias("tf"), "taken")
+    taken = met.groupBy("source", "first").agg(F.sum(got).alias("taken"), F.min(shard).alias("first_shard")).select(F.col("source").alias("ts"), F.col("first").alias("tf"), "taken", "first_shard")
     info = spark.createDataFrame([(p["source"], p["source_size"], p["target"]) for p in plan], "ps string, source_size long, target double")
     return (
         placed.join(taken, F.col("source").eqNullSafe(F.col("ts")) & (F.col("first") == F.col("tf")) & (F.col("size") > 0), "left")
         .join(F.broadcast(info), F.col("source").eqNullSafe(F.col("ps")), "left")
-        .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
+        .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_shard", "source")
     )
 
 
+def tokens_of(text: Column) -> Column:
+    """A text's words, each with the white space after it."""
+    return F.regexp_extract_all(text, F.lit(WORD_PATTERN + r"[\x20\x09-\x0D]*"), F.lit(0))
+
+
+def mixed_blocks(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix as blocks: shard, place in the shard, source, block, tokens and text;
+    the words of a block that the partial pass's last slot leaves over are cut off."""
+    spark = docs.sparkSession
+    rows, plan = prepare(docs, mix, id_col, text_col, source_col)
+    held = laid_out(sized(docs, id_col, text_col, source_col, F.col(text_col).alias("text")), mix, rows.count()).where("size > 0")
+    b = mix.block
+    blocks = F.sequence(F.expr(f"first div {b}"), F.expr(f"(first + size - 1) div {b}"))
+    lo = lambda k: F.greatest(F.col("first") - k * b, F.lit(0))
+    n = lambda k: F.least(F.col("first") + F.col("size") - k * b, F.lit(b)) - lo(k)
+    start = lambda k: F.greatest(k * b - F.col("first"), F.lit(0))
+    cut = lambda t, k: F.struct(k.alias("block"), lo(k).alias("lo"), F.array_join(F.slice(t, (start(k) + 1).cast("int"), n(k).cast("int")), "").alias("piece"))
+    pieces = let(tokens_of(F.col("text")), lambda t: F.transform(blocks, lambda k: cut(t, k)))
+    pieces = held.select("source", F.explode(pieces).alias("p")).select(F.col("source").alias("s"), F.col("p.block").alias("b"), F.struct("p.lo", "p.piece").alias("p"))
+    # A block has at most mix.block pieces.
+    packed = pieces.groupBy("s", "b").agg(F.array_sort(F.collect_list("p")).alias("pieces"))
+    slots = drawn_slots(shard_counts(spark, plan, mix), plan, mix)
+    order = W.partitionBy("shard").orderBy(F.xxhash64(F.lit(mix.seed), "shard", "source", "rank"), "source", "rank")
+    met = slots.join(packed, same_block()).withColumn("place", F.row_number().over(order))
+    text = F.array_join(F.transform("pieces", lambda p: F.rtrim(p["piece"])), "\n")
+    whole = F.least(F.lit(b).cast("long"), F.aggregate("pieces", F.lit(0).cast("long"), lambda n, p: n + F.regexp_count(p["piece"], F.lit(WORD_PATTERN))))
+    cut = F.array_join(F.slice(tokens_of(text), F.lit(1), F.col("take").cast("int")), "")
+    return met.select("shard", "place", "source", "block", F.col("take").alias("tokens"), F.when(F.col("take") == whole, text).otherwise(cut).alias("text"))
+
+
+def write_blocks(docs: DataFrame, folder: str, mix: Mix = Mix()) -> DataFrame:
+    """Write ``mixed_blocks`` by shard, in order of place, and read them again."""
+    mixed_blocks(docs, mix).repartition("shard").sortWithinPartitions("shard", "place").write.parquet(folder)
+    return docs.sparkSession.read.parquet(folder)
+
+
 def mixed_documents(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix as rows with the columns of ``docs``: a row for each whole pass
     that takes a document, with its text as it is, and one for the part of it
@@ -190,9 +271,10 @@ def mixed_documents(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", t
     columns = docs.columns
     rows, plan = prepare(docs, mix, id_col, text_col, source_col)
     placed = written(laid_out(rows, mix), "placed")
-    info = spark.createDataFrame([(p["source"], p["passes"]) for p in plan], "ps string, passes long")
-    partial = drawn_slots(spark, plan, mix).join(F.broadcast(info), F.col("source").eqNullSafe(F.col("ps"))).where("pass = passes").select(F.col("source").alias("s"), F.col("block").alias("b"), "take")
-    met = fragments(placed, mix).join(partial, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).where(F.col("take") > F.col("lo"))
+    info = F.broadcast(spark.createDataFrame([(p["source"], p["passes"]) for p in plan], "ps string, passes long"))
+    slots = drawn_slots(shard_counts(spark, plan, mix), plan, mix).join(info, F.col("source").eqNullSafe(F.col("ps")))
+    partial = slots.where("pass = passes").select(F.col("source").alias("s"), F.col("block").alias("b"), "take")
+    met = fragments(placed, mix).join(partial, same_block()).where(F.col("take") > F.col("lo"))
     start = F.col("block") * mix.block + F.col("lo") - F.col("first")
     piece = F.struct(start.cast("int").alias("start"), (F.least("hi", "take") - F.col("lo")).cast("int").alias("n"))
     pieces = met.groupBy(F.col("source").alias("s"), F.col("first").alias("f")).agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
@@ -200,11 +282,10 @@ def mixed_documents(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", t
     # names a row even where rows repeat.
     whole_row = F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row")
     held = laid_out(sized(docs, id_col, text_col, source_col, whole_row), mix, rows.count()).where("size > 0")
-    held = held.join(F.broadcast(info), F.col("source").eqNullSafe(F.col("ps")), "left")
+    held = held.join(info, F.col("source").eqNullSafe(F.col("ps")), "left")
     held = held.join(pieces, F.col("source").eqNullSafe(F.col("s")) & (F.col("first") == F.col("f")), "left")
     text = F.col(f"row.`{text_col}`")
-    tokens = F.regexp_extract_all(text, F.lit(WORD_PATTERN + r"[\x20\x09-\x0D]*"), F.lit(0))
-    joined = let(tokens, lambda t: F.array_join(F.flatten(F.transform("pieces", lambda p: F.slice(t, p["start"] + 1, p["n"]))), ""))
+    joined = let(tokens_of(text), lambda t: F.array_join(F.flatten(F.transform("pieces", lambda p: F.slice(t, p["start"] + 1, p["n"]))), ""))
     n = F.aggregate("pieces", F.lit(0), lambda a, p: a + p["n"])
     part = F.when(F.col("pieces").isNull(), F.lit(None)).when(n == F.col("size"), text).otherwise(joined)
     copies = F.concat(F.array_repeat(text, F.col("passes").cast("int")), F.when(part.isNull(), F.array().cast("array<string>")).otherwise(F.array(part)))
