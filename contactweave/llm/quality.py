@@ -2,8 +2,8 @@
 
 Every text is measured once by rules of its own.  Failures are added up by
 domain, each domain's failure rate is shrunk by a beta prior fitted to all
-domains (method of moments), and domains whose shrunk rate passes a limit lose
-all their documents.  Domains are summed by partial aggregation, so a hot one
+domains (method of moments), and domains whose shrunk rate lies in the prior's upper
+tail and passes a least rate lose all their documents.  Domains are summed by partial aggregation, so a hot one
 costs a row per task.
 
 Defined results: a null or empty text has no words and fails as too short;
@@ -15,10 +15,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import sqrt
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from contactweave.llm.base import WORD_RE, bounded_batches, small, written
 
@@ -35,7 +37,10 @@ class Limits:
     max_repeat_percent: int = 50
     max_symbol_percent: int = 100
     max_dup_line_percent: int = 30
-    host_rate: float = 0.5
+    #: Least shrunk failure rate of a rejected domain, and the standard deviations of
+    #: the prior by which it must pass the prior's mean.
+    host_rate: float = 0.35
+    host_tail: float = 3.0
     max_prior_strength: float = 1000.0
 
 
@@ -58,22 +63,22 @@ def measure(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated
 
 
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        values = list(zip(*map(measure, b.column("_text").to_pylist()))) or [()] * len(MEASURES)
-        arrays = [c for n, c in zip(b.schema.names, b.columns) if n != "_text"]
-        names = [n for n in b.schema.names if n != "_text"]
-        yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(v, pa.int64()) for v in values)], [*names, *(f"_{m}" for m in MEASURES)])
+def with_measures(rows: DataFrame, text_col: str | None = None, in_row: str | None = None) -> DataFrame:
+    """``rows`` without ``text_col``, beside ``_n_words`` and the other measures of that
+    column's texts, or of those in field ``in_row`` of the column ``_row``."""
+    bounded_batches(rows.sparkSession)
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("_row").field(in_row) if in_row else b.column(text_col)
+            values = list(zip(*map(measure, texts.to_pylist()))) or [()] * len(MEASURES)
+            kept = [(n, c) for n, c in zip(b.schema.names, b.columns) if n != text_col]
+            yield pa.RecordBatch.from_arrays([*(c for _, c in kept), *(pa.array(v, pa.int64()) for v in values)], [*(n for n, _ in kept), *(f"_{m}" for m in MEASURES)])
 
-def with_measures(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``docs`` beside ``_n_words`` and the other measures."""
-    bounded_batches(docs.sparkSession)
-    kept = docs.select(*(F.col(f"`{c}`") for c in keep))
-    given = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).alias("_text"))
-    types = ", ".join(f"_{m} bigint" for m in MEASURES)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return given.mapInArrow(_measured, f"{schema}, {types}" if schema else types)
+    schema = StructType([f for f in rows.schema.fields if f.name != text_col])
+    for m in MEASURES:
+        schema = schema.add(f"_{m}", "long")
+    return rows.mapInArrow(work, schema)
 
 
 def base_failed(limits: Limits) -> Column:
@@ -92,6 +97,8 @@ def host_verdicts(measured: DataFrame, host_col: str, limits: Limits) -> DataFra
     The prior is Beta(mu * k, (1 - mu) * k): mu and s2 are the mean and the
     population variance of the domains' rates, k = mu (1 - mu) / s2 - 1, held
     between 1 and ``max_prior_strength``.  Only these two numbers reach the driver.
+    A domain is rejected if its shrunk rate is over ``host_rate`` and over mu by more
+    than ``host_tail`` standard deviations of the prior.
     """
     hosts = written(
         measured.where(F.col(host_col).isNotNull())
@@ -104,13 +111,14 @@ def host_verdicts(measured: DataFrame, host_col: str, limits: Limits) -> DataFra
     mu, s2 = m["mu"] or 0.0, m["s2"] or 0.0
     k = min(limits.max_prior_strength, max(1.0, mu * (1 - mu) / s2 - 1)) if s2 > 0 else limits.max_prior_strength
     shrunk = (F.col("host_failed") + F.lit(mu * k)) / (F.col("host_docs") + F.lit(k))
-    return hosts.select("*", shrunk.alias("host_rate"), (shrunk > limits.host_rate).alias("host_rejected"))
+    limit = max(limits.host_rate, mu + limits.host_tail * sqrt(mu * (1 - mu) / (k + 1)))
+    return hosts.select("*", shrunk.alias("host_rate"), (shrunk > limit).alias("host_rejected"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limits: Limits = Limits()) -> DataFrame:
     """Per row of ``docs``: id, the five measures, base_failed, host_rate, kept."""
     given = docs.select(F.col(id_col).alias("_id"), F.col(host_col).alias("_host"), F.col(text_col).alias("text"))
-    measured = written(with_measures(given, "text", ["_id", "_host"]), "measures")
+    measured = written(with_measures(given, "text"), "measures")
     hosts = small(host_verdicts(measured, "_host", limits)).select("host", "host_rate", "host_rejected")
     out = measured.join(hosts, F.col("_host") == F.col("host"), "left")
     failed = base_failed(limits)
@@ -129,7 +137,10 @@ def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source",
     Texts are measured twice, once for the domains' counts and once for the
     rows themselves: cheaper than storing a second copy of the corpus.
     """
-    verdicts = host_verdicts(with_measures(docs.select(F.col(host_col).alias("_host"), F.col(text_col).alias("text")), "text", ["_host"]), "_host", limits)
-    bad = small(verdicts.where("host_rejected").select(F.col("host").alias("_host")))
-    measured = with_measures(docs, text_col, docs.columns).where(~base_failed(limits))
-    return measured.join(bad, F.col(host_col) == F.col("_host"), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    verdicts = host_verdicts(with_measures(docs.select(F.col(host_col).alias("_host"), F.col(text_col).alias("text")), "text"), "_host", limits)
+    bad = small(verdicts.where("host_rejected").select(F.col("host").alias("_bad")))
+    # Rows travel as one column, whatever their own columns are called.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    measured = with_measures(rows, in_row=text_col).where(~base_failed(limits))
+    kept = measured.join(bad, F.col(f"_row.`{host_col}`") == F.col("_bad"), "left_anti")
+    return kept.select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))

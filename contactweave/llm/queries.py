@@ -95,7 +95,7 @@ f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 h AS (SELECT source, count(*) AS n, count(*) FILTER (failed) AS x FROM f WHERE source IS NOT NULL GROUP BY source),
 p AS (SELECT avg(x / n) AS mu, var_pop(x / n) AS s2 FROM h),
 q AS (SELECT mu, CASE WHEN s2 > 0 THEN least(1000.0, greatest(1.0, mu * (1 - mu) / s2 - 1)) ELSE 1000.0 END AS k FROM p),
-v AS (SELECT source, (x + mu * q.k) / (n + q.k) > 0.5 AS bad FROM h, q)
+v AS (SELECT source, (x + mu * q.k) / (n + q.k) > greatest(0.35, mu + 3 * sqrt(mu * (1 - mu) / (q.k + 1))) AS bad FROM h, q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(bad, FALSE) AS kept
 FROM f LEFT JOIN v USING (source)""",
     "op3_url_filters": r"""
