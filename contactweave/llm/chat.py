@@ -1,19 +1,20 @@
 """Chat formatting by schema fingerprints.
 
-Every record's nested field paths are read off its variant schema, reduced to
-paths without scalar types, and hashed.  The hash selects a declarative mapping
-that turns the record, whatever its layout, into canonical turns (conversation,
-position, role, text).  A template then marks turns, escapes control characters
-reversibly and records the loss spans.
+Every record's nested field paths are read off its variant and hashed.  A declarative
+mapping, which turns a record into canonical turns (conversation, position, role,
+text), names the paths it needs; a record's hashes select the first mapping all of
+whose paths it has, whatever further fields it carries.  A template then marks turns,
+escapes control characters reversibly and records the loss spans.
 
 Template: ``### role: text</turn>\\n`` per turn.  In roles and texts a backslash
 becomes ``\\b``, ``<`` becomes ``\\l`` and ``#`` becomes ``\\h`` (and ``:`` in
 roles ``\\c``), so no mark can occur inside a text.
 
-Defined results: null texts and roles are empty; a conversation's turns go by
-(turn, role, text), nulls first, repeated rows included; records of an unknown
-layout give a conversation of no turns with layout null; fields beside the mapped
-ones make another layout, so callers select the fields first.
+Defined results: null texts and roles are empty; content in parts is their texts one
+after another, and a part without a text is its JSON; a conversation's turns go by
+(turn, role, text), nulls first, repeated rows included; an empty list of messages is
+a conversation of no turns, and so, with layout null, is a record that no mapping
+fits or that is no JSON: ``unknown_layouts`` counts those by their paths.
 """
 
 from __future__ import annotations
@@ -25,18 +26,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 _ESCAPES = (("\\", "\\b"), ("<", "\\l"), ("#", "\\h"))
-_SCALARS = r": (STRING|BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|BOOLEAN|VOID|DECIMAL\(\d+,\s?\d+\))(?=[,>]|$)"
 END = "</turn>\n"
 
 
 @dataclass(frozen=True)
 class Layout:
-    """A record layout: its field paths, and SQL over ``v`` (the record as a
-    variant) for the conversation's id and its array of (turn, role, text)."""
+    """A record layout: the field paths that it needs, and SQL over ``v`` (the
+    record as a variant) for its array of (turn, role, text)."""
 
     name: str
-    paths: str
-    conv_id: str
+    paths: tuple[str, ...]
     turns: str
 
 
@@ -44,9 +43,15 @@ def _get(path: str, kind: str = "string") -> str:
     return f"try_variant_get(v, '$.{path}', '{kind}')"
 
 
+def _said(item: str, path: str) -> str:
+    """SQL for a text that may be given in parts."""
+    parts = f"try_variant_get({item}, '$.{path}', 'array<variant>')"
+    return f"coalesce(array_join(transform({parts}, p -> coalesce(try_variant_get(p, '$.text', 'string'), try_variant_get(p, '$', 'string'), '')), ''), try_variant_get({item}, '$.{path}', 'string'))"
+
+
 def _list(path: str, role: str, text: str) -> str:
-    items = f"coalesce(try_variant_get(v, '$.{path}', 'array<variant>'), cast(array() as array<variant>))"
-    return f"transform({items}, (m, i) -> named_struct('turn', cast(i as bigint), 'role', try_variant_get(m, '$.{role}', 'string'), 'text', try_variant_get(m, '$.{text}', 'string')))"
+    items = f"coalesce({_get(path, 'array<variant>')}, cast(array() as array<variant>))"
+    return f"transform({items}, (m, i) -> named_struct('turn', cast(i as bigint), 'role', try_variant_get(m, '$.{role}', 'string'), 'text', {_said('m', text)}))"
 
 
 def _pair(first: str, second: str) -> str:
@@ -54,46 +59,71 @@ def _pair(first: str, second: str) -> str:
     return f"array({turn(0, 'user', first)}, {turn(1, 'assistant', second)})"
 
 
-#: Declarative mappings, by the sorted field paths that select them.
+#: Declarative mappings; the first whose paths a record has is taken.
 LAYOUTS = (
-    Layout("turn rows", "OBJECT<conv_id, role, text, turn>", _get("conv_id", "bigint"), f"array(named_struct('turn', {_get('turn', 'bigint')}, 'role', {_get('role')}, 'text', {_get('text')}))"),
-    Layout("messages", "OBJECT<conv_id, messages: ARRAY<OBJECT<content, role>>>", _get("conv_id", "bigint"), _list("messages", "role", "content")),
-    Layout("from-value list", "OBJECT<conversations: ARRAY<OBJECT<from, value>>, id>", _get("id", "bigint"), _list("conversations", "from", "value")),
-    Layout("prompt", "OBJECT<completion, conv_id, prompt>", _get("conv_id", "bigint"), _pair(_get("prompt"), _get("completion"))),
-    Layout("instruction", "OBJECT<conv_id, input, instruction, output>", _get("conv_id", "bigint"), _pair(f"concat_ws('\\n', nullif({_get('instruction')}, ''), nullif({_get('input')}, ''))", _get("output"))),
-    Layout("question", "OBJECT<answer, conv_id, question>", _get("conv_id", "bigint"), _pair(_get("question"), _get("answer"))),
+    Layout("turn rows", ("turn", "role", "text"), f"array(named_struct('turn', {_get('turn', 'bigint')}, 'role', {_get('role')}, 'text', {_said('v', 'text')}))"),
+    Layout("messages", ("messages[].role", "messages[].content"), _list("messages", "role", "content")),
+    Layout("from-value list", ("conversations[].from", "conversations[].value"), _list("conversations", "from", "value")),
+    Layout("prompt", ("prompt", "completion"), _pair(_said("v", "prompt"), _said("v", "completion"))),
+    Layout("instruction", ("instruction", "output"), _pair(f"concat_ws('\\n', nullif({_get('instruction')}, ''), nullif({_get('input')}, ''))", _said("v", "output"))),
+    Layout("question", ("question", "answer"), _pair(_said("v", "question"), _said("v", "answer"))),
 )
+CONV_ID = f"coalesce({_get('conv_id', 'bigint')}, {_get('id', 'bigint')})"
 
 
-def field_paths(variant: Column) -> Column:
-    """Nested field names of a variant, sorted, without scalar types."""
-    return F.regexp_replace(F.schema_of_variant(variant), _SCALARS, "")
+def field_paths(variant: Column, lists: dict[str, list[str]]) -> Column:
+    """Sorted field names of a variant object, and ``list[].field`` for the objects in
+    its ``lists``; an empty list has all the fields that are looked for in it."""
+    kind = "map<string,variant>"
+    paths = [F.map_keys(F.try_variant_get(variant, "$", kind))]
+    for name, fields in lists.items():
+        items = F.try_variant_get(variant, f"$.{name}", "array<variant>")
+        keys = F.flatten(F.transform(items, lambda m: F.coalesce(F.map_keys(F.try_variant_get(m, "$", kind)), F.array().cast("array<string>"))))
+        prefix = F.lit(f"{name}[].")
+        named = F.transform(keys, lambda k: F.concat(prefix, k))  # noqa: B023
+        paths.append(F.when(F.size(items) == 0, F.array(*(F.lit(f"{name}[].{f}") for f in fields))).otherwise(named))
+    none = F.array().cast("array<string>")
+    return F.array_sort(F.array_distinct(F.concat(*(F.coalesce(p, none) for p in paths))))
 
 
-def fingerprint(paths: Column) -> Column:
-    return F.xxhash64(paths)
+def lists_of(layouts: tuple[Layout, ...]) -> dict[str, list[str]]:
+    out: dict[str, list[str]] = {}
+    for x in layouts:
+        for name, _, field in (p.partition("[].") for p in x.paths):
+            if field and field not in out.setdefault(name, []):
+                out[name].append(field)
+    return out
 
 
-def canonical_turns(records: DataFrame, record_col: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """(conv_id, layout, turn, role, text) of JSON records; a record without a
-    known layout gives one row whose layout and turn are null."""
+def fingerprints(paths: Column) -> Column:
+    return F.transform(paths, lambda p: F.xxhash64(p))
+
+
+def with_layout(records: DataFrame, record_col: str, layouts: tuple[Layout, ...]) -> DataFrame:
+    """(v, paths, layout) of JSON records."""
     rows = records.select(F.try_parse_json(F.col(record_col)).alias("v"))
-    rows = rows.withColumn("print", fingerprint(field_paths(F.col("v"))))
-    known = {x.name: fingerprint(F.lit(x.paths)) for x in layouts}
+    rows = rows.withColumn("paths", field_paths(F.col("v"), lists_of(layouts))).withColumn("prints", fingerprints(F.col("paths")))
+    layout = F.lit(None).cast("string")
+    for x in reversed(layouts):
+        fits = F.size(F.array_except(fingerprints(F.array(*map(F.lit, x.paths))), F.col("prints"))) == 0
+        layout = F.when(fits, F.lit(x.name)).otherwise(layout)
+    return rows.select("v", "paths", layout.alias("layout"))
 
-    def pick(what, otherwise: Column) -> Column:
-        out = otherwise
-        for x in layouts:
-            out = F.when(F.col("print") == known[x.name], what(x)).otherwise(out)
-        return out
 
+def unknown_layouts(records: DataFrame, record_col: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+    """(paths, n) of the records that no mapping fits."""
+    rows = with_layout(records, record_col, layouts).where(F.col("layout").isNull())
+    return rows.groupBy("paths").agg(F.count(F.lit(1)).alias("n"))
+
+
+def canonical_turns(records: DataFrame, record_col: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+    """(conv_id, layout, turn, role, text, is_turn) of JSON records; a record without
+    turns gives one row whose turn is null."""
     kind = "array<struct<turn:bigint,role:string,text:string>>"
-    loose = F.coalesce(F.expr(_get("conv_id", "bigint")), F.expr(_get("id", "bigint")))
-    rows = rows.select(
-        pick(lambda x: F.expr(x.conv_id), loose).alias("conv_id"),
-        pick(lambda x: F.lit(x.name), F.lit(None).cast("string")).alias("layout"),
-        pick(lambda x: F.expr(x.turns).cast(kind), F.lit(None).cast(kind)).alias("turns"),
-    )
+    turns = F.lit(None).cast(kind)
+    for x in reversed(layouts):
+        turns = F.when(F.col("layout") == x.name, F.expr(x.turns).cast(kind)).otherwise(turns)
+    rows = with_layout(records, record_col, layouts).select(F.expr(CONV_ID).alias("conv_id"), "layout", turns.alias("turns"))
     return rows.select("conv_id", "layout", F.explode_outer("turns").alias("t")).select("conv_id", "layout", "t.turn", "t.role", "t.text", F.col("t").isNotNull().alias("is_turn"))
 
 
