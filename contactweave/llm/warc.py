@@ -3,7 +3,12 @@
 Headers (page id, payload digest, payload size) are shuffled by digest; the
 smallest page id of a digest stays a response and the others become revisit
 records that refer to it.  Archives are written with fresh headers, one gzip
-member per record, and read back by joining revisits to their responses.
+member per record, and read back by joining revisits to their responses; a
+response whose payload does not have the digest of its header is an error.
+
+A record's id is that of its page id and payload digest.  Rows that repeat both, and
+rows without a page id, get ids of their own from their place in the files, and a
+revisit of a repeated response names its page id only.
 
 Files are written by executors into the shared folder through the file system of
 its URI, under a temporary name first and then renamed, so a repeated task writes
@@ -24,6 +29,7 @@ import io
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -31,10 +37,9 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactweave.llm.base import bounded_batches, shared_folder, written
+from contactweave.llm.base import bounded_batches, shared_folder, small, written
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-DATE = "2024-01-01T00:00:00Z"
 
 
 def digest(payload: bytes) -> str:
@@ -42,22 +47,26 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int | None, copy: str = "") -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}{copy}')}>"
+def record_id(page_id: int | None, payload_digest: str, copy: str = "") -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{payload_digest}:{copy}')}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, payload_digest: str, refers_to: int | None, revisit: bool, date: str = DATE) -> bytes:
-    """One WARC/1.1 record; a revisit keeps the HTTP header and drops the payload."""
+def record(page_id: int | None, url: str | None, payload: bytes, payload_digest: str, date: str, copy: str = "", refers_to: int | None = None, named: bool = True) -> bytes:
+    """One WARC/1.1 record; one that refers to a page is a revisit, which keeps the
+    HTTP header and drops the payload.  ``named`` tells whether the response that it
+    revisits is the only one of its page id and payload."""
+    revisit = refers_to is not None
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     body = http if revisit else http + payload
-    fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id(page_id)), ("WARC-Date", date)]
+    fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id(page_id, payload_digest, copy)), ("WARC-Date", date)]
     if page_id is not None:
         fields.append(("WARC-Page-ID", str(page_id)))
     if url is not None:
         fields.append(("WARC-Target-URI", quote(url, safe="!#$%&'()*+,/:;=?@[]~-._")))
     fields.append(("WARC-Payload-Digest", f"sha1:{payload_digest}"))
     if revisit:
-        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to)), ("WARC-Refers-To-Page-ID", str(refers_to))]
+        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To-Page-ID", str(refers_to))]
+        fields += [("WARC-Refers-To", record_id(refers_to, payload_digest))] * named
     fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(body)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + body + b"\r\n\r\n"
 
@@ -104,33 +113,36 @@ def headers(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html")).mapInArrow(measure, "page_id bigint, payload_digest string, payload_bytes bigint")
 
 
-def repeated_payloads(heads: DataFrame, min_bytes: int) -> DataFrame:
-    """(digest, bytes, original) of payloads that more than one record holds."""
-    large = heads.where((F.col("payload_bytes") >= min_bytes) & F.col("page_id").isNotNull())
-    return large.groupBy(F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("n")).agg(F.min("page_id").alias("original"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-
-
 def resolve(heads: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Revisits only: (r, d, n, refers_to), one row per page id and payload."""
-    same = repeated_payloads(heads, min_bytes)
-    met = heads.join(same, (F.col("payload_digest") == F.col("d")) & (F.col("payload_bytes") == F.col("n")))
-    return met.where(F.col("page_id") != F.col("original")).select(F.col("page_id").alias("r"), "d", "n", F.col("original").alias("refers_to")).distinct()
-
-
-def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", file_bytes: int = 64 << 20) -> DataFrame:
-    """Write deduplicated archives and return the names of the files."""
-    spark = pages.sparkSession
+    """(r, d, n, refers_to, named, again) of the page ids and payloads that are not
+    plain responses: revisits, which refer to a page, and records that several rows
+    repeat (again)."""
+    ids = heads.where(F.col("page_id").isNotNull()).groupBy("page_id", F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("n")).agg(F.count(F.lit(1)).alias("rows"))
+    ids = written(ids, "payloads")
+    # Copies of a payload are summed before the shuffle; the first of them is kept.
+    first = F.min(F.struct("page_id", "rows")).alias("o")
+    same = ids.where(F.col("n") >= min_bytes).groupBy(F.col("d").alias("sd"), F.col("n").alias("sn")).agg(first, F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    met = ids.join(small(same), (F.col("d") == F.col("sd")) & (F.col("n") == F.col("sn")), "left")
+    refers_to = F.when(F.col("o.page_id") < F.col("page_id"), F.col("o.page_id"))
+    out = met.select(F.col("page_id").alias("r"), "d", "n", refers_to.alias("refers_to"), F.coalesce(F.col("o.rows") == 1, F.lit(True)).alias("named"), (F.col("rows") > 1).alias("again"))
+    return out.where(F.col("refers_to").isNotNull() | F.col("again"))
+
+
+def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", file_bytes: int = 64 << 20, date: str | None = None) -> DataFrame:
+    """Write deduplicated archives and return the names of the files.  ``date`` is
+    the records' WARC-Date, by default the time of the call."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     heads = written(headers(pages, id_col, html_col), "headers")
     revisits = written(resolve(heads, min_bytes), "revisits")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     # Payloads of an id are told apart by the writer, which has their digests.
-    of_id = revisits.groupBy("r").agg(F.collect_list(F.struct("d", "n", "refers_to")).alias("payloads"))
+    of_id = revisits.groupBy("r").agg(F.collect_list(F.struct("d", "n", "refers_to", "named", "again")).alias("payloads"))
     rows = rows.join(of_id, F.col("page_id") == F.col("r"), "left").select(F.spark_partition_id().alias("part"), "page_id", "url", "html", "payloads")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = pafs.FileSystem.from_uri(folder)
         files.create_dir(base, recursive=True)
-        part, n, held, size = None, 0, [], 0
+        part, n, held, size, at = None, 0, [], 0, 0
 
         def flush() -> pa.RecordBatch:
             nonlocal n, held, size
@@ -148,8 +160,9 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: st
                 part = row["part"] if part is None else part
                 payload = (row["html"] or "").encode()
                 d = digest(payload)
-                refers_to = next((x["refers_to"] for x in row["payloads"] or () if (x["d"], x["n"]) == (d, len(payload))), None)
-                one = record(row["page_id"], row["url"], payload, d, refers_to, refers_to is not None)
+                of = next((x for x in row["payloads"] or () if (x["d"], x["n"]) == (d, len(payload))), {"refers_to": None, "named": True, "again": False})
+                copy, at = f"{part}-{at}" if of["again"] or row["page_id"] is None else "", at + 1
+                one = record(row["page_id"], row["url"], payload, d, date, copy, of["refers_to"], of["named"])
                 held.append(gzip.compress(one, 6, mtime=0))
                 size += len(held[-1])
                 if size >= file_bytes:
@@ -177,9 +190,11 @@ def read_archives(names: DataFrame, folder: str) -> DataFrame:
                 rows = []
                 for fields, block in records_of(data):
                     body, stated = payload_of(block)
-                    kind = fields["warc-type"]
+                    kind, stated_digest = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:")
+                    if kind != "revisit" and digest(body) != stated_digest:
+                        raise ValueError(f"payload of {fields['warc-record-id']} in {name} does not have its digest")
                     number = lambda k: int(fields[k]) if k in fields else None  # noqa: B023, E731
-                    rows.append({"page_id": number("warc-page-id"), "url": fields.get("warc-target-uri"), "record_type": kind, "payload_digest": fields["warc-payload-digest"].removeprefix("sha1:"), "stated_bytes": stated, "payload": None if kind == "revisit" else body, "refers_to": number("warc-refers-to-page-id")})
+                    rows.append({"page_id": number("warc-page-id"), "url": fields.get("warc-target-uri"), "record_type": kind, "payload_digest": stated_digest, "stated_bytes": stated, "payload": None if kind == "revisit" else body, "refers_to": number("warc-refers-to-page-id")})
                     if len(rows) >= 256:
                         yield pa.RecordBatch.from_pylist(rows, kinds)
                         rows = []
