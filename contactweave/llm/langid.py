@@ -7,8 +7,8 @@ through time.  Its state starts anew at ASCII white space (and after ``MAX_BYTES
 bytes without any), so equal words have equal outputs: a worker runs each distinct
 word once and remembers what its bytes add up to.
 
-The fit takes a bounded, hashed sample: about ``docs_per_lang`` documents of each
-language and ``words_per_lang`` of their words.
+The fit takes a bounded, hashed sample: about ``docs_per_lang`` distinct texts of each
+language and ``words_per_lang`` of their words, and never more than twice as many.
 
 Defined results: null texts, texts without a letter and an untrained model (no
 labelled rows) give ``und`` with score 0; a null id counts as the empty text for
@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from contactweave.llm.base import WORD_RE, bounded_batches, words_col, written
 
@@ -165,7 +166,8 @@ def learn(docs: DataFrame, fit: Fit, id_col: str, text_col: str, lang_col: str)
     """A network fitted to the sample of the labelled rows outside the held-out
     fifth; the driver gets about ``words_per_lang`` words of each language."""
     rows = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    texts = F.approx_count_distinct(F.xxhash64(text_col)).alias("n")
+    counts = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(texts).collect()}
     if not counts:
         return None
 
@@ -178,10 +180,13 @@ def learn(docs: DataFrame, fit: Fit, id_col: str, text_col: str, lang_col: str)
 
     million = lambda *c: F.pmod(F.xxhash64(F.lit(fit.seed), *c), F.lit(1_000_000))
     rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sample = written(rows.where(million("text") < share(fit.docs_per_lang, counts)), "sample")
+    # Copies of a text share its hash, so they are reduced to one.
+    sample = written(rows.where(million("text") < share(fit.docs_per_lang, counts)).dropDuplicates(["lang", "text"]), "sample")
     tokens = sample.select("lang", F.posexplode(words_col(F.col("text"))).alias("at", "word"), F.xxhash64("text").alias("print"))
     sizes = {r["lang"]: r["n"] for r in tokens.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    got = tokens.where(million("print", "at") < share(fit.words_per_lang, sizes)).select("lang", "word").collect()
+    drawn = tokens.where(million("print", "at") < share(fit.words_per_lang, sizes))
+    first = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("print", "at"), "print", "at"))
+    got = drawn.withColumn("n", first).where(F.col("n") <= 2 * fit.words_per_lang).select("lang", "word").collect()
     langs = sorted(counts)
     pairs = sorted((p, langs.index(r["lang"])) for r in got for p in pieces(r["word"]))
     net = Network(langs, fit)
