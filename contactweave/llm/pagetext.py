@@ -1,16 +1,20 @@
 """Main text of web pages, by markup and nearest-URL differencing.
 
-A page is cut into lines, one per block of running text.  Markup settles most of
-them: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
-and reader comments are left out, and where a page has an article or main element
-its lines, and only they, are the text.  On pages without one, lines are settled by
-differencing: pages of a host are ordered by URL path, each is paired with the one
-before it (the host's first with the one after), their lines are aligned by longest
-common subsequence, and shared lines are deleted.
-
-Differencing is kept off article elements because articles quote each other:
-deleting lines that an article shares with its neighbour would delete its own text.
-A page all of whose lines are shared is a copy of its neighbour and keeps them.
+A page is cut into lines, one per block of running text, and markup sorts them: lines
+of an article or main element, lines of menus, headers, footers, sidebars, notices,
+adverts, forms and reader comments, and others.  Differencing looks at all lines of
+all pages: pages of a host are ordered by URL path, and a page's lines are aligned with
+those of the pages before and after it by longest common subsequence.
+
+On a page without an article, the lines that it shares with the nearer of the two (the
+longer common path) are deleted.  Articles quote each other, so in an article a shared
+line is deleted only as furniture: it stands in the run of shared lines at the article's
+beginning or end, and both neighbours share it, neither of which has half of the
+article's lines.  Pages with the same lines in a host are one page here, so copies are
+not each other's neighbours; a page all of whose lines would go keeps them.
+
+Only line hashes are shuffled and aligned.  Pages are parsed again to write the text,
+with the few decisions that change anything joined back.
 
 Defined results: null or empty html gives an empty text; null URLs have an empty
 host; pages alone in their host keep all lines; rows that repeat are read as they
@@ -23,13 +27,14 @@ import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
+from itertools import accumulate, takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from contactweave.llm.base import bounded_batches, written
+from contactweave.llm.base import bounded_batches, small, written
 from contactweave.llm.urlfilter import host_and_path
 
 BLOCKS = frozenset(
@@ -99,32 +104,37 @@ def inner(names: list[str]) -> int:
     return n
 
 
-def lines_of(page: str | None) -> tuple[list[str], bool]:
-    """(lines, settled): the lines of the article or main elements and True, or
-    all lines that markup lets pass and False."""
+OPEN_ZONE, APART_ZONE, MAIN_ZONE = 0, 1, 2
+
+
+def zoned(page: str | None) -> tuple[list[tuple[int, str]], bool]:
+    """((zone, line) in page order, whether there is an article): zone is ``APART_ZONE``
+    for lines that markup leaves out, ``MAIN_ZONE`` for the others of an article or
+    main element, and ``OPEN_ZONE`` for the rest."""
+    lines: list[tuple[int, str]] = []
     if not page:
-        return [], True
-    inside: list[str] = []
-    outside: list[str] = []
+        return lines, False
     text: list[str] = []
+    left_out: list[str] = []
     open_: list[str] = []  # open block elements, marked inline ones and those of the same name in them
     skip_at, skip_is_comment = -1, False  # depth at which a left-out element began
     article_at = -1
     has_article = False
 
     def flush() -> None:
-        if text:
-            line = " ".join(entities.unescape("".join(text)).split())
-            text.clear()
-            if line:
-                (inside if article_at >= 0 else outside).append(line)
+        for held, zone in ((text, MAIN_ZONE if article_at >= 0 else OPEN_ZONE), (left_out, APART_ZONE)):
+            if held:
+                line = " ".join(entities.unescape("".join(held)).split())
+                held.clear()
+                if line:
+                    lines.append((zone, line))
 
     at, end = 0, len(page)
     while at < end:
         m = _MARKUP.search(page, at)
         stop = m.start() if m else end
-        if stop > at and skip_at < 0:
-            text.append(page[at:stop])
+        if stop > at:
+            (text if skip_at < 0 else left_out).append(page[at:stop])
         if not m:
             break
         at = m.end()
@@ -140,8 +150,7 @@ def lines_of(page: str | None) -> tuple[list[str], bool]:
                 at = ends.start()
             continue
         if name == "br":
-            if skip_at < 0:
-                text.append(" ")
+            (text if skip_at < 0 else left_out).append(" ")
             continue
         if inline(name):
             # An end tag reaches its element only where no block is open in between.
@@ -181,26 +190,72 @@ def lines_of(page: str | None) -> tuple[list[str], bool]:
                     article_at = len(open_)
         open_.append(name)
     flush()
-    return (inside, True) if has_article else (outside, False)
+    return lines, has_article
+
+
+def lines_of(page: str | None) -> tuple[list[str], bool]:
+    """(lines, settled): the lines of the article or main elements and True, or
+    all lines that markup lets pass and False."""
+    lines, has_article = zoned(page)
+    zone = MAIN_ZONE if has_article else OPEN_ZONE
+    return [x for z, x in lines if z == zone], has_article or not page
 
 
 def line_key(line: str) -> int:
     return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def common(a: list[int], b: list[int]) -> list[bool]:
-    """For each element of ``a``, whether a longest common subsequence of ``a``
-    and ``b`` has it.  Bit-parallel: row i holds, as zero bits, where the length
-    grows along ``b`` (Crochemore and others, 2001)."""
-    n, m = len(a), len(b)
-    full, where = (1 << m) - 1, {}
+#: Cells, of lines by lines, that an alignment holds at a time.
+CELLS = 1 << 28
+
+
+def growth(a: list[int], b: list[int], keep: bool) -> list[int]:
+    """Rows of the alignment of ``a`` with ``b`` (all of them, or the last): row i has
+    a zero bit where the length of the common subsequence of a[:i] grows along ``b``
+    (Crochemore and others, 2001)."""
+    full, where = (1 << len(b)) - 1, {}
     for j, x in enumerate(b):
         where[x] = where.get(x, 0) | 1 << j
     rows, v = [full], full
     for x in a:
         u = v & where.get(x, 0)
         v = ((v + u) | (v - u)) & full
-        rows.append(v)
+        if keep:
+            rows.append(v)
+    return rows if keep else [v]
+
+
+def lengths(a: list[int], b: list[int]) -> list[int]:
+    """Lengths of the longest common subsequences of ``a`` and every b[:j]."""
+    bits = growth(a, b, False)[0]
+    return [0, *accumulate((bits >> j & 1) ^ 1 for j in range(len(b)))] if len(b) < 64 else [0, *accumulate(1 if c == "0" else 0 for c in reversed(f"{bits:0{len(b)}b}"))]
+
+
+def common(a: list[int], b: list[int]) -> list[bool]:
+    """For each element of ``a``, whether a longest common subsequence of ``a`` and
+    ``b`` has it.  Alignments of over ``CELLS`` cells are halved (Hirschberg, 1975),
+    so memory grows with a + b."""
+    n, m = len(a), len(b)
+    start, stop = 0, 0
+    while start < min(n, m) and a[start] == b[start]:
+        start += 1
+    while stop < min(n, m) - start and a[n - 1 - stop] == b[m - 1 - stop]:
+        stop += 1
+    if start + stop:
+        return [True] * start + common_between(a[start : n - stop], b[start : m - stop]) + [True] * stop
+    return common_between(a, b)
+
+
+def common_between(a: list[int], b: list[int]) -> list[bool]:
+    n, m = len(a), len(b)
+    if not n or not m:
+        return [False] * n
+    if n > 1 and n * m > CELLS:
+        half = n // 2
+        ahead, back = lengths(a[:half], b), lengths(a[half:][::-1], b[::-1])
+        cut = max(range(m + 1), key=lambda j: ahead[j] + back[m - j])
+        return common(a[:half], b[:cut]) + common(a[half:], b[cut:])
+    rows = growth(a, b, True)
     length = lambda i, j: j - (rows[i] & ((1 << j) - 1)).bit_count()
     shared, i, j = [False] * n, n, m
     while i and j:
@@ -215,62 +270,119 @@ def common(a: list[int], b: list[int]) -> list[bool]:
     return shared
 
 
-def parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """(page_id, url, settled, lines) per row."""
+def near_length(a: str, b: str | None) -> int:
+    """Length of the common beginning of two paths; -1 where there is no other."""
+    if b is None:
+        return -1
+    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def deleted(keys: list[int], zones: list[int], path: str, neighbours: list[tuple[str | None, list[int] | None]]) -> list[int]:
+    """Places of the lines that differencing takes from a page's main text.
+    ``neighbours`` are the paths and lines of the pages before and after."""
+    has_article = MAIN_ZONE in zones
+    main = [i for i, z in enumerate(zones) if z == (MAIN_ZONE if has_article else OPEN_ZONE)]
+    others = [(p, k) for p, k in neighbours if k is not None]
+    if not main or not others:
+        return []
+    if not has_article:
+        nearest = max(others, key=lambda o: near_length(path, o[0]))
+        shared = common(keys, nearest[1])
+        gone = [i for i in main if shared[i]]
+        return gone if len(gone) < len(main) else []
+    if len(others) < 2:
+        return []
+    # An end line that one neighbour lacks is no furniture, whatever an alignment says.
+    if not any(all(keys[i] in k for _, k in others) for i in (main[0], main[-1])):
+        return []
+    both = [True] * len(keys)
+    for _, k in others:
+        shared = common(keys, k)
+        if 2 * sum(shared[i] for i in main) >= len(main):
+            return []
+        both = [x and y for x, y in zip(both, shared)]
+    ahead = list(takewhile(lambda i: both[i], main))
+    return sorted({*ahead, *takewhile(lambda i: both[i], reversed(main))})
+
+
+PRINTED = "host string, h1 bigint, h2 bigint, path string, page_id {}, keys array<bigint>, zones array<int>"
+
+
+def printed(pages: DataFrame) -> DataFrame:
+    """(host, h1, h2, path, page_id, keys, zones) per page of (host, h1, h2, path,
+    page_id, html): its lines' hashes and zones."""
     bounded_batches(pages.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [lines_of(h) for h in b.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array([s for _, s in got], pa.bool_()), pa.array([x for x, _ in got], pa.list_(pa.string()))], ["page_id", "url", "settled", "lines"])
+            got = [zoned(h)[0] for h in b.column(5).to_pylist()]
+            keys = pa.array([[line_key(x) for _, x in g] for g in got], pa.list_(pa.int64()))
+            zones = pa.array([[z for z, _ in g] for g in got], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], keys, zones], ["host", "h1", "h2", "path", "page_id", "keys", "zones"])
 
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    kind = rows.schema["page_id"].dataType.simpleString()
-    return rows.mapInArrow(work, f"page_id {kind}, url string, settled boolean, lines array<string>")
+    kind = pages.schema["page_id"].dataType.simpleString()
+    return pages.select("host", "h1", "h2", "path", "page_id", "html").mapInArrow(work, PRINTED.format(kind))
 
 
 def numbered(rows: DataFrame) -> DataFrame:
     """``rows`` (host, path, ...) in the order of (host, path, page_id), with seq
     and prev_seq, the number of the row before.  Order comes from range
-    partitions, so a hot host takes as many tasks as its rows need."""
+    partitions, so a hot host takes as many tasks as its rows need; only one number
+    per partition goes through the window."""
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
+    order = ("host", "path", "page_id", "h1", "h2")
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     placed = written(ordered.withColumn("seq", F.monotonically_increasing_id()), "ordered")
     part = F.shiftright("seq", 33)
     lasts = placed.groupBy(part.alias("part")).agg(F.max("seq").alias("last"), F.min("seq").alias("first"))
     before = lasts.select(F.col("first").alias("f"), F.lag("last").over(W.orderBy("part")).alias("before"))
-    out = placed.join(before, F.col("seq") == F.col("f"), "left")
+    out = placed.join(F.broadcast(before), F.col("seq") == F.col("f"), "left")
     return out.withColumn("prev_seq", F.when(F.col("f").isNull(), F.col("seq") - 1).otherwise(F.col("before"))).drop("f", "before")
 
 
-def differenced(rows: DataFrame) -> DataFrame:
-    """(page_id, url, lines) with lines shared with the nearest page deleted."""
-    bounded_batches(rows.sparkSession)
-    host, path = host_and_path(F.col("url"))
-    order = written(numbered(rows.select("page_id", "url", "lines", host.alias("host"), path.alias("path"))), "numbered")
-    other = order.select(F.col("seq").alias("o"), F.col("host").alias("oh"), F.col("lines").alias("ol"))
-    met = order.join(other, (F.col("prev_seq") == F.col("o")) & (F.col("host") == F.col("oh")), "left").select("page_id", "url", "lines", "host", "seq", "ol")
-    after = order.select(F.col("prev_seq").alias("p"), F.col("host").alias("ph"), F.col("lines").alias("pl"))
-    met = met.join(after, (F.col("seq") == F.col("p")) & (F.col("host") == F.col("ph")), "left").select("page_id", "url", "lines", F.coalesce("ol", "pl").alias("other"))
+def decisions(prints: DataFrame) -> DataFrame:
+    """(host, h1, h2, gone) of the pages whose text differencing changes: ``gone`` are
+    the places of lines."""
+    pages = prints.groupBy("host", F.xxhash64("keys", "zones").alias("lines")).agg(F.min(F.struct("path", "page_id", "h1", "h2", "keys", "zones")).alias("p"))
+    pages = pages.select("host", "p.path", "p.page_id", "p.h1", "p.h2", "p.keys", "p.zones", "lines")
+    order = written(numbered(pages), "numbered")
+    side = lambda s, seq: order.select(F.col(seq).alias(f"{s}seq"), F.col("host").alias(f"{s}host"), F.col("path").alias(f"{s}path"), F.col("keys").alias(f"{s}keys"))
+    met = order.join(side("b", "seq"), (F.col("prev_seq") == F.col("bseq")) & (F.col("host") == F.col("bhost")), "left")
+    met = met.join(side("a", "prev_seq"), (F.col("seq") == F.col("aseq")) & (F.col("host") == F.col("ahost")), "left")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for own, near in zip(b.column("lines").to_pylist(), b.column("other").to_pylist()):
-                shared = common([*map(line_key, own)], [*map(line_key, near)]) if near else [False] * len(own)
-                out.append(own if all(shared) else [x for x, s in zip(own, shared) if not s])
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.list_(pa.string()))], ["page_id", "url", "lines"])
+            found = [deleted(keys, zones, path, [(bp, bk), (ap, ak)]) for path, keys, zones, bp, bk, ap, ak in zip(*(c.to_pylist() for c in b.columns[2:]))]
+            held = pa.array([bool(x) for x in found])
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(found, pa.list_(pa.int32()))], ["host", "lines", "gone"]).filter(held)
 
-    kind = rows.schema["page_id"].dataType.simpleString()
-    return met.mapInArrow(work, f"page_id {kind}, url string, lines array<string>")
+    found = met.select("host", "lines", "path", "keys", "zones", "bpath", "bkeys", "apath", "akeys").mapInArrow(work, "host string, lines bigint, gone array<int>")
+    of = written(found, "decisions").select(F.col("host").alias("dhost"), F.col("lines").alias("dlines"), "gone")
+    each = prints.select("host", "h1", "h2", F.xxhash64("keys", "zones").alias("lines"))
+    met = each.join(small(of), (F.col("host") == F.col("dhost")) & (F.col("lines") == F.col("dlines")))
+    return met.select("host", "h1", "h2", "gone").dropDuplicates(["host", "h1", "h2"])
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row of ``pages``: page_id, url, text, n_chars."""
-    rows = written(parsed(pages, id_col, url_col, html_col), "lines")
-    done = rows.where("settled").select("page_id", "url", "lines")
-    rest = rows.where("not settled").select("page_id", "url", "lines")
-    if not rest.isEmpty():
-        done = done.unionByName(differenced(rest))
-    return done.select("page_id", "url", F.array_join("lines", "\n").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    host, path = host_and_path(F.col(url_col))
+    html = F.col(html_col)
+    hashes = [F.xxhash64(F.lit(s), html).alias(f"h{s}") for s in (1, 2)]
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), host.alias("host"), path.alias("path"), *hashes)
+    prints = written(printed(rows), "lines")
+    gone = written(decisions(prints), "gone")
+    gone = small(gone.select(F.col("host").alias("ghost"), F.col("h1").alias("g1"), F.col("h2").alias("g2"), "gone"))
+    met = rows.join(gone, (F.col("host") == F.col("ghost")) & (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = []
+            for page, taken in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                lines, has_article = zoned(page)
+                zone, taken = MAIN_ZONE if has_article else OPEN_ZONE, set(taken or ())
+                texts.append("\n".join(x for i, (z, x) in enumerate(lines) if z == zone and i not in taken))
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+    kind = rows.schema["page_id"].dataType.simpleString()
+    return met.select("page_id", "url", "html", "gone").mapInArrow(work, f"page_id {kind}, url string, text string, n_chars bigint")
