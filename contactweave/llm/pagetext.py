@@ -8,9 +8,9 @@ those of the pages before and after it by longest common subsequence.
 
 On a page without an article, the lines that it shares with the nearer of the two (the
 longer common path) are deleted.  Articles quote each other, so in an article a shared
-line is deleted only as furniture: it stands in the run of shared lines at the article's
-beginning or end, and both neighbours share it, neither of which has half of the
-article's lines.  Pages with the same lines in a host are one page here, so copies are
+line is deleted only as furniture: it stands in the run of lines with which this article
+and those of both neighbours begin or end alike, neither neighbour has half of the
+article's lines, and at least half of the host's pages hold the line.  Pages with the same lines in a host are one page here, so copies are
 not each other's neighbours; a page all of whose lines would go keeps them.
 
 Only line hashes are shuffled and aligned.  Pages are parsed again to write the text,
@@ -277,12 +277,12 @@ def near_length(a: str, b: str | None) -> int:
     return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
-def deleted(keys: list[int], zones: list[int], path: str, neighbours: list[tuple[str | None, list[int] | None]]) -> list[int]:
+def deleted(keys: list[int], zones: list[int], path: str, neighbours: list[tuple[str | None, list[int] | None, list[int] | None]]) -> list[int]:
     """Places of the lines that differencing takes from a page's main text.
-    ``neighbours`` are the paths and lines of the pages before and after."""
+    ``neighbours`` are the paths, lines and zones of the pages before and after."""
     has_article = MAIN_ZONE in zones
     main = [i for i, z in enumerate(zones) if z == (MAIN_ZONE if has_article else OPEN_ZONE)]
-    others = [(p, k) for p, k in neighbours if k is not None]
+    others = [n for n in neighbours if n[1] is not None]
     if not main or not others:
         return []
     if not has_article:
@@ -292,17 +292,13 @@ def deleted(keys: list[int], zones: list[int], path: str, neighbours: list[tuple
         return gone if len(gone) < len(main) else []
     if len(others) < 2:
         return []
-    # An end line that one neighbour lacks is no furniture, whatever an alignment says.
-    if not any(all(keys[i] in k for _, k in others) for i in (main[0], main[-1])):
+    own = [keys[i] for i in main]
+    articles = [[k for k, z in zip(o[1], o[2]) if z == MAIN_ZONE] for o in others]
+    alike = lambda step: [i for i, _ in takewhile(lambda x: x[1].count(x[1][0]) == 3, zip(main[::step], zip(own[::step], *(a[::step] for a in articles))))]
+    gone = {*alike(1), *alike(-1)}
+    if not gone or any(2 * sum(common(own, a)) >= len(own) for a in articles):
         return []
-    both = [True] * len(keys)
-    for _, k in others:
-        shared = common(keys, k)
-        if 2 * sum(shared[i] for i in main) >= len(main):
-            return []
-        both = [x and y for x, y in zip(both, shared)]
-    ahead = list(takewhile(lambda i: both[i], main))
-    return sorted({*ahead, *takewhile(lambda i: both[i], reversed(main))})
+    return sorted(gone)
 
 
 PRINTED = "host string, h1 bigint, h2 bigint, path string, page_id {}, keys array<bigint>, zones array<int>"
@@ -347,23 +343,41 @@ def decisions(prints: DataFrame) -> DataFrame:
     pages = prints.groupBy("host", F.xxhash64("keys", "zones").alias("lines")).agg(F.min(F.struct("path", "page_id", "h1", "h2", "keys", "zones")).alias("p"))
     pages = pages.select("host", "p.path", "p.page_id", "p.h1", "p.h2", "p.keys", "p.zones", "lines")
     order = written(numbered(pages), "numbered")
-    side = lambda s, seq: order.select(F.col(seq).alias(f"{s}seq"), F.col("host").alias(f"{s}host"), F.col("path").alias(f"{s}path"), F.col("keys").alias(f"{s}keys"))
+    side = lambda s, seq: order.select(F.col(seq).alias(f"{s}seq"), F.col("host").alias(f"{s}host"), F.col("path").alias(f"{s}path"), F.col("keys").alias(f"{s}keys"), F.col("zones").alias(f"{s}zones"))
     met = order.join(side("b", "seq"), (F.col("prev_seq") == F.col("bseq")) & (F.col("host") == F.col("bhost")), "left")
     met = met.join(side("a", "prev_seq"), (F.col("seq") == F.col("aseq")) & (F.col("host") == F.col("ahost")), "left")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [deleted(keys, zones, path, [(bp, bk), (ap, ak)]) for path, keys, zones, bp, bk, ap, ak in zip(*(c.to_pylist() for c in b.columns[2:]))]
+            found = [deleted(keys, zones, path, [(bp, bk, bz), (ap, ak, az)]) for path, keys, zones, bp, bk, bz, ap, ak, az in zip(*(c.to_pylist() for c in b.columns[2:]))]
             held = pa.array([bool(x) for x in found])
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(found, pa.list_(pa.int32()))], ["host", "lines", "gone"]).filter(held)
-
-    found = met.select("host", "lines", "path", "keys", "zones", "bpath", "bkeys", "apath", "akeys").mapInArrow(work, "host string, lines bigint, gone array<int>")
-    of = written(found, "decisions").select(F.col("host").alias("dhost"), F.col("lines").alias("dlines"), "gone")
+            said = [[keys[i] for i in x] for x, keys in zip(found, b.column("keys").to_pylist())]
+            article = pa.array([MAIN_ZONE in z for z in b.column("zones").to_pylist()])
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], article, pa.array(found, pa.list_(pa.int32())), pa.array(said, pa.list_(pa.int64()))], ["host", "lines", "article", "gone", "said"]).filter(held)
+
+    found = met.select("host", "lines", "path", "keys", "zones", "bpath", "bkeys", "bzones", "apath", "akeys", "azones").mapInArrow(work, "host string, lines bigint, article boolean, gone array<int>, said array<bigint>")
+    found = written(found, "decisions")
+    in_article = written(furniture(order, found.where("article")), "furniture")
+    of = found.where("not article").select("host", "lines", "gone").unionByName(in_article)
+    of = of.select(F.col("host").alias("dhost"), F.col("lines").alias("dlines"), "gone")
     each = prints.select("host", "h1", "h2", F.xxhash64("keys", "zones").alias("lines"))
     met = each.join(small(of), (F.col("host") == F.col("dhost")) & (F.col("lines") == F.col("dlines")))
     return met.select("host", "h1", "h2", "gone").dropDuplicates(["host", "h1", "h2"])
 
 
+def furniture(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """(host, lines, gone) of decisions, with the lines that at least half of the host's
+    pages hold."""
+    each = found.select("host", "lines", F.explode(F.arrays_zip("gone", "said")).alias("x")).select("host", "lines", "x.gone", "x.said")
+    asked = small(written(each.select(F.col("host").alias("ahost"), F.col("said").alias("asaid")).distinct(), "asked"))
+    held = pages.select("host", F.explode(F.array_distinct("keys")).alias("key")).join(asked, (F.col("host") == F.col("ahost")) & (F.col("key") == F.col("asaid")))
+    n = held.groupBy(F.col("host").alias("fhost"), "key").agg(F.count(F.lit(1)).alias("n"))
+    total = pages.join(asked.select("ahost").distinct(), F.col("host") == F.col("ahost"), "left_semi").groupBy(F.col("host").alias("thost")).agg(F.count(F.lit(1)).alias("total"))
+    common_ = n.join(total, F.col("fhost") == F.col("thost")).where(2 * F.col("n") >= F.col("total")).select("fhost", "key")
+    met = each.join(common_, (F.col("host") == F.col("fhost")) & (F.col("said") == F.col("key")))
+    return met.groupBy("host", "lines").agg(F.collect_list("gone").alias("gone"))
+
+
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row of ``pages``: page_id, url, text, n_chars."""
     host, path = host_and_path(F.col(url_col))
