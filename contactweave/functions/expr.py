@@ -1,8 +1,10 @@
 """Python-style row conditions compiled to Catalyst columns.
 
-A condition is parsed with Python's own grammar and compiled by static types (int,
-float, str, bool, list), so that comparisons, floor division, remainders and
-truth values follow Python and never Spark's implicit casts.
+A condition is cut into tokens, parsed by Python's precedence into its syntax nodes and
+compiled by static types (int, float, str, bool, list), so that comparisons, floor
+division, remainders, powers and truth values follow Python and never Spark's implicit
+casts.  ``&&``, ``||`` and ``!`` stand for and, or and not; in strings, backslashes
+before other characters than n, t, quotes and backslashes stay, as patterns need them.
 """
 
 from __future__ import annotations
@@ -21,9 +23,142 @@ INT_COLUMNS = ("pos1", "pos2", "mapq1", "mapq2")
 _CASTS = {"int": "bigint", "float": "double", "str": "string"}
 
 
+_TOKEN = re.compile(
+    r"""\s*(?:(?P<number>(?:[0-9][0-9_]*\.?[0-9_]*|\.[0-9][0-9_]*)(?:[eE][+-]?[0-9]+)?)|(?P<name>[A-Za-z_][A-Za-z0-9_]*)"""
+    r"""|(?P<string>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(?P<op>\*\*|//|[=!<>]=|&&|\|\||[-+*/%<>!()\[\],]))""",
+    re.S,
+)
+_ESCAPED = {"n": "\n", "t": "\t", "\\": "\\", "'": "'", '"': '"'}
+_WORDS = {"&&": "and", "||": "or", "!": "not"}
+_COMPARE = {"==": ast.Eq, "!=": ast.NotEq, "<": ast.Lt, "<=": ast.LtE, ">": ast.Gt, ">=": ast.GtE}
+_LEVELS = ({"+": ast.Add, "-": ast.Sub}, {"*": ast.Mult, "/": ast.Div, "//": ast.FloorDiv, "%": ast.Mod})
+
+
+def tokens(text: str) -> list[tuple[str, object]]:
+    """(kind, value) of a condition's tokens: number, name, string, op and end."""
+    out, at = [], 0
+    text = text.rstrip()
+    while at < len(text):
+        m = _TOKEN.match(text, at)
+        if not m:
+            what = "unterminated string" if text[at:].lstrip()[0] in "'\"" else "unexpected character"
+            raise PairsError(f"bad condition: {what} at {text[at:].lstrip()[:10]!r}")
+        kind, raw, at = m.lastgroup, m[m.lastgroup], m.end()
+        if kind == "number":
+            digits = raw.replace("_", "")
+            try:
+                out.append((kind, float(digits) if re.search(r"[.eE]", digits) else int(digits)))
+            except ValueError as e:
+                raise PairsError(f"bad number {raw!r}") from e
+        elif kind == "string":
+            out.append((kind, re.sub(r"\\(.)", lambda m: _ESCAPED.get(m[1], m[0]), raw[1:-1], flags=re.S)))
+        else:
+            word = _WORDS.get(raw, raw)
+            out.append(("op" if word in ("and", "or", "not", "in") else kind, word))
+    return [*out, ("end", "the end")]
+
+
+class Parser:
+    """Syntax nodes of a condition, loosest operators first."""
+
+    def __init__(self, text: str):
+        self.tokens, self.at = tokens(text), 0
+
+    def next(self, *ops: str) -> str | None:
+        """The next token if it is one of these operators, passed over."""
+        kind, value = self.tokens[self.at]
+        if kind != "op" or value not in ops:
+            return None
+        self.at += 1
+        return value
+
+    def need(self, op: str) -> None:
+        if not self.next(op):
+            raise PairsError(f"bad condition: {op!r} expected at {self.tokens[self.at][1]!r}")
+
+    def whole(self) -> ast.expr:
+        out = self.either()
+        if self.tokens[self.at][0] != "end":
+            raise PairsError(f"bad condition: {self.tokens[self.at][1]!r} is left over")
+        return out
+
+    def joined(self, word: str, op: ast.boolop, part) -> ast.expr:
+        values = [part()]
+        while self.next(word):
+            values.append(part())
+        return ast.BoolOp(op, values) if len(values) > 1 else values[0]
+
+    def either(self) -> ast.expr:
+        return self.joined("or", ast.Or(), lambda: self.joined("and", ast.And(), self.negated))
+
+    def negated(self) -> ast.expr:
+        return ast.UnaryOp(ast.Not(), self.negated()) if self.next("not") else self.compared()
+
+    def compared(self) -> ast.expr:
+        left, ops, others = self.chain(0), [], []
+        while True:
+            if op := self.next(*_COMPARE):
+                ops.append(_COMPARE[op]())
+            elif self.next("in"):
+                ops.append(ast.In())
+            elif self.tokens[self.at] == ("op", "not") and self.tokens[self.at + 1] == ("op", "in"):
+                self.at += 2
+                ops.append(ast.NotIn())
+            else:
+                return ast.Compare(left, ops, others) if ops else left
+            others.append(self.chain(0))
+
+    def chain(self, level: int) -> ast.expr:
+        if level == len(_LEVELS):
+            return self.signed()
+        out = self.chain(level + 1)
+        while op := self.next(*_LEVELS[level]):
+            out = ast.BinOp(out, _LEVELS[level][op](), self.chain(level + 1))
+        return out
+
+    def signed(self) -> ast.expr:
+        if op := self.next("+", "-"):
+            return ast.UnaryOp(ast.UAdd() if op == "+" else ast.USub(), self.signed())
+        base = self.atom()
+        return ast.BinOp(base, ast.Pow(), self.signed()) if self.next("**") else base
+
+    def listed(self, end: str) -> list[ast.expr]:
+        out: list[ast.expr] = []
+        while not self.next(end):
+            out.append(self.either())
+            if not self.next(","):
+                self.need(end)
+                break
+        return out
+
+    def atom(self) -> ast.expr:
+        kind, value = self.tokens[self.at]
+        if self.next("("):
+            out = self.either()
+            self.need(")")
+            return out
+        if self.next("["):
+            return ast.List(self.listed("]"))
+        if kind not in ("number", "string", "name"):
+            raise PairsError(f"bad condition: unexpected {value!r}")
+        self.at += 1
+        if kind != "name" or value in ("True", "False"):
+            return ast.Constant(value == "True" if kind == "name" else value)
+        if self.next("("):
+            return ast.Call(ast.Name(value), self.listed(")"), [])
+        if value == "COLS":
+            self.need("[")
+            place = self.either()
+            self.need("]")
+            return ast.Subscript(ast.Name(value), place)
+        return ast.Name(value)
+
+
 @dataclass
 class Typed:
-    """A compiled part: its type, its column, and its value if it is a literal."""
+    """A compiled part: its type, its column, and its value if it is a literal.  The
+    type is ``mixed`` for and or or of parts of several types, which has a truth value
+    and no other."""
 
     kind: str
     column: Column | None
@@ -34,8 +169,21 @@ def _number(t: Typed) -> Column:
     return t.column.cast("bigint") if t.kind == "bool" else t.column
 
 
+def settled(*parts: Typed) -> None:
+    if any(p.kind == "mixed" for p in parts):
+        raise Unsupported("the value of and or or over parts of several types")
+
+
+def exact_power(x: Column, n: Column) -> Column:
+    """x ** n of integers; an error where it overflows or n is negative."""
+    few = F.when(F.abs(x) <= 1, F.when(n == 0, n).otherwise(2 - n % 2)).otherwise(F.least(n, F.lit(64).cast("bigint")))
+    few = F.when(n < 0, F.raise_error(F.lit("a column's negative power"))).otherwise(few)
+    factors = F.when(few > 0, F.sequence(F.lit(1).cast("bigint"), few)).otherwise(F.array().cast("array<bigint>"))
+    return F.aggregate(factors, F.lit(1).cast("bigint"), lambda product, _: product * x)
+
+
 def truth(t: Typed) -> Column:
-    if t.kind == "bool":
+    if t.kind in ("bool", "mixed"):
         return t.column
     if t.kind == "str":
         return t.column != ""
@@ -45,6 +193,9 @@ def truth(t: Typed) -> Column:
 
 
 def compare(op: ast.cmpop, a: Typed, b: Typed) -> Column:
+    settled(a, b)
+    if "list" in (a.kind, b.kind):
+        raise Unsupported("comparison of lists")
     if (a.kind == "str") != (b.kind == "str"):
         if isinstance(op, (ast.Eq, ast.NotEq)):
             return F.lit(isinstance(op, ast.NotEq))
@@ -63,6 +214,7 @@ def compare(op: ast.cmpop, a: Typed, b: Typed) -> Column:
 
 
 def member(a: Typed, b: Typed) -> Column:
+    settled(a, b)
     if b.kind == "list":
         out = F.lit(False)
         for item in b.value:
@@ -74,6 +226,7 @@ def member(a: Typed, b: Typed) -> Column:
 
 
 def arithmetic(op: ast.operator, a: Typed, b: Typed) -> Typed:
+    settled(a, b)
     if a.kind == b.kind == "str" and isinstance(op, ast.Add):
         return Typed("str", F.concat(a.column, b.column))
     if "str" in (a.kind, b.kind) or "list" in (a.kind, b.kind):
@@ -101,10 +254,15 @@ def arithmetic(op: ast.operator, a: Typed, b: Typed) -> Typed:
         q, r = F.call_function("div", x, y), x % y
         return Typed("int", zero(F.when((r != 0) & ((r < 0) != (y < 0)), q - 1).otherwise(q)))
     if isinstance(op, ast.Pow):
-        power = F.pow(x, y)
-        if whole and b.value is not None and b.value >= 0:
-            return Typed("int", power.cast("bigint"))
-        return Typed("float", power)
+        if not whole or (b.value is not None and b.value < 0):
+            return Typed("float", F.pow(x.cast("double"), y.cast("double")))
+        if a.value is None or b.value is None:
+            return Typed("int", exact_power(x, y))
+        # Powers past 64 bits need no working out to be errors.
+        value = int(a.value) ** int(b.value) if abs(a.value) <= 1 or b.value < 64 else 1 << 64
+        if not -(1 << 63) <= value < 1 << 63:
+            raise PairsError("integer overflow")
+        return Typed("int", F.lit(value).cast("bigint"), value)
     raise Unsupported(f"operator {type(op).__name__}")
 
 
@@ -155,7 +313,10 @@ class Compiler(ast.NodeVisitor):
 
     def visit_Subscript(self, node):
         if isinstance(node.value, ast.Name) and node.value.id == "COLS" and isinstance(node.slice, ast.Constant):
-            return self.column(self.columns[node.slice.value])
+            at = node.slice.value
+            if not isinstance(at, int) or not 0 <= at < len(self.columns):
+                raise PairsError(f"COLS has {len(self.columns)} columns")
+            return self.column(self.columns[at])
         raise Unsupported("only COLS[i] can be indexed")
 
     def visit_BoolOp(self, node):
@@ -165,7 +326,7 @@ class Compiler(ast.NodeVisitor):
             out = truth(parts[0])
             for p in parts[1:]:
                 out = out & truth(p) if both else out | truth(p)
-            return Typed("bool", out)
+            return Typed("bool" if all(p.kind == "bool" for p in parts) else "mixed", out)
         out = parts[-1].column
         for p in reversed(parts[:-1]):
             out = F.when(truth(p), out if both else p.column).otherwise(p.column if both else out)
@@ -175,7 +336,8 @@ class Compiler(ast.NodeVisitor):
         if isinstance(node.op, ast.Not):
             return Typed("bool", ~truth(self.visit(node.operand)))
         t = self.visit(node.operand)
-        if t.kind == "str":
+        settled(t)
+        if t.kind in ("str", "list"):
             raise PairsError("a string has no sign")
         kind = "float" if t.kind == "float" else "int"
         if isinstance(node.op, ast.UAdd):
@@ -205,8 +367,11 @@ class Compiler(ast.NodeVisitor):
             raise PairsError(f"unknown function {name!r}")
         if not args or arity.get(name, len(args)) != len(args):
             raise PairsError(f"{name} takes {arity.get(name, 'one or more')} argument(s)")
+        settled(*args)
         first = args[0]
         if name == "abs":
+            if first.kind in ("str", "list"):
+                raise PairsError("abs needs a number")
             return Typed("float" if first.kind == "float" else "int", F.abs(_number(first)))
         if name == "len":
             return Typed("int", F.lit(len(first.value)).cast("bigint") if first.kind == "list" else F.octet_length(first.column).cast("bigint"))
@@ -244,11 +409,5 @@ class Compiler(ast.NodeVisitor):
 
 def compile_condition(condition: str, df: DataFrame, types: dict[str, str] | None = None) -> Column:
     """The condition as a boolean column over ``df``."""
-    text = condition.strip().replace("&&", " and ").replace("||", " or ")
-    text = re.sub(r"!(?!=)", " not ", text) if not re.search(r"['\"][^'\"]*!", text) else text
-    try:
-        tree = ast.parse(text, mode="eval")
-    except SyntaxError as e:
-        raise PairsError(f"bad condition: {e.msg}") from e
     own = [c for c in df.columns if c not in ("seq", "_rest")]
-    return truth(Compiler(own, types or {}).visit(tree))
+    return truth(Compiler(own, types or {}).visit(Parser(condition).whole()))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame
@@ -9,10 +10,15 @@ from pyspark.sql import functions as F
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """``df`` as a Parquet table in the folder that ``spark.checkpoint.dir`` names
-    (below the warehouse where it is unset), read again."""
+    """``df`` as a Parquet table in the folder that ``spark.checkpoint.dir`` names,
+    read again.  A local session without one takes a folder below the warehouse; any
+    other needs one that all machines share."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

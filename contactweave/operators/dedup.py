@@ -122,8 +122,7 @@ def mark_duplicates(df: DataFrame, max_mismatch: int = 3, metric: str = "max", c
     extra = [c for a, b in extra_pairs or [] for c in dict.fromkeys((a, b))]
     keys = [*KEYS, *extra]
     rows = df.where(mapped())
-    firsts = rows.groupBy(*keys, "pos1", "pos2").agg(F.min(order).alias("first"))
-    same = lambda t: [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) if k in extra else F.col(f"l.{k}") == F.col(f"r.{k}") for k in (*keys, "pos1", "pos2")]  # noqa: E731, ARG005
+    firsts = rows.groupBy(*keys, "pos1", "pos2").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies"))
     if max_mismatch > 0:
         firsts = written(firsts, "points")
         edges = written(near_points(firsts, keys, max_mismatch, metric), "near")
@@ -134,14 +133,15 @@ def mark_duplicates(df: DataFrame, max_mismatch: int = 3, metric: str = "max", c
         firsts = firsts.join(found, F.col("first") == F.col("node"), "left").withColumn("root", F.coalesce("parent", "first")).drop("node", "parent")
     else:
         firsts = firsts.withColumn("root", F.col("first"))
-    on = None
-    for c in same(None):
-        on = c if on is None else on & c
-    met = df.alias("l").join(firsts.alias("r"), on & mapped_left(), "left")
-    dup = F.col("r.root") != F.col(f"l.{order}")
-    outcome = F.when(F.col("r.root").isNull(), "unmapped").when(dup, "dup").otherwise("kept")
+    # Only points with duplicates are joined back, so rows whose place is their own are
+    # not dealt by it where those points are few enough to broadcast.
+    shared = written(firsts.where("copies > 1 or root <> first").drop("first", "copies"), "shared")
+    placed = F.coalesce((F.col("l.chrom1") != UNMAPPED_CHROM) & (F.col("l.chrom2") != UNMAPPED_CHROM), F.lit(False))
+    on = placed
+    for k in (*keys, "pos1", "pos2"):
+        left, right = F.col(f"l.{k}"), F.col(f"r.{k}")
+        on = on & (left.eqNullSafe(right) if k in extra else left == right)
+    met = df.alias("l").join(shared.alias("r"), on, "left")
+    dup = F.coalesce(F.col("r.root") != F.col(f"l.{order}"), F.lit(False))
+    outcome = F.when(~placed, "unmapped").when(dup, "dup").otherwise("kept")
     return met.select("l.*", outcome.alias("outcome"), F.when(dup, F.col("r.root")).alias("parent"))
-
-
-def mapped_left() -> Column:
-    return (F.col("l.chrom1") != UNMAPPED_CHROM) & (F.col("l.chrom2") != UNMAPPED_CHROM)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from contactweave.functions import ordering
 from contactweave.functions.graph import written
 from contactweave.operators import basic, binning, dedup, stats
 from contactweave.operators.process import numbered
@@ -13,9 +13,10 @@ from contactweave.operators.process import numbered
 CHROMS = [f"chr{i}" for i in range(1, 13)]
 SIZES = dict.fromkeys(CHROMS, 1_000_000)
 
-ADAPTER = """
-WITH l AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
-        l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS seq FROM lineitem),
+LINE_COLUMNS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+NUMBERED = f"SELECT *, row_number() OVER (ORDER BY {', '.join(LINE_COLUMNS)}) AS seq FROM lineitem"
+VIEW = """
+WITH l AS ({lines}),
 s AS (SELECT CAST(seq AS BIGINT) AS seq, 'r' || CAST(seq AS STRING) AS readID,
   CASE WHEN l_suppkey % 25 = 0 THEN '!' ELSE 'chr' || CAST(l_suppkey % 12 + 1 AS STRING) END AS ca,
   CASE WHEN l_suppkey % 25 = 0 AND l_linenumber = 7 THEN '!'
@@ -32,17 +33,27 @@ SELECT seq, readID, ca AS chrom1, CASE WHEN ca='!' THEN 0 ELSE {p}a END AS pos1,
        CASE WHEN ca='!' THEN '-' ELSE sa END AS strand1, CASE WHEN cb='!' THEN '-' ELSE sb END AS strand2,
        (CASE WHEN ca='!' THEN 'N' ELSE 'U' END) || (CASE WHEN cb='!' THEN 'N' ELSE tb END) AS pair_type,
        mapq1, mapq2 FROM s"""
+#: Numbered tables by application and folder.
+_numbered: dict[tuple[str, str], DataFrame] = {}
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lineitem`` with ``seq``, its place in the order of all columns; worked out once
+    per table and application."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _numbered:
+        _numbered[key] = written(ordering.ranked(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), LINE_COLUMNS, "seq"), "lines")
+    return _numbered[key]
 
 
 def pairs(spark: SparkSession, sf_dir: str, flavour: str) -> DataFrame:
     """The adapter view, with narrow (``n``) or wide (``w``) positions."""
-    text = ADAPTER.format(p=flavour).replace("FROM lineitem", "FROM {lineitem}")
-    return spark.sql(text, lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    return spark.sql(VIEW.format(lines="SELECT * FROM {lines}", p=flavour), lines=lines(spark, sf_dir))
 
 
 def sort_rank(spark, sf_dir):
     df = pairs(spark, sf_dir, "w")
-    return basic.sort_pairs(df).select("readID", F.row_number().over(W.orderBy(*basic.sort_keys(df))).cast("long").alias("sort_rank"))
+    return ordering.ranked(df, basic.sort_keys(df), "sort_rank").select("readID", "sort_rank")
 
 
 def flip(spark, sf_dir):
@@ -118,8 +129,7 @@ def stats_convergence(spark, sf_dir):
 
 def dedup_query(name: str, flavour: str = "n", **options):
     def query(spark, sf_dir):
-        # The view's one-partition numbering is worked out once, not per use.
-        return dedup.mark_duplicates(written(pairs(spark, sf_dir, flavour), "pairs"), **options).select("readID", "outcome", "parent")
+        return dedup.mark_duplicates(pairs(spark, sf_dir, flavour), **options).select("readID", "outcome", "parent")
 
     query.__name__ = name
     return query
@@ -149,7 +159,7 @@ def bin_table(spark, sf_dir):
 
 def process_fused(spark, sf_dir):
     """Flip, mark duplicates, and bin the pairs that stay."""
-    flipped = written(basic.flip_pairs(pairs(spark, sf_dir, "n"), CHROMS), "pairs")
+    flipped = basic.flip_pairs(pairs(spark, sf_dir, "n"), CHROMS)
     kept = dedup.mark_duplicates(flipped, max_mismatch=0).where("outcome = 'kept'")
     return binning.bin_contacts(binning.accepted(kept), SIZES, [100]).drop("resolution")
 
@@ -185,7 +195,7 @@ QUERIES |= {
     }.items()
 }
 
-_W, _N = ADAPTER.format(p="w"), ADAPTER.format(p="n")
+_W, _N = VIEW.format(lines=NUMBERED, p="w"), VIEW.format(lines=NUMBERED, p="n")
 _COLUMNS = "readID, chrom1, pos1, chrom2, pos2, strand1, strand2, pair_type, mapq1, mapq2"
 _EDGES = "(SELECT unnest([" + ", ".join(map(str, stats.bin_edges())) + "]) AS e)"
 _MAPPED = "chrom1 <> '!' AND chrom2 <> '!'"

@@ -89,6 +89,10 @@ CONDITIONS = [
     ("2 ** 3 ** 2 == 512", True), ("not 0", True), ("'b' in 'abc'", True), ("'x' not in ['a', 'b']", True), ("len('\u00e9') == 2", True),
     ("int('-7') + 1 == -6", True), ("min(3, 1, 2) == 1", True), ("regex_match('chr1', 'chr')", False), ("wildcard_match('UU', 'U?')", True),
     ("csv_match('a', 'b,a')", True), ("float('nan') == float('nan')", False), ("7 / 2 == 3.5", True), ("True + 1 == 2", True),
+    (r"regex_match('chr1', '\bchr\d\b')", True), ("'a&&b' == 'a&&b' && !(1 == 2)", True), ("!(readID == 'b') and readID != '!'", True), ("3 ** 35 == 50031545098999707", True),
+    ("(pos1 + 2) ** 39 == 4052555153018976267", True), ("pos1 ** 10000 == 1 and (pos1 - 2) ** 10001 == -1", True), ("2 ** -1 == 0.5", True), ("1_000 == 1e3 and .5 == 5e-1", True),
+    ("COLS[1] == 1 and COLS[0] == 'a'", True), ("'a' + 'b' == 'ab' and 'x' not in 'abc'", True), ("[1, 2,] and not []", True), ("(readID or 'z') == 'a'", True),
+    ("'it\\'s' == \"it's\" and '\\t' != 't'", True), ("-2 ** 2 == -4 and not 1 > 2 or False", True), ("readID and pos1", True), ("min(pos1, 2.5) == 1 and abs(-pos1) == 1", True),
 ]
 
 
@@ -96,11 +100,15 @@ def test_conditions_follow_python(spark):
     df = spark.createDataFrame([("a", 1)], "readID string, pos1 long")
     for text, want in CONDITIONS:
         assert (basic.select_pairs(df, text)[0].count() == 1) is want, text
-    for bad in ("nope == 1", "'a' < 1", "abs()", "foo(1)"):
+    for bad in ("nope == 1", "'a' < 1", "abs()", "foo(1)", "1 +", "(1", "'open", "a = 1", "1 2", "9 ** 40", "1.2.3 > 0", "COLS[7] == 1", "99999999999999999999 > 1", "abs('a') == 1", "# == 1"):
         with pytest.raises(PairsError):
             basic.select_pairs(df, bad)
-    with pytest.raises(Unsupported):
+    with pytest.raises(PairsError):
         basic.select_pairs(df, "(lambda: 1)()")
+    with pytest.raises(Unsupported):
+        basic.select_pairs(df, "(readID and pos1) == 'a'")
+    with pytest.raises(Exception, match="(?i)overflow"):
+        basic.select_pairs(df, "(pos1 + 9) ** 30 > 1")[0].count()
 
 
 def test_text_round_trip(spark, tmp_path):
