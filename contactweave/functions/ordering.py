@@ -29,3 +29,32 @@ def ranked(df: DataFrame, order: list[str], name: str) -> DataFrame:
     starts = F.broadcast(counts.select("_part", before.alias("_start")))
     place = F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << ROW_BITS) - 1)) + 1
     return placed.join(starts, part == F.col("_part")).withColumn(name, place).drop("_at", "_part", "_n", "_start")
+
+
+def edges(rows: DataFrame, part: str, order: str, **last) -> DataFrame:
+    """One row per split: its number, its first place, and for each of ``last`` the value
+    of the nearest split before it that has one."""
+    ends = rows.groupBy(part).agg(F.min(order).alias("_first"), *(c.alias(f"_{n}") for n, c in last.items()))
+    before = W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    carried = (F.last(f"_{n}", ignorenulls=True).over(before).alias(n) for n in last)
+    return F.broadcast(ends.select(F.col(part).alias("_p"), "_first", *carried))
+
+
+def with_previous(df: DataFrame, columns: list[str], name: str, order: str = "seq") -> DataFrame:
+    """``df`` with ``name``, a struct of ``columns`` of the row before in ``order``, whose
+    upper bits number input splits: a window within each, and their last rows between."""
+    rows = df.withColumn("_part", F.shiftright(order, ROW_BITS)).withColumn("_own", F.struct(*columns))
+    at = edges(rows, "_part", order, carried=F.max_by("_own", order))
+    rows = rows.withColumn(name, F.lag("_own").over(W.partitionBy("_part").orderBy(order))).join(at, F.col("_part") == F.col("_p"))
+    return rows.withColumn(name, F.when(F.col(order) == F.col("_first"), F.col("carried")).otherwise(F.col(name))).drop("_part", "_own", "_p", "_first", "carried")
+
+
+def with_runs(df: DataFrame, column: str, name: str, order: str = "seq") -> DataFrame:
+    """``df`` with ``name``, the place of the first row of its run of equal ``column``."""
+    rows = with_previous(df, [column], "_before", order)
+    new = F.col("_before").isNull() | ~F.col(column).eqNullSafe(F.col(f"_before.{column}"))
+    rows = rows.withColumn("_start", F.when(new, F.col(order))).withColumn("_part", F.shiftright(order, ROW_BITS))
+    at = edges(rows, "_part", order, begun=F.max("_start"))
+    within = F.max("_start").over(W.partitionBy("_part").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.withColumn(name, within).join(at, F.col("_part") == F.col("_p"))
+    return rows.withColumn(name, F.coalesce(name, "begun")).drop("_before", "_start", "_part", "_p", "_first", "begun")

@@ -2,82 +2,75 @@
 
 from __future__ import annotations
 
-import gzip
 import struct
+import sys
 import zlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactweave.model import STANDARD, Header, Pairs, PairsError, Unsupported
+from contactweave.model import STANDARD, Header, Pairs, PairsError, Unsupported, filesystem
+from contactweave.sources.raw import head_lines, sniff, text_lines  # noqa: F401
 
 BGZF_END = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 BGZF_BLOCK = 0xFF00
 _COMPRESSED = (".gz", ".bgz", ".bgzf")
 
 
-def sniff(path: str) -> str:
-    """Compression by content: ``plain``, ``gzip`` or ``bgzf``."""
-    with open(path, "rb") as f:
-        head = f.read(18)
-    if head[:4] == b"\x04\x22\x4d\x18":
-        raise Unsupported("LZ4 frames can't be read")
-    if head[:2] != b"\x1f\x8b":
-        return "plain"
-    return "bgzf" if len(head) == 18 and head[3] & 4 and head[12:14] == b"BC" else "gzip"
+def read_header(path: str, spark: SparkSession | None = None) -> Header:
+    """The leading ``#`` lines."""
+    return Header(head_lines(spark, path, "#"))
 
 
-def read_header(path: str) -> Header:
-    """The leading ``#`` lines."""
-    lines = []
-    with (gzip.open if sniff(path) != "plain" else open)(path, "rb") as f:
-        for raw in f:
-            if not raw.startswith(b"#"):
-                break
-            lines.append(raw.rstrip(b"\r\n").decode())
-    return Header(lines)
+def place(path: str) -> Column:
+    """Where a row of ``seq`` stands in the file: its line, or its split and line there."""
+    line = F.concat(F.lit("line "), (F.col("seq").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("string"))
+    split = F.concat(F.lit("split "), F.shiftright("seq", 33).cast("string"), F.lit(", "))
+    return F.concat(F.lit(f"{path}: "), F.when(F.shiftright("seq", 33) > 0, split).otherwise(F.lit("")), line)
 
 
-def _checked(column: Column, pattern: str, what: str) -> Column:
-    return F.when(column.rlike(pattern), column).otherwise(F.raise_error(F.concat(F.lit(f"bad {what}: "), F.coalesce(column, F.lit("(missing)")))))
+def _checked(column: Column, pattern: str, what: str, path: str) -> Column:
+    said = F.concat(place(path), F.lit(f", column {what}: bad value "), F.coalesce(column, F.lit("(missing)")))
+    return F.when(column.rlike(pattern), column).otherwise(F.raise_error(said))
 
 
 def read_pairs(spark: SparkSession, path: str, wide_positions: bool = False) -> Pairs:
     """Rows typed by the header's columns, with ``seq`` (order in the file) and
     ``_rest`` (fields beyond the named ones).  Positions are BIGINT, or
     DECIMAL(20,0) if ``wide_positions``; all further columns are strings."""
-    header = read_header(path)
+    header = read_header(path, spark)
     names = header.columns()
+    taken = {c for c in names if c in ("seq", "_rest")}
+    if taken:
+        raise PairsError(f"{path}: a column can't be named {', '.join(sorted(taken))}")
     for need in STANDARD[:7]:
         if need not in names:
             raise PairsError(f"column {need} is missing")
-    lines = spark.read.text(path if sniff(path) == "plain" or path.endswith(".gz") else _renamed(path))
-    lines = lines.select(F.regexp_replace("value", r"\r$", "").alias("line"), F.monotonically_increasing_id().alias("seq"))
+    lines = text_lines(spark, path)
     # Only the leading # lines are the header, and they are the file's first lines.
     body = lines.where((F.col("line") != "") & ~(F.col("line").startswith("#") & (F.col("seq") < len(header.lines))))
     parts = F.split("line", "\t", -1)
     least = max(names.index(c) for c in STANDARD if c in names and (c != "pair_type" or header.fields("columns"))) + 1
-    body = body.select("seq", F.when(F.size(parts) >= least, parts).otherwise(F.raise_error(F.concat(F.lit("too few fields: "), "line"))).alias("f"))
+    body = body.select("seq", F.when(F.size(parts) >= least, parts).otherwise(F.raise_error(F.concat(place(path), F.lit(": too few fields: "), "line"))).alias("f"))
     kind = "decimal(20,0)" if wide_positions else "bigint"
 
     def column(i: int, name: str) -> Column:
         value = F.get("f", F.lit(i))
         if name in ("pos1", "pos2"):
-            return _checked(value, r"\A[0-9]{1,20}\z", name).cast(kind)
+            return _checked(value, r"\A[0-9]{1,20}\z", name, path).cast(kind)
         if name in ("strand1", "strand2"):
-            return _checked(value, r"\A[+.\-]\z", name)
-        return _checked(value, r"(?s)\A.+\z", name) if name in ("chrom1", "chrom2") else value
+            return _checked(value, r"\A[+.\-]\z", name, path)
+        return _checked(value, r"(?s)\A.+\z", name, path) if name in ("chrom1", "chrom2") else value
 
     rest = F.when(F.size("f") > len(names), F.slice("f", len(names) + 1, F.size("f") - len(names))).otherwise(F.array().cast("array<string>"))
     return Pairs(header, body.select("seq", *(column(i, n).alias(n) for i, n in enumerate(names)), rest.alias("_rest")))
 
 
-def _renamed(path: str) -> str:
-    raise Unsupported(f"{path}: name gzip files *.gz; Spark picks its codec by name")
-
-
 def as_lines(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One ``value`` per row: the columns, and ``_rest`` if there is one, joined by tabs."""
+    """One ``value`` per row: the columns that aren't null, and ``_rest`` if there is one,
+    joined by tabs."""
     fields = F.array(*(F.col(f"`{c}`").cast("string") for c in columns))
     if "_rest" in df.columns:
         fields = F.concat(fields, F.col("_rest"))
@@ -95,21 +88,47 @@ def bgzf(data: bytes, level: int = 6) -> bytes:
     return b"".join(out)
 
 
-def write_pairs(pairs: Pairs, path: str, columns: list[str] | None = None) -> None:
-    """One local file in the DataFrame's order; rows stream through the driver.
-    Large results are better written as parts, by ``write_parts``."""
-    columns = columns or pairs.header.columns()
+def write_lines(lines: DataFrame, path: str, head: list[str] | None = None) -> int:
+    """One file of ``value`` lines in the DataFrame's order, after the ``head`` lines, by
+    path, URI or ``-`` for standard output; the name's ending says whether it is BGZF.
+    Tasks join and compress the lines; the driver only strings their pieces together.
+    Returns the number of lines after the head."""
     packed = path.lower().endswith(_COMPRESSED)
     if path.lower().endswith(".lz4"):
         raise Unsupported("LZ4 frames can't be written")
-    with open(path, "wb") as f:
-        held = b"".join(x.encode() + b"\n" for x in pairs.header.lines)
-        for row in as_lines(pairs.df, columns).toLocalIterator():
-            held += row["value"].encode() + b"\n"
-            if len(held) >= BGZF_BLOCK:
-                f.write(bgzf(held) if packed else held)
-                held = b""
-        f.write(bgzf(held) + BGZF_END if packed else held)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = "".join(f"{x}\n" for x in b.column(0).to_pylist()).encode()
+            yield pa.RecordBatch.from_arrays([pa.array([bgzf(data) if packed else data], pa.binary()), pa.array([b.num_rows], pa.int64())], ["data", "n"])
+
+    first, n = "".join(f"{x}\n" for x in head or []).encode(), 0
+
+    def pieces() -> Iterator[bytes]:
+        nonlocal n
+        yield bgzf(first) if packed else first
+        for row in lines.select("value").mapInArrow(work, "data binary, n bigint").toLocalIterator():
+            n += row["n"]
+            yield bytes(row["data"])
+        if packed:
+            yield BGZF_END
+
+    if path == "-":
+        for x in pieces():
+            sys.stdout.buffer.write(x)
+        sys.stdout.buffer.flush()
+        return n
+    files, at = filesystem(path)
+    with files.open_output_stream(at, compression=None) as f:
+        for x in pieces():
+            f.write(x)
+    return n
+
+
+def write_pairs(pairs: Pairs, path: str, columns: list[str] | None = None, header: bool = True) -> int:
+    """One file of a header and rows in the DataFrame's order; the number of rows.
+    Large results are better written as parts, by ``write_parts``."""
+    return write_lines(as_lines(pairs.df, columns or pairs.header.columns()), path, pairs.header.lines if header else None)
 
 
 def write_parts(pairs: Pairs, folder: str, columns: list[str] | None = None) -> None:
