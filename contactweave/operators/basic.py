@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactweave.functions.expr import compile_condition
-from contactweave.model import UNMAPPED_CHROM
+from contactweave.model import STANDARD, UNMAPPED_CHROM, Header, Pairs
 
 
 def sort_keys(df: DataFrame, extra: list[str] | None = None) -> list[str]:
@@ -63,10 +63,35 @@ def select_pairs(df: DataFrame, condition: str, types: dict[str, str] | None = N
     return df.where(keep), df.where(~keep)
 
 
-def generate_pairs(spark: SparkSession, records: int = 1_000_000, seed: int = 42, chromosomes: int = 24, chrom_length: int = 100_000_000, cis_fraction: float = 0.75, duplicate_rate: float = 0.1, duplicate_radius: int = 2, unmapped_fraction: float = 0.02) -> DataFrame:
+def without_columns(pairs: Pairs, names: list[str]) -> Pairs:
+    """``pairs`` without these columns, in the header too; names that aren't there are
+    passed over."""
+    header = Header(list(pairs.header.lines))
+    header.set_columns([c for c in header.columns() if c not in names])
+    return Pairs(header, pairs.df.drop(*(c for c in names if c in pairs.header.columns())))
+
+
+def subset_header(header: Header, names: list[str]) -> Header:
+    """``header`` with these chromosomes only."""
+    out = Header(list(header.lines))
+    out.subset_chromosomes(set(names))
+    return out
+
+
+def generated_header(chromosomes: int = 24, chrom_length: int = 100_000_000, extra_columns: int = 0, in_order: bool = False) -> Header:
+    header = Header.standard({f"chr{i}": chrom_length for i in range(1, chromosomes + 1)}, [*STANDARD, *(f"extra{i}" for i in range(1, extra_columns + 1))])
+    if in_order:
+        header.mark_sorted()
+    return header
+
+
+def generate_pairs(spark: SparkSession, records: int = 1_000_000, seed: int = 42, chromosomes: int = 24, chrom_length: int = 100_000_000, cis_fraction: float = 0.75, duplicate_rate: float = 0.1, duplicate_radius: int = 2, unmapped_fraction: float = 0.02, extra_columns: int = 0, readid_length: int = 0, in_order: bool = False) -> DataFrame:
     """Synthetic pairs: log-uniform cis distances, near copies of earlier rows, and
     unmapped sides.  All numbers are hashes of (seed, row), so any partitioning
-    gives the same rows."""
+    gives the same rows.  Read names are ``r`` and the row's number, or have
+    ``readid_length`` letters and digits; extra columns are small numbers as text; with
+    ``in_order``, sides are in order and rows sorted.
+    """
     u = lambda row, k: F.pmod(F.xxhash64(F.lit(seed), row, F.lit(k)), F.lit(1 << 40)) / float(1 << 40)
     copied = (u(F.col("id"), 0) < duplicate_rate) & (F.col("id") > 0)
     back = F.least(F.col("id"), F.lit(1) + F.floor(u(F.col("id"), 1) * 1024))
@@ -81,9 +106,11 @@ def generate_pairs(spark: SparkSession, records: int = 1_000_000, seed: int = 42
     name = lambda c: F.concat(F.lit("chr"), (c + 1).cast("string"))
     strand = lambda k: F.when(u(of, k) < 0.5, "+").otherwise("-")
     side = lambda lost, value, none: F.when(lost, F.lit(none)).otherwise(value)
-    return rows.select(
+    letter = lambda k: F.substring(F.conv(F.floor(u(F.col("id"), 100 + k) * 36).cast("string"), 10, 36), 1, 1)
+    name_of = F.concat(*map(letter, range(readid_length))) if readid_length else F.concat(F.lit("r"), F.col("id").cast("string"))
+    out = rows.select(
         F.col("id").alias("seq"),
-        F.concat(F.lit("r"), F.col("id").cast("string")).alias("readID"),
+        name_of.alias("readID"),
         side(lost1, name(c1), "!").alias("chrom1"),
         side(lost1, jitter(p1, 8), 0).cast("long").alias("pos1"),
         side(lost2, name(c2), "!").alias("chrom2"),
@@ -91,4 +118,6 @@ def generate_pairs(spark: SparkSession, records: int = 1_000_000, seed: int = 42
         side(lost1, strand(12), "-").alias("strand1"),
         side(lost2, strand(13), "-").alias("strand2"),
         F.concat(F.when(lost1, "N").otherwise("U"), F.when(lost2, "N").otherwise("U")).alias("pair_type"),
+        *(F.floor(u(F.col("id"), 20 + i) * 61).cast("string").alias(f"extra{i + 1}") for i in range(extra_columns)),
     )
+    return sort_pairs(flip_pairs(out, [f"chr{i}" for i in range(1, chromosomes + 1)])) if in_order else out

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactweave.model import UNMAPPED_CHROM, PairsError
+from contactweave.model import UNMAPPED_CHROM, ArgumentError, PairsError
+from contactweave.sources.pairs import write_lines
 
 
 def layout(df: DataFrame, chromsizes: dict[str, int], resolutions: list[int]) -> DataFrame:
@@ -57,3 +58,62 @@ def bedgraph(contacts: DataFrame, bins: DataFrame) -> DataFrame:
     side = lambda s: bins.select(F.col("bin_id").alias(f"id{s}"), *(F.col(c).alias(f"{c}{s}") for c in ("chrom", "start", "end")))
     met = contacts.join(side(1), F.col("bin1_id") == F.col("id1")).join(side(2), F.col("bin2_id") == F.col("id2"))
     return met.select("chrom1", "start1", "end1", "chrom2", "start2", "end2", "count")
+
+
+def bin_counters(df: DataFrame, chromsizes: dict[str, int], resolutions: list[int], pair_types: list[str] | None = None, min_mapq: int | None = None, zero_based: bool = False) -> dict[str, int]:
+    """How many rows were accepted, rejected (a filter, or position 0), on unknown
+    chromosomes, and accepted beyond their chromosome's last bin."""
+    passed = accepted(df, pair_types, min_mapq, zero_based=True)
+    sizes = layout(df, chromsizes, resolutions[:1])
+    side = lambda n: F.broadcast(sizes.select(F.col("chrom").alias(f"c{n}"), F.col("size").alias(f"size{n}")))
+    met = passed.join(side(1), F.col("chrom1") == F.col("c1"), "left").join(side(2), F.col("chrom2") == F.col("c2"), "left")
+    known = F.col("c1").isNotNull() & F.col("c2").isNotNull()
+    placed = known & (F.lit(zero_based) | ((F.col("pos1") > 0) & (F.col("pos2") > 0)))
+    beyond = F.lit(False)
+    for r in resolutions:
+        for n in (1, 2):
+            beyond = beyond | (F.expr(f"(pos{n} - {0 if zero_based else 1}) div {r}") >= F.ceil(F.col(f"size{n}") / r))
+    row = met.agg(F.count_if(placed).alias("accepted"), F.count_if(~known).alias("unknown"), F.count_if(placed & beyond).alias("beyond")).first()
+    return {"accepted": row["accepted"], "rejected": df.count() - row["accepted"] - row["unknown"], "unknown_chrom": row["unknown"], "out_of_range": row["beyond"]}
+
+
+def output_paths(paths: list[str], resolutions: list[int]) -> list[str]:
+    """A path for every resolution: as many as there are, one that holds ``{res}``, or
+    none (standard output) for a single resolution."""
+    if len(paths) == 1 and "{res}" in paths[0]:
+        return [paths[0].replace("{res}", str(r)) for r in resolutions]
+    paths = paths or (["-"] if len(resolutions) == 1 else [])
+    if len(paths) != len(resolutions):
+        raise ArgumentError(f"{len(paths)} path(s) for {len(resolutions)} resolution(s); give one each, or one with {{res}}")
+    return paths
+
+
+def write_table(df: DataFrame, order: list[str], path: str) -> int:
+    """Tab-separated lines of all columns in ``order``."""
+    value = F.array_join(F.array(*(F.col(c).cast("string") for c in df.columns)), "\t")
+    return write_lines(df.orderBy(*order).select(value.alias("value")), path)
+
+
+def write_contacts(contacts: DataFrame, chromsizes: dict[str, int], resolutions: list[int], paths: list[str], form: str = "coo") -> None:
+    """``bin_contacts`` as a file for each resolution: bin ids and counts (coo), or both
+    bins' places and counts (bg2)."""
+    if form not in ("coo", "bg2"):
+        raise ArgumentError(f"unknown format {form!r}")
+    for r, path in zip(resolutions, output_paths(paths, resolutions), strict=True):
+        ids = contacts.where(F.col("resolution") == r).select("bin1_id", "bin2_id", "count")
+        if form == "coo":
+            write_table(ids, ["bin1_id", "bin2_id"], path)
+        else:
+            # Bins go by the ids that they came from.
+            side = lambda n: bin_table(contacts, chromsizes, r).select(F.col("bin_id").alias(f"bin{n}_id"), *(F.col(c).alias(f"{c}{n}") for c in ("chrom", "start", "end")))  # noqa: B023, E731
+            met = ids.join(side(1), "bin1_id").join(side(2), "bin2_id").orderBy("bin1_id", "bin2_id")
+            value = F.array_join(F.array(*(F.col(c).cast("string") for c in ("chrom1", "start1", "end1", "chrom2", "start2", "end2", "count"))), "\t")
+            write_lines(met.select(value.alias("value")), path)
+
+
+def write_bins(df: DataFrame, chromsizes: dict[str, int], resolutions: list[int], paths: list[str]) -> None:
+    """Chromosome, start and end of every bin, a file for each resolution."""
+    for r, path in zip(resolutions, output_paths(paths, resolutions), strict=True):
+        table = bin_table(df, chromsizes, r)
+        value = F.concat_ws("\t", "chrom", F.col("start").cast("string"), F.col("end").cast("string"))
+        write_lines(table.orderBy("bin_id").select(value.alias("value")), path)

@@ -245,6 +245,6 @@ def parse_sam(spark: SparkSession, path: str, chromsizes: dict[str, int], option
     header = Header.standard({c: refs[c] for c in names}, [*STANDARD, *options.extra()], assembly)
     if not options.flip:
         header.lines[1] = "#shape: whole matrix"
-    header.lines[-1:-1] = [f"#samheader: {x}" for x in head]
+    header.insert_samheader(head)
     rows = pairs_of(read_sam(spark, path, name_grouped), options, {c: i for i, c in enumerate(names)})
     return Pairs(header, rows)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from contactweave.functions import ordering
 from contactweave.functions.graph import written
-from contactweave.operators import basic, binning, dedup, stats
+from contactweave.model import Header, Pairs
+from contactweave.operators import basic, binning, dedup, routing, stats
 from contactweave.operators.process import numbered
 
 CHROMS = [f"chr{i}" for i in range(1, 13)]
@@ -69,6 +70,16 @@ SELECTS = {
     "select_in": ("chrom1 in ['chr1', 'chr2'] and chrom2 not in ['chr3']", "chrom1 IN ('chr1', 'chr2') AND chrom2 <> 'chr3'"),
     "select_chained": ("1000 < pos1 <= 500000 < pos2", "1000 < pos1 AND pos1 <= 500000 AND 500000 < pos2"),
     "select_arith": ("(pos1 - pos2) // 1000 % 3 == 1", "((CAST(floor((pos1 - pos2) / 1000.0) AS BIGINT) % 3) + 3) % 3 = 1"),
+    "select_place": ("COLS[2] % 2 == 0 and COLS[1] == 'chr3'", "pos1 % 2 = 0 AND chrom1 = 'chr3'"),
+    "select_truth": ("pos1 and not (chrom2 == '!') or mapq1 - 10", "pos1 <> 0 AND chrom2 <> '!' OR mapq1 - 10 <> 0"),
+    "select_substring": ("'1' in chrom1 and '2' not in chrom2", "contains(chrom1, '1') AND NOT contains(chrom2, '2')"),
+    "select_concat": ("chrom1 + ':' + chrom2 == 'chr2:chr2' || pair_type + '&&' == 'NN&&'", "chrom1 || ':' || chrom2 = 'chr2:chr2' OR pair_type = 'NN'"),
+    "select_quotient": ("mapq1 / mapq2 > 1.5", "CAST(mapq1 AS DOUBLE) / mapq2 > 1.5"),
+    "select_sign": ("-mapq1 + +mapq2 >= -3 && !(strand1 == '+')", "mapq2 - mapq1 >= -3 AND strand1 <> '+'"),
+    "select_int": ("int(mapq1 / 2) == 7 or int('12') == mapq2", "mapq1 // 2 = 7 OR mapq2 = 12"),
+    "select_float": ("float('2.5e1') < float(mapq1)", "mapq1 > 25.0"),
+    "select_power": ("mapq1 ** 2 > mapq2 ** 2 + 2 ** 10 and 3 ** 35 == 50031545098999707", "mapq1 * mapq1 > mapq2 * mapq2 + 1024"),
+    "select_word": (r"regex_match(chrom1, '\bchr\d\b')", "regexp_full_match(chrom1, 'chr[0-9]')"),
     "select_minmax": ("max(pos1, pos2) - min(pos1, pos2) > 10000 or len(readID) == 4", "greatest(pos1, pos2) - least(pos1, pos2) > 10000 OR strlen(readID) = 4"),
 }
 
@@ -127,6 +138,52 @@ def stats_convergence(spark, sf_dir):
     return spark.createDataFrame([(k, str(v)) for k, v in found.items()], "name string, value string")
 
 
+def marked(spark, sf_dir):
+    rows = dedup.mark_duplicates(pairs(spark, sf_dir, "n"))
+    return written(rows.withColumn("dup", F.col("outcome") == "dup"), "marked")
+
+
+def stats_dups(spark, sf_dir):
+    """Counters where near duplicates are marked."""
+    return stats.counters(stats.with_classes(marked(spark, sf_dir)))
+
+
+def stats_dups_summary(spark, sf_dir):
+    """Share of duplicates, and the library's complexity to ten digits."""
+    rates = stats.summary(stats.counters(stats.with_classes(marked(spark, sf_dir))).first().asDict())
+    return spark.createDataFrame([(k, float(f"{rates[k]:.10g}")) for k in ("frac_dups", "complexity_naive")], "name string, value double")
+
+
+def dedup_parents(spark, sf_dir):
+    """Duplicates as DD with the reads that they repeat, kept reads with their own."""
+    df = pairs(spark, sf_dir, "n")
+    out = routing.route(Pairs(Header.standard(SIZES), df), "main", "main", keep_parent_id=True)
+    return out.main.df.select("readID", "pair_type", F.get("_rest", F.lit(0)).alias("parent_readID"))
+
+
+def sort_extra(spark, sf_dir):
+    """Rank by the sort keys and two more columns."""
+    df = pairs(spark, sf_dir, "n").withColumn("mapq1", F.col("mapq1").cast("string"))
+    return ordering.ranked(df, basic.sort_keys(df, ["mapq1", "strand2"]), "sort_rank").select("readID", "sort_rank")
+
+
+def sort_no_type(spark, sf_dir):
+    df = pairs(spark, sf_dir, "n").drop("pair_type")
+    return ordering.ranked(df, basic.sort_keys(df), "sort_rank").select("readID", "sort_rank")
+
+
+def remove_columns(spark, sf_dir):
+    df = pairs(spark, sf_dir, "w").drop("seq")
+    return basic.without_columns(Pairs(Header.standard(SIZES, df.columns), df), ["mapq1", "strand1", "none"]).df
+
+
+def bin_counters(spark, sf_dir):
+    """Counts of rows by what becomes of them, with chromosomes unlisted and too short."""
+    sizes = {c: 600_000 for c in CHROMS[:9]}
+    got = binning.bin_counters(pairs(spark, sf_dir, "w"), sizes, [100_000], ["UU", "UR"], 5)
+    return spark.createDataFrame([(k, n) for k, n in got.items()], "name string, n long")
+
+
 def dedup_query(name: str, flavour: str = "n", **options):
     def query(spark, sf_dir):
         return dedup.mark_duplicates(pairs(spark, sf_dir, flavour), **options).select("readID", "outcome", "parent")
@@ -159,7 +216,8 @@ def bin_table(spark, sf_dir):
 
 def process_fused(spark, sf_dir):
     """Flip, mark duplicates, and bin the pairs that stay."""
-    flipped = basic.flip_pairs(pairs(spark, sf_dir, "n"), CHROMS)
+    # Written, as the join's keys would else repeat the flip's expressions.
+    flipped = written(basic.flip_pairs(pairs(spark, sf_dir, "n"), CHROMS), "pairs")
     kept = dedup.mark_duplicates(flipped, max_mismatch=0).where("outcome = 'kept'")
     return binning.bin_contacts(binning.accepted(kept), SIZES, [100]).drop("resolution")
 
@@ -182,7 +240,7 @@ def generated(spark, sf_dir):
     return basic.generate_pairs(spark).drop("seq")
 
 
-QUERIES = {f.__name__: f for f in (sort_rank, select_rest, select_chrom_subset, type_cast, stats_counters, stats_pair_types, stats_chrom_freq, stats_dist_freq, stats_summary, stats_convergence, bin_coo_10k, bin_multi_res, bin_filtered, bin_bg2, bin_table, process_fused, process_max3, generated)}
+QUERIES = {f.__name__: f for f in (sort_rank, select_rest, select_chrom_subset, type_cast, stats_counters, stats_pair_types, stats_chrom_freq, stats_dist_freq, stats_summary, stats_convergence, stats_dups, stats_dups_summary, dedup_parents, sort_extra, sort_no_type, remove_columns, bin_counters, bin_coo_10k, bin_multi_res, bin_filtered, bin_bg2, bin_table, process_fused, process_max3, generated)}
 QUERIES |= {"flip_pairs": flip} | {n: selection(n) for n in SELECTS}
 QUERIES |= {
     n: dedup_query(n, **o)
@@ -226,8 +284,19 @@ def _bins_sql(source: str, res: str, size: int) -> str:
  FROM {source}, (SELECT unnest([{res}]) AS r) WHERE {_MAPPED} AND pos1 > 0 AND pos2 > 0) GROUP BY ALL"""
 
 
-_CLASSES = f"""(SELECT *, CAST(chrom1 <> '!' AS INT) + CAST(chrom2 <> '!' AS INT) AS sides, {_MAPPED} AS counted, {_MAPPED} AND chrom1 = chrom2 AS cis, abs(pos2 - pos1) AS d FROM ({_W}))"""
-_COUNTERS = "SELECT count(*) AS total, count(*) FILTER (sides = 0) AS total_unmapped, count(*) FILTER (sides = 1) AS total_single_sided_mapped, count(*) FILTER (sides = 2) AS total_mapped, CAST(0 AS BIGINT) AS total_dups, count(*) FILTER (counted) AS total_nodups, count(*) FILTER (cis) AS cis, count(*) FILTER (counted AND NOT cis) AS trans, " + ", ".join(f"count(*) FILTER (cis AND d >= {1000 * k}) AS cis_{k}kb" for k in stats.CIS_KB) + f" FROM {_CLASSES}"
+def _classes_sql(source: str) -> str:
+    return f"""(SELECT *, CAST(chrom1 <> '!' AS INT) + CAST(chrom2 <> '!' AS INT) AS sides, {_MAPPED} AND NOT dup AS counted, {_MAPPED} AND NOT dup AND chrom1 = chrom2 AS cis, abs(pos2 - pos1) AS d FROM ({source}))"""
+
+
+def _counters_sql(classes: str) -> str:
+    near = ", ".join(f"count(*) FILTER (cis AND d >= {1000 * k}) AS cis_{k}kb" for k in stats.CIS_KB)
+    return f"SELECT count(*) AS total, count(*) FILTER (sides = 0) AS total_unmapped, count(*) FILTER (sides = 1) AS total_single_sided_mapped, count(*) FILTER (sides = 2) AS total_mapped, count(*) FILTER (sides = 2 AND dup) AS total_dups, count(*) FILTER (counted) AS total_nodups, count(*) FILTER (cis) AS cis, count(*) FILTER (counted AND NOT cis) AS trans, {near} FROM {classes}"
+
+
+_CLASSES = _classes_sql(f"SELECT *, FALSE AS dup FROM ({_W})")
+_COUNTERS = _counters_sql(_CLASSES)
+_MAX3 = _transitive_sql("abs(a.pos1 - b.pos1) <= 3 AND abs(a.pos2 - b.pos2) <= 3")
+_DUPS = _counters_sql(_classes_sql(f"SELECT n.*, o.outcome = 'dup' AS dup FROM ({_N}) n JOIN ({_MAX3}) o USING (readID)"))
 
 ORACLE_SQL = {
     "sort_rank": f"SELECT readID, row_number() OVER (ORDER BY chrom1, chrom2, pos1, pos2, pair_type, seq) AS sort_rank FROM ({_W})",
@@ -242,8 +311,26 @@ ORACLE_SQL = {
     "stats_dist_freq": f"""SELECT bin, direction, count(*) AS n FROM (SELECT (SELECT max(CAST(e AS BIGINT)) FROM {_EDGES} WHERE e <= d) AS bin,
  CASE WHEN strand1 || strand2 IN ('+-', '-+', '--') THEN strand1 || strand2 ELSE '++' END AS direction FROM {_CLASSES} WHERE cis) GROUP BY 1, 2""",
     "stats_summary": f"WITH c AS ({_COUNTERS}) SELECT 'frac_cis' AS name, cis / total_nodups AS value FROM c" + "".join(f" UNION ALL SELECT 'frac_cis_{k}kb+', cis_{k}kb / total_nodups FROM c" for k in stats.CIS_KB) + " UNION ALL SELECT 'frac_dups', 0.0 FROM c",
+    "stats_convergence": f"""WITH f AS (SELECT bin, direction, count(*) AS n FROM (SELECT (SELECT max(CAST(e AS BIGINT)) FROM {_EDGES} WHERE e <= d) AS bin,
+ CASE WHEN strand1 || strand2 IN ('+-', '-+', '--') THEN strand1 || strand2 ELSE '++' END AS direction FROM {_CLASSES} WHERE cis) GROUP BY 1, 2),
+e AS (SELECT e AS b, row_number() OVER (ORDER BY e) - 1 AS i FROM {_EDGES}), d AS (SELECT * FROM (VALUES ('++', 0), ('--', 1), ('-+', 2), ('+-', 3)) t(direction, o)),
+x AS (SELECT * FROM e, d),
+k AS (SELECT x.i, x.direction, x.o, coalesce(f.n, 0) AS n FROM x LEFT JOIN f ON f.bin = x.b AND f.direction = x.direction), h AS (SELECT *, avg(n) OVER (PARTITION BY i) AS m FROM k),
+l AS (SELECT direction, o, coalesce(max(i) FILTER (m > 0 AND abs(n - m) / m > 0.05), 0) AS final FROM h GROUP BY 1, 2), w AS (SELECT * FROM l ORDER BY final DESC, o LIMIT 1)
+SELECT 'convergence_dist' AS name, CASE WHEN final = 0 THEN '0' ELSE CAST(coalesce((SELECT b FROM e WHERE i = final + 1), 9223372036854775807) AS VARCHAR) END AS value FROM w
+UNION ALL SELECT 'strands_w_max_convergence_dist', CASE WHEN final = 0 THEN '??' ELSE direction END FROM w""",
+    "stats_dups": _DUPS,
+    "dedup_parents": f"""SELECT n.readID, CASE WHEN outcome = 'dup' THEN 'DD' ELSE pair_type END AS pair_type,
+ CASE outcome WHEN 'dup' THEN 'r' || CAST(parent AS STRING) WHEN 'unmapped' THEN '' ELSE n.readID END AS parent_readID FROM ({_N}) n JOIN ({_MAX3}) o USING (readID)""",
+    "sort_extra": f"SELECT readID, row_number() OVER (ORDER BY chrom1, chrom2, pos1, pos2, pair_type, CAST(mapq1 AS STRING), strand2, seq) AS sort_rank FROM ({_N})",
+    "sort_no_type": f"SELECT readID, row_number() OVER (ORDER BY chrom1, chrom2, pos1, pos2, seq) AS sort_rank FROM ({_N})",
+    "remove_columns": f"SELECT readID, chrom1, pos1, chrom2, pos2, strand2, pair_type, mapq2 FROM ({_W})",
+    "bin_counters": f"""WITH r AS (SELECT *, {_MAPPED} AND pair_type IN ('UU', 'UR') AND mapq1 >= 5 AND mapq2 >= 5 AS passed, chrom1 IN ({', '.join(f"'{c}'" for c in CHROMS[:9])}) AND chrom2 IN ({', '.join(f"'{c}'" for c in CHROMS[:9])}) AS known FROM ({_W})),
+a AS (SELECT *, passed AND known AND pos1 > 0 AND pos2 > 0 AS ok FROM r)
+SELECT 'accepted' AS name, count(*) FILTER (ok) AS n FROM a UNION ALL SELECT 'rejected', count(*) FILTER (NOT ok AND NOT (passed AND NOT known)) FROM a
+UNION ALL SELECT 'unknown_chrom', count(*) FILTER (passed AND NOT known) FROM a UNION ALL SELECT 'out_of_range', count(*) FILTER (ok AND (pos1 > 600000 OR pos2 > 600000)) FROM a""",
     "dedup_exact": _transitive_sql("a.f = b.f"),
-    "dedup_max3": _transitive_sql("abs(a.pos1 - b.pos1) <= 3 AND abs(a.pos2 - b.pos2) <= 3"),
+    "dedup_max3": _MAX3,
     "dedup_sum5": _transitive_sql("abs(a.pos1 - b.pos1) + abs(a.pos2 - b.pos2) <= 5"),
     "dedup_extra_cols": _transitive_sql("abs(a.pos1 - b.pos1) <= 3 AND abs(a.pos2 - b.pos2) <= 3", ", mapq1, mapq2"),
     "bin_coo_10k": f"SELECT bin1_id, bin2_id, count FROM ({_bins_sql(f'({_W})', '10000', 1_000_000)})",
