@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -35,9 +35,10 @@ def component_labels(edges: DataFrame, max_rounds: int = 80) -> DataFrame:
         near = both.join(of, F.col("b") == F.col("n")).groupBy("a").agg(F.min("l").alias("l"))
         step = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("label", "l").alias("low"), F.col("label").alias("was"))
         jump = labels.select(F.col("node").alias("n"), F.col("label").alias("next"))
-        new = written(step.join(jump, F.col("low") == F.col("n"), "left").select("node", F.least("low", "next").alias("label"), "was"), "labels")
-        changed = new.where("label <> was").limit(1).count()
-        labels = new.select("node", "label")
-        if not changed:
+        new = step.join(jump, F.col("low") == F.col("n"), "left").select("node", F.least("low", "next").alias("label"), "was")
+        # The write counts the labels that changed.
+        seen = Observation()
+        labels = written(new.observe(seen, F.count_if(F.col("label") != F.col("was")).alias("changed")), "labels").select("node", "label")
+        if not seen.get["changed"]:
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -23,12 +25,12 @@ def ranked(df: DataFrame, order: list[str], name: str) -> DataFrame:
     ordered = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     placed = written(ordered.withColumn("_at", F.monotonically_increasing_id()), "ordered")
     part = F.shiftright("_at", ROW_BITS)
-    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    # One row per partition goes through this window.
-    before = F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")
-    starts = F.broadcast(counts.select("_part", before.alias("_start")))
-    place = F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << ROW_BITS) - 1)) + 1
-    return placed.join(starts, part == F.col("_part")).withColumn(name, place).drop("_at", "_part", "_n", "_start")
+    # One number per partition reaches the driver.
+    counts = {r["part"]: r["count"] for r in placed.groupBy(part.alias("part")).count().collect()}
+    starts = [0, *accumulate(counts.get(p, 0) for p in range(max(counts, default=0)))]
+    start = F.get(F.split(F.lit(",".join(map(str, starts))), ",").cast("array<bigint>"), part.cast("int"))
+    place = start + F.col("_at").bitwiseAND(F.lit((1 << ROW_BITS) - 1)) + 1
+    return placed.withColumn(name, place).drop("_at")
 
 
 def edges(rows: DataFrame, part: str, order: str, **last) -> DataFrame:

@@ -25,6 +25,17 @@ def bin_edges(per_decade: int = 8) -> list[int]:
     return sorted(edges)
 
 
+def lower_edge(distance: Column, per_decade: int = 8) -> Column:
+    """The largest bin edge that is not above a distance: the power that its logarithm
+    names, or one of the two beside it, as edges are rounded."""
+    powers = [round(10 ** (i / per_decade)) for i in range(9 * per_decade + 1)]
+    held = F.split(F.lit(",".join(map(str, [powers[0], *powers, 1 << 62]))), ",").cast("array<bigint>")
+    i = F.least(F.floor(F.log10(distance.cast("double")) * per_decade), F.lit(len(powers) - 1)).cast("int")
+    at = lambda k: F.get(held, i + k)
+    found = F.when(distance >= at(2), at(2)).when(distance >= at(1), at(1)).otherwise(at(0))
+    return F.when(distance < 1, F.lit(0).cast("bigint")).otherwise(found)
+
+
 def sides_mapped() -> Column:
     one = lambda c: F.when(F.col(c) != UNMAPPED_CHROM, 1).otherwise(0)
     return one("chrom1") + one("chrom2")
@@ -33,7 +44,6 @@ def sides_mapped() -> Column:
 def with_classes(df: DataFrame, per_decade: int = 8) -> DataFrame:
     """Counting columns; ``dup`` (boolean) may be among the input's columns."""
     dup = F.col("dup") if "dup" in df.columns else F.lit(False)
-    edges = F.array(*map(F.lit, bin_edges(per_decade)))
     counted = (sides_mapped() == 2) & ~dup
     cis = counted & (F.col("chrom1") == F.col("chrom2"))
     distance = F.abs(F.col("pos2") - F.col("pos1"))
@@ -42,7 +52,7 @@ def with_classes(df: DataFrame, per_decade: int = 8) -> DataFrame:
         F.substring("pair_type", 1, 8).alias("pair_type"), "chrom1", "chrom2", dup.alias("dup"), sides_mapped().alias("sides"), cis.alias("cis"), counted.alias("counted"),
         F.when(cis, distance).alias("distance"),
         F.when(cis, F.when(strands.isin("+-", "-+", "--"), strands).otherwise("++")).alias("direction"),
-        F.when(cis, F.array_max(F.filter(edges, lambda e: e <= distance))).cast("long").alias("bin"),
+        F.when(cis, lower_edge(distance, per_decade)).cast("long").alias("bin"),
     )
 
 

@@ -8,6 +8,7 @@ import re
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from contactweave import cli
 from contactweave.functions import ordering
@@ -378,3 +379,11 @@ def test_conservation_of_statistics(spark):
     for dups in (1, 100, 500, 900):
         n = stats.complexity(1000, dups)
         assert abs(n * -math.expm1(-1000 / n) - (1000 - dups)) < 1e-6
+
+
+@pytest.mark.parametrize("per_decade", [1, 3, 8, 20])
+def test_distances_fall_into_their_bins(spark, per_decade):
+    edges = stats.bin_edges(per_decade)
+    at = sorted({max(0, e + k) for e in edges for k in (-1, 0, 1)} | {2**40})
+    got = spark.createDataFrame([(d,) for d in at], "d long").select("d", stats.lower_edge(F.col("d"), per_decade).alias("e")).collect()
+    assert {r["d"]: r["e"] for r in got} == {d: max(e for e in edges if e <= d) for d in at}
