@@ -169,6 +169,9 @@ def drawn_slots(counts: DataFrame, plan: list[dict], mix: Mix) -> DataFrame:
     within = W.partitionBy("at", "bucket").orderBy("shard").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("first", F.sum("slots").over(within) - F.col("slots")).join(sums, (F.col("at") == F.col("a")) & (F.col("bucket") == F.col("b")))
     first = F.col("first") + F.col("offset")
+    # A few counts make many slots, whose permutations are the work: as many tasks as
+    # a shuffle has, however few bytes the counts are.
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard", "at")
     ranked = rows.select("shard", "at", F.explode(F.sequence(first, first + F.col("slots") - 1)).alias("rank"))
     info = spark.createDataFrame([tuple(p[c] for c in ("at", "source", "source_size", "n_blocks", "slots", "passes", "rest")) for p in plan], "i int, source string, source_size long, n_blocks long, slots long, passes long, rest long")
     slots = ranked.join(F.broadcast(info), F.col("at") == F.col("i")).where("rank < slots")
