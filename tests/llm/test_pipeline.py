@@ -93,3 +93,26 @@ def test_run_against_loops(spark, tmp_path):
     assert want == set(range(40))
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in got} == want
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, _k1 int, _row string, shard int"
+
+
+@pytest.mark.parametrize("rows", [0, 1])
+def test_run_on_odd_rows(spark, tmp_path, rows):
+    """Nulls in any column, empty and long texts, repeated rows and ids, clashing names, and no rows at all."""
+    rng = random.Random(8)
+    text = lambda n: " ".join(rng.choices(WORDS, k=n))
+    a, b, item = text(80), text(90), text(30)
+    docs = [(1, a, "en", "s"), (1, b, None, None), (1, a, "en", "s"), (2, a, "en", "s"), (None, text(70), None, None), (None, b, None, "s"), (3, None, None, None), (4, "", "en", "s"), (5, text(60) + " " + item, "en", "s"), (None, text(60) + " " + item, "en", "s"), (6, text(20_000), "en", "s")]
+    table = [(i, t, lang, s, None, 1, "x", None) for i, t, lang, s in docs] if rows else []
+    spark.createDataFrame(table, ODD).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item), (2, None)] if rows else [], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.columns == [c.split()[0] for c in ODD.split(", ")]
+    left = sorted((str(r["doc_id"]), len(r["text"].split())) for r in kept.collect())
+    assert left == ([("1", 80), ("1", 90), ("6", 20_000), ("None", 70)] if rows else [])
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {str(r["doc_id"]) for r in got} <= {"1", "6", "None"} and bool(got) == bool(rows)
