@@ -9,6 +9,11 @@ of ``documents``.
 3. benchmark decontamination: documents that hold a benchmark item go;
 4. mixing: documents are taken whole, in part or more than once, to source targets;
 5. token ids: the mix is written as Simple-8b files; a row says what they hold of it.
+
+Defined results: the first three stages judge rows, not ids, so rows that repeat an id,
+or have none, stay or go by themselves, and of equal rows one stays; null and empty texts
+fail the quality rules; further columns are carried through all stages but the last; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -48,9 +53,8 @@ STAGES = [
 ]
 
 #: SQL can't express the tokenizer, so there is none.  The tests hold the ids that a
-#: run leaves of 45 documents against loops over pairs and windows, and stages 2 and 3
-#: and the token ids against brute force on small tables; of stages 1 and 4 they
-#: check rules and totals.
+#: run leaves of 45 documents against loops over pairs and windows, the rows that odd
+#: tables leave against lists, and stages 2 to 5 against brute force on small tables.
 ORACLE_SQL = None
 
 
