@@ -1,4 +1,4 @@
-"""Reading and writing ``.pairs`` text, plain, gzip or BGZF."""
+"""Reading and writing ``.pairs`` text, plain, gzip, LZ4 or BGZF."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactweave.model import STANDARD, Header, Pairs, PairsError, Unsupported, filesystem
+from contactweave.model import STANDARD, Header, Pairs, PairsError, filesystem
 from contactweave.sources.raw import head_lines, sniff, text_lines  # noqa: F401
 
 BGZF_END = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
@@ -90,23 +90,24 @@ def bgzf(data: bytes, level: int = 6) -> bytes:
 
 def write_lines(lines: DataFrame, path: str, head: list[str] | None = None) -> int:
     """One file of ``value`` lines in the DataFrame's order, after the ``head`` lines, by
-    path, URI or ``-`` for standard output; the name's ending says whether it is BGZF.
+    path, URI or ``-`` for standard output; the name's ending says whether it is BGZF or
+    LZ4 frames, one for each piece.
     Tasks join and compress the lines; the driver only strings their pieces together.
     Returns the number of lines after the head."""
     packed = path.lower().endswith(_COMPRESSED)
-    if path.lower().endswith(".lz4"):
-        raise Unsupported("LZ4 frames can't be written")
+    framed = path.lower().endswith(".lz4")
+    coded = lambda data: bgzf(data) if packed else pa.compress(data, codec="lz4", asbytes=True) if framed else data
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data = "".join(f"{x}\n" for x in b.column(0).to_pylist()).encode()
-            yield pa.RecordBatch.from_arrays([pa.array([bgzf(data) if packed else data], pa.binary()), pa.array([b.num_rows], pa.int64())], ["data", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([coded(data)], pa.binary()), pa.array([b.num_rows], pa.int64())], ["data", "n"])
 
     first, n = "".join(f"{x}\n" for x in head or []).encode(), 0
 
     def pieces() -> Iterator[bytes]:
         nonlocal n
-        yield bgzf(first) if packed else first
+        yield coded(first)
         for row in lines.select("value").mapInArrow(work, "data binary, n bigint").toLocalIterator():
             n += row["n"]
             yield bytes(row["data"])

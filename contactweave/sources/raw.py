@@ -1,7 +1,7 @@
-"""Lines of plain, gzip and BGZF text by content, and BAM files as SAM lines.
+"""Lines of plain, gzip, LZ4 and BGZF text by content, and BAM files as SAM lines.
 
-Plain text and files named ``.gz`` go through Spark's own reader.  Other gzip files are
-read as streams, one task a file.  BGZF files are dealt to tasks by byte ranges: a task
+Plain text and files named ``.gz`` go through Spark's own reader.  Other gzip files and
+LZ4 frames are read as streams, one task a file.  BGZF files are dealt to tasks by byte ranges: a task
 inflates the members that begin in its range and owns the lines after the first line
 break there, as text splits do, so lines may straddle members and ranges.
 """
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactweave.model import InputError, Unsupported, filesystem
+from contactweave.model import InputError, filesystem
 
 #: Bytes of a BGZF file that a task inflates.
 RANGE = 32 << 20
@@ -27,8 +27,8 @@ NUMBERS = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
 
 
 def sniff(path: str) -> str:
-    """Compression by content: ``plain``, ``gzip`` or ``bgzf``; by name where only Spark
-    can open the path."""
+    """Compression by content: ``plain``, ``gzip``, ``bgzf`` or ``lz4``; by name where only
+    Spark can open the path."""
     try:
         files, at = filesystem(path)
     except pa.ArrowInvalid:
@@ -39,16 +39,25 @@ def sniff(path: str) -> str:
     except OSError as e:
         raise InputError(f"{path}: {e}") from e
     if head[:4] == b"\x04\x22\x4d\x18":
-        raise Unsupported("LZ4 frames can't be read")
+        return "lz4"
     if head[:2] != b"\x1f\x8b":
         return "plain"
     return "bgzf" if len(head) == 18 and head[3] & 4 and head[12:14] == b"BC" else "gzip"
 
 
 def inflated(path: str) -> Iterator[bytes]:
-    """The bytes of a plain or gzip file, of any number of members, in pieces."""
-    packed = sniff(path) != "plain"
+    """The bytes of a plain, gzip or LZ4 file, of any number of members, in pieces."""
+    kind = sniff(path)
+    packed = kind in ("gzip", "bgzf")
     files, at = filesystem(path)
+    if kind == "lz4":
+        try:
+            with files.open_input_stream(at, compression="lz4") as f:
+                while piece := f.read(1 << 20):
+                    yield piece
+        except OSError as e:
+            raise InputError(f"{path}: {e}") from e
+        return
     with files.open_input_stream(at, compression=None) as f:
         unzip, held = None, b""
         while piece := held or f.read(1 << 20):

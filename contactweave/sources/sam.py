@@ -24,7 +24,10 @@ def is_bam(path: str) -> bool:
     """By content: compressed alignments are BAM, others SAM text."""
     if path.endswith(".cram"):
         raise Unsupported("CRAM can't be read; give SAM text or BAM")
-    return sniff(path) != "plain"
+    kind = sniff(path)
+    if kind == "lz4":
+        raise Unsupported("alignments in LZ4 frames can't be read; give SAM text or BAM")
+    return kind != "plain"
 
 
 def sam_header(spark: SparkSession, path: str) -> list[str]:

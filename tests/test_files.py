@@ -7,6 +7,7 @@ import random
 import re
 import struct
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from contactweave.operators import basic, binning, routing, stats
 from contactweave.operators.parse import ParseOptions, parse_sam
 from contactweave.sources import raw, statsfile
 from contactweave.sources.pairs import BGZF_END, as_lines, bgzf, read_pairs, write_pairs
+from contactweave.sources.sam import is_bam
 
 HEADER = ["## pairs format v1.0.0", "#shape: upper triangle", "#chromsize: chr1 5000", "#chromsize: chr2 3000", "#columns: " + " ".join(STANDARD)]
 
@@ -59,13 +61,13 @@ def as_text(rows):
     return [tuple(map(str, r)) for r in rows]
 
 
-@pytest.mark.parametrize("name", ["a.pairs", "a.pairs.gz", "named", "b.bgz", "plain.gz.txt"])
+@pytest.mark.parametrize("name", ["a.pairs", "a.pairs.gz", "named", "b.bgz", "plain.gz.txt", "c.lz4"])
 def test_every_compression(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(raw, "RANGE", 700)
     rows = made(900)
     data = text_of(rows).replace("\nr7\t", "\r\n\nr7\t").encode()
     parts = [data[i : i + 997] for i in range(0, len(data), 997)]  # lines straddle members
-    packed = {"a.pairs": data, "a.pairs.gz": gzip.compress(data), "named": b"".join(map(bgzf, parts)) + BGZF_END, "b.bgz": b"".join(map(bgzf, parts)), "plain.gz.txt": b"".join(map(gzip.compress, parts))}
+    packed = {"a.pairs": data, "a.pairs.gz": gzip.compress(data), "named": b"".join(map(bgzf, parts)) + BGZF_END, "b.bgz": b"".join(map(bgzf, parts)), "plain.gz.txt": b"".join(map(gzip.compress, parts)), "c.lz4": b"".join(pa.compress(x, codec="lz4", asbytes=True) for x in parts)}
     (tmp_path / name).write_bytes(packed[name])
     p = read_pairs(spark, str(tmp_path / name))
     assert p.header.lines == HEADER
@@ -102,8 +104,12 @@ def test_broken_files(spark, tmp_path):
     with pytest.raises(InputError, match="corrupt"):
         list(raw.range_lines(str(tmp_path / "crc.bgz"), 0, 1 << 30))
     (tmp_path / "x.lz4").write_bytes(b"\x04\x22\x4d\x18aaaa")
+    (tmp_path / "cut.lz4").write_bytes(pa.compress(data, codec="lz4", asbytes=True)[:-40])
+    for name in ("x.lz4", "cut.lz4"):
+        with pytest.raises(InputError):
+            read_pairs(spark, str(tmp_path / name))
     with pytest.raises(Unsupported):
-        read_pairs(spark, str(tmp_path / "x.lz4"))
+        is_bam(str(tmp_path / "x.lz4"))
     with pytest.raises(InputError):
         read_pairs(spark, str(tmp_path / "none"))
     (tmp_path / "h").write_bytes(b"## pairs\n#x: \xff\n")
@@ -111,6 +117,18 @@ def test_broken_files(spark, tmp_path):
         read_pairs(spark, str(tmp_path / "h"))
 
 
+def test_lz4_round_trip(spark, tmp_path):
+    rows = made(50)
+    (tmp_path / "a.pairs").write_text(text_of(rows))
+    p = read_pairs(spark, str(tmp_path / "a.pairs"))
+    path = str(tmp_path / "b.pairs.LZ4")
+    assert write_pairs(Pairs(p.header, p.df.orderBy("seq")), path) == 50
+    assert open(path, "rb").read(4) == b"\x04\x22\x4d\x18"
+    back = read_pairs(spark, path)
+    assert back.header.lines == HEADER
+    assert [tuple(r) for r in back.df.orderBy("seq").select(*STANDARD).collect()] == rows
+
+
 def test_errors_say_where(spark, tmp_path):
     good = made(3)
     for bad, what in ((("r", "chr1", "x1", "chr1", 1, "+", "-", "UU"), "line 9, column pos1: bad value x1"), (("r", "chr1", 1, "chr1", 1, "?", "-", "UU"), "column strand1"), (("r", "", 1, "chr1", 1, "+", "-", "UU"), "column chrom1"), (("r", "chr1"), "too few fields")):
