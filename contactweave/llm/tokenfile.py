@@ -32,7 +32,7 @@ import unicodedata
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,8 +52,8 @@ ESCAPE = 15
 _BITS = np.array([i.bit_length() for i in range(1 << 16)], np.uint8)
 #: Blocks that are coded or decoded at a time, which bounds the working memory.
 CHUNK = 256
-#: Most distinct parts of words whose ids a worker remembers within a task.
-CACHED_PARTS = 200_000
+#: Most distinct parts of words whose ids a worker remembers, about 200 bytes each.
+CACHED_PARTS = 500_000
 
 
 def _fit(ids: np.ndarray) -> np.ndarray:
@@ -175,12 +175,34 @@ def decode(words: np.ndarray, offsets: np.ndarray, n_ids: int) -> np.ndarray:
 
 
 def decoded_chunks(words: np.ndarray, offsets: np.ndarray, n_ids: int) -> Iterator[np.ndarray]:
-    for at in range(0, len(offsets), CHUNK):
-        yield decode_blocks(words, offsets[at : at + CHUNK], min(n_ids - at * BLOCK, CHUNK * BLOCK))
+    ends = np.append(offsets[CHUNK::CHUNK], len(words))
+    for at, end in zip(range(0, len(offsets), CHUNK), ends.tolist()):
+        first, own = offsets[at : at + CHUNK], words[int(offsets[at]) : end]
+        plain = not (own >> np.uint64(60) > np.uint64(len(COUNTS) - 1)).any()
+        yield (decode_plain if plain else decode_blocks)(own, first - first[0], min(n_ids - at * BLOCK, CHUNK * BLOCK))
+
+
+def decode_plain(words: np.ndarray, offsets: np.ndarray, n_ids: int) -> np.ndarray:
+    """``decode`` of a chunk without escapes, ``words`` being its own: where a word's
+    ids go follows from the counts before it, so each selector is one step."""
+    n_blocks = len(offsets)
+    chosen = (words >> np.uint64(60)).astype(np.uint8)
+    before = np.cumsum(COUNTS[chosen])
+    before -= COUNTS[chosen]
+    block = np.repeat(np.arange(n_blocks), np.diff(offsets, append=len(words)))
+    at = before - before[offsets][block] + block * (BLOCK + 60)
+    out = np.zeros(n_blocks * (BLOCK + 60), np.uint64)
+    for s in np.unique(chosen):
+        who = np.flatnonzero(chosen == s)
+        value, to, mask = words[who], at[who], (np.uint64(1) << WIDTHS[s]) - np.uint64(1)
+        for k in range(COUNTS[s]):
+            out[to + k] = (value >> (np.uint64(k) * WIDTHS[s])) & mask
+    return out.reshape(n_blocks, -1)[:, :BLOCK].reshape(-1)[:n_ids]
 
 
 def decode_blocks(words: np.ndarray, offsets: np.ndarray, n_ids: int) -> np.ndarray:
-    """``decode`` of a chunk, all of whose blocks advance together."""
+    """``decode`` of a chunk, all of whose blocks advance together, as an escape's
+    second word is known only from the words before it."""
     n_blocks = len(offsets)
     out = np.zeros((n_blocks, BLOCK + 60), np.uint64)
     length = np.full(n_blocks, BLOCK)
@@ -239,15 +261,17 @@ def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, Iterator[np.ndarr
     return [None if z else int(d) for d, z in zip(docs, null)], counts, decoded_chunks(words, offsets, int(n_ids))
 
 
-class _Parts(dict):
-    """Ids, as bytes, of the parts that the pre-tokenizer cuts."""
+class _Known(dict):
+    """What ``work`` gives for a string, remembered for at most ``most`` strings."""
 
-    def __init__(self, tokenize, table):
-        self.tokenize, self.table = tokenize, table
+    def __init__(self, work: Callable[[str], bytes], most: int):
+        self.work, self.most = work, most
 
-    def __missing__(self, part: str) -> bytes:
-        ids = self[part] = array("I", [t.id for t in self.tokenize(part.translate(self.table))]).tobytes()
-        return ids
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        value = self[key] = self.work(key)
+        return value
 
 
 class Encoder:
@@ -268,9 +292,10 @@ class Encoder:
         latin = [c for c in map(chr, range(33, 256)) if c.isprintable()]
         pre = self.tokenizer.pre_tokenizer
         table = str.maketrans({c: "".join(x for x, _ in pre.pre_tokenize_str(c)) for c in latin})
-        self.parts = _Parts(self.tokenizer.model.tokenize, table)
+        tokenize = self.tokenizer.model.tokenize
+        self.parts = _Known(lambda part: array("I", [t.id for t in tokenize(part.translate(table))]).tobytes(), CACHED_PARTS)
         klass = lambda f: "[" + "".join(re.escape(c) for c in latin if f(unicodedata.category(c)[0])) + "]"
-        self.cut = re.compile("'s|'t|'re|'ve|'m|'ll|'d|" + klass("L".__eq__) + "+|" + klass("N".__eq__) + "|" + klass(lambda k: k not in "LN") + "+").findall
+        self.cut = re.compile(klass("L".__eq__) + "+|'(?:s|t|re|ve|m|ll|d)|" + klass("N".__eq__) + "|" + klass(lambda k: k not in "LN") + "+").findall
         self.odd = re.compile(r"[^\x20\x09-\x0D" + "".join(map(re.escape, latin)) + "]").search
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         trial = [a + b for a in latin[::3] for b in latin] + ["don't we", "IT'LL\n\tgo", "A1b22\u00bd'RE", "\u00c9T\u00c9. a", "x---y##"]
@@ -290,8 +315,6 @@ class Encoder:
             if not t:
                 out.append(tail)
                 continue
-            if len(self.parts) > CACHED_PARTS:
-                self.parts.clear()
             short = self.fast and not self.odd(t) and not any(m in t for m in self.marks)
             out.append((self._short(t) if short else self._long(t)) + tail)
         return out
@@ -301,8 +324,7 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder_of(vocabulary: str) -> Encoder:
-    """The process's encoder of a vocabulary file; tasks empty its memory of parts
-    when they end."""
+    """The process's encoder of a vocabulary file, which tasks share."""
     if vocabulary not in _encoders:
         _encoders[vocabulary] = Encoder(vocabulary)
     return _encoders[vocabulary]
@@ -358,7 +380,6 @@ def write_files(docs: DataFrame, folder: str, vocabulary: str, end: int, id_col:
                     yield flush()
         if doc_ids:
             yield flush()
-        encoder.parts.clear()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("print"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -278,3 +278,22 @@ def test_very_long_and_odd_urls(spark):
 
 def test_unused_names():
     assert base.unused(["a", "_A"], "A") == "__A"
+
+
+@pytest.mark.parametrize("n", [0, 1, 1023, 1025, 262145])
+@pytest.mark.parametrize("top, escapes", [(50_000, False), (3, False), (3, True)])
+def test_ids_come_back_with_and_without_escapes(n, top, escapes):
+    r = np.random.default_rng(n)
+    ids = r.integers(0, top, n).astype(np.uint64)
+    if escapes and n:
+        ids[r.integers(0, n, 3)] = np.uint64(2**63 + 5)
+    words, offsets = tokenfile.encode(ids)
+    assert np.array_equal(tokenfile.decode(words, offsets, n), ids)
+    if n and not escapes:
+        assert np.array_equal(tokenfile.decode_plain(words[: offsets[256]] if len(offsets) > 256 else words, offsets[:256], min(n, 1 << 18)), ids[: 1 << 18])
+
+
+def test_remembered_parts_stay_bounded():
+    known = tokenfile._Known(str.encode, 3)
+    assert [known[x] for x in "abcabdea"] == [x.encode() for x in "abcabdea"]
+    assert len(known) <= 3
