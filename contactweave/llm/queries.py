@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactweave.llm import chat, decontam, langid, mixing, neardup, pagetext, quality, tokenfile, urlfilter, warc
+from contactweave.llm import chat, decontam, langid, mixing, neardup, pagetext, quality, repair, spelling, substrings, tokenfile, urlfilter, warc
 from contactweave.llm.base import shared_folder
 
 #: (rule, verdict) of the URL query.
@@ -75,10 +75,37 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pagetext.main_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_url_filters, op4_token_ids, op5_minhash_near_dedup, op6_chat_formatting, op7_language_id, op8_benchmark_decontamination, op9_warc, op10_html_extraction)}
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeats(table(spark, sf_dir, "documents")).drop("repeats")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(repair.contract_damage(table(spark, sf_dir, "conversations")))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_url_filters, op4_token_ids, op5_minhash_near_dedup, op6_chat_formatting, op7_language_id, op8_benchmark_decontamination, op9_warc, op10_html_extraction, op11_substring_dedup, op12_conversation_repair, op13_spelling_variants)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+#: Table of CRC-32 by byte, made by its rule; ``tab.t`` in what follows.
+_CRC_TABLE = "tab AS (SELECT list(list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) AS x(i))"
+
+
+def _crc(text: str) -> str:
+    """SQL for the CRC-32 of a text's UTF-8 bytes."""
+    byte = f"CAST('0x' || substr(hex({text}), 2 * k + 1, 2) AS BIGINT)"
+    return f"xor(list_reduce([4294967295] || list_transform(range(strlen({text})), lambda k: {byte}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _edit(rest: str, cost, initial: str) -> str:
+    """SQL for a repair's value after an edit in front of it."""
+    return f"{{'c': {rest}.c + {cost}, 'a': '{initial}' || {rest}.a}}"
+
+
 ORACLE_SQL = {
     "op2_quality_rules": rf"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, source, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
@@ -121,4 +148,55 @@ d AS (SELECT page_id, payload_bytes, list_aggregate(list_transform(range(8), lam
 o AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS original FROM d)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> original THEN original END AS refers_to FROM o""",
+    "op11_substring_dedup": rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+g AS (SELECT doc_id, s, array_to_string(w[s:s + 19], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d)),
+r AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY t ORDER BY doc_id, s) AS c FROM g) WHERE c > 1),
+c AS (SELECT DISTINCT doc_id, s + o AS i FROM r, (SELECT unnest(range(20)) AS o)),
+x AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+k AS (SELECT x.doc_id, count(c.i) AS n, string_agg(x, ' ' ORDER BY x.i) FILTER (c.i IS NULL) AS t FROM x LEFT JOIN c ON c.doc_id = x.doc_id AND c.i = x.i GROUP BY x.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
+    "op12_conversation_repair": rf"""
+WITH RECURSIVE {_CRC_TABLE},
+p AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS h FROM conversations),
+h AS (SELECT p.*, {_crc("h")} % 20 AS f FROM p, tab),
+m AS (SELECT conv_id, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE f WHEN 3 THEN 2 ELSE 1 END)) AS k FROM h WHERE f <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, k) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, k) > 1 AS again, count(*) OVER (PARTITION BY conv_id) AS n FROM m),
+q AS (SELECT *, left(role, 1) AS r, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS b, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+  NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS open FROM o),
+c AS (SELECT *, blank OR again AS gone, CASE WHEN open THEN 5 ELSE 0 END AS x FROM q),
+s AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+  count(*) FILTER (open AND NOT gone) AS truncated, count(*) FILTER (b IS NOT NULL AND b || r NOT IN ('su', 'ua', 'au')) AS illegal FROM c GROUP BY conv_id),
+v AS (SELECT DISTINCT conv_id, n AS i, {{'c': 0, 'a': ''}} AS s0, {{'c': 10, 'a': 'II'}} AS s1, {{'c': 5, 'a': 'I'}} AS s2, {{'c': 0, 'a': ''}} AS s3 FROM o
+  UNION ALL SELECT conv_id, i, least(e0, {_edit("least(e2, " + _edit("e3", 5, "I") + ")", 5, "I")}) AS s0, least(e1, {_edit("least(e2, " + _edit("e3", 5, "I") + ")", 5, "I")}) AS s1, least(e2, {_edit("e3", 5, "I")}) AS s2, least(e3, {_edit("e2", 5, "I")}) AS s3
+  FROM (SELECT v.conv_id, v.i - 1 AS i,
+    least({_edit("s0", 2, "D")}, {_edit("s2", "1 + x + big", "R")}, CASE WHEN r = 'u' THEN {_edit("s2", "x + big", "K")} END, CASE WHEN r = 's' THEN {_edit("s1", "x + big", "K")} END) AS e0,
+    least({_edit("s1", 2, "D")}, {_edit("s2", "1 + x + big", "R")}, CASE WHEN r = 'u' THEN {_edit("s2", "x + big", "K")} END) AS e1,
+    least({_edit("s2", 2, "D")}, {_edit("s3", "1 + x + big", "R")}, CASE WHEN r = 'a' THEN {_edit("s3", "x + big", "K")} END) AS e2,
+    least({_edit("s3", 2, "D")}, {_edit("s2", "1 + x + big", "R")}, CASE WHEN r = 'u' THEN {_edit("s2", "x + big", "K")} END) AS e3
+    FROM v JOIN (SELECT *, CASE WHEN gone THEN 1000000 ELSE 0 END AS big FROM c) AS c ON c.conv_id IS NOT DISTINCT FROM v.conv_id AND c.i = v.i)),
+z AS (SELECT conv_id, s0.c AS cost, s0.a AS audit FROM v WHERE i = 0),
+t AS (SELECT conv_id, j, substr(audit, j, 1) AS e, audit FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS j FROM z)),
+u AS (SELECT *, count(*) FILTER (e <> 'I') OVER (PARTITION BY conv_id ORDER BY j) AS i FROM t),
+y AS (SELECT u.conv_id, j, e, role, text, row_number() OVER w - 1 AS k, CASE WHEN first_value(e = 'K' AND r = 's') OVER w THEN 1 ELSE 0 END AS sys
+  FROM u LEFT JOIN c ON e <> 'I' AND c.conv_id IS NOT DISTINCT FROM u.conv_id AND c.i = u.i WHERE e <> 'D' WINDOW w AS (PARTITION BY u.conv_id ORDER BY j)),
+a AS (SELECT conv_id, string_agg((CASE WHEN e = 'K' THEN role WHEN (k - sys) % 2 = 0 THEN 'user' ELSE 'assistant' END) || ':' || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS said FROM y GROUP BY conv_id)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS i LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM i.conv_id""",
+    "op13_spelling_variants": rf"""
+WITH RECURSIVE {_CRC_TABLE},
+r AS (SELECT CAST(doc_id AS VARCHAR) AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS w FROM documents),
+l AS (SELECT w, coalesce(id, '') || ':' || w AS h FROM r WHERE length(w) >= 7),
+g AS (SELECT w, {_crc("h")} AS h FROM l, tab),
+k AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS w FROM g),
+v AS (SELECT w, count(*) AS n FROM k WHERE length(w) >= 7 GROUP BY w HAVING count(*) >= 2),
+x AS (SELECT w, n, unnest(range(1, length(w) + 1)) AS i FROM v),
+y AS (SELECT w, n, i, substr(w, 1, i - 1) || substr(w, i + 1) AS d FROM x),
+e AS (SELECT a.w, b.w AS m, b.n FROM y AS a JOIN y AS b ON a.i = b.i AND a.d = b.d AND length(a.w) = length(b.w) AND a.w <> b.w
+  UNION SELECT y.w, v.w, v.n FROM y JOIN v ON y.d = v.w UNION SELECT v.w, y.w, y.n FROM y JOIN v ON y.d = v.w),
+b AS (SELECT w, count(*) AS n_near, min({{'l': -n, 'm': m}}) AS t FROM e GROUP BY w),
+f AS (SELECT v.w, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.t.l >= 10 * v.n THEN b.t.m END AS form, CASE WHEN -b.t.l >= 10 * v.n THEN -b.t.l END AS form_n FROM v LEFT JOIN b USING (w)),
+o AS (SELECT w, w AS at FROM f UNION ALL SELECT o.w, f.form FROM o JOIN f ON f.w = o.at WHERE f.form IS NOT NULL)
+SELECT f.w AS word, f.n, f.n_near, f.form, f.form_n, o.at AS root FROM f JOIN o ON o.w = f.w JOIN f AS z ON z.w = o.at WHERE z.form IS NULL""",
 }
