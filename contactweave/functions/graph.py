@@ -5,22 +5,40 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """``df`` as a Parquet table in the folder that ``spark.checkpoint.dir`` names,
-    read again.  A local session without one takes a folder below the warehouse; any
-    other needs one that all machines share."""
-    spark = df.sparkSession
+#: Setting under which Spark removes a job's shuffle files when the job ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that all machines share.
+
+    It is ``spark.checkpoint.dir`` of the session; where that is unset, a local
+    session takes a folder below the warehouse and any other is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read again: lineage ends there,
+    losing an executor never repeats the work before it, and the shuffle files that led
+    there are removed, as nothing reads them again."""
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
