@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contactweave.functions.graph import shared_folder, written  # noqa: F401
+
 #: A word is a run of characters other than the six ASCII white-space ones.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(WORD_PATTERN)
@@ -68,29 +69,6 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all machines share.
-
-    It is ``spark.checkpoint.dir`` of the session; where that is unset, a local
-    session takes a folder below the warehouse and any other is an error.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again: lineage ends
-    there, and losing an executor never repeats the work before it."""
-    spark = df.sparkSession
-    path = shared_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if a count shows that it has at most
     ``limit`` rows; else as it is, for a shuffled join."""
