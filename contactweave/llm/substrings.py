@@ -14,7 +14,8 @@ the common stretch repeat.  What sticks out on the left waits with the occurrenc
 leave the centre at the same place by the same word, and the same on the right, for a
 centre of their own.  An occurrence's open windows only shrink, so ``LENGTH - SEED + 1``
 rounds are enough, no two occurrences are paired but with a centre, and the result is
-exact: two equal windows leave no centre apart.
+exact: two equal windows leave no centre apart.  Occurrences whose windows are all alike
+go as one.
 
 Exact copies of a text are reduced to their first document before any of this.
 
@@ -234,7 +235,15 @@ def _order(*more: str) -> Column:
 
 def _repeating(occurrences: DataFrame, id_type: str) -> DataFrame:
     """(t1, t2, pos, lo, hi): windows that repeat, as offsets before a seed."""
-    now, found = occurrences, None
+    # Occurrences that are alike as far as their windows reach are a class: all but the
+    # first repeat as a whole, and only the first is compared with other classes.
+    alike = ["g", *(F.xxhash64(F.lit(s), "lo", "hi", "around").alias(f"k{s}") for s in (1, 2))]
+    classes = occurrences.groupBy(*alike).agg(F.min(_order("pos")).alias("at"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("around").alias("around"), F.count(F.lit(1)).alias("n"))
+    classes = written(classes, "classes")
+    of = classes.where("n > 1").select(*(F.col(c).alias(f"c_{c}") for c in ("g", "k1", "k2", "at")))
+    others = occurrences.select(*alike, "late", "doc_id", "t1", "t2", "pos", "lo", "hi").join(of, (F.col("g") == F.col("c_g")) & (F.col("k1") == F.col("c_k1")) & (F.col("k2") == F.col("c_k2")))
+    found = written(others.where(~_order("pos").eqNullSafe(F.col("c_at"))).select("t1", "t2", "pos", "lo", "hi"), "alike")
+    now = classes.select("g", "at.*", "lo", "hi", "around")
     for k in range(REACH + 2):
         centres = now.groupBy("g").agg(F.min_by(F.struct("lo", "hi", "around"), _order("pos")).alias("c"), F.min(_order("pos")).alias("c_at"), F.count(F.lit(1)).alias("n")).where("n > 1")
         centres = centres.select(F.col("g").alias("c_g"), F.col("c.lo").alias("c_lo"), F.col("c.hi").alias("c_hi"), F.col("c.around").alias("c_around"), "c_at")
@@ -242,8 +251,7 @@ def _repeating(occurrences: DataFrame, id_type: str) -> DataFrame:
         seen = Observation()
         step = pairs.mapInArrow(_extended, _OPEN.format(id=id_type)).observe(seen, F.count_if(~F.col("covered")).alias("n"))
         step = written(step, f"extended{k}")
-        part = step.where("covered").select("t1", "t2", "pos", "lo", "hi")
-        found = part if found is None else found.unionByName(part)
+        found = found.unionByName(step.where("covered").select("t1", "t2", "pos", "lo", "hi"))
         if not seen.get["n"]:
             return found
         now = step.where("not covered").drop("covered")
@@ -283,9 +291,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     # A text's seeds stand in the row of its first document; t1 alone leads back to the
     # text, as a wrong hit only means a seed looked at in vain.
     own = rows.select("t1", "t2", "seeds", late, "doc_id").where(F.size("seeds") > 0).groupBy("t1", "t2").agg(F.any_value("seeds").alias("seeds"))
-    seeds = written(own.select("t1", F.explode("seeds").alias("h")), "seeds")
-    twice = seeds.groupBy("h").count().where("count > 1").select(F.col("h").alias("again"))
-    hits = seeds.join(twice, F.col("h") == F.col("again")).groupBy(F.col("t1").alias("of")).agg(F.collect_set("h").alias("hits"))
+    # Written, so that the join has a shuffle on either side and hot seeds can be split.
+    twice = written(own.select(F.explode("seeds").alias("again")).groupBy("again").count().where("count > 1").select("again"), "twice")
+    hits = own.select("t1", F.explode(F.array_distinct("seeds")).alias("h")).join(twice, F.col("h") == F.col("again")).groupBy(F.col("t1").alias("of")).agg(F.collect_set("h").alias("hits"))
     texts = keyed.groupBy("t1", "t2").agg(F.any_value("text").alias("text"), F.min(F.struct(late, "doc_id")).alias("first"))
     held = written(texts.join(hits, F.col("t1") == F.col("of")).select("t1", "t2", "first.*", "text", "hits"), "held")
     at = held.mapInArrow(_occurrences, f"g long, late boolean, doc_id {id_type}, t1 long, t2 long, pos long, lo int, hi int, around binary")
