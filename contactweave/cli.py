@@ -160,9 +160,9 @@ class Run:
         if not self.a.quiet:
             print(text, file=sys.stderr)
 
-    def read(self, given: str) -> Pairs:
+    def read(self, given: str, strict: bool = True) -> Pairs:
         path = self.path(given)
-        pairs = read_pairs(self.spark, path)
+        pairs = read_pairs(self.spark, path, strict=strict)
         if not pairs.header.lines:
             self.note(f"{given}: no header; standard columns are taken")
         return pairs
@@ -226,7 +226,8 @@ class Run:
 
     def select(self) -> None:
         a = self.a
-        p = self.read(a.input)
+        # Only what the condition asks for is parsed.
+        p = self.read(a.input, strict=False)
         subset = None
         if a.chrom_subset:
             try:

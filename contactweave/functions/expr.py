@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contactweave.functions.fields import LINE, named, raw_field
 from contactweave.model import PairsError, Unsupported
 
 #: Columns that are numbers unless the caller says otherwise.
@@ -278,8 +279,8 @@ def _literal(t: Typed, what: str) -> str:
 
 
 class Compiler(ast.NodeVisitor):
-    def __init__(self, columns: list[str], types: dict[str, str]):
-        self.columns, self.types = columns, types
+    def __init__(self, columns: list[str], types: dict[str, str], lined: bool = False):
+        self.columns, self.types, self.lined = columns, types, lined
 
     def column(self, name: str) -> Typed:
         if name not in self.columns:
@@ -287,6 +288,8 @@ class Compiler(ast.NodeVisitor):
         kind = self.types.get(name, "int" if name in INT_COLUMNS else "str")
         if kind not in _CASTS:
             raise PairsError(f"unknown type {kind!r}")
+        if kind == "str" and self.lined:
+            return Typed(kind, raw_field(self.columns.index(name)))
         return Typed(kind, F.col(f"`{name}`").cast(_CASTS[kind]))
 
     def generic_visit(self, node):
@@ -409,5 +412,4 @@ class Compiler(ast.NodeVisitor):
 
 def compile_condition(condition: str, df: DataFrame, types: dict[str, str] | None = None) -> Column:
     """The condition as a boolean column over ``df``."""
-    own = [c for c in df.columns if c not in ("seq", "_rest")]
-    return truth(Compiler(own, types or {}).visit(Parser(condition).whole()))
+    return truth(Compiler(named(df), types or {}, LINE in df.columns).visit(Parser(condition).whole()))

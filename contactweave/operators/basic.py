@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactweave.functions.expr import compile_condition
+from contactweave.functions.fields import named, once, with_fields, with_only
 from contactweave.model import STANDARD, UNMAPPED_CHROM, Header, Pairs
 
 
@@ -42,7 +43,12 @@ def flip_pairs(df: DataFrame, chroms: list[str]) -> DataFrame:
     swap = {}
     for c in column_pairs(df.columns):
         swap |= {f"{c}1": f"{c}2", f"{c}2": f"{c}1"}
-    flipped = df.withColumn("_flip", needs_flip(chroms))
+    at = {c: i for i, c in enumerate(named(df))}
+    raw = lambda c: lambda f: F.get(f, F.lit(at[c]))
+    changes = {c: raw(swap[c]) for c in swap}
+    if "pair_type" in at:
+        changes["pair_type"] = lambda f: once(raw("pair_type")(f), lambda t: F.concat(F.reverse(F.substring(t, 1, 2)), F.substr(t, F.lit(3))))
+    flipped = with_fields(df, changes, needs_flip(chroms)).withColumn("_flip", needs_flip(chroms))
 
     def column(c: str) -> Column:
         if c in swap:
@@ -68,7 +74,8 @@ def without_columns(pairs: Pairs, names: list[str]) -> Pairs:
     passed over."""
     header = Header(list(pairs.header.lines))
     header.set_columns([c for c in header.columns() if c not in names])
-    return Pairs(header, pairs.df.drop(*(c for c in names if c in pairs.header.columns())))
+    gone = [c for c in names if c in pairs.header.columns()]
+    return Pairs(header, with_only(pairs.df, header.columns()).drop(*gone) if gone else pairs.df)
 
 
 def subset_header(header: Header, names: list[str]) -> Header:

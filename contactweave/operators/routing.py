@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from contactweave.functions.fields import with_appended, with_fields
 from contactweave.functions.graph import written
 from contactweave.functions.ordering import with_previous
 from contactweave.model import ArgumentError, Header, NotSorted, Pairs
@@ -65,8 +66,10 @@ def route(pairs: Pairs, dups_to: str = "drop", unmapped_to: str = "drop", mark_d
         own = F.when(F.lit(whole and dups_to == "main") & (F.col("outcome") == "kept"), F.col("readID"))
         field = F.when(F.col("outcome") == "dup", F.col("named")).when(F.lit(whole) & (F.col("outcome") == "unmapped"), F.lit("")).otherwise(own)
         rest = F.col("_rest") if "_rest" in out.columns else F.array().cast("array<string>")
-        out = out.withColumn("_rest", F.when(field.isNull(), rest).otherwise(F.concat(rest, F.array(field)))).drop("p", "named")
+        out = out.withColumn("_rest", F.when(field.isNull(), rest).otherwise(F.concat(rest, F.array(field))))
+        out = with_appended(out, field).drop("p", "named")
     if mark_dups and "pair_type" in columns:
+        out = with_fields(out, {"pair_type": lambda f: F.lit("DD")}, F.col("outcome") == "dup")
         out = out.withColumn("pair_type", F.when(F.col("outcome") == "dup", "DD").otherwise(F.col("pair_type")))
     header = Header(list(pairs.header.lines))
     longer = Header(list(header.lines))

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactweave.functions import ordering
+from contactweave.functions.fields import named
 from contactweave.functions.graph import written
 from contactweave.model import Header, Pairs
 from contactweave.operators import basic, binning, dedup, routing, stats
 from contactweave.operators.process import numbered
+from contactweave.sources.pairs import as_lines, typed_lines
 
 CHROMS = [f"chr{i}" for i in range(1, 13)]
 SIZES = dict.fromkeys(CHROMS, 1_000_000)
@@ -92,6 +94,29 @@ def selection(name: str):
     return query
 
 
+RAW_CONDITION = ('pos1 > 500000 and chrom2 != "chr3" and mapq1 % 2 == 1', "pos1 > 500000 AND chrom2 <> 'chr3' AND mapq1 % 2 = 1")
+RAW_LINE = " || chr(9) || ".join(["readID", "chrom1", "lpad(CAST(pos1 AS STRING), 9, '0')", "chrom2", "lpad(CAST(pos2 AS STRING), 9, '0')", "strand1", "strand2", "pair_type || 'x'", "'+' || CAST(mapq1 AS STRING)", "'+' || CAST(mapq2 AS STRING)", "readID || ' '", "''"])
+
+
+def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The adapter view as lines with padded numbers, signs, blanks and a tail, read as
+    rows that carry them."""
+    header = Header.standard(SIZES)
+    header.append_columns(["mapq1", "mapq2"])
+    lines = pairs(spark, sf_dir, "w").select(F.expr(RAW_LINE).alias("line"), "seq")
+    return typed_lines(lines, header)
+
+
+def select_raw(spark, sf_dir):
+    kept, _ = basic.select_pairs(raw_rows(spark, sf_dir), RAW_CONDITION[0])
+    return as_lines(kept, named(kept))
+
+
+def flip_raw(spark, sf_dir):
+    flipped = basic.flip_pairs(raw_rows(spark, sf_dir), CHROMS[:8])
+    return as_lines(flipped, named(flipped))
+
+
 def select_rest(spark, sf_dir):
     return basic.select_pairs(pairs(spark, sf_dir, "w"), SELECTS["select_uu_close"][0])[1].drop("seq")
 
@@ -240,7 +265,7 @@ def generated(spark, sf_dir):
     return basic.generate_pairs(spark).drop("seq")
 
 
-QUERIES = {f.__name__: f for f in (sort_rank, select_rest, select_chrom_subset, type_cast, stats_counters, stats_pair_types, stats_chrom_freq, stats_dist_freq, stats_summary, stats_convergence, stats_dups, stats_dups_summary, dedup_parents, sort_extra, sort_no_type, remove_columns, bin_counters, bin_coo_10k, bin_multi_res, bin_filtered, bin_bg2, bin_table, process_fused, process_max3, generated)}
+QUERIES = {f.__name__: f for f in (sort_rank, select_raw, flip_raw, select_rest, select_chrom_subset, type_cast, stats_counters, stats_pair_types, stats_chrom_freq, stats_dist_freq, stats_summary, stats_convergence, stats_dups, stats_dups_summary, dedup_parents, sort_extra, sort_no_type, remove_columns, bin_counters, bin_coo_10k, bin_multi_res, bin_filtered, bin_bg2, bin_table, process_fused, process_max3, generated)}
 QUERIES |= {"flip_pairs": flip} | {n: selection(n) for n in SELECTS}
 QUERIES |= {
     n: dedup_query(n, **o)
@@ -302,6 +327,8 @@ ORACLE_SQL = {
     "sort_rank": f"SELECT readID, row_number() OVER (ORDER BY chrom1, chrom2, pos1, pos2, pair_type, seq) AS sort_rank FROM ({_W})",
     "flip_pairs": f"SELECT {_COLUMNS} FROM {_flip_sql(_W, 8)}",
     **{n: f"SELECT {_COLUMNS} FROM ({_W}) WHERE {sql}" for n, (_, sql) in SELECTS.items()},
+    "select_raw": f"SELECT {RAW_LINE} AS value FROM ({_W}) WHERE {RAW_CONDITION[1]}",
+    "flip_raw": f"SELECT {RAW_LINE} AS value FROM {_flip_sql(_W, 8)}",
     "select_rest": f"SELECT {_COLUMNS} FROM ({_W}) WHERE NOT ({SELECTS['select_uu_close'][1]})",
     "select_chrom_subset": f"SELECT {_COLUMNS} FROM ({_W}) WHERE chrom1 IN ('chr1', 'chr2', 'chr3') AND chrom2 IN ('chr1', 'chr2', 'chr3')",
     "type_cast": f"SELECT readID, substr(readID, 2) AS digits FROM ({_W}) WHERE CAST(substr(readID, 2) AS BIGINT) % 7 = 3",

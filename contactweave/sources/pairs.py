@@ -8,10 +8,12 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from contactweave.functions.fields import LINE, OWN, named
 from contactweave.model import STANDARD, Header, Pairs, PairsError, filesystem
+from contactweave.sources import parts
 from contactweave.sources.raw import head_lines, sniff, text_lines  # noqa: F401
 
 BGZF_END = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
@@ -36,24 +38,31 @@ def _checked(column: Column, pattern: str, what: str, path: str) -> Column:
     return F.when(column.rlike(pattern), column).otherwise(F.raise_error(said))
 
 
-def read_pairs(spark: SparkSession, path: str, wide_positions: bool = False) -> Pairs:
-    """Rows typed by the header's columns, with ``seq`` (order in the file) and
-    ``_rest`` (fields beyond the named ones).  Positions are BIGINT, or
-    DECIMAL(20,0) if ``wide_positions``; all further columns are strings."""
+def read_pairs(spark: SparkSession, path: str, wide_positions: bool = False, strict: bool = True) -> Pairs:
+    """Rows typed by the header's columns, with ``seq`` (order in the file), ``_rest``
+    (fields beyond the named ones) and ``_line`` (the line, which is what writers write).
+    Positions are BIGINT, or DECIMAL(20,0) if ``wide_positions``; all further columns are
+    strings.  Of a ``strict`` reading every line's required fields are checked when it is
+    written; otherwise only what is asked for is parsed."""
     header = read_header(path, spark)
+    lines = text_lines(spark, path)
+    # Only the leading # lines are the header, and they are the file's first lines.
+    body = lines.where((F.col("line") != "") & ~(F.col("line").startswith("#") & (F.col("seq") < len(header.lines))))
+    return Pairs(header, typed_lines(body, header, path, wide_positions, strict))
+
+
+def typed_lines(body: DataFrame, header: Header, path: str = "input", wide_positions: bool = False, strict: bool = True) -> DataFrame:
+    """The rows of lines (line, seq), as ``read_pairs`` has them."""
     names = header.columns()
-    taken = {c for c in names if c in ("seq", "_rest")}
+    taken = {c for c in names if c in OWN}
     if taken:
         raise PairsError(f"{path}: a column can't be named {', '.join(sorted(taken))}")
     for need in STANDARD[:7]:
         if need not in names:
             raise PairsError(f"column {need} is missing")
-    lines = text_lines(spark, path)
-    # Only the leading # lines are the header, and they are the file's first lines.
-    body = lines.where((F.col("line") != "") & ~(F.col("line").startswith("#") & (F.col("seq") < len(header.lines))))
-    parts = F.split("line", "\t", -1)
+    split = F.split("line", "\t", -1)
     least = max(names.index(c) for c in STANDARD if c in names and (c != "pair_type" or header.fields("columns"))) + 1
-    body = body.select("seq", F.when(F.size(parts) >= least, parts).otherwise(F.raise_error(F.concat(place(path), F.lit(": too few fields: "), "line"))).alias("f"))
+    body = body.select("seq", "line", F.when(F.size(split) >= least, split).otherwise(F.raise_error(F.concat(place(path), F.lit(": too few fields: "), "line"))).alias("f"))
     kind = "decimal(20,0)" if wide_positions else "bigint"
 
     def column(i: int, name: str) -> Column:
@@ -65,12 +74,20 @@ def read_pairs(spark: SparkSession, path: str, wide_positions: bool = False) ->
         return _checked(value, r"(?s)\A.+\z", name, path) if name in ("chrom1", "chrom2") else value
 
     rest = F.when(F.size("f") > len(names), F.slice("f", len(names) + 1, F.size("f") - len(names))).otherwise(F.array().cast("array<string>"))
-    return Pairs(header, body.select("seq", *(column(i, n).alias(n) for i, n in enumerate(names)), rest.alias("_rest")))
+    whole = F.col("line")
+    if strict:
+        of = {n: column(names.index(n), n) for n in STANDARD[:7]}
+        marks = F.length(F.concat(*(of[c] for c in ("chrom1", "chrom2", "strand1", "strand2"))))
+        whole = F.when((marks > 0) & (of["pos1"] >= 0) & (of["pos2"] >= 0), whole)
+    return body.select("seq", *(column(i, n).alias(n) for i, n in enumerate(names)), rest.alias("_rest"), whole.alias(LINE))
 
 
 def as_lines(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One ``value`` per row: the columns that aren't null, and ``_rest`` if there is one,
-    joined by tabs."""
+    """One ``value`` per row: its line, if rows carry it and ``columns`` are all of its
+    fields; else the columns that aren't null, and ``_rest`` if there is one, joined by
+    tabs."""
+    if LINE in df.columns and columns == named(df):
+        return df.select(F.col(LINE).alias("value"))
     fields = F.array(*(F.col(f"`{c}`").cast("string") for c in columns))
     if "_rest" in df.columns:
         fields = F.concat(fields, F.col("_rest"))
@@ -88,30 +105,44 @@ def bgzf(data: bytes, level: int = 6) -> bytes:
     return b"".join(out)
 
 
+def coding_of(path: str) -> str:
+    """How a file of this name is compressed."""
+    name = path.lower()
+    return "bgzf" if name.endswith(_COMPRESSED) else "lz4" if name.endswith(".lz4") else "plain"
+
+
+def encoded(data: bytes, coding: str) -> bytes:
+    """Bytes that can be strung together with others of their coding."""
+    return bgzf(data) if coding == "bgzf" else pa.compress(data, codec="lz4", asbytes=True) if coding == "lz4" else data
+
+
 def write_lines(lines: DataFrame, path: str, head: list[str] | None = None) -> int:
     """One file of ``value`` lines in the DataFrame's order, after the ``head`` lines, by
     path, URI or ``-`` for standard output; the name's ending says whether it is BGZF or
-    LZ4 frames, one for each piece.
-    Tasks join and compress the lines; the driver only strings their pieces together.
+    LZ4 frames, one for each piece.  Tasks write coded parts, all at once, and the commit
+    strings them together; only standard output, and targets or shared folders that
+    Spark alone can reach, get one partition after the other through the driver.
     Returns the number of lines after the head."""
-    packed = path.lower().endswith(_COMPRESSED)
-    framed = path.lower().endswith(".lz4")
-    coded = lambda data: bgzf(data) if packed else pa.compress(data, codec="lz4", asbytes=True) if framed else data
+    coding = coding_of(path)
+    if path != "-" and parts.can_write(lines.sparkSession, path):
+        seen = Observation()
+        parts.write_in_parts(lines.observe(seen, F.count(F.lit(1)).alias("n")), path, head or [], coding)
+        return seen.get["n"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data = "".join(f"{x}\n" for x in b.column(0).to_pylist()).encode()
-            yield pa.RecordBatch.from_arrays([pa.array([coded(data)], pa.binary()), pa.array([b.num_rows], pa.int64())], ["data", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([encoded(data, coding)], pa.binary()), pa.array([b.num_rows], pa.int64())], ["data", "n"])
 
     first, n = "".join(f"{x}\n" for x in head or []).encode(), 0
 
     def pieces() -> Iterator[bytes]:
         nonlocal n
-        yield coded(first)
+        yield encoded(first, coding)
         for row in lines.select("value").mapInArrow(work, "data binary, n bigint").toLocalIterator():
             n += row["n"]
             yield bytes(row["data"])
-        if packed:
+        if coding == "bgzf":
             yield BGZF_END
 
     if path == "-":

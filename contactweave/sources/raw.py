@@ -3,7 +3,8 @@
 Plain text and files named ``.gz`` go through Spark's own reader.  Other gzip files and
 LZ4 frames are read as streams, one task a file.  BGZF files are dealt to tasks by byte ranges: a task
 inflates the members that begin in its range and owns the lines after the first line
-break there, as text splits do, so lines may straddle members and ranges.
+break there, as text splits do, so lines may straddle members and ranges.  BAM records are found
+in the same ranges by looking for a place from which several records follow each other.
 """
 
 from __future__ import annotations
@@ -159,6 +160,45 @@ def range_lines(path: str, start: int, stop: int) -> Iterator[bytes]:
             yield rest
 
 
+def plain_range_lines(path: str, start: int, stop: int) -> Iterator[bytes]:
+    """The lines of a plain file that begin in [start, stop)."""
+    files, name = filesystem(path)
+    with files.open_input_file(name) as f:
+        at = max(0, start - 1)
+        f.seek(at)
+        rest, owned = b"", start == 0
+        while piece := f.read(1 << 20):
+            lines = (rest + piece).split(b"\n")
+            rest = lines.pop()
+            for x in lines:
+                if not owned:
+                    owned, at = True, at + len(x) + 1
+                    continue
+                if at >= stop:
+                    return
+                yield x
+                at += len(x) + 1
+        if owned and rest and at < stop:
+            yield rest
+
+
+def file_ranges(path: str, size: int) -> list[tuple[int, int]]:
+    """Byte ranges of a file for as many tasks; one where it can't be entered midway."""
+    if sniff(path) not in ("plain", "bgzf"):
+        return [(0, 1)]
+    files, at = filesystem(path)
+    n = max(1, -(-files.get_file_info(at).size // size))
+    return [(k * size, (k + 1) * size) for k in range(n)]
+
+
+def read_range(path: str, start: int, stop: int) -> Iterator[bytes]:
+    """The lines of one of a file's ranges."""
+    kind = sniff(path)
+    if kind == "bgzf":
+        return range_lines(path, start, stop)
+    return plain_range_lines(path, start, stop) if kind == "plain" else split_lines(inflated(path))
+
+
 def as_batches(lines: Iterator[bytes], part: int) -> Iterator[pa.RecordBatch]:
     held: list[bytes] = []
     n = part << 33
@@ -288,8 +328,13 @@ def bam_line(raw: bytes, names: list[str]) -> str:
     shown = "*" if not n_bases or quality[0] == 255 else "".join(chr(33 + q) for q in quality)
     named = lambda i: names[i] if i >= 0 else "*"
     other = "=" if mate >= 0 and mate == ref else named(mate)
+    tags = list(tag_texts(raw[at + n_bases :]))
+    # CIGARs of over 65,535 operations stand in a tag, behind a stand-in of two.
+    if n_cigar == 2 and cigar.startswith(f"{n_bases}S") and cigar.endswith("N") and (long := [t for t in tags if t.startswith("CG:B:I,")]):
+        cigar = "".join(f"{int(x) >> 4}{OPERATIONS[int(x) & 15]}" for x in long[0].split(",")[1:])
+        tags.remove(long[0])
     fields = [raw[32 : 31 + n_name].decode(), flag, named(ref), pos + 1, mapq, cigar or "*", other, mate_pos + 1, length, bases or "*", shown]
-    return "\t".join([*map(str, fields), *tag_texts(raw[at + n_bases :])])
+    return "\t".join([*map(str, fields), *tags])
 
 
 def bam_lines(path: str) -> Iterator[bytes]:
@@ -299,13 +344,148 @@ def bam_lines(path: str) -> Iterator[bytes]:
         yield bam_line(data.take(struct.unpack("<i", size)[0]), names).encode()
 
 
-def bam_records(spark: SparkSession, path: str) -> DataFrame:
-    """(line, seq) of a BAM file's records as SAM text, streamed in one task, as records
-    can't be found from within the file."""
+class Members:
+    """The inflated bytes from one BGZF member on, as they are asked for, and the member
+    that each of them came from."""
+
+    def __init__(self, f: pa.NativeFile, at: int, path: str):
+        self.f, self.at, self.path, self.size = f, at, path, f.size()
+        self.held, self.start, self.members = bytearray(), 0, []
+
+    def __len__(self) -> int:
+        return self.start + len(self.held)
+
+    def has(self, end: int) -> bool:
+        """Whether there are bytes up to ``end``; members are inflated for it."""
+        while len(self) < end and self.at < self.size:
+            n = member_size(self.f, self.at)
+            if n is None:
+                raise InputError(f"{self.path}: no compressed block at {self.at}")
+            self.members.append((len(self), self.at))
+            self.held += member_data(self.f, self.at, n, self.path)
+            self.at += n
+        return len(self) >= end
+
+    def get(self, at: int, n: int) -> bytes:
+        return bytes(self.held[at - self.start : at - self.start + n])
+
+    def member(self, at: int) -> int:
+        """Where the member of a byte begins in the file."""
+        while len(self.members) > 1 and self.members[1][0] <= at:
+            del self.members[0]
+        return self.members[0][1]
+
+    def forget(self, at: int) -> None:
+        if at - self.start > 1 << 20:
+            del self.held[: at - self.start]
+            self.start = at
+
+
+#: Records in a row that must look right for a record to be taken as found, and the
+#: largest one that may.
+CHAIN, LARGEST = 6, 1 << 27
+
+
+def looks_like_record(data: Members, at: int, references: int) -> int:
+    """Size of what could be a BAM record, or 0: lengths that add up, references that
+    exist, a printable name that ends in a zero."""
+    if not data.has(at + 36):
+        return 0
+    size, ref, pos, n_name, _, _, n_cigar, _, n_bases, mate, mate_pos = struct.unpack("<iiiBBHHHiii", data.get(at, 32))
+    if not 34 <= size <= LARGEST or n_name < 2 or n_bases < 0 or 32 + n_name + 4 * n_cigar + (n_bases + 1) // 2 + n_bases > size:
+        return 0
+    if not (-1 <= ref < references and -1 <= mate < references and pos >= -1 and mate_pos >= -1):
+        return 0
+    if not data.has(at + 36 + n_name):
+        return 0
+    name = data.get(at + 36, n_name)
+    return 4 + size if name[-1] == 0 and all(33 <= c <= 126 for c in name[:-1]) else 0
+
+
+def starts_record(data: Members, at: int, references: int) -> bool:
+    """Whether records follow each other from here on, for ``CHAIN`` records or to the
+    file's end."""
+    for k in range(CHAIN):
+        if k and not data.has(at + 1):
+            return True
+        n = looks_like_record(data, at, references)
+        if not n or not data.has(at + n):
+            return False
+        at += n
+    return True
+
+
+def bam_range_lines(path: str, start: int, stop: int, first: tuple[int, int], names: list[str]) -> Iterator[bytes]:
+    """The records that begin in the members that begin in [start, stop), as SAM text.
+    ``first`` is the first record's member and place in it."""
+    files, name = filesystem(path)
+    with files.open_input_file(name) as f:
+        known = start <= first[0] < stop
+        if stop <= first[0]:
+            return
+        data = Members(f, first[0] if known else first_member(f, start, f.size()), path)
+        if data.at >= stop:
+            return
+        at = first[1] if known else 0
+        while data.has(at + 1) and data.member(at) < stop:
+            if known:
+                break
+            if starts_record(data, at, len(names)):
+                known = True
+            else:
+                at += 1
+                data.forget(at)
+        while data.has(at + 1) and data.member(at) < stop:
+            if not data.has(at + 4):
+                raise InputError(f"{path}: the file is cut off")
+            size = struct.unpack("<i", data.get(at, 4))[0]
+            if size < 32 or not data.has(at + 4 + size):
+                raise InputError(f"{path}: the file is cut off")
+            yield bam_line(data.get(at + 4, size), names).encode()
+            at += 4 + size
+            data.forget(at)
+
+
+def bam_start(path: str) -> tuple[list[str], tuple[int, int]]:
+    """Reference names, and where the first record of a BGZF BAM file is."""
+    files, name = filesystem(path)
+    with files.open_input_file(name) as f:
+        data, at = Members(f, 0, path), 0
+
+        def pieces() -> Iterator[bytes]:
+            nonlocal at
+            while data.has(at + 1):
+                piece = data.get(at, len(data) - at)
+                at = len(data)
+                yield piece
+
+        source = Bytes(pieces(), path)
+        names = bam_head(source)[1]
+        place = at - len(source.held)
+        if not data.has(place + 1):
+            return names, (data.at, 0)
+        begun, member = [m for m in data.members if m[0] <= place][-1]
+        return names, (member, place - begun)
+
+
+def bam_records(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
+    """(line, seq) of a BAM file's records as SAM text.  BGZF files are dealt to tasks by
+    byte ranges: a task looks for the first place in its range from which records follow
+    each other, and reads on to the first one that begins beyond it."""
+    if sniff(path) != "bgzf":
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for _ in range(b.num_rows):
+                    yield from as_batches(bam_lines(path), 0)
+
+        return spark.range(0, 1, 1, 1).mapInArrow(whole, "line string, seq bigint")
+    names, first = bam_start(path)
+    ranges = file_ranges(path, size)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _ in range(b.num_rows):
-                yield from as_batches(bam_lines(path), 0)
+            for part in b.column(0).to_pylist():
+                yield from as_batches(bam_range_lines(path, *ranges[part], first, names), part)
 
-    return spark.range(0, 1, 1, 1).mapInArrow(work, "line string, seq bigint")
+    return spark.range(0, len(ranges), 1, len(ranges)).mapInArrow(work, "line string, seq bigint")
