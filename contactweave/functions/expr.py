@@ -10,13 +10,16 @@ before other characters than n, t, quotes and backslashes stay, as patterns need
 from __future__ import annotations
 
 import ast
+import itertools
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactweave.functions.fields import LINE, named, raw_field
+from contactweave.functions.floats import float_text
 from contactweave.model import PairsError, Unsupported
 
 #: Columns that are numbers unless the caller says otherwise.
@@ -157,22 +160,63 @@ class Parser:
 
 @dataclass
 class Typed:
-    """A compiled part: its type, its column, and its value if it is a literal.  The
-    type is ``mixed`` for and or or of parts of several types, which has a truth value
-    and no other."""
+    """A compiled part: its type, its column, and its value if it is a literal.  Where a
+    row decides the type, it is ``mixed`` and the value lists (guard, part): the first
+    part whose guard holds is meant, and the last one where none does.  A part of type
+    ``error`` has a message for a value."""
 
     kind: str
     column: Column | None
     value: object = None
 
 
-def _number(t: Typed) -> Column:
-    return t.column.cast("bigint") if t.kind == "bool" else t.column
+def alternatives(t: Typed) -> list[tuple[Column, Typed]]:
+    return t.value if t.kind == "mixed" else [(F.lit(True), t)]
+
+
+def chosen(parts: list[tuple[Column, Column]]) -> Column:
+    """The column of the first guard that holds."""
+    *first, (_, out) = parts
+    for guard, column in reversed(first):
+        out = F.when(guard, column).otherwise(out)
+    return out
 
 
-def settled(*parts: Typed) -> None:
-    if any(p.kind == "mixed" for p in parts):
-        raise Unsupported("the value of and or or over parts of several types")
+def united(parts: list[tuple[Column, Typed]]) -> Typed:
+    """One part for alternatives; a plain one if they are of one type."""
+    kinds = {t.kind for _, t in parts} - {"error"}
+    if not kinds:
+        raise PairsError(parts[0][1].value)
+    if len(kinds) > 1 or "list" in kinds:
+        return Typed("mixed", None, parts) if len(parts) > 1 else parts[0][1]
+    kind = kinds.pop()
+    column = lambda t: F.raise_error(F.lit(t.value)).cast(_CASTS.get(kind, "boolean")) if t.kind == "error" else t.column
+    return Typed(kind, chosen([(g, column(t)) for g, t in parts]), parts[0][1].value if len(parts) == 1 else None)
+
+
+def spread(work: Callable[..., Typed], *parts: Typed) -> Typed:
+    """``work`` over parts, once for every choice of the mixed ones' alternatives; what is
+    an error for some choice only is raised by the rows that make it."""
+    if not any(p.kind == "mixed" for p in parts):
+        return work(*parts)
+    out = []
+    for choice in itertools.product(*map(alternatives, parts)):
+        guard = F.lit(True)
+        for g, _ in choice:
+            guard = guard & F.coalesce(g, F.lit(False))
+        errors = [t for _, t in choice if t.kind == "error"]
+        try:
+            made = errors[0] if errors else work(*(t for _, t in choice))
+        except Unsupported:
+            raise
+        except PairsError as e:
+            made = Typed("error", None, str(e))
+        out += [(guard & F.coalesce(g, F.lit(False)), t) for g, t in alternatives(made)]
+    return united(out)
+
+
+def _number(t: Typed) -> Column:
+    return t.column.cast("bigint") if t.kind == "bool" else t.column
 
 
 def exact_power(x: Column, n: Column) -> Column:
@@ -184,7 +228,9 @@ def exact_power(x: Column, n: Column) -> Column:
 
 
 def truth(t: Typed) -> Column:
-    if t.kind in ("bool", "mixed"):
+    if t.kind == "mixed":
+        return spread(lambda x: Typed("bool", truth(x)), t).column
+    if t.kind == "bool":
         return t.column
     if t.kind == "str":
         return t.column != ""
@@ -194,7 +240,8 @@ def truth(t: Typed) -> Column:
 
 
 def compare(op: ast.cmpop, a: Typed, b: Typed) -> Column:
-    settled(a, b)
+    if "mixed" in (a.kind, b.kind):
+        return spread(lambda x, y: Typed("bool", compare(op, x, y)), a, b).column
     if "list" in (a.kind, b.kind):
         raise Unsupported("comparison of lists")
     if (a.kind == "str") != (b.kind == "str"):
@@ -215,7 +262,8 @@ def compare(op: ast.cmpop, a: Typed, b: Typed) -> Column:
 
 
 def member(a: Typed, b: Typed) -> Column:
-    settled(a, b)
+    if "mixed" in (a.kind, b.kind):
+        return spread(lambda x, y: Typed("bool", member(x, y)), a, b).column
     if b.kind == "list":
         out = F.lit(False)
         for item in b.value:
@@ -227,7 +275,8 @@ def member(a: Typed, b: Typed) -> Column:
 
 
 def arithmetic(op: ast.operator, a: Typed, b: Typed) -> Typed:
-    settled(a, b)
+    if "mixed" in (a.kind, b.kind):
+        return spread(lambda x, y: arithmetic(op, x, y), a, b)
     if a.kind == b.kind == "str" and isinstance(op, ast.Add):
         return Typed("str", F.concat(a.column, b.column))
     if "str" in (a.kind, b.kind) or "list" in (a.kind, b.kind):
@@ -257,7 +306,10 @@ def arithmetic(op: ast.operator, a: Typed, b: Typed) -> Typed:
     if isinstance(op, ast.Pow):
         if not whole or (b.value is not None and b.value < 0):
             return Typed("float", F.pow(x.cast("double"), y.cast("double")))
-        if a.value is None or b.value is None:
+        if b.value is None:
+            # The exponent's sign decides the type.
+            return united([(y >= 0, Typed("int", exact_power(x, y))), (F.lit(True), Typed("float", F.pow(x.cast("double"), y.cast("double"))))])
+        if a.value is None:
             return Typed("int", exact_power(x, y))
         # Powers past 64 bits need no working out to be errors.
         value = int(a.value) ** int(b.value) if abs(a.value) <= 1 or b.value < 64 else 1 << 64
@@ -325,25 +377,28 @@ class Compiler(ast.NodeVisitor):
     def visit_BoolOp(self, node):
         parts = [self.visit(x) for x in node.values]
         both = isinstance(node.op, ast.And)
-        if all(p.kind == "bool" for p in parts) or len({p.kind for p in parts}) > 1:
-            out = truth(parts[0])
+        if all(p.kind == "bool" for p in parts):
+            out = parts[0].column
             for p in parts[1:]:
-                out = out & truth(p) if both else out | truth(p)
-            return Typed("bool" if all(p.kind == "bool" for p in parts) else "mixed", out)
-        out = parts[-1].column
+                out = out & p.column if both else out | p.column
+            return Typed("bool", out)
+        # The value is the first part that settles it, or the last one.
+        out = alternatives(parts[-1])
         for p in reversed(parts[:-1]):
-            out = F.when(truth(p), out if both else p.column).otherwise(p.column if both else out)
-        return Typed(parts[0].kind, out)
+            settles = ~truth(p) if both else truth(p)
+            out = [(settles & g, t) for g, t in alternatives(p)] + out
+        return united(out)
 
     def visit_UnaryOp(self, node):
         if isinstance(node.op, ast.Not):
             return Typed("bool", ~truth(self.visit(node.operand)))
-        t = self.visit(node.operand)
-        settled(t)
+        return spread(lambda t: self.signed(node.op, t), self.visit(node.operand))
+
+    def signed(self, op: ast.unaryop, t: Typed) -> Typed:
         if t.kind in ("str", "list"):
             raise PairsError("a string has no sign")
         kind = "float" if t.kind == "float" else "int"
-        if isinstance(node.op, ast.UAdd):
+        if isinstance(op, ast.UAdd):
             return Typed(kind, _number(t), t.value)
         return Typed(kind, -_number(t), None if t.value is None else -t.value)
 
@@ -370,13 +425,17 @@ class Compiler(ast.NodeVisitor):
             raise PairsError(f"unknown function {name!r}")
         if not args or arity.get(name, len(args)) != len(args):
             raise PairsError(f"{name} takes {arity.get(name, 'one or more')} argument(s)")
-        settled(*args)
+        return spread(lambda *parts: self.call(name, list(parts)), *args)
+
+    def call(self, name: str, args: list[Typed]) -> Typed:
         first = args[0]
         if name == "abs":
             if first.kind in ("str", "list"):
                 raise PairsError("abs needs a number")
             return Typed("float" if first.kind == "float" else "int", F.abs(_number(first)))
         if name == "len":
+            if first.kind not in ("list", "str"):
+                raise PairsError("len needs a string or a list")
             return Typed("int", F.lit(len(first.value)).cast("bigint") if first.kind == "list" else F.octet_length(first.column).cast("bigint"))
         if name in ("int", "float"):
             kind = _CASTS[name]
@@ -387,7 +446,7 @@ class Compiler(ast.NodeVisitor):
             return Typed(name, F.when(first.column.rlike(pattern), first.column).otherwise(bad).cast(kind))
         if name == "str":
             if first.kind == "float":
-                raise Unsupported("str() of a float")
+                return Typed("str", float_text(first.column))
             return Typed("str", F.initcap(first.column.cast("string")) if first.kind == "bool" else first.column.cast("string"))
         if name in ("min", "max"):
             if len({a.kind == "str" for a in args}) > 1:

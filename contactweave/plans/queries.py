@@ -82,6 +82,9 @@ SELECTS = {
     "select_float": ("float('2.5e1') < float(mapq1)", "mapq1 > 25.0"),
     "select_power": ("mapq1 ** 2 > mapq2 ** 2 + 2 ** 10 and 3 ** 35 == 50031545098999707", "mapq1 * mapq1 > mapq2 * mapq2 + 1024"),
     "select_word": (r"regex_match(chrom1, '\bchr\d\b')", "regexp_full_match(chrom1, 'chr[0-9]')"),
+    "select_mixed": ("(pair_type == 'UU' and chrom1 or mapq1) in ['chr2', 7, 'chr5'] or (mapq2 - 9 and pair_type) == 0", "CASE WHEN pair_type = 'UU' THEN chrom1 IN ('chr2', 'chr5') ELSE mapq1 = 7 END OR mapq2 = 9"),
+    "select_negative_power": ("mapq1 ** (mapq2 // 9 - 3) < 0.01 or (mapq2 ** (3 - mapq2 // 9)) == 324", "CAST(mapq1 AS DOUBLE) ** (mapq2 // 9 - 3) < 0.01 OR CAST(mapq2 AS DOUBLE) ** (3 - mapq2 // 9) = 324"),
+    "select_str_float": ("str(pos1 / 8) == '25000.125' or '.375' in str(pos2 / 8) or str(mapq1 / 1e6) == '3.1e-05'", "pos1 = 200001 OR pos2 % 8 = 3 OR mapq1 = 31"),
     "select_minmax": ("max(pos1, pos2) - min(pos1, pos2) > 10000 or len(readID) == 4", "greatest(pos1, pos2) - least(pos1, pos2) > 10000 OR strlen(readID) = 4"),
 }
 
