@@ -14,29 +14,36 @@ Defined results: null texts and roles are empty; content in parts is their texts
 after another, and a part without a text is its JSON; a conversation's turns go by
 (turn, role, text), nulls first, repeated rows included; an empty list of messages is
 a conversation of no turns, and so, with layout null, is a record that no mapping
-fits or that is no JSON: ``unknown_layouts`` counts those by their paths.
+fits or that is no JSON: ``unknown_layouts`` counts those by their paths.  Texts of tables
+(``column_turns``) may be of any length; a JSON record of over ``LARGE`` bytes that can't
+be parsed, as it is past Spark's limit or no JSON, is an error, never a lost conversation.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import ArrayType, StructType
 
 _ESCAPES = (("\\", "\\b"), ("<", "\\l"), ("#", "\\h"))
 END = "</turn>\n"
+#: Bytes of a JSON record from which one that isn't parsed is an error.
+LARGE = 1 << 24
 
 
 @dataclass(frozen=True)
 class Layout:
-    """A record layout: the field paths that it needs, and SQL over ``v`` (the
-    record as a variant) for its array of (turn, role, text)."""
+    """A record layout: the field paths that it needs, and SQL for its array of (turn,
+    role, text): over ``v``, the record as a variant, and over a table's columns."""
 
     name: str
     paths: tuple[str, ...]
     turns: str
+    columns: str
 
 
 def _get(path: str, kind: str = "string") -> str:
@@ -54,6 +61,10 @@ def _list(path: str, role: str, text: str) -> str:
     return f"transform({items}, (m, i) -> named_struct('turn', cast(i as bigint), 'role', try_variant_get(m, '$.{role}', 'string'), 'text', {_said('m', text)}))"
 
 
+def _list_column(path: str, role: str, text: str) -> str:
+    return f"transform(coalesce({path}, array()), (m, i) -> named_struct('turn', cast(i as bigint), 'role', m.{role}, 'text', m.{text}))"
+
+
 def _pair(first: str, second: str) -> str:
     turn = lambda i, role, text: f"named_struct('turn', {i}L, 'role', '{role}', 'text', {text})"
     return f"array({turn(0, 'user', first)}, {turn(1, 'assistant', second)})"
@@ -61,12 +72,13 @@ def _pair(first: str, second: str) -> str:
 
 #: Declarative mappings; the first whose paths a record has is taken.
 LAYOUTS = (
-    Layout("turn rows", ("turn", "role", "text"), f"array(named_struct('turn', {_get('turn', 'bigint')}, 'role', {_get('role')}, 'text', {_said('v', 'text')}))"),
-    Layout("messages", ("messages[].role", "messages[].content"), _list("messages", "role", "content")),
-    Layout("from-value list", ("conversations[].from", "conversations[].value"), _list("conversations", "from", "value")),
-    Layout("prompt", ("prompt", "completion"), _pair(_said("v", "prompt"), _said("v", "completion"))),
-    Layout("instruction", ("instruction", "output"), _pair(f"concat_ws('\\n', nullif({_get('instruction')}, ''), nullif({_get('input')}, ''))", _said("v", "output"))),
-    Layout("question", ("question", "answer"), _pair(_said("v", "question"), _said("v", "answer"))),
+    Layout("turn rows", ("turn", "role", "text"), f"array(named_struct('turn', {_get('turn', 'bigint')}, 'role', {_get('role')}, 'text', {_said('v', 'text')}))", "array(named_struct('turn', turn, 'role', role, 'text', text))"),
+    Layout("messages", ("messages[].role", "messages[].content"), _list("messages", "role", "content"), _list_column("messages", "role", "content")),
+    Layout("from-value list", ("conversations[].from", "conversations[].value"), _list("conversations", "from", "value"), _list_column("conversations", "`from`", "value")),
+    Layout("prompt", ("prompt", "completion"), _pair(_said("v", "prompt"), _said("v", "completion")), _pair("prompt", "completion")),
+    Layout("instruction", ("input", "instruction", "output"), _pair(f"concat_ws('\\n', nullif({_get('instruction')}, ''), nullif({_get('input')}, ''))", _said("v", "output")), _pair("concat_ws('\\n', nullif(instruction, ''), nullif(input, ''))", "output")),
+    Layout("instruction", ("instruction", "output"), _pair(f"concat_ws('\\n', nullif({_get('instruction')}, ''), nullif({_get('input')}, ''))", _said("v", "output")), _pair("instruction", "output")),
+    Layout("question", ("question", "answer"), _pair(_said("v", "question"), _said("v", "answer")), _pair("question", "answer")),
 )
 CONV_ID = f"coalesce({_get('conv_id', 'bigint')}, {_get('id', 'bigint')})"
 
@@ -101,7 +113,10 @@ def fingerprints(paths: Column) -> Column:
 
 def with_layout(records: DataFrame, record_col: str, layouts: tuple[Layout, ...]) -> DataFrame:
     """(v, paths, layout) of JSON records."""
-    rows = records.select(F.try_parse_json(F.col(record_col)).alias("v"))
+    parsed = F.try_parse_json(F.col(record_col))
+    size = F.octet_length(F.col(record_col))
+    large = F.raise_error(F.concat(F.lit("a JSON record of "), size.cast("string"), F.lit(" bytes can't be parsed; give such records as columns, to column_turns")))
+    rows = records.select(F.when(parsed.isNull() & (size > LARGE), large.cast("variant")).otherwise(parsed).alias("v"))
     rows = rows.withColumn("paths", field_paths(F.col("v"), lists_of(layouts))).withColumn("prints", fingerprints(F.col("paths")))
     layout = F.lit(None).cast("string")
     for x in reversed(layouts):
@@ -127,6 +142,32 @@ def canonical_turns(records: DataFrame, record_col: str = "record", layouts: tup
     return rows.select("conv_id", "layout", F.explode_outer("turns").alias("t")).select("conv_id", "layout", "t.turn", "t.role", "t.text", F.col("t").isNotNull().alias("is_turn"))
 
 
+def schema_paths(schema: StructType) -> list[str]:
+    """Field names of a table, and ``list[].field`` for its lists of structs."""
+    paths = []
+    for f in schema.fields:
+        paths.append(f.name)
+        if isinstance(f.dataType, ArrayType) and isinstance(f.dataType.elementType, StructType):
+            paths += [f"{f.name}[].{x.name}" for x in f.dataType.elementType.fields]
+    return sorted(paths)
+
+
+def column_turns(rows: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+    """``canonical_turns`` of a table's own columns: the schema's paths are hashed as those
+    of a record are and select the mapping for all rows, and texts of any length stay
+    columns, so no limit on parsed records holds.  A schema that no mapping fits is an
+    error that names its paths."""
+    paths = schema_paths(rows.schema)
+    prints = {xxhash.xxh64_intdigest(p, 42) for p in paths}
+    fits = [x for x in layouts if {xxhash.xxh64_intdigest(p, 42) for p in x.paths} <= prints]
+    if not fits:
+        raise ValueError(f"no layout for the fields {', '.join(paths)}")
+    ids = [F.col(c).cast("bigint") for c in ("conv_id", "id") if c in paths]
+    turns = F.expr(fits[0].columns).cast("array<struct<turn:bigint,role:string,text:string>>")
+    out = rows.select(F.coalesce(*ids, F.lit(None).cast("bigint")).alias("conv_id"), F.lit(fits[0].name).alias("layout"), F.explode_outer(turns).alias("t"))
+    return out.select("conv_id", "layout", "t.turn", "t.role", "t.text", F.col("t").isNotNull().alias("is_turn"))
+
+
 def escape(text: Column) -> Column:
     for a, b in _ESCAPES:
         text = F.replace(text, F.lit(a), F.lit(b))

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from contactweave.llm.base import WORD_PATTERN, let, n_words_col, small, written
+from contactweave.llm.base import WORD_PATTERN, let, n_words_col, small, written, unused
 
 
 #: Most sources of a mix; their sizes and targets are held by the driver.
@@ -269,29 +269,42 @@ def mixed_documents(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", t
     that takes a document, with its text as it is, and one for the part of it
     that the last, partial pass takes.  Documents not taken are absent.  A column
     n_chars, if there is one, is counted anew.
+
+    Rows are dealt and ordered by output shard: a row goes with the shard that drew the
+    first of its blocks in that pass, and shards are in one partition each, in order, with
+    their rows shuffled.
     """
+    columns = docs.columns
+    shard, place = unused(columns, "shard"), unused(columns, "place")
+    rows = sharded_documents(docs, mix, id_col, text_col, source_col)
+    return rows.repartition(F.col(shard)).sortWithinPartitions(shard, place).select(*(F.col(f"`{c}`") for c in columns))
+
+
+def sharded_documents(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``mixed_documents`` with ``shard`` and ``place``, a random number by
+    which the rows of a shard go; both get underscores if ``docs`` has such columns."""
     spark = docs.sparkSession
     columns = docs.columns
     rows, plan = prepare(docs, mix, id_col, text_col, source_col)
     placed = written(laid_out(rows, mix), "placed")
     info = F.broadcast(spark.createDataFrame([(p["source"], p["passes"]) for p in plan], "ps string, passes long"))
-    slots = drawn_slots(shard_counts(spark, plan, mix), plan, mix).join(info, F.col("source").eqNullSafe(F.col("ps")))
-    partial = slots.where("pass = passes").select(F.col("source").alias("s"), F.col("block").alias("b"), "take")
-    met = fragments(placed, mix).join(partial, same_block()).where(F.col("take") > F.col("lo"))
+    slots = drawn_slots(shard_counts(spark, plan, mix), plan, mix).select(F.col("source").alias("s"), F.col("block").alias("b"), "pass", "shard", "take")
+    met = fragments(placed, mix).join(slots, same_block()).where(F.col("take") > F.col("lo"))
     start = F.col("block") * mix.block + F.col("lo") - F.col("first")
-    piece = F.struct(start.cast("int").alias("start"), (F.least("hi", "take") - F.col("lo")).cast("int").alias("n"))
-    pieces = met.groupBy(F.col("source").alias("s"), F.col("first").alias("f")).agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
+    piece = F.struct(start.cast("int").alias("start"), (F.least("hi", "take") - F.col("lo")).cast("int").alias("n"), "shard")
+    # A document has a list of pieces for each pass, of which there are a few.
+    passes = met.groupBy("source", "first", "pass").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
+    taken = passes.groupBy(F.col("source").alias("s"), F.col("first").alias("f")).agg(F.array_sort(F.collect_list(F.struct("pass", "pieces"))).alias("takes"))
     # Texts go through the same layout as the slim rows did, so (source, first)
     # names a row even where rows repeat.
     whole_row = F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row")
     held = laid_out(sized(docs, id_col, text_col, source_col, whole_row), mix, rows.count()).where("size > 0")
     held = held.join(info, F.col("source").eqNullSafe(F.col("ps")), "left")
-    held = held.join(pieces, F.col("source").eqNullSafe(F.col("s")) & (F.col("first") == F.col("f")), "left")
+    held = held.join(taken, F.col("source").eqNullSafe(F.col("s")) & (F.col("first") == F.col("f")))
     text = F.col(f"row.`{text_col}`")
-    joined = let(tokens_of(text), lambda t: F.array_join(F.flatten(F.transform("pieces", lambda p: F.slice(t, p["start"] + 1, p["n"]))), ""))
-    n = F.aggregate("pieces", F.lit(0), lambda a, p: a + p["n"])
-    part = F.when(F.col("pieces").isNull(), F.lit(None)).when(n == F.col("size"), text).otherwise(joined)
-    copies = F.concat(F.array_repeat(text, F.col("passes").cast("int")), F.when(part.isNull(), F.array().cast("array<string>")).otherwise(F.array(part)))
-    out = held.select("row", F.explode(copies).alias("_taken"))
+    out = held.select("row", "source", "first", "size", "passes", F.explode("takes").alias("t"))
+    n = F.aggregate("t.pieces", F.lit(0), lambda a, p: a + p["n"])
+    cut = let(tokens_of(text), lambda w: F.array_join(F.flatten(F.transform("t.pieces", lambda p: F.slice(w, p["start"] + 1, p["n"]))), ""))
+    out = out.select("row", F.when((F.col("t.pass") < F.col("passes")) | (n == F.col("size")), text).otherwise(cut).alias("_taken"), F.element_at("t.pieces", 1)["shard"].alias("_shard"), F.xxhash64(F.lit(mix.seed), "source", "first", "t.pass").alias("_place"))
     new = {text_col: F.col("_taken")} | ({"n_chars": F.length("_taken").cast("long")} if "n_chars" in columns else {})
-    return out.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in columns))
+    return out.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in columns), F.col("_shard").alias(unused(columns, "shard")), F.col("_place").alias(unused(columns, "place")))

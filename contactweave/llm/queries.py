@@ -41,11 +41,10 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    records = rows.select(F.to_json(F.struct("conv_id", "turn", "role", "text"), {"ignoreNullFields": "false"}).alias("record"))
     trap = F.to_json(F.struct(F.lit(-7).alias("conv_id"), F.array(*(F.struct(F.lit(r).alias("role"), F.lit(TRAP).alias("content")) for r in ("user", "assistant"))).alias("messages")))
-    records = records.unionByName(spark.range(1).select(trap.alias("record")))
+    turns = chat.column_turns(rows).unionByName(chat.canonical_turns(spark.range(1).select(trap.alias("record"))))
     folder = shared_folder(spark, "chats")
-    chat.format_turns(chat.canonical_turns(records)).write.parquet(folder)
+    chat.format_turns(turns).write.parquet(folder)
     back = spark.read.parquet(folder).withColumn("turns", chat.read_turns(F.col("formatted")))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = chat.loss_text(F.col("formatted"), F.col("loss"))
