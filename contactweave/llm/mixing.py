@@ -276,7 +276,8 @@ def mixed_documents(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", t
     """
     columns = docs.columns
     shard, place = unused(columns, "shard"), unused(columns, "place")
-    rows = sharded_documents(docs, mix, id_col, text_col, source_col)
+    # Written first, so the shuffles of texts that led there are gone when they are dealt.
+    rows = written(sharded_documents(docs, mix, id_col, text_col, source_col), "sharded")
     return rows.repartition(F.col(shard)).sortWithinPartitions(shard, place).select(*(F.col(f"`{c}`") for c in columns))
 
 

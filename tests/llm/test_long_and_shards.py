@@ -54,6 +54,14 @@ def test_a_table_without_a_layout_is_an_error(spark):
         chat.column_turns(spark.createDataFrame([(1, 2)], "a int, b int"))
 
 
+def once_of(tagged):
+    """Shards of the rows whose text stands once in the mix."""
+    found = {}
+    for r in tagged.collect():
+        found.setdefault((r.doc_id, r.text), []).append(r.shard)
+    return {k: v[0] for k, v in found.items() if len(v) == 1}
+
+
 def mixed(docs, seed=1):
     mix = dataclasses.replace(mixing.Mix(), seed=seed, block=16, slots_per_shard=40)
     return mixing.sharded_documents(docs, mix), mixing.mixed_documents(docs, mix)
@@ -63,16 +71,16 @@ def test_documents_come_by_shard_and_the_draw_decides_it(spark):
     rows = [(i, " ".join(f"d{i}w{k}" for k in range(7 + i % 40)), "abc"[i % 3]) for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     tagged, out = mixed(docs)
-    shards = {(r.doc_id, r.text): r.shard for r in tagged.collect()}
+    shards = once_of(tagged)
     assert len(set(shards.values())) > 1
     for part in out.rdd.glom().collect():
-        got = [shards[r.doc_id, r.text] for r in part]
+        got = [shards[r.doc_id, r.text] for r in part if (r.doc_id, r.text) in shards]
         assert got == sorted(got)
     # Another draw deals the same words otherwise.
     other, _ = mixed(docs, 2)
-    again = {(r.doc_id, r.text): r.shard for r in other.collect()}
+    again = once_of(other)
     both = shards.keys() & again.keys()
-    assert len(both) > 100 and any(shards[k] != again[k] for k in both)
+    assert len(both) > 30 and any(shards[k] != again[k] for k in both)
     words = lambda keys: sum(len(t.split()) for _, t in keys)
     total = lambda df: df.agg(F.sum(F.size(F.split("text", " ")))).first()[0]
     assert abs(total(tagged) - words(rows_of(rows))) <= 1 and total(tagged) == total(other) == total(out)
