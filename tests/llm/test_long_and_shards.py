@@ -82,7 +82,7 @@ def test_documents_come_by_shard_and_the_draw_decides_it(spark):
     both = shards.keys() & again.keys()
     assert len(both) > 30 and any(shards[k] != again[k] for k in both)
     words = lambda keys: sum(len(t.split()) for _, t in keys)
-    total = lambda df: df.agg(F.sum(F.size(F.split("text", " ")))).first()[0]
+    total = lambda df: df.agg(F.sum(F.regexp_count("text", F.lit("[^ ]+")))).first()[0]
     assert abs(total(tagged) - words(rows_of(rows))) <= 1 and total(tagged) == total(other) == total(out)
     assert sorted(map(tuple, out.collect())) == sorted(tuple(r)[:3] for r in tagged.collect())
 
