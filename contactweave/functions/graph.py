@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Edges that one task takes at most when it labels components.
+BLOCK_EDGES = 1 << 20
+
 #: Setting under which Spark removes a job's shuffle files when the job ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -42,10 +48,47 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def component_labels(edges: DataFrame, max_rounds: int = 80) -> DataFrame:
-    """(node, label) for every node of ``edges`` (a, b): the smallest node of its
-    component.  Every round takes the least label of all neighbours and then that
-    label's own label, so rounds grow with the logarithm of the diameter."""
+def counted(df: DataFrame, name: str, **counts) -> tuple[DataFrame, dict[str, int]]:
+    """``written(df)`` and the counts that the write saw; a count is never too small."""
+    seen = Observation()
+    table = written(df.observe(seen, *(c.alias(n) for n, c in counts.items())), name)
+    # Spark drops the observation of a plan that it knows to be empty.
+    return table, {n: seen.get.get(n) or 0 for n in counts}
+
+
+def settle_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, label) of the edges (a, b) of one task, each root hooked to the least root
+    next to it until no edge joins two roots."""
+    batches = list(batches)
+    if not sum(b.num_rows for b in batches):
+        return
+    ends = np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b") for b in batches])
+    nodes, at = np.unique(ends, return_inverse=True)
+    x, y = at.reshape(2, -1)
+    label = np.arange(len(nodes))
+    while len(x):
+        x, y = label[x], label[y]
+        apart = x != y
+        x, y = x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(label, label[label]):
+            label = label[label]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["node", "label"])
+
+
+def component_labels(edges: DataFrame, count: int | None = None, block_edges: int = BLOCK_EDGES, max_rounds: int = 80) -> DataFrame:
+    """(node, label) for every node of ``edges`` (a, b) of long integers: the smallest
+    node of its component.
+
+    Up to ``block_edges`` edges, 16 bytes each, are settled by one task; ``count`` is
+    their number, or more, where the caller knows it.  Beyond that every round takes the
+    least label of all neighbours and then that label's own label, so rounds grow with
+    the logarithm of the diameter."""
+    if count is None:
+        edges, n = counted(edges.select("a", "b"), "edges", n=F.count(F.lit(1)))
+        count = n["n"]
+    if count <= block_edges:
+        return edges.select(F.col("a").cast("long"), F.col("b").cast("long")).repartition(1).mapInArrow(settle_block, "node long, label long")
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     for _ in range(max_rounds):

@@ -1,9 +1,15 @@
 """Duplicate marking by exact or near positions.
 
-Near pairs are found by an equi-join on grid cells of max_mismatch + 1 positions:
-two points within reach lie in the same or in touching cells, and half of a cell's
-neighbourhood suffices to meet every pair once.  Rows at equal positions are
-reduced to their first one before the join, so copies never meet in pairs.
+Transitive clusters come from grid cells of max_mismatch + 1 positions, without any
+list of near pairs.  All rows of a cell are within reach of each other, so rows are
+reduced to cells first, with map-side sums, and only cells are linked: side by side by
+the cells' extents, cornerwise by the outermost rows of both.  Work grows with the
+rows, whatever the reach and however many rows share a cell.  The sum metric is the
+max metric over pos1 + pos2 and pos1 - pos2.
+
+Greedy clusters depend on single pairs.  These are found by an equi-join on the same
+cells; rows at equal positions are reduced to their first one before the join, so
+copies never meet in pairs.
 """
 
 from __future__ import annotations
@@ -12,15 +18,19 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from contactweave.functions.graph import component_labels, written
+from contactweave.functions.graph import component_labels, counted, written
 from contactweave.model import UNMAPPED_CHROM, PairsError
 
 KEYS = ("chrom1", "chrom2", "strand1", "strand2")
 #: Cells that a cell's points are compared with: itself and half its neighbours.
 HALF = ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))
 
+#: Cells along one side of the blocks in which cells meet their neighbours.
+BLOCK = 64
+
 #: Edges in a range of points that one task decides in order.
 BLOCK_EDGES = 1 << 20
 
@@ -111,37 +121,109 @@ def greedy_parents(edges: DataFrame, block_edges: int = BLOCK_EDGES) -> DataFram
     return parents.select(F.col("late").alias("node"), "parent")
 
 
+def floor_div(value: str, by: int) -> Column:
+    return F.expr(f"({value} - pmod({value}, {by})) div {by}")
+
+
+def with_cells(df: DataFrame, side: int, metric: str) -> DataFrame:
+    """``df`` with the coordinates _u and _v, in which reach is a square, and the cell
+    (_x, _y) of ``side`` places that they lie in."""
+    u, v = {"max": ("pos1", "pos2"), "sum": ("pos1 + pos2", "pos1 - pos2")}[metric]
+    at = df.withColumn("_u", F.expr(f"CAST({u} AS BIGINT)")).withColumn("_v", F.expr(f"CAST({v} AS BIGINT)"))
+    return at.withColumn("_x", floor_div("_u", side)).withColumn("_y", floor_div("_v", side))
+
+
+def touching_cells(cells: DataFrame, keys: list[str], m: int) -> DataFrame:
+    """(a, b, sure, keys, _x, _y, dy) of cells (keys, _x, _y, first, u0, u1, v0, v1) that
+    touch and may hold rows within reach; sure says that they do.  _x, _y and dy are of a
+    pair whose second cell is (_x + 1, _y + dy).
+
+    Cells meet in blocks of 64 by 64, with the cells just outside that follow one inside,
+    so a block has at most 65 * 66 of them and few are copied.
+    """
+    width = BLOCK + 2
+    before = ((0, 0), (-1, -1), (-1, 0), (-1, 1), (0, -1))
+    blocks = F.array_distinct(F.array(*(F.struct(floor_div(f"(_x + {x})", BLOCK).alias("x"), floor_div(f"(_y + {y})", BLOCK).alias("y")) for x, y in before)))
+    spread = cells.withColumn("own", F.struct(floor_div("_x", BLOCK).alias("x"), floor_div("_y", BLOCK).alias("y"))).withColumn("o", F.explode(blocks))
+    spread = spread.select(*keys, "_x", "_y", "o.x", "o.y", (F.col("o") == F.col("own")).alias("inside"), "first", "u0", "u1", "v0", "v1", F.expr(f"(_x - o.x * {BLOCK}) * {width} + _y - o.y * {BLOCK}").alias("code"))
+    ordered = W.partitionBy(*keys, "x", "y").orderBy("code")
+    cell = F.struct("code", "first", "u0", "u1", "v0", "v1")
+    near = F.concat(F.collect_list(cell).over(ordered.rangeBetween(1, 1)), F.collect_list(cell).over(ordered.rangeBetween(width - 1, width + 1)))
+    met = spread.withColumn("near", near).where("inside").withColumn("r", F.explode("near")).withColumn("step", F.col("r.code") - F.col("code"))
+    # Extents of the gap between the two cells' rows: the least and the largest one.
+    met = met.withColumn("dx", F.expr("CASE WHEN step = 1 THEN 0 ELSE 1 END")).withColumn("dy", F.expr(f"CASE WHEN step = 1 THEN 1 ELSE step - {width} END"))
+    least_u, most_u = "CASE dx WHEN 0 THEN 0 ELSE r.u0 - u1 END", "CASE dx WHEN 0 THEN 0 ELSE r.u1 - u0 END"
+    least_v, most_v = "CASE dy WHEN 0 THEN 0 WHEN 1 THEN r.v0 - v1 ELSE v0 - r.v1 END", "CASE dy WHEN 0 THEN 0 WHEN 1 THEN r.v1 - v0 ELSE v1 - r.v0 END"
+    sure = F.expr(f"{most_u} <= {m} OR {most_v} <= {m}")
+    return met.where(F.expr(f"{least_u} <= {m} AND {least_v} <= {m}")).select(F.col("first").alias("a"), F.col("r.first").alias("b"), sure.alias("sure"), *keys, "_x", "_y", "dy")
+
+
+def corner_links(rows: DataFrame, pairs: DataFrame, keys: list[str], m: int) -> DataFrame:
+    """(a, b) of those ``pairs`` of cells that touch at a corner and hold rows within
+    reach.  A cell is reduced to its outermost rows, at most max_mismatch + 1 of them;
+    each row of the second cell meets the best one of the first that its _u can reach."""
+    edge = rows.groupBy(*keys, "_x", "_y", "_u").agg(F.min("_v").alias("low"), F.max("_v").alias("high"))
+    first = pairs.select("a", "b", "dy", F.lit(0).alias("second"), *keys, "_x", "_y")
+    second = pairs.select("a", "b", "dy", F.lit(1).alias("second"), *keys, F.expr("_x + 1").alias("_x"), F.expr("_y + dy").alias("_y"))
+    on = F.lit(True)
+    for k in (*keys, "_x", "_y"):
+        on = on & F.col(f"e.{k}").eqNullSafe(F.col(f"s.{k}"))
+    met = edge.alias("e").join(first.unionByName(second).alias("s"), on)
+    met = met.selectExpr("a", "b", "second", f"_u - second * {m} AS reach", "CASE WHEN (dy = 1) = (second = 0) THEN dy * high ELSE dy * low END AS height")
+    best = F.max(F.when(F.col("second") == 0, F.col("height"))).over(W.partitionBy("a", "b").orderBy(F.desc("reach"), "second").rowsBetween(W.unboundedPreceding, 0))
+    return met.withColumn("best", best).where(f"second = 1 AND height - best <= {m}").select("a", "b").distinct()
+
+
+def near_cells(rows: DataFrame, cells: DataFrame, keys: list[str], m: int) -> DataFrame:
+    """(node, parent) of the cells of ``rows`` that an earlier cell's cluster takes in."""
+    sure = F.col("sure")
+    pairs, n = counted(touching_cells(cells, keys, m), "touching", sure=F.count_if(sure), open=F.count_if(~sure))
+    links = pairs.where(sure).select("a", "b")
+    if n["open"]:
+        links = links.unionByName(corner_links(rows, pairs.where(~sure), keys, m))
+    return component_labels(links, n["sure"] + n["open"]).where("label <> node").select("node", F.col("label").alias("parent"))
+
+
 def mark_duplicates(df: DataFrame, max_mismatch: int = 3, metric: str = "max", clustering: str = "transitive", extra_pairs: list[tuple[str, str]] | None = None, order: str = "seq") -> DataFrame:
     """``df`` with outcome (``unmapped``, ``kept`` or ``dup``) and parent, the
     ``order`` value of the row that a duplicate repeats (null for other rows).
 
-    ``order`` is a unique number that says which row comes first.
+    ``order`` is a unique integer that says which row comes first.  Rows whose strands or
+    positions are null are kept; nulls in extra columns are equal to each other.
     """
     if clustering not in ("transitive", "greedy"):
         raise PairsError(f"unknown clustering {clustering!r}")
+    if metric not in ("max", "sum"):
+        raise PairsError(f"unknown metric {metric!r}")
     extra = [c for a, b in extra_pairs or [] for c in dict.fromkeys((a, b))]
     keys = [*KEYS, *extra]
-    rows = df.where(mapped())
-    firsts = rows.groupBy(*keys, "pos1", "pos2").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies"))
-    if max_mismatch > 0:
-        firsts = written(firsts, "points")
-        edges = written(near_points(firsts, keys, max_mismatch, metric), "near")
-        if clustering == "transitive":
-            found = component_labels(edges).where("label <> node").select("node", F.col("label").alias("parent"))
+    near = max_mismatch > 0
+    by_cell = near and clustering == "transitive"
+    side, axes = (max_mismatch + 1, metric) if by_cell else (1, "max")
+    rows = with_cells(df.where(mapped()), side, axes).where("strand1 IS NOT NULL AND strand2 IS NOT NULL AND _x IS NOT NULL AND _y IS NOT NULL")
+    extents = [F.min("_u").alias("u0"), F.max("_u").alias("u1"), F.min("_v").alias("v0"), F.max("_v").alias("v1")] if by_cell else []
+    cells = rows.groupBy(*keys, "_x", "_y").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies"), *extents)
+    if near:
+        cells = written(cells, "cells")
+        if by_cell:
+            found = near_cells(rows, cells, keys, max_mismatch)
         else:
-            found = greedy_parents(edges)
-        firsts = firsts.join(found, F.col("first") == F.col("node"), "left").withColumn("root", F.coalesce("parent", "first")).drop("node", "parent")
+            points = cells.withColumnsRenamed({"_x": "pos1", "_y": "pos2"})
+            found = greedy_parents(near_points(points, keys, max_mismatch, metric))
+        cells = cells.join(found, F.col("first") == F.col("node"), "left").withColumn("root", F.coalesce("parent", "first"))
     else:
-        firsts = firsts.withColumn("root", F.col("first"))
-    # Only points with duplicates are joined back, so rows whose place is their own are
-    # not dealt by it where those points are few enough to broadcast.
-    shared = written(firsts.where("copies > 1 or root <> first").drop("first", "copies"), "shared")
-    placed = F.coalesce((F.col("l.chrom1") != UNMAPPED_CHROM) & (F.col("l.chrom2") != UNMAPPED_CHROM), F.lit(False))
-    on = placed
-    for k in (*keys, "pos1", "pos2"):
+        cells = cells.withColumn("root", F.col("first"))
+    # Only cells with duplicates are joined back, so rows whose place is their own are
+    # not dealt by it where those cells are few enough to broadcast.
+    shared = written(cells.where("copies > 1 or root <> first").select(*keys, F.col("_x").alias("_sx"), F.col("_y").alias("_sy"), "root"), "shared")
+    placed = F.coalesce(mapped(), F.lit(False))
+    # Rows without a place would all be dealt to one task; their order spreads them.
+    spot = with_cells(df.withColumn("_placed", placed), side, axes).drop("_u", "_v").withColumn("_x", F.when(F.col("_placed") & F.col("_y").isNotNull(), F.col("_x")).otherwise(F.col(order)))
+    on = F.col("l._placed") & (F.col("l._x") == F.col("r._sx")) & (F.col("l._y") == F.col("r._sy"))
+    for k in keys:
         left, right = F.col(f"l.{k}"), F.col(f"r.{k}")
         on = on & (left.eqNullSafe(right) if k in extra else left == right)
-    met = df.alias("l").join(shared.alias("r"), on, "left")
+    met = spot.alias("l").join(shared.alias("r"), on, "left")
     dup = F.coalesce(F.col("r.root") != F.col(f"l.{order}"), F.lit(False))
-    outcome = F.when(~placed, "unmapped").when(dup, "dup").otherwise("kept")
-    return met.select("l.*", outcome.alias("outcome"), F.when(dup, F.col("r.root")).alias("parent"))
+    outcome = F.when(~F.col("l._placed"), "unmapped").when(dup, "dup").otherwise("kept")
+    return met.select(*(F.col(f"l.`{c}`") for c in df.columns), outcome.alias("outcome"), F.when(dup, F.col("r.root")).alias("parent"))

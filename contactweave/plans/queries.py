@@ -275,6 +275,8 @@ QUERIES |= {
     for n, o in {
         "dedup_exact": {"max_mismatch": 0},
         "dedup_max3": {"max_mismatch": 3},
+        "dedup_max10k": {"flavour": "w", "max_mismatch": 10_000},
+        "dedup_sum8k": {"flavour": "w", "max_mismatch": 8_000, "metric": "sum"},
         "dedup_sum5": {"max_mismatch": 5, "metric": "sum"},
         "dedup_extra_cols": {"max_mismatch": 3, "extra_pairs": [("mapq1", "mapq2")]},
         "dedup_greedy": {"max_mismatch": 3, "clustering": "greedy"},
@@ -296,8 +298,8 @@ def _flip_sql(source: str, n: int) -> str:
  FROM (SELECT *, {place('chrom1')} AS e1, {place('chrom2')} AS e2 FROM ({source}))))"""
 
 
-def _transitive_sql(reach: str, extra: str = "") -> str:
-    return f"""WITH RECURSIVE p AS MATERIALIZED ({_N}), m AS MATERIALIZED (SELECT * FROM p WHERE {_MAPPED}),
+def _transitive_sql(reach: str, extra: str = "", source: str = _N) -> str:
+    return f"""WITH RECURSIVE p AS MATERIALIZED ({source}), m AS MATERIALIZED (SELECT * FROM p WHERE {_MAPPED}),
 u AS MATERIALIZED (SELECT chrom1, chrom2, strand1, strand2, pos1, pos2{extra}, min(seq) AS f FROM m GROUP BY ALL),
 e AS MATERIALIZED (SELECT a.f AS a, b.f AS b FROM u a JOIN u b USING (chrom1, chrom2, strand1, strand2{extra}) WHERE {reach}),
 c AS (SELECT f, f AS root FROM u UNION SELECT e.b, c.root FROM c JOIN e ON e.a = c.f WHERE c.root < e.b),
@@ -361,6 +363,8 @@ SELECT 'accepted' AS name, count(*) FILTER (ok) AS n FROM a UNION ALL SELECT 're
 UNION ALL SELECT 'unknown_chrom', count(*) FILTER (passed AND NOT known) FROM a UNION ALL SELECT 'out_of_range', count(*) FILTER (ok AND (pos1 > 600000 OR pos2 > 600000)) FROM a""",
     "dedup_exact": _transitive_sql("a.f = b.f"),
     "dedup_max3": _MAX3,
+    "dedup_max10k": _transitive_sql("abs(a.pos1 - b.pos1) <= 10000 AND abs(a.pos2 - b.pos2) <= 10000", source=_W),
+    "dedup_sum8k": _transitive_sql("abs(a.pos1 - b.pos1) + abs(a.pos2 - b.pos2) <= 8000", source=_W),
     "dedup_sum5": _transitive_sql("abs(a.pos1 - b.pos1) + abs(a.pos2 - b.pos2) <= 5"),
     "dedup_extra_cols": _transitive_sql("abs(a.pos1 - b.pos1) <= 3 AND abs(a.pos2 - b.pos2) <= 3", ", mapq1, mapq2"),
     "bin_coo_10k": f"SELECT bin1_id, bin2_id, count FROM ({_bins_sql(f'({_W})', '10000', 1_000_000)})",
