@@ -1,10 +1,11 @@
 """Lines of plain, gzip, LZ4 and BGZF text by content, and BAM files as SAM lines.
 
-Plain text and files named ``.gz`` go through Spark's own reader.  Other gzip files and
-LZ4 frames are read as streams, one task a file.  BGZF files are dealt to tasks by byte ranges: a task
-inflates the members that begin in its range and owns the lines after the first line
-break there, as text splits do, so lines may straddle members and ranges.  BAM records are found
-in the same ranges by looking for a place from which several records follow each other.
+Plain text, and what only Spark can open, goes through Spark's own reader.  BGZF, gzip
+and LZ4 files are dealt to tasks by byte ranges: a task inflates the members that begin in
+its range and owns the lines after the first line break there, as text splits do, so lines
+may straddle members and ranges.  A file of one member is one task's work.  BAM records
+are found in the same ranges by looking for a place from which several records follow
+each other.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactweave.model import InputError, filesystem
+from contactweave.sources.members import bgzf_data, bgzf_size, first_member, pieces
 
-#: Bytes of a BGZF file that a task inflates.
+#: Bytes of a compressed file whose members a task inflates.
 RANGE = 32 << 20
 BATCH = 4096
 #: Fixed values of the BAM format: base codes, CIGAR operations and tag value layouts.
@@ -86,76 +88,29 @@ def split_lines(pieces: Iterator[bytes]) -> Iterator[bytes]:
         yield rest
 
 
-def member_size(f: pa.NativeFile, at: int) -> int | None:
-    """Size of the BGZF member that begins here, or None if none does."""
-    head = f.read_at(18, at)
-    if len(head) < 18 or head[:4] != b"\x1f\x8b\x08\x04":
-        return None
-    extra = f.read_at(struct.unpack_from("<H", head, 10)[0], at + 12)
-    while len(extra) >= 4:
-        n = struct.unpack_from("<H", extra, 2)[0]
-        if extra[:2] == b"BC" and n == 2:
-            return struct.unpack_from("<H", extra, 4)[0] + 1
-        extra = extra[4 + n :]
-    return None
-
-
-def first_member(f: pa.NativeFile, at: int, size: int) -> int:
-    """Where the first member at or after ``at`` begins; ``size`` if there is none."""
-    near = f.read_at(1 << 17, at)
-    i = near.find(b"\x1f\x8b\x08\x04")
-    while i >= 0:
-        n = member_size(f, at + i)
-        if n and (at + i + n == size or member_size(f, at + i + n)):
-            return at + i
-        i = near.find(b"\x1f\x8b\x08\x04", i + 1)
-    return size
-
-
-def member_data(f: pa.NativeFile, at: int, n: int, path: str) -> bytes:
-    raw = f.read_at(n, at)
-    start = 12 + struct.unpack_from("<H", raw, 10)[0] if len(raw) == n else 0
-    if not start:
-        raise InputError(f"{path}: the compressed file is cut off")
-    crc, length = struct.unpack_from("<II", raw, n - 8)
-    try:
-        data = zlib.decompress(raw[start : n - 8], -15)
-    except zlib.error as e:
-        raise InputError(f"{path}: {e}") from e
-    if len(data) != length or zlib.crc32(data) != crc:
-        raise InputError(f"{path}: a compressed block at {at} is corrupt")
-    return data
-
-
-def range_lines(path: str, start: int, stop: int) -> Iterator[bytes]:
+def range_lines(path: str, start: int, stop: int, kind: str = "bgzf") -> Iterator[bytes]:
     """The lines that follow a line break in the members that begin in [start, stop),
     and the file's first line in its first range."""
     files, name = filesystem(path)
     with files.open_input_file(name) as f:
-        size = f.size()
-        at = first_member(f, start, size) if start else 0
+        at = first_member(f, start, min(stop, f.size()), kind) if start else 0
         owned, rest = start == 0, b""
-        while at < size and (at < stop or owned):
-            n = member_size(f, at)
-            if n is None:
-                raise InputError(f"{path}: no compressed block at {at}")
-            data = member_data(f, at, n, path)
+        for member, data in pieces(f, at, path, kind) if at is not None else ():
             if not owned:
+                if member >= stop:
+                    return
                 _, broken, data = data.partition(b"\n")
                 owned = bool(broken)
-                if not owned:
-                    at += n
-                    continue
-            if at >= stop:  # only the line that the range left open
+            elif member >= stop:  # only the line that the range left open
                 line, broken, _ = data.partition(b"\n")
                 rest += line
                 if broken:
                     yield rest
                     return
-            else:
+                continue
+            if owned:
                 *whole, rest = (rest + data).split(b"\n")
                 yield from whole
-            at += n
         if owned and rest:
             yield rest
 
@@ -183,9 +138,7 @@ def plain_range_lines(path: str, start: int, stop: int) -> Iterator[bytes]:
 
 
 def file_ranges(path: str, size: int) -> list[tuple[int, int]]:
-    """Byte ranges of a file for as many tasks; one where it can't be entered midway."""
-    if sniff(path) not in ("plain", "bgzf"):
-        return [(0, 1)]
+    """Byte ranges of a file for as many tasks."""
     files, at = filesystem(path)
     n = max(1, -(-files.get_file_info(at).size // size))
     return [(k * size, (k + 1) * size) for k in range(n)]
@@ -194,9 +147,7 @@ def file_ranges(path: str, size: int) -> list[tuple[int, int]]:
 def read_range(path: str, start: int, stop: int) -> Iterator[bytes]:
     """The lines of one of a file's ranges."""
     kind = sniff(path)
-    if kind == "bgzf":
-        return range_lines(path, start, stop)
-    return plain_range_lines(path, start, stop) if kind == "plain" else split_lines(inflated(path))
+    return plain_range_lines(path, start, stop) if kind == "plain" else range_lines(path, start, stop, kind)
 
 
 def as_batches(lines: Iterator[bytes], part: int) -> Iterator[pa.RecordBatch]:
@@ -221,19 +172,19 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, seq) of a text file, without carriage returns at the ends; ``seq``
     ascends along the file."""
     kind = sniff(path)
-    if kind == "plain" or (kind == "gzip" and path.endswith(".gz")):
-        return spark.read.text(path).select(F.regexp_replace("value", r"\r$", "").alias("line"), F.monotonically_increasing_id().alias("seq"))
-    size = 1
-    if kind == "bgzf":
+    try:
         files, at = filesystem(path)
-        size = max(1, files.get_file_info(at).size)
-    n = -(-size // RANGE)
+    except pa.ArrowInvalid:
+        files = None
+    if kind == "plain" or files is None:
+        return spark.read.text(path).select(F.regexp_replace("value", r"\r$", "").alias("line"), F.monotonically_increasing_id().alias("seq"))
+    n = max(1, -(-files.get_file_info(at).size // RANGE))
+    step = RANGE
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in b.column(0).to_pylist():
-                lines = range_lines(path, part * RANGE, (part + 1) * RANGE) if kind == "bgzf" else split_lines(inflated(path))
-                yield from as_batches(lines, part)
+                yield from as_batches(range_lines(path, part * step, (part + 1) * step, kind), part)
 
     return spark.range(0, n, 1, n).mapInArrow(work, "line string, seq bigint")
 
@@ -358,11 +309,11 @@ class Members:
     def has(self, end: int) -> bool:
         """Whether there are bytes up to ``end``; members are inflated for it."""
         while len(self) < end and self.at < self.size:
-            n = member_size(self.f, self.at)
+            n = bgzf_size(self.f, self.at)
             if n is None:
                 raise InputError(f"{self.path}: no compressed block at {self.at}")
             self.members.append((len(self), self.at))
-            self.held += member_data(self.f, self.at, n, self.path)
+            self.held += bgzf_data(self.f, self.at, n, self.path)
             self.at += n
         return len(self) >= end
 
@@ -415,6 +366,11 @@ def starts_record(data: Members, at: int, references: int) -> bool:
     return True
 
 
+def _first_block(f: pa.NativeFile, start: int) -> int:
+    at = first_member(f, start, f.size(), "bgzf")
+    return f.size() if at is None else at
+
+
 def bam_range_lines(path: str, start: int, stop: int, first: tuple[int, int], names: list[str]) -> Iterator[bytes]:
     """The records that begin in the members that begin in [start, stop), as SAM text.
     ``first`` is the first record's member and place in it."""
@@ -423,7 +379,7 @@ def bam_range_lines(path: str, start: int, stop: int, first: tuple[int, int], na
         known = start <= first[0] < stop
         if stop <= first[0]:
             return
-        data = Members(f, first[0] if known else first_member(f, start, f.size()), path)
+        data = Members(f, first[0] if known else _first_block(f, start), path)
         if data.at >= stop:
             return
         at = first[1] if known else 0
