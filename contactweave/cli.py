@@ -1,28 +1,30 @@
 """The command line: ``python -m contactweave COMMAND``.
 
 Exit codes: 0; 2 for arguments and conditions; 3 for input that can't be opened or
-decompressed; 4 for malformed or unsorted data; 6 for what isn't supported.
+decompressed; 4 for malformed or unsorted data; 5 for memory or disk that doesn't
+suffice; 6 for what isn't supported.
 """
 
 from __future__ import annotations
 
 import argparse
+import errno
 import os
 import re
 import shutil
 import sys
-import tempfile
 from importlib.metadata import PackageNotFoundError, version
 
 from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
+from contactweave.functions.graph import shared_folder
 from contactweave.metrics import Metrics
-from contactweave.model import ArgumentError, Header, Pairs, PairsError, Unsupported, read_chrom_names, read_chromsizes, small_text
+from contactweave.model import ArgumentError, Header, Pairs, PairsError, ResourceError, Unsupported, filesystem, read_chrom_names, read_chromsizes, small_text
 from contactweave.operators import basic, binning, routing
 from contactweave.operators.parse import POLICIES, ParseOptions, parse_sam
 from contactweave.operators.process import process_sam
-from contactweave.sources import statsfile
+from contactweave.sources import parts, statsfile
 from contactweave.sources.pairs import read_pairs, write_lines, write_pairs
 
 try:
@@ -33,12 +35,7 @@ except PackageNotFoundError:
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="contactweave")
-    top.add_argument("--metrics", action="store_true", help="counts and times on standard error")
-    top.add_argument("--progress", action="store_true", help="Spark's progress bar")
-    top.add_argument("--quiet", action="store_true")
-    top.add_argument("--threads", type=int, default=os.cpu_count())
-    top.add_argument("--memory", default="2g", help="memory of a local driver")
-    top.add_argument("--tmpdir", help="shared folder for intermediate tables")
+    run_options(top)
     sub = top.add_subparsers(dest="command", required=True)
 
     def command(name: str, source: bool = True, output: bool = True) -> argparse.ArgumentParser:
@@ -51,6 +48,8 @@ def parser() -> argparse.ArgumentParser:
 
     p = command("sort")
     p.add_argument("--extra-col", action="append", default=[])
+    p.add_argument("--max-fan-in", type=number, default=64, help="no effect: Spark merges its own runs")
+    p.add_argument("--no-compress-runs", action="store_true", help="no effect: see spark.shuffle.spill.compress")
     p = command("flip")
     p.add_argument("-c", "--chroms-path", required=True)
     p = command("dedup")
@@ -101,9 +100,42 @@ def parser() -> argparse.ArgumentParser:
     for name, kind, default in (("records", int, 1_000_000), ("seed", int, 42), ("chromosomes", int, 24), ("chrom-length", int, 100_000_000), ("cis-fraction", float, 0.75), ("duplicate-rate", float, 0.1), ("duplicate-radius", int, 2), ("unmapped-fraction", float, 0.02), ("extra-columns", int, 0), ("readid-length", int, 24)):
         p.add_argument(f"--{name}", type=kind, default=default)
     p.add_argument("--sorted", action="store_true")
+    for p in sub.choices.values():
+        run_options(p, argparse.SUPPRESS)
     return top
 
 
+def number(text: str) -> int:
+    """A whole number of at least 1."""
+    if not re.fullmatch(r"[0-9]+", text) or int(text) < 1:
+        raise argparse.ArgumentTypeError(f"{text!r} is no number of at least 1")
+    return int(text)
+
+
+def size(text: str) -> int:
+    """Bytes of a size like 512M, 1.5g or 2GiB."""
+    found = re.fullmatch(r"\s*([0-9]+\.?[0-9]*|\.[0-9]+)\s*([kmgt]?)(?:i?b)?\s*", text, re.IGNORECASE)
+    if not found:
+        raise argparse.ArgumentTypeError(f"{text!r} is no size")
+    return int(float(found[1]) * 1024 ** " kmgt".index(found[2].lower() or " "))
+
+
+def run_options(p: argparse.ArgumentParser, default: str | None = None) -> None:
+    """Options that may stand before or after the command; ``default`` keeps what is
+    set already."""
+    of = lambda value: value if default is None else default
+    p.add_argument("-v", "--verbose", action="count", default=of(0), help="Spark's errors on standard error; twice: its warnings")
+    p.add_argument("-q", "--quiet", action="store_true", default=of(False))
+    p.add_argument("--metrics", action="store_true", default=of(False), help="counts and times on standard error")
+    p.add_argument("--progress", action="store_true", default=of(False), help="Spark's progress bar")
+    p.add_argument("--threads", type=number, default=of(os.cpu_count()), help="threads of a local session")
+    p.add_argument("--memory", type=size, default=of(2 << 30), help="memory of a local driver; below 1G counts as 1G")
+    p.add_argument("--tmpdir", default=of(None), help="shared folder for intermediate tables")
+    p.add_argument("--compression-level", type=int, choices=range(1, 10), default=of(6), help="of BGZF output")
+    p.add_argument("--io-threads", type=number, default=of(None), help="no effect: tasks read as they run")
+    p.add_argument("--compression-threads", type=number, default=of(None), help="no effect: tasks compress what they write")
+
+
 def dedup_options(p: argparse.ArgumentParser) -> None:
     p.add_argument("--max-mismatch", type=int, default=3)
     p.add_argument("--method", choices=("max", "sum"), default="max")
@@ -135,26 +167,47 @@ def parse_choice(a: argparse.Namespace) -> ParseOptions:
     return ParseOptions(a.min_mapq, a.max_molecule_size, a.max_inter_align_gap, a.walks_policy, int(a.report_alignment_end), not a.no_flip, a.drop_readid, not a.drop_sam, a.drop_seq, a.add_pair_index, added)
 
 
+#: Bytes of memory that a command asks for at least.
+LEAST_MEMORY = 64 << 20
+#: What Spark says when memory or disk runs out.
+SPENT = ("OutOfMemoryError", "UNABLE_TO_ACQUIRE_MEMORY", "No space left on device", "ExecutorLostFailure")
+
+
 class Run:
     """One command: its session, its input and its provenance."""
 
     def __init__(self, a: argparse.Namespace, argv: list[str]):
         self.a, self.argv, self.metrics, self.spools = a, argv, Metrics(), []
-        builder = SparkSession.builder.appName("contactweave").config("spark.ui.showConsoleProgress", str(a.progress).lower()).config("spark.driver.memory", a.memory)
+        if a.memory < LEAST_MEMORY:
+            raise ResourceError(f"--memory: at least {LEAST_MEMORY >> 20}M are needed")
+        # Spark needs room of its own before a job can begin.
+        memory = f"{max(a.memory >> 20, 1024)}m"
+        builder = SparkSession.builder.appName("contactweave").config("spark.ui.showConsoleProgress", str(a.progress).lower()).config("spark.driver.memory", memory)
         if "SPARK_ENV_LOADED" not in os.environ and not SparkSession.getActiveSession():
-            builder = builder.master(f"local[{a.threads}]").config("spark.sql.session.timeZone", "UTC").config("spark.log.level", "ERROR")
+            builder = builder.master(f"local[{a.threads}]").config("spark.sql.session.timeZone", "UTC").config("spark.log.level", ("FATAL", "ERROR", "WARN")[min(a.verbose, 2)])
         if a.tmpdir:
             builder = builder.config("spark.checkpoint.dir", a.tmpdir)
         self.spark = builder.getOrCreate()
+        self.spark.conf.set(parts.LEVEL, str(a.compression_level))
 
     def path(self, given: str) -> str:
-        """A path to read; standard input is spooled to a local file."""
+        """A path to read; standard input is spooled to the shared folder, where all
+        machines find it."""
         if given != "-":
             return given
-        with tempfile.NamedTemporaryFile(delete=False, suffix=".in") as f:
-            shutil.copyfileobj(sys.stdin.buffer, f)
-        self.spools.append(f.name)
-        return f.name
+        path = shared_folder(self.spark, "stdin")
+        files, at = filesystem(path)
+        files.create_dir(os.path.dirname(at), recursive=True)
+        self.spools.append(path)
+        with files.open_output_stream(at, compression=None) as f:
+            shutil.copyfileobj(sys.stdin.buffer, f, 1 << 20)
+        return path
+
+    def close(self) -> None:
+        for path in self.spools:
+            files, at = filesystem(path)
+            if files.get_file_info(at).is_file:
+                files.delete_file(at)
 
     def note(self, text: str) -> None:
         if not self.a.quiet:
@@ -303,8 +356,10 @@ def exit_code(e: BaseException) -> int:
         return e.code
     if isinstance(e, PySparkException):
         text = str(e)
+        if any(x in text for x in SPENT):
+            return ResourceError.code
         return 3 if "PATH_NOT_FOUND" in text or "InputError" in text or "EOFException" in text or "ZipException" in text else 2 if "COLUMN" in text and "UNRESOLVED" in text else 4
-    return 3 if isinstance(e, OSError) else 1
+    return ResourceError.code if isinstance(e, OSError) and e.errno == errno.ENOSPC else 3 if isinstance(e, OSError) else 1
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -324,8 +379,8 @@ def main(argv: list[str] | None = None) -> int:
         print(f"contactweave: {next(filter(None, said.groups())) if said else e}", file=sys.stderr)
         return exit_code(e)
     finally:
-        for x in run.spools if run else ():
-            os.unlink(x)
+        if run:
+            run.close()
 
 
 if __name__ == "__main__":

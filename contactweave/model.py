@@ -34,6 +34,12 @@ class NotSorted(PairsError):
     """Input that is not in sorted order."""
 
 
+class ResourceError(PairsError):
+    """Memory or disk that doesn't suffice."""
+
+    code = 5
+
+
 class Unsupported(PairsError):
     """A feature that this library names and does not offer."""
 

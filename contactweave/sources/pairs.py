@@ -111,9 +111,9 @@ def coding_of(path: str) -> str:
     return "bgzf" if name.endswith(_COMPRESSED) else "lz4" if name.endswith(".lz4") else "plain"
 
 
-def encoded(data: bytes, coding: str) -> bytes:
+def encoded(data: bytes, coding: str, level: int = 6) -> bytes:
     """Bytes that can be strung together with others of their coding."""
-    return bgzf(data) if coding == "bgzf" else pa.compress(data, codec="lz4", asbytes=True) if coding == "lz4" else data
+    return bgzf(data, level) if coding == "bgzf" else pa.compress(data, codec="lz4", asbytes=True) if coding == "lz4" else data
 
 
 def write_lines(lines: DataFrame, path: str, head: list[str] | None = None) -> int:
@@ -123,7 +123,7 @@ def write_lines(lines: DataFrame, path: str, head: list[str] | None = None) -> i
     strings them together; only standard output, and targets or shared folders that
     Spark alone can reach, get one partition after the other through the driver.
     Returns the number of lines after the head."""
-    coding = coding_of(path)
+    coding, level = coding_of(path), int(lines.sparkSession.conf.get(parts.LEVEL, "6"))
     if path != "-" and parts.can_write(lines.sparkSession, path):
         seen = Observation()
         parts.write_in_parts(lines.observe(seen, F.count(F.lit(1)).alias("n")), path, head or [], coding)
@@ -132,13 +132,13 @@ def write_lines(lines: DataFrame, path: str, head: list[str] | None = None) -> i
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data = "".join(f"{x}\n" for x in b.column(0).to_pylist()).encode()
-            yield pa.RecordBatch.from_arrays([pa.array([encoded(data, coding)], pa.binary()), pa.array([b.num_rows], pa.int64())], ["data", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([encoded(data, coding, level)], pa.binary()), pa.array([b.num_rows], pa.int64())], ["data", "n"])
 
     first, n = "".join(f"{x}\n" for x in head or []).encode(), 0
 
     def pieces() -> Iterator[bytes]:
         nonlocal n
-        yield encoded(first, coding)
+        yield encoded(first, coding, level)
         for row in lines.select("value").mapInArrow(work, "data binary, n bigint").toLocalIterator():
             n += row["n"]
             yield bytes(row["data"])

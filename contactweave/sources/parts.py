@@ -31,6 +31,8 @@ from contactweave.model import Header, PairsError, filesystem
 from contactweave.sources.raw import BATCH, RANGE, file_ranges, head_lines, read_range
 
 LINES_FORMAT, PAIRS_FORMAT = "contactweave_lines", "contactweave_pairs"
+#: Session setting for the compression level of BGZF files, 1 to 9; 6 where it is unset.
+LEVEL = "contactweave.compression.level"
 _COPY = 8 << 20
 _registered: set[str] = set()
 
@@ -52,12 +54,12 @@ class Part(WriterCommitMessage):
 class LineWriter(DataSourceArrowWriter):
     def __init__(self, options: dict):
         self.folder, self.target, self.coding = options["parts"], options["target"], options["coding"]
-        self.head = json.loads(options["head"])
+        self.head, self.level = json.loads(options["head"]), int(options.get("level", "6"))
 
     def coded(self, lines: list[str]) -> bytes:
         from contactweave.sources.pairs import encoded
 
-        return encoded("".join(f"{x}\n" for x in lines).encode(), self.coding)
+        return encoded("".join(f"{x}\n" for x in lines).encode(), self.coding, self.level)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Part:
         task = TaskContext.get()
@@ -127,7 +129,7 @@ def write_in_parts(lines: DataFrame, path: str, head: list[str], coding: str) ->
     folder = shared_folder(spark, "parts")
     files, at = filesystem(folder)
     files.create_dir(at, recursive=True)
-    options = {"parts": folder, "target": path, "coding": coding, "head": json.dumps(head)}
+    options = {"parts": folder, "target": path, "coding": coding, "level": spark.conf.get(LEVEL, "6"), "head": json.dumps(head)}
     try:
         lines.select("value").write.format(LINES_FORMAT).options(**options).mode("append").save()
     finally:  # a job that fails before its tasks start calls no abort

@@ -209,3 +209,34 @@ def test_a_cut_off_bam_is_an_error(spark, tmp_path):
     head, _ = bam_of(0, random.Random(1))
     open(path, "wb").write(head)
     assert raw.bam_records(spark, path, 5_000).collect() == []
+
+
+def test_options_stand_on_either_side(spark, tmp_path):
+    a = cli.parser().parse_args(["--threads", "3", "-v", "sort", "x", "--memory", "1.5GiB", "--compression-level", "9", "--io-threads", "2", "--compression-threads", "2", "--max-fan-in", "8", "--no-compress-runs", "--metrics"])
+    assert (a.threads, a.memory, a.compression_level, a.verbose, a.metrics, a.quiet, a.tmpdir) == (3, 3 << 29, 9, 1, True, False, None)
+    for name in ("flip", "dedup", "stats", "bin", "parse", "process", "generate", "select"):
+        more = {"flip": ["-c", "x"], "bin": ["-c", "x", "-r", "5"], "parse": ["-c", "x"], "process": ["-c", "x"], "select": ["True"]}.get(name, [])
+        a = cli.parser().parse_args(["--quiet", name, *more, "--threads", "2", "-vv", "--progress", "--tmpdir", "t"])
+        assert (a.threads, a.verbose, a.quiet, a.progress, a.tmpdir, a.memory) == (2, 2, True, True, "t", 2 << 30)
+    for bad in (["--memory", "x"], ["--memory", "1X"], ["--memory", ""], ["--threads", "0"], ["--compression-level", "10"], ["--compression-level", "0"]):
+        with pytest.raises(SystemExit) as e:
+            cli.parser().parse_args(["sort", "x", *bad])
+        assert e.value.code == 2
+    assert cli.main(["sort", "x", "--memory", "1M"]) == 5
+
+
+def test_compression_levels(spark, tmp_path):
+    path = tmp_path / "x.pairs"
+    path.write_text("## pairs format v1.0.0\n" + "".join(f"r{i}\tchr1\t{i * 7919 % 10007}\tchr1\t{i}\t+\t-\tUU\n" for i in range(20_000)))
+    sizes = {}
+    for level in ("1", "9"):
+        out = tmp_path / f"{level}.pairs.gz"
+        assert cli.main(["sort", str(path), "-o", str(out), "--compression-level", level]) == 0
+        sizes[level] = out.stat().st_size
+        assert gzip.open(out).read().count(b"\n") > 20_000
+    assert sizes["9"] < sizes["1"]
+    assert cli.main(["sort", str(path), "-o", str(tmp_path / "o.gz")]) == 0 and sizes["9"] < (tmp_path / "o.gz").stat().st_size < sizes["1"]
+
+
+def test_spent_resources_have_a_code():
+    assert cli.exit_code(OSError(28, "No space left on device")) == 5 and cli.exit_code(OSError(2, "none")) == 3
