@@ -18,7 +18,7 @@ from importlib.metadata import PackageNotFoundError, version
 from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
-from contactweave.functions.graph import shared_folder
+from contactweave.functions.graph import shared_folder, written
 from contactweave.metrics import Metrics
 from contactweave.model import ArgumentError, Header, Pairs, PairsError, ResourceError, Unsupported, filesystem, read_chrom_names, read_chromsizes, small_text
 from contactweave.operators import basic, binning, routing
@@ -243,7 +243,8 @@ class Run:
         p = self.read(self.a.input)
         self.signed(p.header)
         flipped = basic.flip_pairs(p.df, list(read_chromsizes(self.a.chroms_path)))
-        self.metrics.add(records=write_pairs(Pairs(p.header, flipped.orderBy("seq")), self.a.output))
+        # Rows are in the file's order still, as nothing shuffles them.
+        self.metrics.add(records=write_pairs(Pairs(p.header, flipped), self.a.output))
 
     def dedup(self) -> None:
         a = self.a
@@ -296,7 +297,7 @@ class Run:
         gone = [x for x in a.remove_columns.split(",") if x]
         for df, path in zip(parts, (a.output, a.output_rest)):
             if path:
-                out = basic.without_columns(Pairs(p.header, df.orderBy("seq")), gone)
+                out = basic.without_columns(Pairs(p.header, df), gone)
                 self.metrics.add(**{"records" if path == a.output else "rest": write_pairs(out, path)})
 
     def bin(self) -> None:
@@ -306,12 +307,13 @@ class Run:
         if min(a.resolution) < 1:
             raise ArgumentError("a resolution is at least 1")
         binning.output_paths(a.output, a.resolution)
-        rows = binning.accepted(p.df, kinds, a.min_mapq, a.zero_based)
-        binning.write_contacts(binning.bin_contacts(rows, sizes, a.resolution, a.zero_based), sizes, a.resolution, a.output, a.format)
+        # Written once for all resolutions and counters.
+        table = written(binning.binned(p.df, sizes, a.resolution, kinds, a.min_mapq, a.zero_based), "binned")
+        binning.write_contacts(table.where("resolution > 0"), sizes, a.resolution, a.output, a.format)
         if a.bins_out:
             binning.write_bins(p.df, sizes, a.resolution, a.bins_out)
         if a.metrics:
-            self.metrics.add(**binning.bin_counters(p.df, sizes, a.resolution, kinds, a.min_mapq, a.zero_based))
+            self.metrics.add(**binning.counters_of(table))
 
     def parse(self) -> None:
         a = self.a

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactweave.model import UNMAPPED_CHROM, ArgumentError, PairsError
 from contactweave.sources.pairs import write_lines
 
+#: What becomes of a row.
+OUTCOMES = ("accepted", "rejected", "unknown_chrom", "out_of_range")
+
 
 def layout(df: DataFrame, chromsizes: dict[str, int], resolutions: list[int]) -> DataFrame:
     """(resolution, chrom, offset, n_bins, size): one row per chromosome and
@@ -23,15 +26,21 @@ def layout(df: DataFrame, chromsizes: dict[str, int], resolutions: list[int]) ->
     return df.sparkSession.createDataFrame(rows, "resolution long, chrom string, offset long, n_bins long, size long")
 
 
-def accepted(df: DataFrame, pair_types: list[str] | None = None, min_mapq: int | None = None, zero_based: bool = False) -> DataFrame:
-    out = df.where((F.col("chrom1") != UNMAPPED_CHROM) & (F.col("chrom2") != UNMAPPED_CHROM))
+def acceptable(df: DataFrame, pair_types: list[str] | None = None, min_mapq: int | None = None) -> Column:
+    """Whether both sides of a row are mapped and its type and qualities will do."""
+    good = (F.col("chrom1") != UNMAPPED_CHROM) & (F.col("chrom2") != UNMAPPED_CHROM)
     if pair_types is not None:
-        out = out.where(F.substring("pair_type", 1, 8).isin([p[:8] for p in pair_types]))
+        good = good & F.substring("pair_type", 1, 8).isin([p[:8] for p in pair_types])
     if min_mapq is not None:
         if not {"mapq1", "mapq2"} <= set(df.columns):
             raise PairsError("min_mapq needs mapq1 and mapq2")
         for c in ("mapq1", "mapq2"):
-            out = out.where(F.coalesce(F.col(c).cast("string").try_cast("bigint") >= min_mapq, F.lit(False)))
+            good = good & (F.col(c).cast("string").try_cast("bigint") >= min_mapq)
+    return F.coalesce(good, F.lit(False))
+
+
+def accepted(df: DataFrame, pair_types: list[str] | None = None, min_mapq: int | None = None, zero_based: bool = False) -> DataFrame:
+    out = df.where(acceptable(df, pair_types, min_mapq))
     return out if zero_based else out.where("pos1 > 0 and pos2 > 0")
 
 
@@ -60,21 +69,52 @@ def bedgraph(contacts: DataFrame, bins: DataFrame) -> DataFrame:
     return met.select("chrom1", "start1", "end1", "chrom2", "start2", "end2", "count")
 
 
-def bin_counters(df: DataFrame, chromsizes: dict[str, int], resolutions: list[int], pair_types: list[str] | None = None, min_mapq: int | None = None, zero_based: bool = False) -> dict[str, int]:
-    """How many rows were accepted, rejected (a filter, or position 0), on unknown
-    chromosomes, and accepted beyond their chromosome's last bin."""
-    passed = accepted(df, pair_types, min_mapq, zero_based=True)
-    sizes = layout(df, chromsizes, resolutions[:1])
-    side = lambda n: F.broadcast(sizes.select(F.col("chrom").alias(f"c{n}"), F.col("size").alias(f"size{n}")))
-    met = passed.join(side(1), F.col("chrom1") == F.col("c1"), "left").join(side(2), F.col("chrom2") == F.col("c2"), "left")
-    known = F.col("c1").isNotNull() & F.col("c2").isNotNull()
-    placed = known & (F.lit(zero_based) | ((F.col("pos1") > 0) & (F.col("pos2") > 0)))
+def binned(df: DataFrame, chromsizes: dict[str, int], resolutions: list[int], pair_types: list[str] | None = None, min_mapq: int | None = None, zero_based: bool = False) -> DataFrame:
+    """``bin_contacts`` of the accepted rows, and with them the counts of all rows by
+    what becomes of them, at resolution 0 with a place in ``OUTCOMES`` as both bins.
+
+    One aggregate gives both, so the input is read once, and a task that runs again
+    doesn't count twice, as an observation before a shuffle would."""
+    layout(df, chromsizes, resolutions)  # for its errors
+    rows, at = [], [0] * len(resolutions)
+    for chrom, size in chromsizes.items():
+        rows.append((chrom, size, list(at)))
+        at = [a + -(-size // r) for a, r in zip(at, resolutions)]
+    places = df.sparkSession.createDataFrame(rows, "chrom string, size long, offsets array<long>")
+    side = lambda n: F.broadcast(places.select(*(F.col(c).alias(f"_{c}{n}") for c in places.columns)))
+    met = df.select("chrom1", "pos1", "chrom2", "pos2", acceptable(df, pair_types, min_mapq).alias("_good"))
+    met = met.join(side(1), F.col("chrom1") == F.col("_chrom1"), "left").join(side(2), F.col("chrom2") == F.col("_chrom2"), "left")
+    shift = 0 if zero_based else 1
+    bin_of = lambda n, r: F.expr(f"(pos{n} - {shift}) div {r}")
+    last = lambda n, r: F.expr(f"(_size{n} + {r - 1}) div {r} - 1")
     beyond = F.lit(False)
     for r in resolutions:
         for n in (1, 2):
-            beyond = beyond | (F.expr(f"(pos{n} - {0 if zero_based else 1}) div {r}") >= F.ceil(F.col(f"size{n}") / r))
-    row = met.agg(F.count_if(placed).alias("accepted"), F.count_if(~known).alias("unknown"), F.count_if(placed & beyond).alias("beyond")).first()
-    return {"accepted": row["accepted"], "rejected": df.count() - row["accepted"] - row["unknown"], "unknown_chrom": row["unknown"], "out_of_range": row["beyond"]}
+            beyond = beyond | (bin_of(n, r) > last(n, r))
+    known = F.col("_chrom1").isNotNull() & F.col("_chrom2").isNotNull()
+    placed = F.lit(True) if zero_based else F.coalesce((F.col("pos1") > 0) & (F.col("pos2") > 0), F.lit(False))
+    code = lambda name: F.lit(OUTCOMES.index(name)).cast("long")
+    kind = F.when(~F.col("_good"), code("rejected")).when(~known, code("unknown_chrom")).when(~placed, code("rejected")).when(beyond, code("out_of_range")).otherwise(code("accepted"))
+    met = met.withColumn("_kind", kind)
+    kept = F.col("_kind").isin(OUTCOMES.index("accepted"), OUTCOMES.index("out_of_range"))
+    entry = lambda r, x, y: F.struct(F.lit(r).cast("long").alias("resolution"), F.least(x, y).alias("bin1_id"), F.greatest(x, y).alias("bin2_id"))
+    spot = lambda n, i, r: F.get(f"_offsets{n}", F.lit(i)) + F.least(bin_of(n, r), last(n, r))
+    own = F.array(entry(0, F.col("_kind"), F.col("_kind")))
+    whole = F.concat(own, F.array(*(entry(r, spot(1, i, r), spot(2, i, r)) for i, r in enumerate(resolutions))))
+    return met.select(F.explode(F.when(kept, whole).otherwise(own)).alias("e")).groupBy("e.resolution", "e.bin1_id", "e.bin2_id").agg(F.count(F.lit(1)).alias("count"))
+
+
+def counters_of(table: DataFrame) -> dict[str, int]:
+    """The counters in a ``binned`` table; rows beyond the last bin are accepted too."""
+    n = {OUTCOMES[r["bin1_id"]]: r["count"] for r in table.where("resolution = 0").collect()}
+    out = {k: n.get(k, 0) for k in OUTCOMES}
+    return out | {"accepted": out["accepted"] + out["out_of_range"]}
+
+
+def bin_counters(df: DataFrame, chromsizes: dict[str, int], resolutions: list[int], pair_types: list[str] | None = None, min_mapq: int | None = None, zero_based: bool = False) -> dict[str, int]:
+    """How many rows were accepted, rejected (a filter, or position 0), on unknown
+    chromosomes, and accepted beyond their chromosome's last bin."""
+    return counters_of(binned(df, chromsizes, resolutions, pair_types, min_mapq, zero_based))
 
 
 def output_paths(paths: list[str], resolutions: list[int]) -> list[str]:

@@ -36,14 +36,16 @@ SELECT seq, readID, ca AS chrom1, CASE WHEN ca='!' THEN 0 ELSE {p}a END AS pos1,
        CASE WHEN ca='!' THEN '-' ELSE sa END AS strand1, CASE WHEN cb='!' THEN '-' ELSE sb END AS strand2,
        (CASE WHEN ca='!' THEN 'N' ELSE 'U' END) || (CASE WHEN cb='!' THEN 'N' ELSE tb END) AS pair_type,
        mapq1, mapq2 FROM s"""
-#: Numbered tables by application and folder.
-_numbered: dict[tuple[str, str], DataFrame] = {}
+#: Numbered tables by application, folder, and the names, sizes and times of its files.
+_numbered: dict[tuple, DataFrame] = {}
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lineitem`` with ``seq``, its place in the order of all columns; worked out once
     per table and application."""
-    key = spark.sparkContext.applicationId, sf_dir
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/lineitem.parquet")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    key = spark.sparkContext.applicationId, sf_dir, tuple((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files)
     if key not in _numbered:
         _numbered[key] = ordering.ranked(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), LINE_COLUMNS, "seq")
     return _numbered[key]

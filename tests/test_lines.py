@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from contactweave import cli
 from contactweave.functions.graph import shared_folder
 from contactweave.model import Header, Pairs
-from contactweave.operators import basic, routing
+from contactweave.operators import basic, binning, routing
 from contactweave.sources import parts, raw
 from contactweave.sources.pairs import read_header, read_pairs, write_lines, write_pairs
 
@@ -240,3 +240,47 @@ def test_compression_levels(spark, tmp_path):
 
 def test_spent_resources_have_a_code():
     assert cli.exit_code(OSError(28, "No space left on device")) == 5 and cli.exit_code(OSError(2, "none")) == 3
+
+
+def test_bins_and_counters_read_once(spark, tmp_path):
+    """One scan for all resolutions and counters; the counters against a loop."""
+    rng = random.Random(4)
+    rows = [(rng.choice(["chr1", "chr2", "chr3", "!", None]), rng.randint(0, 130), rng.choice(["chr1", "chr2", "chr9"]), rng.randint(0, 130), rng.choice(["UU", "UR", "NN"]), rng.choice(["3", "60", "x", None]), "60") for _ in range(2000)]
+    spark.createDataFrame(rows, "chrom1 string, pos1 long, chrom2 string, pos2 long, pair_type string, mapq1 string, mapq2 string").write.parquet(str(tmp_path / "t"))
+    df, sizes = spark.read.parquet(str(tmp_path / "t")), {"chr2": 100, "chr1": 120}
+    for zero in (False, True):
+        table = binning.binned(df, sizes, [7, 50], ["UU", "UR"], 5, zero)
+        assert table._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+        want = dict.fromkeys(binning.OUTCOMES, 0)
+        for c1, p1, c2, p2, t, q, _ in rows:
+            if c1 in ("!", None) or t == "NN" or q != "60":
+                want["rejected"] += 1
+            elif c1 not in sizes or c2 not in sizes:
+                want["unknown_chrom"] += 1
+            elif not zero and not (p1 and p2):
+                want["rejected"] += 1
+            else:
+                want["accepted"] += 1
+                far = any((p - (not zero)) // r >= -(-sizes[c] // r) for c, p in ((c1, p1), (c2, p2)) for r in (7, 50))
+                want["out_of_range"] += far
+        assert binning.counters_of(table) == want and all(want.values())
+        key = lambda r: tuple(r[c] for c in ("resolution", "bin1_id", "bin2_id", "count"))
+        plain = binning.bin_contacts(binning.accepted(df, ["UU", "UR"], 5, zero), sizes, [7, 50], zero)
+        assert sorted(map(key, table.where("resolution > 0").collect())) == sorted(map(key, plain.collect()))
+
+
+def test_flip_and_select_need_no_shuffle(spark, tmp_path):
+    path = tmp_path / "x.pairs"
+    path.write_text("## pairs format v1.0.0\n" + "".join(f"r{i}\tchr1\t{i * 7919 % 10007}\tchr1\t{i}\t+\t-\tUU\n" for i in range(20_000)))
+    (tmp_path / "sizes").write_text("chr1\t100000\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "30000")
+    try:
+        assert cli.main(["flip", str(path), "-c", str(tmp_path / "sizes"), "-o", str(tmp_path / "f")]) == 0
+        assert cli.main(["select", "pos1 % 2 == 0", str(path), "-o", str(tmp_path / "s"), "--output-rest", str(tmp_path / "r")]) == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    names = lambda f: [x.split("\t")[0] for x in (tmp_path / f).read_text().splitlines() if x[0] != "#"]
+    assert names("f") == [f"r{i}" for i in range(20_000)]
+    even = [i * 7919 % 10007 % 2 == 0 for i in range(20_000)]
+    assert names("s") == [f"r{i}" for i in range(20_000) if even[i]] and names("r") == [f"r{i}" for i in range(20_000) if not even[i]]
