@@ -181,7 +181,9 @@ def near_cells(rows: DataFrame, cells: DataFrame, keys: list[str], m: int) -> Da
     links = pairs.where(sure).select("a", "b")
     if n["open"]:
         links = links.unionByName(corner_links(rows, pairs.where(~sure), keys, m))
-    return component_labels(links, n["sure"] + n["open"]).where("label <> node").select("node", F.col("label").alias("parent"))
+    found = component_labels(links, n["sure"] + n["open"]).where("label <> node").select("node", F.col("label").alias("parent"))
+    # Written, so that its size is known: few of them spare the cells a shuffle.
+    return written(found, "found")
 
 
 def mark_duplicates(df: DataFrame, max_mismatch: int = 3, metric: str = "max", clustering: str = "transitive", extra_pairs: list[tuple[str, str]] | None = None, order: str = "seq") -> DataFrame:
