@@ -145,8 +145,8 @@ h AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS hex FROM p),
 d AS (SELECT page_id, payload_bytes, list_aggregate(list_transform(range(8), lambda g: list_aggregate(list_transform([32768, 1024, 32, 1],
   lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(hex, CAST(g * 5 + 1 AS BIGINT), 5) AS BIGINT) // s) % 32 + 1 AS BIGINT), 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest FROM h),
 o AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS original FROM d)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id <> original THEN original END AS refers_to FROM o""",
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM original THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM original THEN original END AS refers_to FROM o""",
     "op11_substring_dedup": rf"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 g AS (SELECT doc_id, s, array_to_string(w[s:s + 19], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d)),

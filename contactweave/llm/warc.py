@@ -16,8 +16,9 @@ the same file again.
 
 Defined results: null html is an empty payload; rows that repeat the smallest page
 id of their payload are that record again and all stay responses; null page ids
-are never referred to and stay responses; null URLs leave the target field out; an
-empty table gives no archives.
+come after all others, so they are revisits of a page with their payload, are never
+referred to, and stay responses where only null ids have it; null URLs leave the target
+field out; an empty table gives no archives.
 """
 
 from __future__ import annotations
@@ -34,11 +35,14 @@ from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactweave.llm.base import bounded_batches, shared_folder, small, written
 
+#: Symbols of base32 and of numbers to the base of 32, in the order of their values.
+BASE32, BASE32_DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEFGHIJKLMNOPQRSTUV"
+
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -47,6 +51,12 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def digest_hex(payload_digest: Column) -> Column:
+    """A base32 digest in lower-case hexadecimal digits, as ``sha1`` gives them."""
+    group = lambda i: F.lpad(F.conv(F.translate(F.substring(payload_digest, 4 * i + 1, 4), BASE32, BASE32_DIGITS), 32, 16), 5, "0")
+    return F.lower(F.concat(*map(group, range(8))))
+
+
 def record_id(page_id: int | None, payload_digest: str, copy: str = "") -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{payload_digest}:{copy}')}>"
 
@@ -116,16 +126,20 @@ def headers(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
 def resolve(heads: DataFrame, min_bytes: int = 0) -> DataFrame:
     """(r, d, n, refers_to, named, again) of the page ids and payloads that are not
     plain responses: revisits, which refer to a page, and records that several rows
-    repeat (again)."""
+    repeat (again).  Null page ids are one row by payload that a page has too."""
     ids = heads.where(F.col("page_id").isNotNull()).groupBy("page_id", F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("n")).agg(F.count(F.lit(1)).alias("rows"))
     ids = written(ids, "payloads")
     # Copies of a payload are summed before the shuffle; the first of them is kept.
     first = F.min(F.struct("page_id", "rows")).alias("o")
-    same = ids.where(F.col("n") >= min_bytes).groupBy(F.col("d").alias("sd"), F.col("n").alias("sn")).agg(first, F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    firsts = ids.where(F.col("n") >= min_bytes).groupBy(F.col("d").alias("sd"), F.col("n").alias("sn")).agg(first, F.count(F.lit(1)).alias("c"))
+    same = firsts.where("c > 1").drop("c")
     met = ids.join(small(same), (F.col("d") == F.col("sd")) & (F.col("n") == F.col("sn")), "left")
     refers_to = F.when(F.col("o.page_id") < F.col("page_id"), F.col("o.page_id"))
     out = met.select(F.col("page_id").alias("r"), "d", "n", refers_to.alias("refers_to"), F.coalesce(F.col("o.rows") == 1, F.lit(True)).alias("named"), (F.col("rows") > 1).alias("again"))
-    return out.where(F.col("refers_to").isNotNull() | F.col("again"))
+    nameless = heads.where(F.col("page_id").isNull()).select(F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("n")).distinct()
+    nameless = nameless.join(firsts, (F.col("d") == F.col("sd")) & (F.col("n") == F.col("sn")))
+    nameless = nameless.select(F.lit(None).cast("long").alias("r"), "d", "n", F.col("o.page_id").alias("refers_to"), (F.col("o.rows") == 1).alias("named"), F.lit(True).alias("again"))
+    return out.where(F.col("refers_to").isNotNull() | F.col("again")).unionByName(nameless)
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", file_bytes: int = 64 << 20, date: str | None = None) -> DataFrame:
@@ -136,8 +150,13 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: st
     revisits = written(resolve(heads, min_bytes), "revisits")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     # Payloads of an id are told apart by the writer, which has their digests.
-    of_id = revisits.groupBy("r").agg(F.collect_list(F.struct("d", "n", "refers_to", "named", "again")).alias("payloads"))
-    rows = rows.join(of_id, F.col("page_id") == F.col("r"), "left").select(F.spark_partition_id().alias("part"), "page_id", "url", "html", "payloads")
+    found = F.struct("d", "n", "refers_to", "named", "again")
+    of_id = revisits.where("r is not null").groupBy("r").agg(F.collect_list(found).alias("payloads"))
+    # Rows without an id are no key of their own: they meet their revisit by payload.
+    of_payload = small(revisits.where("r is null").select(digest_hex(F.col("d")).alias("hex"), F.array(found).alias("payloads")))
+    named = rows.where("page_id is not null").join(of_id, F.col("page_id") == F.col("r"), "left").drop("r")
+    nameless = rows.where("page_id is null").withColumn("own", F.sha1(F.coalesce("html", F.lit("")))).join(of_payload, F.col("own") == F.col("hex"), "left").drop("own", "hex")
+    rows = named.unionByName(nameless).select(F.spark_partition_id().alias("part"), "page_id", "url", "html", "payloads")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = pafs.FileSystem.from_uri(folder)

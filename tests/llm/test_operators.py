@@ -219,7 +219,7 @@ def test_archives_of_ids_with_several_payloads(spark):
     pages = spark.createDataFrame([(1, "A"), (5, "A"), (5, "B"), (2, "C"), (5, "C"), (None, "A")], "page_id long, html string").withColumn("url", F.lit("u"))
     got = sorted(map(tuple, warc.archive_table(pages).collect()), key=str)
     a, b, c = (warc.digest(x) for x in (b"A", b"B", b"C"))
-    assert got == sorted([(1, 1, a, "response", None), (5, 1, a, "revisit", 1), (5, 1, b, "response", None), (2, 1, c, "response", None), (5, 1, c, "revisit", 2), (None, 1, a, "response", None)], key=str)
+    assert got == sorted([(1, 1, a, "response", None), (5, 1, a, "revisit", 1), (5, 1, b, "response", None), (2, 1, c, "response", None), (5, 1, c, "revisit", 2), (None, 1, a, "revisit", 1)], key=str)
 
 
 def test_near_duplicates_of_small_sets(spark):
