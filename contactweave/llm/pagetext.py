@@ -18,7 +18,11 @@ with the few decisions that change anything joined back.
 
 Defined results: null or empty html gives an empty text; null URLs have an empty
 host; pages alone in their host keep all lines; rows that repeat are read as they
-stand; an empty table gives an empty result.
+stand; an empty table gives an empty result.  Of a header inside an article the headings
+are main text, as they are the article's own.  Forms are left out, but where nothing else
+is left and there is no article, as on pages that a form wraps whole, the text of unmarked
+forms is taken, less labels, legends and controls.  Reading takes time linear in the page,
+however deep elements are nested.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate, takewhile
 
 import pyarrow as pa
@@ -44,8 +48,13 @@ BLOCKS = frozenset(
 )
 #: Elements that never hold main text.
 APART = frozenset("aside button dialog footer form head header menu nav select".split())
+#: Elements that name the controls of a form.
+LABELS = frozenset("label legend".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements whose content is no markup, and never main text.
-RAW = frozenset("iframe noembed noframes noscript object script style svg template textarea title".split())
+RAW = frozenset("iframe noembed noframes noscript script style svg template textarea title".split())
+#: Those of them that may hold others of their kind.
+NESTED = frozenset("svg template".split())
 VOID = frozenset("hr".split())
 #: Inline elements that are never left out: those without content, and emphasis and links.
 KEPT = frozenset("a area b base col embed em i img input link meta param source strong track wbr".split())
@@ -96,45 +105,99 @@ def inline(name: str) -> bool:
     return name not in BLOCKS and name not in APART
 
 
-def inner(names: list[str]) -> int:
-    """Where the inline elements begin that are open in the innermost block."""
-    n = len(names)
-    while n and inline(names[n - 1]):
-        n -= 1
-    return n
+def raw_end(page: str, name: str, at: int) -> int:
+    """Where the end tag of a ``RAW`` element begins whose content starts at ``at``: the
+    last one there is if they don't match, -1 if there is none."""
+    depth, last = 1, -1
+    for m in re.compile(rf"<(/?){name}(?=[\s/>])([^>]*+)", re.I).finditer(page, at):
+        if m[1]:
+            depth, last = depth - 1, m.start()
+            if not depth:
+                break
+        elif name in NESTED and not m[2].rstrip().endswith("/"):
+            depth += 1
+    return last
 
 
-OPEN_ZONE, APART_ZONE, MAIN_ZONE = 0, 1, 2
+class Stack:
+    """Open elements: blocks, marked inline ones and those of the same name in them.
+    ``since`` has the depths at which parts of the page began that end with an element."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.blocks: list[int] = []
+        self.places: dict[str, list[int]] = {}
+        self.since: dict[str, int] = {}
+
+    def holds(self, name: str) -> bool:
+        return bool(self.places.get(name))
+
+    def inner(self) -> int:
+        """Where the inline elements begin that are open in the innermost block."""
+        return self.blocks[-1] + 1 if self.blocks else 0
+
+    def holds_inner(self, name: str) -> bool:
+        return self.holds(name) and self.places[name][-1] >= self.inner()
+
+    def push(self, name: str) -> None:
+        self.places.setdefault(name, []).append(len(self.names))
+        if not inline(name):
+            self.blocks.append(len(self.names))
+        self.names.append(name)
+
+    def cut(self, depth: int) -> None:
+        """Close all elements from ``depth`` on."""
+        while len(self.names) > depth:
+            self.places[self.names.pop()].pop()
+        while self.blocks and self.blocks[-1] >= depth:
+            self.blocks.pop()
+        for part in [k for k, v in self.since.items() if v >= depth]:
+            del self.since[part]
+
+
+OPEN_ZONE, APART_ZONE, MAIN_ZONE, FORM_ZONE = 0, 1, 2, 3
+
+
+def text_zone(zones: Iterable[int], has_article: bool) -> int:
+    """The zone whose lines are a page's main text."""
+    if has_article:
+        return MAIN_ZONE
+    return FORM_ZONE if OPEN_ZONE not in (held := set(zones)) and FORM_ZONE in held else OPEN_ZONE
 
 
 def zoned(page: str | None) -> tuple[list[tuple[int, str]], bool]:
     """((zone, line) in page order, whether there is an article): zone is ``APART_ZONE``
-    for lines that markup leaves out, ``MAIN_ZONE`` for the others of an article or
-    main element, and ``OPEN_ZONE`` for the rest."""
+    for lines that markup leaves out, ``FORM_ZONE`` for those of forms, ``MAIN_ZONE`` for
+    the others of an article or main element, and ``OPEN_ZONE`` for the rest."""
     lines: list[tuple[int, str]] = []
     if not page:
         return lines, False
     text: list[str] = []
     left_out: list[str] = []
-    open_: list[str] = []  # open block elements, marked inline ones and those of the same name in them
-    skip_at, skip_is_comment = -1, False  # depth at which a left-out element began
-    article_at = -1
-    has_article = False
+    open_ = Stack()
+    since, skip_is_comment, has_article = open_.since, False, False
+
+    def zone() -> int:
+        if "form" in since:
+            return FORM_ZONE
+        if "header" in since and "heading" not in since:
+            return APART_ZONE
+        return MAIN_ZONE if "article" in since else OPEN_ZONE
 
     def flush() -> None:
-        for held, zone in ((text, MAIN_ZONE if article_at >= 0 else OPEN_ZONE), (left_out, APART_ZONE)):
+        for held, of in ((text, zone()), (left_out, APART_ZONE)):
             if held:
                 line = " ".join(entities.unescape("".join(held)).split())
                 held.clear()
                 if line:
-                    lines.append((zone, line))
+                    lines.append((of, line))
 
     at, end = 0, len(page)
     while at < end:
         m = _MARKUP.search(page, at)
         stop = m.start() if m else end
         if stop > at:
-            (text if skip_at < 0 else left_out).append(page[at:stop])
+            (left_out if "skip" in since else text).append(page[at:stop])
         if not m:
             break
         at = m.end()
@@ -144,51 +207,52 @@ def zoned(page: str | None) -> tuple[list[tuple[int, str]], bool]:
         name = name.lower()
         if name in RAW:
             if not closing and not attributes.rstrip().endswith("/"):
-                ends = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
-                if not ends:
+                at = raw_end(page, name, at)
+                if at < 0:
                     break
-                at = ends.start()
             continue
         if name == "br":
-            (text if skip_at < 0 else left_out).append(" ")
+            (left_out if "skip" in since else text).append(" ")
             continue
+        label = name in LABELS and "form" in since
         if inline(name):
             # An end tag reaches its element only where no block is open in between.
-            if closing and name not in open_[inner(open_) :]:
+            if closing and not open_.holds_inner(name):
                 continue
-            if not closing and name not in open_ and (skip_at >= 0 or name in KEPT or not marked(attributes)):
+            if not closing and not open_.holds(name) and ("skip" in since or name in KEPT or not (label or marked(attributes))):
                 continue
         else:
             flush()
         if closing:
-            if name in open_:
-                while open_:
-                    last = open_.pop()
-                    if len(open_) == skip_at:
-                        skip_at = -1
-                    if len(open_) == article_at:
-                        article_at = -1
-                    if last == name:
-                        break
+            if open_.holds(name):
+                open_.cut(open_.places[name][-1])
             continue
         if name in VOID:
             continue
-        if name == "p" and (n := inner(open_)) and open_[n - 1] == "p":
-            if n - 1 <= skip_at:
-                skip_at = -1
-            del open_[n - 1 :]
+        if name == "p" and (n := open_.inner()) and open_.names[n - 1] == "p":
+            open_.cut(n - 1)
         marks = marked(attributes)
         whole = name in ("article", "main", "body", "html")
-        if name in ("article", "main") and not marks & COMMENTS and skip_at >= 0 and not skip_is_comment:
-            skip_at = -1  # an article ends what was left open before it
-        if skip_at < 0:
-            if name in APART or (marks and not (whole and not marks & COMMENTS)):
-                skip_at, skip_is_comment = len(open_), bool(marks & COMMENTS)
+        if name in ("article", "main") and not marks & COMMENTS and not ("skip" in since and skip_is_comment):
+            # An article ends what was left open before it.
+            for part in ("skip", "form", "header", "heading"):
+                since.pop(part, None)
+        if "skip" not in since:
+            depth = len(open_.names)
+            if marks and not (whole and not marks & COMMENTS):
+                since["skip"], skip_is_comment = depth, bool(marks & COMMENTS)
+            elif name == "form":
+                since.setdefault("form", depth)
+            elif name == "header" and "article" in since:
+                since.setdefault("header", depth)
+            elif name in APART or label:
+                since["skip"], skip_is_comment = depth, False
+            elif name in HEADINGS and "header" in since:
+                since.setdefault("heading", depth)
             elif name in ("article", "main"):
                 has_article = True
-                if article_at < 0:
-                    article_at = len(open_)
-        open_.append(name)
+                since.setdefault("article", depth)
+        open_.push(name)
     flush()
     return lines, has_article
 
@@ -197,7 +261,7 @@ def lines_of(page: str | None) -> tuple[list[str], bool]:
     """(lines, settled): the lines of the article or main elements and True, or
     all lines that markup lets pass and False."""
     lines, has_article = zoned(page)
-    zone = MAIN_ZONE if has_article else OPEN_ZONE
+    zone = text_zone((z for z, _ in lines), has_article)
     return [x for z, x in lines if z == zone], has_article or not page
 
 
@@ -281,7 +345,8 @@ def deleted(keys: list[int], zones: list[int], path: str, neighbours: list[tuple
     """Places of the lines that differencing takes from a page's main text.
     ``neighbours`` are the paths, lines and zones of the pages before and after."""
     has_article = MAIN_ZONE in zones
-    main = [i for i, z in enumerate(zones) if z == (MAIN_ZONE if has_article else OPEN_ZONE)]
+    zone = text_zone(zones, has_article)
+    main = [i for i, z in enumerate(zones) if z == zone]
     others = [n for n in neighbours if n[1] is not None]
     if not main or not others:
         return []
@@ -394,7 +459,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             texts = []
             for page, taken in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 lines, has_article = zoned(page)
-                zone, taken = MAIN_ZONE if has_article else OPEN_ZONE, set(taken or ())
+                zone, taken = text_zone((z for z, _ in lines), has_article), set(taken or ())
                 texts.append("\n".join(x for i, (z, x) in enumerate(lines) if z == zone and i not in taken))
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
