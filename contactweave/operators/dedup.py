@@ -54,7 +54,8 @@ def near_points(points: DataFrame, keys: list[str], m: int, metric: str) -> Data
     cells = points.withColumn("gx", F.expr(f"pos1 div {side}")).withColumn("gy", F.expr(f"pos2 div {side}"))
     offsets = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in HALF))
     spread = cells.select("*", F.explode(offsets).alias("o")).withColumn("gx", F.col("gx") + F.col("o.x")).withColumn("gy", F.col("gy") + F.col("o.y"))
-    same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in (*keys, "gx", "gy")]
+    equal = lambda l, r, k: l == r if k in (*KEYS, "gx", "gy") else l.eqNullSafe(r)
+    same = [equal(F.col(f"l.{k}"), F.col(f"r.{k}"), k) for k in (*keys, "gx", "gy")]
     own = (F.col("l.o.x") != 0) | (F.col("l.o.y") != 0) | (F.col("l.first") < F.col("r.first"))
     on = within(metric, m) & own
     for c in same:

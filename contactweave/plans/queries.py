@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from contactweave.functions import ordering
 from contactweave.functions.fields import named
-from contactweave.functions.graph import written
+from contactweave.functions.graph import shared_folder, written
 from contactweave.model import Header, Pairs
 from contactweave.operators import basic, binning, dedup, routing, stats
 from contactweave.operators.process import numbered
 from contactweave.sources.pairs import as_lines, typed_lines
+from contactweave.streaming.duplicates import DuplicateStream
 
 CHROMS = [f"chr{i}" for i in range(1, 13)]
 SIZES = dict.fromkeys(CHROMS, 1_000_000)
@@ -47,7 +48,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
     key = spark.sparkContext.applicationId, sf_dir, tuple((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files)
     if key not in _numbered:
-        _numbered[key] = ordering.ranked(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), LINE_COLUMNS, "seq")
+        _numbered[key] = ordering.ranked(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(LINE_COLUMNS), LINE_COLUMNS, "seq")
     return _numbered[key]
 
 
@@ -56,9 +57,14 @@ def pairs(spark: SparkSession, sf_dir: str, flavour: str) -> DataFrame:
     return spark.sql(VIEW.format(lines="SELECT * FROM {lines}", p=flavour), lines=lines(spark, sf_dir))
 
 
+def rank(df: DataFrame, extra: list[str] | None = None) -> DataFrame:
+    """(readID, sort_rank); only the sort keys and names are dealt and written."""
+    keys = basic.sort_keys(df, extra)
+    return ordering.ranked(df.select("readID", *keys), keys, "sort_rank").select("readID", "sort_rank")
+
+
 def sort_rank(spark, sf_dir):
-    df = pairs(spark, sf_dir, "w")
-    return ordering.ranked(df, basic.sort_keys(df), "sort_rank").select("readID", "sort_rank")
+    return rank(pairs(spark, sf_dir, "w"))
 
 
 def flip(spark, sf_dir):
@@ -194,12 +200,11 @@ def dedup_parents(spark, sf_dir):
 def sort_extra(spark, sf_dir):
     """Rank by the sort keys and two more columns."""
     df = pairs(spark, sf_dir, "n").withColumn("mapq1", F.col("mapq1").cast("string"))
-    return ordering.ranked(df, basic.sort_keys(df, ["mapq1", "strand2"]), "sort_rank").select("readID", "sort_rank")
+    return rank(df, ["mapq1", "strand2"])
 
 
 def sort_no_type(spark, sf_dir):
-    df = pairs(spark, sf_dir, "n").drop("pair_type")
-    return ordering.ranked(df, basic.sort_keys(df), "sort_rank").select("readID", "sort_rank")
+    return rank(pairs(spark, sf_dir, "n").drop("pair_type"))
 
 
 def remove_columns(spark, sf_dir):
@@ -222,6 +227,22 @@ def dedup_query(name: str, flavour: str = "n", **options):
     return query
 
 
+def dedup_stream(spark, sf_dir, slices: int = 3):
+    """Near duplicates of the sorted pairs, which arrive in ``slices`` lots of files; of a
+    cluster the first row of the table stays, as in ``dedup_max3``."""
+    folder = shared_folder(spark, "stream")
+    rows = pairs(spark, sf_dir, "n").drop("mapq1", "mapq2", "pair_type")
+    rows = written(rows.orderBy(*basic.sort_keys(rows)).withColumn("part", F.shiftright(F.monotonically_increasing_id(), ordering.ROW_BITS)), "sorted")
+    lot = F.expr(f"least({slices - 1}, part * {slices} div {int(spark.conf.get('spark.sql.shuffle.partitions'))})")
+    stream = DuplicateStream(folder)
+    for k in range(slices):
+        # Ranges of the sort may be fewer than partitions, never more.
+        rows.where(lot == k).drop("part").write.mode("append").parquet(f"{folder}/arrived")
+        stream.start(spark.readStream.schema(rows.drop("part").schema).parquet(f"{folder}/arrived")).awaitTermination()
+    stream.finish(spark)
+    return stream.outcomes(spark).select("readID", "outcome", "parent")
+
+
 def bin_coo_10k(spark, sf_dir):
     return binning.bin_contacts(binning.accepted(pairs(spark, sf_dir, "w")), SIZES, [10_000]).drop("resolution")
 
@@ -270,7 +291,7 @@ def generated(spark, sf_dir):
     return basic.generate_pairs(spark).drop("seq")
 
 
-QUERIES = {f.__name__: f for f in (sort_rank, select_raw, flip_raw, select_rest, select_chrom_subset, type_cast, stats_counters, stats_pair_types, stats_chrom_freq, stats_dist_freq, stats_summary, stats_convergence, stats_dups, stats_dups_summary, dedup_parents, sort_extra, sort_no_type, remove_columns, bin_counters, bin_coo_10k, bin_multi_res, bin_filtered, bin_bg2, bin_table, process_fused, process_max3, generated)}
+QUERIES = {f.__name__: f for f in (sort_rank, select_raw, flip_raw, select_rest, select_chrom_subset, type_cast, stats_counters, stats_pair_types, stats_chrom_freq, stats_dist_freq, stats_summary, stats_convergence, stats_dups, stats_dups_summary, dedup_parents, dedup_stream, sort_extra, sort_no_type, remove_columns, bin_counters, bin_coo_10k, bin_multi_res, bin_filtered, bin_bg2, bin_table, process_fused, process_max3, generated)}
 QUERIES |= {"flip_pairs": flip} | {n: selection(n) for n in SELECTS}
 QUERIES |= {
     n: dedup_query(n, **o)
@@ -365,6 +386,7 @@ SELECT 'accepted' AS name, count(*) FILTER (ok) AS n FROM a UNION ALL SELECT 're
 UNION ALL SELECT 'unknown_chrom', count(*) FILTER (passed AND NOT known) FROM a UNION ALL SELECT 'out_of_range', count(*) FILTER (ok AND (pos1 > 600000 OR pos2 > 600000)) FROM a""",
     "dedup_exact": _transitive_sql("a.f = b.f"),
     "dedup_max3": _MAX3,
+    "dedup_stream": _MAX3,
     "dedup_max10k": _transitive_sql("abs(a.pos1 - b.pos1) <= 10000 AND abs(a.pos2 - b.pos2) <= 10000", source=_W),
     "dedup_sum8k": _transitive_sql("abs(a.pos1 - b.pos1) + abs(a.pos2 - b.pos2) <= 8000", source=_W),
     "dedup_sum5": _transitive_sql("abs(a.pos1 - b.pos1) + abs(a.pos2 - b.pos2) <= 5"),
