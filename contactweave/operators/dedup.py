@@ -175,16 +175,35 @@ def corner_links(rows: DataFrame, pairs: DataFrame, keys: list[str], m: int) ->
     return met.withColumn("best", best).where(f"second = 1 AND height - best <= {m}").select("a", "b").distinct()
 
 
-def near_cells(rows: DataFrame, cells: DataFrame, keys: list[str], m: int) -> DataFrame:
-    """(node, parent) of the cells of ``rows`` that an earlier cell's cluster takes in."""
+def near_cells(rows: DataFrame, cells: DataFrame, keys: list[str], m: int, block_edges: int = BLOCK_EDGES) -> DataFrame:
+    """(node, parent) of the cells of ``rows`` that an earlier cell's cluster takes in.
+
+    Rows are looked at only for pairs of cells that touch at a corner; where pairs are
+    many, only for those that the other pairs have not linked already."""
     sure = F.col("sure")
     pairs, n = counted(touching_cells(cells, keys, m), "touching", sure=F.count_if(sure), open=F.count_if(~sure))
-    links = pairs.where(sure).select("a", "b")
-    if n["open"]:
+    links, total = pairs.where(sure).select("a", "b"), n["sure"] + n["open"]
+    if n["open"] and total <= block_edges:
         links = links.unionByName(corner_links(rows, pairs.where(~sure), keys, m))
-    found = component_labels(links, n["sure"] + n["open"]).where("label <> node").select("node", F.col("label").alias("parent"))
     # Written, so that its size is known: few of them spare the cells a shuffle.
-    return written(found, "found")
+    found = written(component_labels(links, total).where("label <> node").select("node", F.col("label").alias("parent")), "found")
+    if not n["open"] or total <= block_edges:
+        return found
+
+    def ends(df: DataFrame) -> DataFrame:
+        """``df`` (a, b) with the labels la and lb."""
+        for c in ("a", "b"):
+            of = found.select(F.col("node").alias(f"n{c}"), F.col("parent").alias(f"p{c}"))
+            df = df.join(of, F.col(c) == F.col(f"n{c}"), "left").withColumn(f"l{c}", F.coalesce(f"p{c}", c))
+        return df.where("la <> lb")
+
+    apart, n = counted(ends(pairs.where(~sure)).select(pairs.columns), "apart", n=F.count(F.lit(1)))
+    if not n["n"]:
+        return found
+    corners = written(component_labels(ends(corner_links(rows, apart, keys, m)).select(F.col("la").alias("a"), F.col("lb").alias("b")), n["n"]).where("label <> node"), "corners")
+    of = corners.select(F.col("node").alias("n"), F.col("label").alias("l"))
+    moved = found.join(of, F.col("parent") == F.col("n"), "left").select("node", F.coalesce("l", "parent").alias("parent"))
+    return written(moved.unionByName(corners.withColumnRenamed("label", "parent")), "found")
 
 
 def mark_duplicates(df: DataFrame, max_mismatch: int = 3, metric: str = "max", clustering: str = "transitive", extra_pairs: list[tuple[str, str]] | None = None, order: str = "seq") -> DataFrame:

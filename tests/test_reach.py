@@ -85,3 +85,28 @@ def test_labels(spark, block_edges):
             best[a] = best[b] = low
     got = component_labels(spark.createDataFrame(edges, "a long, b long"), block_edges=block_edges)
     assert {r["node"]: r["label"] for r in got.collect()} == best
+
+
+@pytest.mark.parametrize("side", [170, 1])
+def test_labels_of_long_graphs(spark, side):
+    """A band 170 wide, or a path, of 28,900 nodes whose names are in no order: far more
+    steps across than rounds, and more edges than a block."""
+    rng = random.Random(side)
+    names = rng.sample(range(10**6), 28_900)
+    edges = [(names[i], names[i + 1]) for i in range(len(names) - 1) if side == 1 or (i + 1) % side] + [(names[i], names[i + side]) for i in range(len(names) - side)]
+    got = component_labels(spark.createDataFrame(edges, "a long, b long").repartition(7), block_edges=1_000)
+    assert {r["node"]: r["label"] for r in got.collect()} == dict.fromkeys(names, min(names))
+
+
+@pytest.mark.parametrize("metric", ["max", "sum"])
+@pytest.mark.parametrize("span", [60, 110])
+def test_clusters_of_more_links_than_a_block(spark, monkeypatch, metric, span):
+    """Links of cells that rounds contract, and corners that are looked at afterwards."""
+    labels = dedup.component_labels
+    monkeypatch.setattr(dedup.near_cells, "__defaults__", (20,))
+    monkeypatch.setattr(dedup, "component_labels", lambda edges, count: labels(edges, count, 20))
+    rng = random.Random(span)
+    rows = [(i, "chr1", rng.randint(1, span), "chr2", rng.randint(1, span), "+", "-", "") for i in range(700)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got = {r["seq"]: r["parent"] for r in dedup.mark_duplicates(df, 2, metric).collect()}
+    assert got == {i: None if r == i else r for i, r in roots(rows, 2, metric).items()}
