@@ -66,7 +66,11 @@ def select_pairs(df: DataFrame, condition: str, types: dict[str, str] | None = N
     keep = F.coalesce(compile_condition(condition, df, types), F.lit(False))
     if chrom_subset is not None:
         keep = keep & F.col("chrom1").isin(chrom_subset) & F.col("chrom2").isin(chrom_subset)
-    return df.where(keep), df.where(~keep)
+    # A column that Spark doesn't take for a function of the row is worked out after the
+    # row's columns and once; a plain filter would repeat their expressions wherever the
+    # condition names them, until the code is too long to be compiled.
+    met = df.withColumn("_keep", keep & (F.spark_partition_id() >= 0))
+    return met.where("_keep").drop("_keep"), met.where("NOT _keep").drop("_keep")
 
 
 def without_columns(pairs: Pairs, names: list[str]) -> Pairs:
