@@ -71,7 +71,19 @@ def _laid_out(form: Column) -> Column:
     return once(F.struct(digits.alias("d"), power.alias("e"), sign.alias("s")), written)
 
 
+def _as_java(x: Column) -> Column:
+    """The text where Java's own has at most 15 digits and no zeros at its end, null
+    elsewhere: no other text that short reads back as the same number, so it is the
+    shortest one.  Java writes numbers without an exponent from 0.001 to 10**7."""
+    text, size = x.cast("string"), F.abs(x)
+    digits = F.substring_index(text, "E", 1)
+    whole = F.endswith(digits, F.lit(".0"))
+    sound = (F.length(digits) <= DIGITS[0] + 1) & (whole | ~F.endswith(digits, F.lit("0")))
+    small = F.concat(F.when(whole, F.substring_index(digits, ".", 1)).otherwise(digits), F.lit("e-0"), F.substring_index(text, "-", -1))
+    return F.when((size >= 1e-3) & (size < 1e7) & sound, text).when((size >= 1e-9) & (size < 1e-4) & sound, small)
+
+
 def float_text(x: Column) -> Column:
     odd = F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf")
     zero = F.when(x == 0, F.when(F.startswith(x.cast("string"), F.lit("-")), "-0.0").otherwise("0.0"))
-    return F.coalesce(odd, zero, once(shortest(x), _laid_out))
+    return F.coalesce(_as_java(x), odd, zero, once(shortest(x), _laid_out))

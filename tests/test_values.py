@@ -1,14 +1,17 @@
 """Conditions whose types a row decides, and floats as text, against Python itself."""
 
+import math
 import random
 import struct
 
 import pytest
 from pyspark.sql import functions as F
 
+from contactweave.functions import floats
 from contactweave.functions.expr import compile_condition
 from contactweave.functions.floats import float_text
 from contactweave.model import PairsError, Unsupported
+from contactweave.operators import basic
 
 ROWS = [(a, b, s, t) for a in (0, 1, 7, -3) for b in (-2, 0, 3) for s in ("", "x", "7") for t in ("x", "yy")]
 CONDITIONS = [
@@ -77,3 +80,30 @@ def test_float_text_is_pythons(spark):
     assert not [w for w in wrong if float(w[0]) != float(w[1])]
     assert not wrong, (len(wrong), wrong[:5])
     assert spark.range(1).select(float_text(F.lit(float("nan")))).first()[0] == "nan"
+
+
+def test_text_of_ordinary_floats_is_pythons(spark):
+    """Without the slow way, where Java's text will do, and alike beside it."""
+    rng = random.Random(11)
+    edge = [y for x in (1e-9, 1e-4, 1e-3, 1e7, 1.0, 9.5, 0.002, 2e-05, 1e-05, 9.999e-5) for y in (x, math.nextafter(x, 0), math.nextafter(x, 1e9))]
+    numbers = edge + [rng.randint(1, 10**6) / d for d in (8, 10, 1000, 1e6, 1e9, 3, 7e5) for _ in range(200)]
+    numbers += [-x for x in numbers]
+    df = spark.createDataFrame([(x,) for x in numbers], "x double")
+    got = df.select("x", float_text(F.col("x")).alias("t"), floats._as_java(F.col("x")).alias("j")).collect()
+    assert [(r["x"], r["t"]) for r in got if r["t"] != repr(r["x"])] == []
+    assert {r["x"] for r in got if len(repr(r["x"])) < 12 and (1e-3 <= abs(r["x"]) < 1e7 or 1e-9 <= abs(r["x"]) < 1e-4)} <= {r["x"] for r in got if r["j"] is not None}
+
+
+def test_conditions_do_not_repeat_columns(spark):
+    """A computed column is in the plan once, however often a condition names it."""
+    df = spark.range(20).selectExpr("id AS seq", "CASE WHEN id % 977 = 5 THEN 0 ELSE id * 3 END AS pos1", "id AS pos2")
+    condition = "(pos1 - pos2) // 7 % 3 == 1 or max(pos1, pos2) - min(pos1, pos2) > 30"
+    kept, rest = basic.select_pairs(df, condition)
+    for part, rows in ((kept, [i for i in range(20) if want(i)]), (rest, [i for i in range(20) if not want(i)])):
+        assert sorted(r["seq"] for r in part.collect()) == rows
+        assert part._jdf.queryExecution().optimizedPlan().toString().count("977") == 1
+
+
+def want(i):
+    a, b = (0 if i % 977 == 5 else i * 3), i
+    return (a - b) // 7 % 3 == 1 or max(a, b) - min(a, b) > 30
