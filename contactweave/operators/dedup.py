@@ -222,7 +222,12 @@ def mark_duplicates(df: DataFrame, max_mismatch: int = 3, metric: str = "max", c
     near = max_mismatch > 0
     by_cell = near and clustering == "transitive"
     side, axes = (max_mismatch + 1, metric) if by_cell else (1, "max")
-    rows = with_cells(df.where(mapped()), side, axes).where("strand1 IS NOT NULL AND strand2 IS NOT NULL AND _x IS NOT NULL AND _y IS NOT NULL")
+    known = mapped()
+    for c in ("strand1", "strand2", "pos1", "pos2"):
+        known = known & F.col(c).isNotNull()
+    # Not for Spark a function of the row, so the filter stays above the row's columns
+    # instead of repeating their expressions.
+    rows = with_cells(df.withColumn("_known", known & (F.spark_partition_id() >= 0)).where("_known"), side, axes)
     extents = [F.min("_u").alias("u0"), F.max("_u").alias("u1"), F.min("_v").alias("v0"), F.max("_v").alias("v1")] if by_cell else []
     cells = rows.groupBy(*keys, "_x", "_y").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies"), *extents)
     if near:
