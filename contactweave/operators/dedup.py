@@ -7,14 +7,16 @@ the cells' extents, cornerwise by the outermost rows of both.  Work grows with t
 rows, whatever the reach and however many rows share a cell.  The sum metric is the
 max metric over pos1 + pos2 and pos1 - pos2.
 
-Greedy clusters depend on single pairs.  These are found by an equi-join on the same
-cells; rows at equal positions are reduced to their first one before the join, so
-copies never meet in pairs.
+Greedy clusters depend on the order of rows.  Rows at equal positions are reduced to
+their first one.  A cell holds one kept row at most, so a task that goes through a tile
+of cells in order compares a row with nine others.  What depends on rows beyond the tile
+waits for a round whose tiles lie elsewhere; pairs are listed only of what waits too long.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,6 +33,9 @@ HALF = ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))
 #: Cells along one side of the blocks in which cells meet their neighbours.
 BLOCK = 64
 
+#: Cells along one side of the tiles in which greedy outcomes are worked out.
+TILE = 32
+
 #: Edges in a range of points that one task decides in order.
 BLOCK_EDGES = 1 << 20
 
@@ -134,6 +139,102 @@ def with_cells(df: DataFrame, side: int, metric: str) -> DataFrame:
     return at.withColumn("_x", floor_div("_u", side)).withColumn("_y", floor_div("_v", side))
 
 
+def tiled(rows: DataFrame, keys: list[str], shift: int) -> DataFrame:
+    """``rows`` dealt to tiles of cells, and to those that they lie just outside of, in
+    order of first; own says which tile is theirs, and code is their cell in the tile."""
+    at = lambda c, d: floor_div(f"({c} + {shift + d})", TILE)
+    for c in ("x", "y"):
+        rows = rows.withColumn(f"_t{c}", F.explode(F.sequence(at(f"_{c}", -1), at(f"_{c}", 1))))
+    own = (F.col("_tx") == at("_x", 0)) & (F.col("_ty") == at("_y", 0))
+    inside = lambda c: f"(_{c} + {shift + 1} - _t{c} * {TILE})"
+    rows = rows.withColumn("own", own).withColumn("code", F.expr(f"{inside('x')} * {TILE + 4} + {inside('y')}"))
+    return rows.repartition(*keys, "_tx", "_ty").sortWithinPartitions(*keys, "_tx", "_ty", "first")
+
+
+def settle_tiles(keys: list[str], columns: list[str], m: int, width: int):
+    """A function that goes through tiles in order and gives out their own points, with
+    kept and root; both are null, or root alone of a sure duplicate, where that depends
+    on points which another tile must settle."""
+    around = [x * width + y for x in (-1, 0, 1) for y in (-1, 0, 1)]
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, taken, held = None, {}, {}
+        for b in batches:
+            lists = lambda *names: (b.column(c).to_pylist() for c in names)  # noqa: B023, E731
+            mine, outcomes, roots = [], [], []
+            for at, first, u, v, code, own, kept in zip(zip(*lists(*keys, "_tx", "_ty")), *lists("first", "_u", "_v", "code", "own", "kept")):
+                if at != tile:
+                    tile, taken, held = at, {}, {}
+                mine.append(own and not kept)
+                if kept:
+                    taken[code] = first, u, v
+                if kept or kept is False and not own:
+                    continue
+                best = root = None
+                for c in around:
+                    t = taken.get(code + c)
+                    if t and -m <= t[1] - u <= m and -m <= t[2] - v <= m and (best is None or t[0] < best):
+                        best = t[0]
+                waits = False
+                if held:
+                    for c in around:
+                        for h in held.get(code + c, ()):
+                            if best is not None and h[0] > best:
+                                break
+                            if -m <= h[1] - u <= m and -m <= h[2] - v <= m:
+                                waits = True
+                                break
+                if best is not None:
+                    kept, root = False, None if waits else best
+                elif own and not waits:
+                    kept, root = True, first
+                    taken[code] = first, u, v
+                else:
+                    held.setdefault(code, []).append((first, u, v))
+                if own:
+                    outcomes.append(kept)
+                    roots.append(root)
+            out = b.select(columns).filter(pa.array(mine, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(outcomes, pa.bool_()), pa.array(roots, b.schema.field("first").type)], [*columns, "kept", "root"])
+
+    return settle
+
+
+def greedy_roots(points: DataFrame, keys: list[str], m: int, metric: str) -> DataFrame:
+    """``points`` (keys, pos1, pos2, first and others) with root: the first kept point
+    before them that is within reach, or their own first where there is none.
+
+    Tiles lie elsewhere in each round, so what is left has little to wait for in the
+    next one, unless chains of points are long.  Once a round settles less than half of
+    it, pairs are listed of what is left and the kept points next to it.
+    """
+    columns = [*points.columns, "_u", "_v", "_x", "_y"]
+    kind = points.schema["first"].dataType.simpleString()
+    left = with_cells(points, m + 1, metric).withColumn("kept", F.lit(None).cast("boolean")).withColumn("root", F.lit(None).cast(kind))
+    schema, shifts, settled, kept, before = left.schema, (0, TILE // 2, TILE // 4, 3 * TILE // 4), [], None, None
+    while True:
+        rows = tiled(left if kept is None else left.unionByName(kept), keys, shifts[len(settled) % 4])
+        done, n = counted(rows.mapInArrow(settle_tiles(keys, columns, m, TILE + 4), schema), "tiles", n=F.count_if(F.col("root").isNull()))
+        settled.append(done.where("root is not null"))
+        if not n["n"]:
+            break
+        left, taken = done.where("root is null"), done.where("kept and root is not null")
+        spots = left.select(*(F.col(k).alias(f"n{k}") for k in (*keys, "_x", "_y"))).distinct()
+        for c in ("n_x", "n_y"):
+            spots = spots.withColumn(c, F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
+        on = F.lit(True)
+        for k in (*keys, "_x", "_y"):
+            on = on & F.col(k).eqNullSafe(F.col(f"n{k}"))
+        kept = written((taken if kept is None else kept.unionByName(taken)).join(spots.distinct(), on, "left_semi"), "kept")
+        if before is not None and 2 * n["n"] > before:
+            near = left.unionByName(kept).select(*keys, F.col("_u").alias("pos1"), F.col("_v").alias("pos2"), "first")
+            found = greedy_parents(near_points(near, keys, m, "max"))
+            settled.append(left.join(found, F.col("first") == F.col("node"), "left").withColumn("root", F.coalesce("parent", "first")).select(left.columns))
+            break
+        before = n["n"]
+    return reduce(DataFrame.unionByName, settled).select(*points.columns, "root")
+
+
 def touching_cells(cells: DataFrame, keys: list[str], m: int) -> DataFrame:
     """(a, b, sure, keys, _x, _y, dy) of cells (keys, _x, _y, first, u0, u1, v0, v1) that
     touch and may hold rows within reach; sure says that they do.  _x, _y and dy are of a
@@ -234,10 +335,10 @@ def mark_duplicates(df: DataFrame, max_mismatch: int = 3, metric: str = "max", c
         cells = written(cells, "cells")
         if by_cell:
             found = near_cells(rows, cells, keys, max_mismatch)
+            cells = cells.join(found, F.col("first") == F.col("node"), "left").withColumn("root", F.coalesce("parent", "first"))
         else:
             points = cells.withColumnsRenamed({"_x": "pos1", "_y": "pos2"})
-            found = greedy_parents(near_points(points, keys, max_mismatch, metric))
-        cells = cells.join(found, F.col("first") == F.col("node"), "left").withColumn("root", F.coalesce("parent", "first"))
+            cells = greedy_roots(points, keys, max_mismatch, metric).withColumnsRenamed({"pos1": "_x", "pos2": "_y"})
     else:
         cells = cells.withColumn("root", F.col("first"))
     # Only cells with duplicates are joined back, so rows whose place is their own are

@@ -110,3 +110,41 @@ def test_clusters_of_more_links_than_a_block(spark, monkeypatch, metric, span):
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
     got = {r["seq"]: r["parent"] for r in dedup.mark_duplicates(df, 2, metric).collect()}
     assert got == {i: None if r == i else r for i, r in roots(rows, 2, metric).items()}
+
+
+def greedy(rows, m, metric):
+    """Parent of each row: the first row before it that is kept and within reach."""
+    kept, parents = [], {}
+    for r in sorted(rows):
+        near = (k for k in kept if k[1::2] == r[1::2] and k[6] == r[6] and {"max": max, "sum": lambda d: sum(d)}[metric]((abs(k[2] - r[2]), abs(k[4] - r[4]))) <= m)
+        parents[r[0]] = next((k[0] for k in near), None)
+        kept += [r] if parents[r[0]] is None else []
+    return parents
+
+
+@pytest.mark.parametrize("metric", ["max", "sum"])
+@pytest.mark.parametrize("m,span,listed", [(1, 40, False), (3, 90, False), (40, 1_500, False), (1, 40, True)])
+def test_greedy_by_tiles(spark, monkeypatch, metric, m, span, listed):
+    """Tiles of four cells, over several rounds; sorted rows wait in chains, whose rest
+    may be listed in pairs."""
+    monkeypatch.setattr(dedup, "TILE", 4)
+    calls = []
+    near_points = dedup.near_points
+    monkeypatch.setattr(dedup, "near_points", lambda *a: calls.append(1) or near_points(*a))
+    rng = random.Random(m)
+    places = [(rng.randint(1, span), rng.randint(1, span)) for _ in range(1_200)]
+    places = sorted(places) if listed else places
+    rows = [(i, "chr1", x, "chr2", y, "+", "-", rng.choice(["x", None]) if not listed else None) for i, (x, y) in enumerate(places)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got = {r["seq"]: r["parent"] for r in dedup.mark_duplicates(df, m, metric, "greedy", extra_pairs=[("note", "note")]).collect()}
+    assert got == greedy(rows, m, metric)
+    assert calls or not listed or metric == "sum"
+
+
+def test_greedy_lists_no_pairs(spark, monkeypatch):
+    """20,000 rows of a few cells, over 100 million near pairs."""
+    monkeypatch.setattr(dedup, "near_points", None)
+    df = spark.range(20_000).selectExpr("id AS seq", "'chr1' AS chrom1", "1 + id * 7919 % 9000 AS pos1", "'chr1' AS chrom2", "1 + id * 104729 % 9001 AS pos2", "'+' AS strand1", "'-' AS strand2")
+    got = {r["seq"]: r["parent"] for r in dedup.mark_duplicates(df, 6_000, clustering="greedy").collect()}
+    rows = [tuple(r) for r in df.collect()]
+    assert got == greedy(rows, 6_000, "max")
