@@ -36,6 +36,9 @@ BLOCK = 64
 #: Cells along one side of the tiles in which greedy outcomes are worked out.
 TILE = 32
 
+#: Pairs of cells whose rows are picked by a broadcast before they are reduced.
+FEW_PAIRS = 100_000
+
 #: Edges in a range of points that one task decides in order.
 BLOCK_EDGES = 1 << 20
 
@@ -131,6 +134,12 @@ def floor_div(value: str, by: int) -> Column:
     return F.expr(f"({value} - pmod({value}, {by})) div {by}")
 
 
+def mixed(*names: str) -> Column:
+    """A number for a place.  As the first key of a sort it settles nearly all of the
+    comparisons, which names of chromosomes leave to the columns after them."""
+    return F.xxhash64(*KEYS, *names)
+
+
 def with_cells(df: DataFrame, side: int, metric: str) -> DataFrame:
     """``df`` with the coordinates _u and _v, in which reach is a square, and the cell
     (_x, _y) of ``side`` places that they lie in."""
@@ -248,7 +257,8 @@ def touching_cells(cells: DataFrame, keys: list[str], m: int) -> DataFrame:
     blocks = F.array_distinct(F.array(*(F.struct(floor_div(f"(_x + {x})", BLOCK).alias("x"), floor_div(f"(_y + {y})", BLOCK).alias("y")) for x, y in before)))
     spread = cells.withColumn("own", F.struct(floor_div("_x", BLOCK).alias("x"), floor_div("_y", BLOCK).alias("y"))).withColumn("o", F.explode(blocks))
     spread = spread.select(*keys, "_x", "_y", "o.x", "o.y", (F.col("o") == F.col("own")).alias("inside"), "first", "u0", "u1", "v0", "v1", F.expr(f"(_x - o.x * {BLOCK}) * {width} + _y - o.y * {BLOCK}").alias("code"))
-    ordered = W.partitionBy(*keys, "x", "y").orderBy("code")
+    spread = spread.withColumn("_h", mixed("x", "y"))
+    ordered = W.partitionBy("_h", *keys, "x", "y").orderBy("code")
     cell = F.struct("code", "first", "u0", "u1", "v0", "v1")
     near = F.concat(F.collect_list(cell).over(ordered.rangeBetween(1, 1)), F.collect_list(cell).over(ordered.rangeBetween(width - 1, width + 1)))
     met = spread.withColumn("near", near).where("inside").withColumn("r", F.explode("near")).withColumn("step", F.col("r.code") - F.col("code"))
@@ -260,17 +270,21 @@ def touching_cells(cells: DataFrame, keys: list[str], m: int) -> DataFrame:
     return met.where(F.expr(f"{least_u} <= {m} AND {least_v} <= {m}")).select(F.col("first").alias("a"), F.col("r.first").alias("b"), sure.alias("sure"), *keys, "_x", "_y", "dy")
 
 
-def corner_links(rows: DataFrame, pairs: DataFrame, keys: list[str], m: int) -> DataFrame:
-    """(a, b) of those ``pairs`` of cells that touch at a corner and hold rows within
-    reach.  A cell is reduced to its outermost rows, at most max_mismatch + 1 of them;
-    each row of the second cell meets the best one of the first that its _u can reach."""
-    edge = rows.groupBy(*keys, "_x", "_y", "_u").agg(F.min("_v").alias("low"), F.max("_v").alias("high"))
+def corner_links(rows: DataFrame, pairs: DataFrame, keys: list[str], m: int, count: int) -> DataFrame:
+    """(a, b) of those ``pairs``, ``count`` of them, of cells that touch at a corner and
+    hold rows within reach.  A cell is reduced to its outermost rows, at most
+    max_mismatch + 1 of them; each row of the second cell meets the best one of the first
+    that its _u can reach.  Where pairs are few, only their cells' rows are dealt."""
     first = pairs.select("a", "b", "dy", F.lit(0).alias("second"), *keys, "_x", "_y")
     second = pairs.select("a", "b", "dy", F.lit(1).alias("second"), *keys, F.expr("_x + 1").alias("_x"), F.expr("_y + dy").alias("_y"))
+    sides = first.unionByName(second)
     on = F.lit(True)
     for k in (*keys, "_x", "_y"):
         on = on & F.col(f"e.{k}").eqNullSafe(F.col(f"s.{k}"))
-    met = edge.alias("e").join(first.unionByName(second).alias("s"), on)
+    if count <= FEW_PAIRS:
+        rows = rows.alias("e").join(F.broadcast(sides.select(*keys, "_x", "_y").distinct()).alias("s"), on, "left_semi")
+    edge = rows.groupBy(*keys, "_x", "_y", "_u").agg(F.min("_v").alias("low"), F.max("_v").alias("high"))
+    met = edge.alias("e").join(sides.alias("s"), on)
     met = met.selectExpr("a", "b", "second", f"_u - second * {m} AS reach", "CASE WHEN (dy = 1) = (second = 0) THEN dy * high ELSE dy * low END AS height")
     best = F.max(F.when(F.col("second") == 0, F.col("height"))).over(W.partitionBy("a", "b").orderBy(F.desc("reach"), "second").rowsBetween(W.unboundedPreceding, 0))
     return met.withColumn("best", best).where(f"second = 1 AND height - best <= {m}").select("a", "b").distinct()
@@ -285,7 +299,7 @@ def near_cells(rows: DataFrame, cells: DataFrame, keys: list[str], m: int, block
     pairs, n = counted(touching_cells(cells, keys, m), "touching", sure=F.count_if(sure), open=F.count_if(~sure))
     links, total = pairs.where(sure).select("a", "b"), n["sure"] + n["open"]
     if n["open"] and total <= block_edges:
-        links = links.unionByName(corner_links(rows, pairs.where(~sure), keys, m))
+        links = links.unionByName(corner_links(rows, pairs.where(~sure), keys, m, n["open"]))
     # Written, so that its size is known: few of them spare the cells a shuffle.
     found = written(component_labels(links, total).where("label <> node").select("node", F.col("label").alias("parent")), "found")
     if not n["open"] or total <= block_edges:
@@ -301,7 +315,7 @@ def near_cells(rows: DataFrame, cells: DataFrame, keys: list[str], m: int, block
     apart, n = counted(ends(pairs.where(~sure)).select(pairs.columns), "apart", n=F.count(F.lit(1)))
     if not n["n"]:
         return found
-    corners = written(component_labels(ends(corner_links(rows, apart, keys, m)).select(F.col("la").alias("a"), F.col("lb").alias("b")), n["n"]).where("label <> node"), "corners")
+    corners = written(component_labels(ends(corner_links(rows, apart, keys, m, n["n"])).select(F.col("la").alias("a"), F.col("lb").alias("b")), n["n"]).where("label <> node"), "corners")
     of = corners.select(F.col("node").alias("n"), F.col("label").alias("l"))
     moved = found.join(of, F.col("parent") == F.col("n"), "left").select("node", F.coalesce("l", "parent").alias("parent"))
     return written(moved.unionByName(corners.withColumnRenamed("label", "parent")), "found")
@@ -343,11 +357,11 @@ def mark_duplicates(df: DataFrame, max_mismatch: int = 3, metric: str = "max", c
         cells = cells.withColumn("root", F.col("first"))
     # Only cells with duplicates are joined back, so rows whose place is their own are
     # not dealt by it where those cells are few enough to broadcast.
-    shared = written(cells.where("copies > 1 or root <> first").select(*keys, F.col("_x").alias("_sx"), F.col("_y").alias("_sy"), "root"), "shared")
+    shared = written(cells.where("copies > 1 or root <> first").select(*keys, F.col("_x").alias("_sx"), F.col("_y").alias("_sy"), "root", mixed("_x", "_y").alias("_sh")), "shared")
     placed = F.coalesce(mapped(), F.lit(False))
     # Rows without a place would all be dealt to one task; their order spreads them.
-    spot = with_cells(df.withColumn("_placed", placed), side, axes).drop("_u", "_v").withColumn("_x", F.when(F.col("_placed") & F.col("_y").isNotNull(), F.col("_x")).otherwise(F.col(order)))
-    on = F.col("l._placed") & (F.col("l._x") == F.col("r._sx")) & (F.col("l._y") == F.col("r._sy"))
+    spot = with_cells(df.withColumn("_placed", placed), side, axes).drop("_u", "_v").withColumn("_x", F.when(F.col("_placed") & F.col("_y").isNotNull(), F.col("_x")).otherwise(F.col(order))).withColumn("_h", mixed("_x", "_y"))
+    on = (F.col("l._h") == F.col("r._sh")) & F.col("l._placed") & (F.col("l._x") == F.col("r._sx")) & (F.col("l._y") == F.col("r._sy"))
     for k in keys:
         left, right = F.col(f"l.{k}"), F.col(f"r.{k}")
         on = on & (left.eqNullSafe(right) if k in extra else left == right)

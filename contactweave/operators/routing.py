@@ -61,7 +61,8 @@ def route(pairs: Pairs, dups_to: str = "drop", unmapped_to: str = "drop", mark_d
     out = marked
     if keep_parent_id:
         parents = marked.join(marked.select(F.col("parent").alias("p")).distinct(), F.col("seq") == F.col("p"), "left_semi").select(F.col("seq").alias("p"), F.col("readID").alias("named"))
-        out = out.join(parents, F.col("parent") == F.col("p"), "left")
+        # Rows that repeat none would all be dealt to one task; their order spreads them.
+        out = out.join(parents, F.col("parent").isNotNull() & (F.coalesce("parent", "seq") == F.col("p")), "left")
         whole = clustering == "transitive"
         own = F.when(F.lit(whole and dups_to == "main") & (F.col("outcome") == "kept"), F.col("readID"))
         field = F.when(F.col("outcome") == "dup", F.col("named")).when(F.lit(whole) & (F.col("outcome") == "unmapped"), F.lit("")).otherwise(own)

@@ -1,11 +1,14 @@
 """Near duplicates at any reach, against a loop over all pairs."""
 
 import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from contactweave.functions.graph import component_labels
-from contactweave.operators import dedup
+from contactweave.model import Header, Pairs
+from contactweave.operators import dedup, routing
 
 SCHEMA = "seq long, chrom1 string, pos1 long, chrom2 string, pos2 long, strand1 string, strand2 string, note string"
 
@@ -50,6 +53,37 @@ def test_corners(spark):
         assert got == {i: None if r == i else r for i, r in roots(rows, m, "max").items()}, m
 
 
+@pytest.mark.parametrize("few", [0, 10**5])
+def test_corners_of_few_and_many_pairs(spark, monkeypatch, few):
+    """Rows of the pairs' cells alone are reduced where pairs are few, all rows else."""
+    monkeypatch.setattr(dedup, "FEW_PAIRS", few)
+    reduced, links = [], dedup.corner_links
+    monkeypatch.setattr(dedup, "corner_links", lambda *a: reduced.append(links(*a)._jdf.queryExecution().optimizedPlan().toString()) or links(*a))
+    rng = random.Random(7)
+    rows = [(i, "chr1", rng.randint(1, 900), "chr2", rng.randint(1, 900), "+", "-", "x") for i in range(700)]
+    got = {r["seq"]: r["parent"] for r in dedup.mark_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(5), 25).collect()}
+    assert got == {i: None if r == i else r for i, r in roots(rows, 25, "max").items()}
+    assert reduced and ("LeftSemi" in reduced[0]) == (few > 0)
+
+
+def test_parents_are_dealt_evenly(spark, monkeypatch):
+    """Rows that repeat none have no parent to be dealt by; they don't meet in one task."""
+    rows = spark.range(4_000).selectExpr("id AS seq", "concat('r', id) AS readID", "'chr1' AS chrom1", "1 + 10 * (id - id % 10) AS pos1", "'chr2' AS chrom2", "1 + CASE WHEN id % 10 = 1 THEN 0 ELSE 9 * (id % 10) END AS pos2", "'+' AS strand1", "'-' AS strand2", "'UU' AS pair_type")
+    monkeypatch.setattr(type(rows), "orderBy", lambda self, *c: self)
+    options = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    for k, v in options.items():
+        spark.conf.set(k, v)
+    try:
+        df = routing.route(Pairs(Header.standard({"chr1": 10**6, "chr2": 10**6}), rows), "main", "main", keep_parent_id=True).main.df
+        got = df.select("seq", F.get("_rest", F.lit(0)).alias("named"), F.spark_partition_id().alias("p")).collect()
+    finally:
+        for k in options:
+            spark.conf.unset(k)
+    assert {r["seq"]: r["named"] for r in got} == {i: f"r{i - 1 if i % 10 == 1 else i}" for i in range(4_000)}
+    dealt = Counter(r["p"] for r in got)
+    assert len(dealt) == 4 and max(dealt.values()) < 2_000
+
+
 def test_a_crowded_cell_costs_rows(spark):
     """40,000 rows of one cell and its neighbours, 800 million near pairs."""
     df = spark.range(40_000).selectExpr("id AS seq", "'chr1' AS chrom1", "1 + id * 7919 % 9000 AS pos1", "'chr1' AS chrom2", "1 + id * 104729 % 9001 AS pos2", "'+' AS strand1", "'-' AS strand2")
