@@ -14,8 +14,9 @@ from contactweave.functions.graph import written
 ROW_BITS = 33
 
 
-def ranked(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """``df`` with ``name``, 1 for the first row in ``order`` and so on.
+def ranked(df: DataFrame, order: list[str], name: str, keep: list[str] | None = None) -> DataFrame:
+    """``df``, or its columns ``keep``, with ``name``, 1 for the first row in ``order``
+    and so on.
 
     Rows are dealt to range partitions and sorted there, which is written; a row's
     place is its partition's first place, from one count per partition, and its own in
@@ -23,7 +24,7 @@ def ranked(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    placed = written(ordered.withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    placed = written(ordered.select(*(keep or df.columns), F.monotonically_increasing_id().alias("_at")), "ordered")
     part = F.shiftright("_at", ROW_BITS)
     # One number per partition reaches the driver.
     counts = {r["part"]: r["count"] for r in placed.groupBy(part.alias("part")).count().collect()}

@@ -24,12 +24,18 @@ def column_pairs(columns: list[str]) -> list[str]:
     return [c[:-1] for c in columns if c.endswith("1") and c[:-1] + "2" in columns]
 
 
-def needs_flip(chroms: list[str]) -> Column:
+def side_places(chroms: list[str]) -> tuple[Column, Column]:
+    """Places of both sides' names in (``!``, *chroms), null where they aren't listed."""
+    listed = F.array(*map(F.lit, [UNMAPPED_CHROM, *chroms]))
+    return tuple(F.nullif(F.array_position(listed, F.col(c)), F.lit(0).cast("long")) for c in ("chrom1", "chrom2"))
+
+
+def needs_flip(chroms: list[str], places: tuple[Column, Column] | None = None) -> Column:
     """Whether a row is out of order: sides go by place in (``!``, *chroms) and then
     position; a listed side goes before an unlisted one; of two unlisted sides the
-    bytewise smaller name goes first, and equal names count as out of order."""
-    listed = F.array(*map(F.lit, [UNMAPPED_CHROM, *chroms]))
-    e1, e2 = (F.nullif(F.array_position(listed, F.col(c)), F.lit(0).cast("long")) for c in ("chrom1", "chrom2"))
+    bytewise smaller name goes first, and equal names count as out of order.
+    ``places`` are the ``side_places`` where they are columns of the row already."""
+    e1, e2 = places or side_places(chroms)
     return (
         F.when(e1.isNotNull() & e2.isNotNull(), (e1 > e2) | ((e1 == e2) & (F.col("pos1") > F.col("pos2"))))
         .when(e1.isNotNull(), F.lit(False))
@@ -48,7 +54,12 @@ def flip_pairs(df: DataFrame, chroms: list[str]) -> DataFrame:
     changes = {c: raw(swap[c]) for c in swap}
     if "pair_type" in at:
         changes["pair_type"] = lambda f: once(raw("pair_type")(f), lambda t: F.concat(F.reverse(F.substring(t, 1, 2)), F.substr(t, F.lit(3))))
-    flipped = with_fields(df, changes, needs_flip(chroms)).withColumn("_flip", needs_flip(chroms))
+    flipped = with_fields(df, changes, needs_flip(chroms))
+    # Columns, as a row's order names the places several times, and they would be looked
+    # for each time.
+    for c, e in zip(("_e1", "_e2"), side_places(chroms)):
+        flipped = flipped.withColumn(c, e)
+    flipped = flipped.withColumn("_flip", needs_flip(chroms, (F.col("_e1"), F.col("_e2"))))
 
     def column(c: str) -> Column:
         if c in swap:

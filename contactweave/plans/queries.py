@@ -18,6 +18,8 @@ CHROMS = [f"chr{i}" for i in range(1, 13)]
 SIZES = dict.fromkeys(CHROMS, 1_000_000)
 
 LINE_COLUMNS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+#: Columns that decide places only; the view doesn't name them.
+TIES = ("l_discount", "l_tax", "l_shipdate")
 NUMBERED = f"SELECT *, row_number() OVER (ORDER BY {', '.join(LINE_COLUMNS)}) AS seq FROM lineitem"
 VIEW = """
 WITH l AS ({lines}),
@@ -42,13 +44,13 @@ _numbered: dict[tuple, DataFrame] = {}
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``lineitem`` with ``seq``, its place in the order of all columns; worked out once
-    per table and application."""
+    """The view's columns of ``lineitem`` with ``seq``, a row's place in the order of all
+    columns; worked out once per table and application."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/lineitem.parquet")
     files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
     key = spark.sparkContext.applicationId, sf_dir, tuple((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files)
     if key not in _numbered:
-        _numbered[key] = ordering.ranked(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(LINE_COLUMNS), LINE_COLUMNS, "seq")
+        _numbered[key] = ordering.ranked(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(LINE_COLUMNS), LINE_COLUMNS, "seq", [c for c in LINE_COLUMNS if c not in TIES])
     return _numbered[key]
 
 
@@ -60,7 +62,7 @@ def pairs(spark: SparkSession, sf_dir: str, flavour: str) -> DataFrame:
 def rank(df: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """(readID, sort_rank); only the sort keys and names are dealt and written."""
     keys = basic.sort_keys(df, extra)
-    return ordering.ranked(df.select("readID", *keys), keys, "sort_rank").select("readID", "sort_rank")
+    return ordering.ranked(df.select("readID", *keys), keys, "sort_rank", ["readID"])
 
 
 def sort_rank(spark, sf_dir):
@@ -174,8 +176,13 @@ def stats_convergence(spark, sf_dir):
     return spark.createDataFrame([(k, str(v)) for k, v in found.items()], "name string, value string")
 
 
+#: Columns that neither orders, clusters, counters nor bins read; tables that are written
+#: on the way leave them out, as Spark does where nothing is written.
+UNREAD = ("readID", "mapq1", "mapq2")
+
+
 def marked(spark, sf_dir):
-    rows = dedup.mark_duplicates(pairs(spark, sf_dir, "n"))
+    rows = dedup.mark_duplicates(pairs(spark, sf_dir, "n").drop(*UNREAD))
     return written(rows.withColumn("dup", F.col("outcome") == "dup"), "marked")
 
 
@@ -277,7 +284,7 @@ def process_max3(spark, sf_dir):
     """The whole run with the operators' defaults: flip, sort, mark near duplicates,
     count all rows and bin the pairs that stay.  (part, name, bin1_id, bin2_id, n):
     a counter, or a contact of two bins."""
-    rows = dedup.mark_duplicates(numbered(basic.flip_pairs(pairs(spark, sf_dir, "n"), CHROMS)))
+    rows = dedup.mark_duplicates(numbered(basic.flip_pairs(pairs(spark, sf_dir, "n").drop(*UNREAD), CHROMS)))
     rows = written(rows.withColumn("dup", F.col("outcome") == "dup"), "processed")
     counts = stats.counters(stats.with_classes(rows))
     named = F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("long").alias("n")) for c in counts.columns))).alias("c")

@@ -4,8 +4,10 @@ from pathlib import Path
 
 import pytest
 
+from contactweave.functions import ordering
+from contactweave.functions.graph import written
 from contactweave.model import STANDARD, read_chromsizes
-from contactweave.operators import basic
+from contactweave.operators import basic, process
 from contactweave.operators.process import numbered, process_sam
 from contactweave.plans import queries
 from contactweave.sources import statsfile
@@ -59,5 +61,23 @@ def test_process_max3_against_a_loop(spark, tmp_path):
     assert (counters["total"], counters["total_mapped"], counters["total_dups"], counters["total_nodups"]) == (900, len(live), len(live) - len(kept), len(kept))
 
 
+def test_what_the_run_writes_and_looks_for(spark, tmp_path, monkeypatch):
+    """Tables on the way hold only columns that a later step reads, and a row's places
+    among the names are looked for once a side."""
+    Path(tmp_path / "t").mkdir()
+    spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").limit(200).write.parquet(f"{tmp_path}/t/lineitem.parquet")
+    tables = {}
+    for module in (ordering, process, queries):
+        monkeypatch.setattr(module, "written", lambda df, name: tables.setdefault(name, written(df, name)))
+    assert queries.process_max3(spark, f"{tmp_path}/t").where("name = 'total'").first()["n"] == 200
+    assert not {"l_discount", "l_tax", "l_shipdate"} & set(tables["ordered"].columns)
+    for name in ("sorted", "processed"):
+        assert {"chrom1", "pos2", "pair_type", "seq"} <= set(tables[name].columns) and not {"readID", "mapq1", "mapq2"} & set(tables[name].columns)
+    queries.stats_dups(spark, f"{tmp_path}/t")
+    assert not {"readID", "mapq1", "mapq2"} & set(tables["marked"].columns)
+    plan = basic.flip_pairs(queries.pairs(spark, f"{tmp_path}/t", "n"), queries.CHROMS)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_position(") == 2
+
+
 def test_generated_has_the_default_number_of_rows(spark):
     assert queries.generated(spark, "").count() == 1_000_000
